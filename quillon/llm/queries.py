@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, bpe, langid, mixing, ngram_lm, pii, secrets, simhash, sketch
+from quillon.llm import ann, bpe, langid, mixing, ngram_lm, pii, secrets, simhash, sketch, suffixes
 from quillon.session import table
 
 
@@ -28,6 +28,12 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,5 +87,5 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS sco
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 20"""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op4_simhash, op5_fingerprints, op6_bpe, op7_secrets, op8_language_id, op9_pii, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_repeats, op4_simhash, op5_fingerprints, op6_bpe, op7_secrets, op8_language_id, op9_pii, op10_lm_scores)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_nearest": OP2_SQL, "op10_lm_scores": ngram_lm.oracle_sql()}
