@@ -13,6 +13,7 @@ rounds over DataFrames.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,30 +30,40 @@ SEED = 42
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each run of `width` lower-cased words, repeats included; of the whole sequence if there are fewer."""
     words = text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    flat, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    flat = b" ".join(words)
+        return np.array([digest(flat, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    n = len(starts)
-    hashes = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for any length
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
+    """SimHash of 64 x words bits: a bit is set if it is in over half of the hashes; all zero if the text has no word.
+
+    The second and further words come from the same hashes, mixed anew.
+    """
+    hashes = shingle_hashes(text, width)
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 15):  # bounded memory for any length
+        h = hashes[at : at + (1 << 15)]
+        for w in range(words):
+            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """key, fp long (the 64 bits, signed). Null and empty texts have fingerprint zero."""
 
     def run(texts: list) -> list[list]:
-        return [np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)]
+        return [np.concatenate([fingerprint(t, width) for t in texts]).view(np.int64)]
 
     return map_texts(df, [key], text, run, "fp long")
 
@@ -84,31 +95,34 @@ class _Sets:
                 label[:] = up
 
 
-def _levels(fp: np.ndarray, masks: list[np.uint64]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level the (first child, end) ranges of its nodes over the next level's nodes; leaves last.
-
-    fp is sorted so that leaves of a node are neighbours; a node of level i is a
-    group with equal bits under the masks up to i.
-    """
-    edges, shared = [], np.uint64(0)
-    for m in masks:
-        shared |= m
-        part = fp & shared
-        edges.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))))
-    return edges
+def _levels(leaves: np.ndarray, masks: list[tuple[int, np.uint64]]) -> list[np.ndarray]:
+    """For each level where its nodes start among the sorted leaves: a node is a run with equal bits under the masks so far."""
+    starts, new = [], np.zeros(len(leaves), bool)
+    new[:1] = True
+    for word, mask in masks:
+        part = leaves[:, word] & mask
+        new[1:] |= part[1:] != part[:-1]
+        starts.append(np.flatnonzero(new))
+    return starts
 
 
 #: Node pairs that are expanded at a time.
 FRONTIER = 1 << 18
 
 
-def link_leaves(fp: np.ndarray, band: np.uint64, bits: int = 2) -> np.ndarray:
-    """For distinct fingerprints: index of the smallest member of each one's component, over links in which `band` agrees."""
-    rest = np.uint64(0xFFFFFFFFFFFFFFFF) & ~band
-    free = [i for i in range(63, -1, -1) if int(rest) >> i & 1]
-    masks = [band] + [np.uint64(sum(1 << i for i in free[k : k + 8])) for k in range(0, len(free), 8)]
+def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
+    """For distinct fingerprints (a row of words each): index of a member of each one's component, over links in which `band` agrees.
+
+    band: a word's index and a mask of its bits. A link differs in `bits` bits at most.
+    """
+    home, inside = band
+    rest = [i for i in range(63, -1, -1) if not inside >> i & 1]
+    masks = [(home, np.uint64(inside))] + [(home, np.uint64(sum(1 << i for i in rest[k : k + 8]))) for k in range(0, len(rest), 8)]
+    for w in range(fp.shape[1]):
+        if w != home:
+            masks += [(w, np.uint64(0xFFFF << k)) for k in (48, 32, 16, 0)]
     # Gray rank within each mask, highest level first: neighbours in the order differ in few bits, nodes are runs.
-    order = np.lexsort([gray_rank(fp & m) for m in reversed(masks)])
+    order = np.lexsort([gray_rank(fp[:, w] & m) for w, m in reversed(masks)])
     leaves, sets = fp[order], _Sets(len(fp))
     starts = _levels(leaves, masks)
     n_levels = len(masks)
@@ -143,8 +157,8 @@ def link_leaves(fp: np.ndarray, band: np.uint64, bits: int = 2) -> np.ndarray:
         ca, cb = fa[pair] + k // nb[pair], fb[pair] + k % nb[pair]
         keep = (a[pair] != b[pair]) | (ca <= cb)
         pair, ca, cb = pair[keep], ca[keep], cb[keep]
-        m = masks[level + 1]
-        diff = seen[pair] + np.bitwise_count((leaves[starts[level + 1][ca]] ^ leaves[starts[level + 1][cb]]) & m)
+        w, m = masks[level + 1]
+        diff = seen[pair] + np.bitwise_count((leaves[starts[level + 1][ca], w] ^ leaves[starts[level + 1][cb], w]) & m)
         keep = (diff <= bits) & ((ca != cb) | (leaf_end[level + 1][ca] - starts[level + 1][ca] > 1))
         ca, cb, diff = ca[keep], cb[keep], diff[keep]
         near = np.argsort(-diff, kind="stable")  # the stack takes the nearest last in, so first out
@@ -168,6 +182,15 @@ def bands(bits: int = 2) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _star(root: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+    """Links of each member of a component to its smallest rep."""
+    least = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, rep)
+    dst = least[root]
+    own = dst != rep
+    return pd.DataFrame({"src": rep[own], "dst": dst[own]})
+
+
 #: Distinct fingerprints that one bucket should hold.
 BUCKET_ROWS = 20_000
 
@@ -186,12 +209,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
         fp, rep = part["fp"].to_numpy().view(np.uint64), part["rep"].to_numpy()
         order = np.argsort(rep, kind="stable")
         fp, rep = fp[order], rep[order]
-        root = link_leaves(fp, np.uint64(masks[key[0]]), bits)
-        least = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, rep)
-        dst = least[root]
-        own = dst != rep
-        return pd.DataFrame({"src": rep[own], "dst": dst[own]})
+        return _star(link_leaves(fp[:, None], (0, masks[key[0]]), bits), rep)
 
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     banded = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.pmod(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))), F.lit(per_band)).alias("bucket")) for i, m in enumerate(signed)])).alias("t"))
@@ -215,12 +233,68 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits
     return prints.join(named, "fp", "left").select(key, hexed, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
-    """The rows of df without near-duplicates: of each component the row with the smallest key; rows with a null key stay.
+#: Share of near pairs at the similarity asked for that the wide index must find.
+RECALL = 0.97
+
+
+def wide_index(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """Words, bits of a band, bands of a word, and most differing bits for n fingerprints and a resemblance of shingle sets.
+
+    At resemblance J a bit differs with chance arccos(2J / (1 + J)) / pi. Bands
+    are wide enough for buckets of about 64 at any n; words are added until a
+    pair at J agrees in one band with the chance RECALL.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(8, math.ceil(math.log2(max(2, n))) - 6)
+    each = 64 // width
+    words = max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** width) / each))
+    return words, width, each, math.floor(64 * words * differ + math.sqrt(64 * words * differ * (1 - differ)))
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """key, component_id: the smallest key reachable over links of estimated resemblance `similarity` or more.
+
+    Resemblance of two texts' sets of `width`-word shingles is estimated by the
+    differing bits of fingerprints of 256 bits or more, indexed like the short
+    ones with a band as the top node. Texts without a word are alike. Null keys
+    are not linked and not returned. Repeated rows give one row.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    words, band_bits, each, bits = wide_index(keyed.count(), similarity)
+
+    def run(texts: list) -> list[list]:
+        return [[fingerprint(t, width, words).tobytes() for t in texts]]
+
+    prints = checkpointed(map_texts(keyed, [key], text, run, "fp binary"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
+    buckets = max(8, nodes.count() // BUCKET_ROWS)
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+            for band in range(words * each):
+                value = (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
+                yield pd.DataFrame({"band": band, "bucket": (value % np.uint64(buckets)).astype(np.int32), "fp": part["fp"], "rep": part["rep"]})
+
+    def link(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep")
+        fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+        band = (group[0] // each, ((1 << band_bits) - 1) << (group[0] % each * band_bits))
+        return _star(link_leaves(fp, band, bits), part["rep"].to_numpy())
+
+    dealt = nodes.select("fp", "rep").mapInPandas(deal, "band int, bucket int, fp binary, rep long")
+    edges = checkpointed(dealt.groupBy("band", "bucket").applyInPandas(link, "src long, dst long").distinct())
+    labels = min_labels(edges)
+    named = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    return prints.join(named, "fp").select(key, "component_id").distinct()
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of df without near copies: of each component the row with the smallest key; rows with a null key stay.
 
-    Rows that share the smallest key are told apart by content; one stays.
+    Of rows that share the smallest key one stays.
     """
-    found = near_duplicates(df, key, text, bits, width).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
+    found = near_copies(df, key, text, similarity, width).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept"))
     kept = df.join(found, df[key] == found["__kept"], "left_semi")
     by = Window.partitionBy(key).orderBy(*[F.hash(c) for c in df.columns], text)
     kept = kept.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
