@@ -97,7 +97,8 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     the smallest text is the others' next document. A null key has no next
     document: its text is not edited and near_next is null.
     """
-    base = sketches(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", k, width).repartition(key)
+    plain = sketches(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", k, width)
+    base = plain.where(F.col(key).isNotNull()).repartition(key)  # one exchange of the texts serves both sides of the join
     sized = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n"))
     need = next_ids(docs, key).join(sized, key).select(F.col("next"), F.col(key).alias("to"), F.expr("n div 3").cast("int").alias("cut"))
     first = F.row_number().over(Window.partitionBy(key).orderBy("text"))
@@ -105,7 +106,8 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     heads = heads.select("to", F.expr("substring(text, 1, cut)").alias("head"), F.col("sketch").alias("next_sketch"))
     n = F.length("text")
     cut = F.expr("cast(length(text) div 3 as int)")
-    both = base.join(heads, F.col(key) == F.col("to"), "left")
+    alone = plain.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(heads.schema[c].dataType) for c in heads.columns})
+    both = base.join(heads, F.col(key) == F.col("to"), "left").unionByName(alone)
     edited = both.select(
         key,
         n.cast("long").alias("n_chars"),
