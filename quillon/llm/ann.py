@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a query block and of a candidate block; a cell holds one of each.
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 2048
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
 #: Queries of a product tile, pairs that are recomputed at a time.
-TILE, PAIRS = 512, 1 << 16
+TILE, PAIRS = 128, 1 << 15
 
 
 def usable(vec: str) -> Column:
