@@ -104,7 +104,8 @@ def mix(
     plan = leaves.select(*LEVELS, F.expr("budget div n_tokens").alias("epochs"), F.expr("budget % n_tokens").alias("rest"))
     seen = named.join(plan, list(LEVELS))
     seen = seen.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("__key").cast("string"), F.lit(""))).cast("binary")))
-    seen = seen.withColumn("slice", F.substring("h", 1, 3))
+    # dealt by slice: the join above may have left a leaf in one place
+    seen = seen.withColumn("slice", F.substring("h", 1, 3)).repartition(*LEVELS, "slice")
     sums = seen.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
