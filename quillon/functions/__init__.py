@@ -1 +1 @@
-"""See the package README."""
+"""SQL building blocks shared by the feature sets and metrics."""
