@@ -104,7 +104,10 @@ class Flow:
         return spark.sql(Flow([*own, *inputs, *self.steps], self.last).text(), **tables)
 
 
-def joined(base: str, parts: list[str], columns: dict[str, str], key: str = "chunk_id", digits: int | None = None) -> str:
-    """Select `columns` from base and the parts that have a row for its key."""
+def joined(base: str, parts: list[str], columns: dict[str, str], key: str = "chunk_id", digits: int | None = None, only: tuple[str, ...] = ()) -> str:
+    """Select `columns` (those in `only`, if given) from base and the parts they need, each with a row at most for base's key."""
+    if only:
+        columns = {c: columns[c] for c in only}
+    parts = [p for p in parts if any(f"{p}." in e for e in columns.values())]
     wrap = (lambda e: e) if digits is None else (lambda e: f"round({e}, {digits}) + 0")
     return f"SELECT {base}.{key}, " + ", ".join(f"{wrap(f'CAST({e} AS DOUBLE)')} AS {n}" for n, e in columns.items()) + f" FROM {base} " + " ".join(f"LEFT JOIN {p} ON {p}.{key} = {base}.{key}" for p in parts)

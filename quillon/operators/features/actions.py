@@ -10,7 +10,7 @@ COMMON_BB, COMMON_TOLERANCE = (2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 7.5, 10.0, 15.0, 20
 NEAR_INTEGER = 0.15
 
 
-def flow(d: Dialect, digits: int | None = None) -> Flow:
+def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> Flow:
     whole = f"abs(v - {d.rint('v')})"
     f = Flow()
     f.step("nb", f"SELECT * FROM act WHERE kind NOT IN {BLIND}")
@@ -40,14 +40,14 @@ def flow(d: Dialect, digits: int | None = None) -> Flow:
     f.step("street_bb", f"SELECT chunk_id, {', '.join(f'max(CASE WHEN street = {s!r} THEN v END) AS v_{s}' for s in STREETS)}, {cv('v')} AS v_street_cv FROM street_v GROUP BY chunk_id")
     f.step("seat_v", f"SELECT chunk_id, seat, count(pct) AS np, avg(pct) AS mp, {cv('pct')} AS cp, count(v) AS nv, avg(v) AS mv, {cv('v')} AS c_v, avg({is_near}) AS ni FROM bets WHERE seat <> 0 GROUP BY chunk_id, seat")
     two = lambda n, e: f"CASE WHEN {count_if(f'{n} >= 3')} >= 2 THEN {e} END"
-    only = lambda n, x: f"CASE WHEN {n} >= 3 THEN {x} END"
+    thrice = lambda n, x: f"CASE WHEN {n} >= 3 THEN {x} END"
     f.step(
         "seats",
-        f"""SELECT chunk_id, avg({only('np', 'cp')}) AS cp_mean, min({only('np', 'cp')}) AS cp_min,
-        {two('np', f"max({only('np', 'mp')}) - min({only('np', 'mp')})")} AS mp_range, {two('np', f"stddev_pop({only('np', 'mp')})")} AS mp_std,
-        min({only('nv', 'ni')}) AS ni_min, max({only('nv', 'ni')}) AS ni_max,
-        {two('nv', f"max({only('nv', 'mv')}) - min({only('nv', 'mv')})")} AS mv_range, {two('nv', f"stddev_pop({only('nv', 'mv')})")} AS mv_std,
-        avg({only('nv', 'c_v')}) AS cv_mean, min({only('nv', 'c_v')}) AS cv_min FROM seat_v GROUP BY chunk_id""",
+        f"""SELECT chunk_id, avg({thrice('np', 'cp')}) AS cp_mean, min({thrice('np', 'cp')}) AS cp_min,
+        {two('np', f"max({thrice('np', 'mp')}) - min({thrice('np', 'mp')})")} AS mp_range, {two('np', f"stddev_pop({thrice('np', 'mp')})")} AS mp_std,
+        min({thrice('nv', 'ni')}) AS ni_min, max({thrice('nv', 'ni')}) AS ni_max,
+        {two('nv', f"max({thrice('nv', 'mv')}) - min({thrice('nv', 'mv')})")} AS mv_range, {two('nv', f"stddev_pop({thrice('nv', 'mv')})")} AS mv_std,
+        avg({thrice('nv', 'c_v')}) AS cv_mean, min({thrice('nv', 'c_v')}) AS cv_min FROM seat_v GROUP BY chunk_id""",
     )
     # seats over hands
     f.step(
@@ -95,5 +95,5 @@ def flow(d: Dialect, digits: int | None = None) -> Flow:
         "seat_near_integer_bb_min": "seats.ni_min", "seat_near_integer_bb_max": "seats.ni_max", "seat_near_integer_bb_range": "seats.ni_max - seats.ni_min",
         "seat_bet_mean_bb_range": "seats.mv_range", "seat_bet_mean_bb_std_of_mean": "seats.mv_std", "seat_bet_bb_cv_mean": "seats.cv_mean", "seat_bet_bb_cv_min": "seats.cv_min",
     }
-    f.last = joined("ch", ["shares", "street_agg", "lengths", "sizes", "pct_h", "bb_h", "dec_h", "street_bb", "seats", "styles", "fold_time", "vpip_time", "pre", "check_raises"], columns, digits=digits)
+    f.last = joined("ch", ["shares", "street_agg", "lengths", "sizes", "pct_h", "bb_h", "dec_h", "street_bb", "seats", "styles", "fold_time", "vpip_time", "pre", "check_raises"], columns, digits=digits, only=only)
     return f

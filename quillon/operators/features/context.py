@@ -8,7 +8,7 @@ from quillon.functions.sql import AGG, BLIND, RAISE, STREETS, VOLUNTARY, Dialect
 ROUND = (0.33, 0.5, 0.66, 0.75, 1.0)
 
 
-def flow(d: Dialect, digits: int | None = None, hero_only: bool = False) -> Flow:
+def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = (), hero_only: bool = False) -> Flow:
     f = Flow()
     mine = "seat = hero_seat" if hero_only else "TRUE"
     f.step("ch", "SELECT chunk_id, count(*) AS n_hands FROM hand GROUP BY chunk_id")
@@ -57,5 +57,5 @@ def flow(d: Dialect, digits: int | None = None, hero_only: bool = False) -> Flow
         "potfrac_mean": "frs.m", "potfrac_std": "frs.s", "potfrac_cv": "frs.s / (frs.m + 1e-9)", "potfrac_round_rate": "frs.near_round", "potfrac_dist_to_round_mean": "frs.dist", "potfrac_n_unique": "frs.kinds", "potfrac_entropy": "fr_h.h",
         "action_type_gini": "gini.g", "action_type_entropy": "kind_h.h", "street_agg_slope": "shape.slope", "street_agg_dropoff": "shape.drop_off", "fold_hu_vs_mw_diff": "multi.diff",
     }
-    f.last = joined("ch", ["ctxs", "curves", "frs", "fr_h", "gini", "kind_h", "shape", "multi"], columns, digits=digits)
+    f.last = joined("ch", ["ctxs", "curves", "frs", "fr_h", "gini", "kind_h", "shape", "multi"], columns, digits=digits, only=only)
     return f

@@ -16,7 +16,7 @@ DEPTHS = (1, 2, 3)
 BUCKETS = ("shallow", "medium", "deep")
 
 
-def flow(d: Dialect, digits: int | None = None) -> Flow:
+def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> Flow:
     f = Flow()
     hs = "chunk_id, hand_ix, street"
     at = lambda s, e: f"CASE WHEN street = '{s}' THEN {e} END"
@@ -146,5 +146,5 @@ def flow(d: Dialect, digits: int | None = None) -> Flow:
     for k in DEPTHS:
         c |= {f"at_hero_action_entropy_at_{k}bet": f"das.h_{k}", f"at_hero_count_at_{k}bet": f"das.n_{k}"}
     parts = ["fta", "af", "pres", "fl", "sz", "rt", "tr", "cb", "dr_h", "dr_a", "pbs", "rs_e", "rs_d", "rs_n", "rs_post", "rws", "dps", "dp_h", "das", "sprs", "mw", "ip", "aes", "bes", "vf"]
-    f.last = joined("hero", parts, {n: f"coalesce(CAST({e} AS DOUBLE), CAST(0 AS DOUBLE))" for n, e in c.items()}, digits=digits)
+    f.last = joined("hero", parts, {n: f"coalesce(CAST({e} AS DOUBLE), CAST(0 AS DOUBLE))" for n, e in c.items()}, digits=digits, only=only)
     return f

@@ -11,7 +11,7 @@ BB = 0.02
 SIZES = ((0.0, "z"), (0.5, "xs"), (1.0, "s"), (2.0, "m"), (5.0, "l"))
 
 
-def flow(d: Dialect, digits: int | None = None) -> Flow:
+def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> Flow:
     f = Flow()
     by = "chunk_id, hand_ix"
     f.step("a", f"SELECT {by}, act_ix, lower(trim(coalesce(street, ''))) AS street, coalesce(seat, 0) AS seat, kind, raise_to, call_to, greatest(0.0, amt_bb) AS v, greatest(0.0, pot_before / {BB}) AS pb, greatest(0.0, pot_after / {BB}) AS pa FROM act")
@@ -68,5 +68,5 @@ def flow(d: Dialect, digits: int | None = None) -> Flow:
     for s in signs:
         columns |= {f"schema_{s}_signature_top_share": f"sig_{s}.top", f"schema_{s}_signature_unique_share": div(f"sig_{s}.kinds", f"sig_{s}.total")}
     columns |= {"schema_high_aggression_hand_rate": "rates.ha", "schema_low_action_entropy_hand_rate": "rates.le", "schema_high_actor_entropy_hand_rate": "rates.he", "schema_long_action_hand_rate": "rates.la"}
-    f.last = joined("rates", [*tables, *(f"sig_{s}" for s in signs)], columns, digits=digits)
+    f.last = joined("rates", [*tables, *(f"sig_{s}" for s in signs)], columns, digits=digits, only=only)
     return f

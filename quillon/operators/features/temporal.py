@@ -7,7 +7,7 @@ from quillon.functions.sql import AGG, BLIND, RAISE, VOLUNTARY, Dialect, Flow, c
 WINDOW = 10
 
 
-def flow(d: Dialect, digits: int | None = None) -> Flow:
+def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> Flow:
     f = Flow()
     f.step("nb", f"SELECT * FROM act WHERE kind NOT IN {BLIND}")
     f.step("ch", "SELECT chunk_id, count(*) AS n_hands FROM hand GROUP BY chunk_id")
@@ -77,5 +77,5 @@ def flow(d: Dialect, digits: int | None = None) -> Flow:
         "frac_headsup": "tabs.hu", "frac_fullring": "tabs.full_ring", "table_size_change_rate": "tabs.change", "seat_jaccard_mean": "jacs.m", "seat_jaccard_min": "jacs.lo",
         "hero_seat_entropy": "hero_h.h", "hero_seat_mode_share": "hero_h.top", "walk_rate": "act_all.walk", "hand_len_entropy": "len_h.h", "one_action_hand_rate": "act_all.one",
     }
-    f.last = joined("ch", ["st_all", "st_d", "uni", "bi", "rep", "cond", "pos_all", "agg_var", "vpip_var", "halves", "runs", "disp", "rr_all", "fp", "cap_r", "tabs", "jacs", "hero_h", "act_all", "len_h"], columns, digits=digits)
+    f.last = joined("ch", ["st_all", "st_d", "uni", "bi", "rep", "cond", "pos_all", "agg_var", "vpip_var", "halves", "runs", "disp", "rr_all", "fp", "cap_r", "tabs", "jacs", "hero_h", "act_all", "len_h"], columns, digits=digits, only=only)
     return f
