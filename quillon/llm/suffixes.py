@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,10 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Strings:
-    """The strings of `length` bytes of some texts: where each starts, its text, its anchor, grouped into runs."""
+    """The strings of `length` bytes of some texts, as runs: consecutive strings of one text with one anchor.
+
+    start: where the first string of each run starts; count: its strings; text, anchor: of each run.
+    """
 
     def __init__(self, texts: list[bytes], length: int = LENGTH) -> None:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
@@ -72,18 +76,20 @@ class Strings:
         self.text_start = np.cumsum(sizes) - sizes
         n = len(self.bytes) - length + 1
         if n < 1:
-            self.start = self.text = np.zeros(0, np.int64)
-            self.anchor, self.head = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.start = self.count = self.text = np.zeros(0, np.int64)
+            self.anchor = np.zeros(0, np.uint64)
             return
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        at = np.flatnonzero(owner[:n] == owner[length - 1 :])
-        self.start, self.text = at, owner[at]
-        anchor = _least(gram_hashes(self.bytes, GRAM), length - GRAM + 1)[at] * np.uint64(0x9E3779B97F4A7C15)  # minima are small: spread them
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        whole = owner[:n] == owner[length - 1 :]  # texts are parted by starts of strings that aren't whole
+        least = _least(gram_hashes(self.bytes, GRAM), length - GRAM + 1)[:n]
+        new = whole.copy()
+        new[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+        stop = np.append(np.flatnonzero(new | ~whole), n)
+        self.start = np.flatnonzero(new)
+        self.count = stop[np.searchsorted(stop, self.start, side="right")] - self.start
+        self.text = owner[self.start].astype(np.int64)
+        anchor = least[self.start] * np.uint64(0x9E3779B97F4A7C15)  # minima are small: spread them
         self.anchor = anchor ^ (anchor >> np.uint64(32))
-        # runs: consecutive strings of one text with one anchor
-        new = np.ones(len(at), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
-        self.head = np.flatnonzero(new)
 
 
 def strings(texts: list[str], length: int) -> list[tuple[int, Strings]]:
@@ -103,7 +109,7 @@ def _anchors(parts: list[tuple[int, Strings]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchors of a block, and in how many of its texts each occurs."""
     found = []
     for _, s in parts:
-        a, t = s.anchor[s.head], s.text[s.head]
+        a, t = s.anchor, s.text
         order = np.lexsort((t, a))
         a, t = a[order], t[order]
         keep = np.ones(len(a), bool)
@@ -114,18 +120,16 @@ def _anchors(parts: list[tuple[int, Strings]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _segments(s: Strings, asked: np.ndarray, total: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and route of the segments of shared anchors. Hot anchors give a segment for each string."""
-    if not len(s.head):
+    if not len(s.start):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    ends = np.append(s.head[1:], len(s.start))
-    docs = total[np.searchsorted(asked, s.anchor[s.head])]
+    docs = total[np.searchsorted(asked, s.anchor)]
     pick = docs >= 2
-    head, n, hot, anchor = s.head[pick], (ends - s.head)[pick], (docs >= HOT)[pick], s.anchor[s.head][pick]
+    n, hot, anchor = s.count[pick], (docs >= HOT)[pick], s.anchor[pick]
     width = np.where(hot, 1, RUN)
     parts = -(-n // width)
-    of = np.repeat(np.arange(len(head)), parts)
+    of = np.repeat(np.arange(len(n)), parts)
     k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = head[of] + k * width[of]
-    start = s.start[first]
+    start = s.start[pick][of] + k * width[of]
     end = start + np.minimum(width[of], n[of] - k * width[of]) - 1 + length
     route = anchor[of].copy()
     if hot.any():
@@ -141,34 +145,49 @@ def _rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The stretches of data as rows of equal width, padded with zeros, as 8-byte words in byte order."""
     width = -(-int((end - start).max()) // 8) * 8
     padded = np.append(data, np.zeros(width, np.uint8))
-    rows = padded[start[:, None] + np.arange(width)]
-    rows[np.arange(width) >= (end - start)[:, None]] = 0
-    return rows.view(">u8").astype(np.uint64)
+    words = np.lib.stride_tricks.sliding_window_view(padded, width)[start].view(">u8").astype(np.uint64)
+    over = width - (end - start)  # bytes past the end of each row, at its right
+    for j in range(width // 8):
+        gone = np.clip(over - 8 * (width // 8 - 1 - j), 0, 8)
+        if gone.any():
+            words[:, j] = np.where(gone == 8, 0, (words[:, j] >> (8 * np.minimum(gone, 7)).astype(np.uint64)) << (8 * np.minimum(gone, 7)).astype(np.uint64))
+    return words
 
 
 def _distinct(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by content, and whether each in that order is new."""
-    order = np.lexsort((size, *words.T[::-1]))
+    """An order of rows in which equal ones are neighbours, and whether each in that order is new.
+
+    Ordered by a hash, compared by content: rows whose hashes collide stay apart.
+    """
+    h = size.astype(np.uint64)
+    for j in range(words.shape[1]):
+        h = (h ^ words[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h, kind="stable")
     w, n = words[order], size[order]
     new = np.ones(len(order), bool)
     new[1:] = (w[1:] != w[:-1]).any(1) | (n[1:] != n[:-1])
     return order, new
 
 
-def maximal_repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def maximal_repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray, length: int = LENGTH, alone: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Occurrences (segment, offset, size, smallest key, group) of the maximal repeats of `length` bytes or more.
 
     Segments are data[start:end]; least and most are the smallest and largest
     key that has each. Repeats of one segment with itself are no repeats unless
     its keys differ. A repeat's bytes may reach to a segment's edge only.
+    Segments that are `alone` share no string with another; only their whole
+    is entered.
     """
     count = end - start - length + 1
+    if alone is not None:
+        count = np.where(alone, 1, count)
     seg = np.repeat(np.arange(len(start)), count)
     offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     at, size = start[seg] + offset, end[seg] - start[seg] - offset
     before = np.where(offset > 0, data[at - 1].astype(np.int64), -1 - seg)  # an edge differs from every byte
     words = _rows(data, at, end[seg])
-    order = np.lexsort((seg, size, *words.T[::-1]))  # the suffix array
+    order = np.lexsort((size, *words.T[::-1]))  # the suffix array
     seg, offset, size, before, words = seg[order], offset[order], size[order], before[order], words[order]
     n = len(seg)
     # common prefixes of neighbours, in bytes
@@ -256,13 +275,13 @@ def _request_rows(block: int, texts: list[str], keys: np.ndarray, replies: pd.Da
             x, y = start[one[own]], end[one[own]]
             size = y - x
             flat = np.repeat(x - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            rows.append((int(bucket[order[a]]), block, first, packed.pack(own.astype(np.uint32)), packed.pack(size.astype(np.uint16)), packed.pack(route[one[own]].astype(np.uint16)), s.bytes[flat].tobytes(), packed.pack(least[own]), packed.pack(most[own])))
+            rows.append((int(bucket[order[a]]), block, first, packed.pack(own.astype(np.uint32)), packed.pack(size.astype(np.uint16)), packed.pack(route[one[own]].astype(np.uint32)), zstandard.compress(s.bytes[flat].tobytes(), 1), packed.pack(least[own]), packed.pack(most[own])))
     return rows
 
 
-def _share(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _share(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray, route: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Entry, offset, size and smallest key of the repeats among the entries `own` that lie in a larger key too."""
-    start, end, least, most = start[own], end[own], least[own], most[own]
+    start, end, least, most, route = start[own], end[own], least[own], most[own], route[own]
     order, new = _distinct(_rows(data, start, end), end - start)
     one = np.empty(len(own), np.int64)
     one[order] = np.cumsum(new) - 1
@@ -270,7 +289,9 @@ def _share(data: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarr
     low, high = np.full(len(rep), _NONE), np.full(len(rep), np.iinfo(np.int64).min)
     np.minimum.at(low, one, least)
     np.maximum.at(high, one, most)
-    seg, offset, depth, smallest, _ = maximal_repeats(data, start[rep], end[rep], low, high, length)
+    _, at = np.unique(route[rep], return_inverse=True)
+    lone = np.bincount(at)[at] == 1
+    seg, offset, depth, smallest, _ = maximal_repeats(data, start[rep], end[rep], low, high, length, lone)
     by = np.argsort(seg, kind="stable")
     seg, offset, depth, smallest = seg[by], offset[by], depth[by], smallest[by]
     lo = np.searchsorted(seg, one)
@@ -287,13 +308,13 @@ def _bucket_replies(part: pd.DataFrame, length: int) -> pd.DataFrame:
     sizes = [packed.unpack(v, np.uint16).astype(np.int64) for v in part["sizes"]]
     numbers = [packed.unpack(v, np.uint32) for v in part["numbers"]]
     least, most = (np.concatenate([packed.unpack(v, np.int64) for v in part[c]]) for c in ("least", "most"))
-    data = np.frombuffer(b"".join(part["data"]), np.uint8)
+    data = np.frombuffer(b"".join(map(zstandard.decompress, part["data"])), np.uint8)
     size = np.concatenate(sizes)
     end = np.cumsum(size)
     start = end - size
-    route = np.concatenate([packed.unpack(v, np.uint16) for v in part["routes"]])
+    route = np.concatenate([packed.unpack(v, np.uint32) for v in part["routes"]])
     shares = -(-len(data) // BUCKET_BYTES)  # equal strings have equal routes: a large bucket is done in shares
-    got = [_share(data, start, end, least, most, own, length) for i in range(shares) if len(own := np.flatnonzero(route % shares == i))]
+    got = [_share(data, start, end, least, most, route, own, length) for i in range(shares) if len(own := np.flatnonzero(route % shares == i))]
     entry, offset, depth, smallest = (np.concatenate(v) for v in zip(*got, strict=True))
     by = np.argsort(entry, kind="stable")
     entry, offset, depth, smallest = entry[by], offset[by], depth[by], smallest[by]
@@ -353,7 +374,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     plan = packed.size_up(docs, text, hashes_per_char=0.075)
     keyed = docs.where(F.col(key).isNotNull())
     blocks = packed.in_blocks(keyed.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text", plan)
-    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _anchors(strings(texts, length))), np.uint16)
+    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _anchors(strings(texts, length)), np.uint32), np.uint16, np.uint32)
     buckets = max(64, plan.blocks)
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
