@@ -38,6 +38,8 @@ _HOMOGLYPHS = dict(
 _INVISIBLE = "​‌‍⁠﻿­"
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _WORD = "(?:" + "|".join(_DIGITS) + ")"
+# Last parts of host names that a spoken address must end with.
+_TOP = "com|org|net|edu|gov|info|biz|io|ai|dev|app|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|au|ca|mx"
 #: So many spelled digits in a row count as a number.
 SPELLED_RUN = 7
 
@@ -54,7 +56,8 @@ _RULES = re.compile(
     "(?P<char>[" + "".join(map(re.escape, _CHARS)) + "])"
     r"|(?P<at>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:at|arroba)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
     r"|(?P<dot>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:dot|punto|point|punkt)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
-    r"|(?P<at2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:at)[\x20\t]{1,3}(?=[A-Za-z0-9-]{1,63}[\x20\t]{1,3}(?i:dot)[\x20\t]{1,3}[A-Za-z0-9]))"
+    r"|(?P<at2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:at)[\x20\t]{1,3}(?=(?:[A-Za-z0-9-]{1,63}[\x20\t]{1,3}(?i:dot)[\x20\t]{1,3}){1,4}"
+    + rf"(?i:{_TOP})\b))"
     r"|(?P<dot2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:dot)[\x20\t]{1,3}(?=[A-Za-z0-9]))"
     rf"|(?P<spelled>\b(?:(?i:plus)[\x20-])?(?i:{_WORD})(?:[\x20,-]{{1,2}}(?i:{_WORD})){{{SPELLED_RUN - 1},}}\b)"
 )
