@@ -17,7 +17,7 @@ from quillon.operators import calibrate, drift, metrics, registry, sanitize, tok
 from quillon.operators.features import REGISTRY
 from quillon.operators.longform import HandTables
 from quillon.plans import bindings
-from quillon.session import table
+from quillon.session import materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,8 +77,24 @@ FEATURE_QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def hands(spark: SparkSession, sf_dir: str) -> HandTables:
+    """The binding of `events` as tables, written once: feature sets read them many times."""
+    ev = table(spark, sf_dir, "events")
+    one = lambda name, steps, **t: materialised(Flow(last=f"SELECT * FROM {name}").frame(spark, steps, **t))
+    steps = bindings.events_as_hands()
+    cut = [n for n, _ in steps].index("act") + 1
+    act = one("act", steps[:cut], events=ev)
+    play = one("play", steps[cut:], act=act)
+    hand = one("hand", steps[cut:], act=act)
+    return HandTables(hand, play, act)
+
+
 def _feature(name: str, only: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: REGISTRY[name][1](SPARK, 6, only).frame(spark, bindings.events_as_hands(), events=table(spark, sf_dir, "events"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = hands(spark, sf_dir)
+        return REGISTRY[name][1](SPARK, 6, only).frame(spark, hand=t.hand, play=t.play, act=t.act)
+
+    return run
 
 
 for _name, (_set, _only) in FEATURE_QUERIES.items():
@@ -98,13 +114,6 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-def hands(spark: SparkSession, sf_dir: str) -> HandTables:
-    """The binding of `events` as DataFrames."""
-    ev = table(spark, sf_dir, "events")
-    one = lambda name: Flow(last=f"SELECT * FROM {name}").frame(spark, bindings.events_as_hands(), events=ev)
-    return HandTables(one("hand"), one("play"), one("act"))
-
-
 _HANDS = "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in bindings.events_as_hands())
 _SCORED = """WITH scored AS (SELECT d.doc_id AS ord, d.lang AS uid, CAST(d.doc_id % 7 AS BIGINT) AS day, CAST(d.n_chars % 997 AS DOUBLE) / 997 AS score, CAST(l.quality AS INTEGER) AS label
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL)"""
