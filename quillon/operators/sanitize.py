@@ -6,6 +6,8 @@ field that is missing and one that is null are alike in hash seeds (both empty).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ KINDS = ("small_blind", "big_blind", "ante", "check", "call", "bet", "raise", "f
 PRIVATE = ("label", "label_flag", "is_bot", "bot_family_id", "bot_version")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: a plain column would be worked out wherever body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def to_bb(x: Column, bb: Column, cap: float) -> Column:
     """Money in big blinds within [0, cap], two places; 0 without a big blind."""
     v = F.bround(F.least(F.greatest(x / bb, F.lit(0.0)), F.lit(cap)), 2)
@@ -50,10 +57,13 @@ def hash_noise(seed: Column) -> Column:
 
 def coarse(bb: Column, seed: Column) -> Column:
     """The nearest bucket, moved by hash noise in proportion; 0 stays 0."""
-    nearest = F.array_min(F.transform(F.array(*[F.lit(b) for b in BUCKETS]), lambda b: F.struct(F.abs(b - bb).alias("d"), b.alias("b"))))["b"]
-    spread = F.when(nearest <= 1.5, F.lit(0.08)).when(nearest <= 8.0, F.lit(0.22)).otherwise(F.greatest(F.lit(0.35), nearest * 0.05))
-    moved = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(BUCKETS[-1]), nearest + hash_noise(seed) * spread)), 2)
-    return F.when(bb <= 0, F.lit(0.0)).otherwise(moved)
+    buckets = F.array(*[F.lit(b) for b in BUCKETS])
+
+    def moved(nearest: Column) -> Column:
+        spread = F.when(nearest <= 1.5, F.lit(0.08)).when(nearest <= 8.0, F.lit(0.22)).otherwise(F.greatest(F.lit(0.35), nearest * 0.05))
+        return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(BUCKETS[-1]), nearest + hash_noise(seed) * spread)), 2)
+
+    return F.when(bb <= 0, F.lit(0.0)).otherwise(let(bb, lambda x: let(F.array_min(F.transform(buckets, lambda b: F.struct(F.abs(b - x).alias("d"), b.alias("b"))))["b"], moved)))
 
 
 def seat_order(action_seats: Column, player_seats: Column, max_seats: Column) -> Column:
@@ -79,7 +89,7 @@ def collapse(actions: Column) -> Column:
     """Without check or fold rows that move no money and repeat the row before (kind, seat, street)."""
     idle = lambda x: (x["normalized_amount_bb"] <= 0) & (x["pot_after"] <= x["pot_before"]) & x["action_type"].isin("check", "fold")
     same = lambda x, y: (x["action_type"] == y["action_type"]) & (x["actor_seat"] == y["actor_seat"]) & (x["street"] == y["street"])
-    return F.filter(actions, lambda x, i: ~((i > 0) & idle(x) & idle(F.get(actions, i - 1)) & same(x, F.get(actions, i - 1))))
+    return let(actions, lambda every: F.filter(every, lambda x, i: ~((i > 0) & idle(x) & idle(F.get(every, i - 1)) & same(x, F.get(every, i - 1)))))
 
 
 def window_size(seed: Column) -> Column:
@@ -92,65 +102,80 @@ def visible_places(streets: Column, seed: Column) -> Column:
 
     A single row is shown COPIES times.
     """
-    n = F.size(streets)
-    w = F.least(n, window_size(seed))
     key = lambda i, s: F.sha2(F.concat(seed, F.lit(":"), i.cast("string"), F.lit(":"), s), 256)
-    inner = F.filter(F.transform(streets, lambda s, i: F.struct(F.when(s == "", F.lit("preflop")).otherwise(F.lower(s)).alias("s"), i.alias("i"))), lambda x: (x["i"] > 0) & (x["i"] < n - 1))
-    names = F.array_sort(F.array_distinct(F.transform(inner, lambda x: x["s"])))
-    firsts = F.slice(F.transform(names, lambda s: F.array_min(F.transform(F.filter(inner, lambda x: x["s"] == s), lambda x: F.struct(key(x["i"], x["s"]).alias("k"), x["i"].alias("i"))))["i"]), F.lit(1), F.greatest(w - 2, F.lit(0)))
-    rest = F.array_sort(F.transform(F.filter(inner, lambda x: ~F.array_contains(firsts, x["i"])), lambda x: F.struct(key(x["i"], F.lit("")).alias("k"), x["i"].alias("i"))))
-    more = F.transform(F.slice(rest, F.lit(1), F.greatest(w - 2 - F.size(firsts), F.lit(0))), lambda x: x["i"])
-    chosen = F.array_sort(F.concat(F.array(F.lit(0), n - 1), firsts, more))
-    everything = F.sequence(F.lit(0), n - 1)
-    return F.when(n == 1, F.array_repeat(F.lit(0), COPIES)).when(n <= w, everything).when(n > 1, chosen).otherwise(F.array().cast("array<int>"))
+
+    def pick(every: Column) -> Column:
+        n = F.size(every)
+        inner = F.filter(F.transform(every, lambda s, i: F.struct(F.when(s == "", F.lit("preflop")).otherwise(F.lower(s)).alias("s"), i.alias("i"))), lambda x: (x["i"] > 0) & (x["i"] < n - 1))
+        chosen = let(F.least(n, window_size(seed)), lambda w: F.when(n <= w, F.sequence(F.lit(0), n - 1)).otherwise(let(inner, lambda rows: fill(rows, w, n))))
+        return F.when(n == 1, F.array_repeat(F.lit(0), COPIES)).when(n > 1, chosen).otherwise(F.array().cast("array<int>"))
+
+    def fill(rows: Column, w: Column, n: Column) -> Column:
+        hashed = lambda x, s: F.struct(key(x["i"], s).alias("k"), x["i"].alias("i"))
+        least = lambda s: F.array_min(F.transform(F.filter(rows, lambda x: x["s"] == s), lambda x: hashed(x, x["s"])))["i"]
+        names = F.array_sort(F.array_distinct(F.transform(rows, lambda x: x["s"])))
+        firsts = F.slice(F.transform(names, least), F.lit(1), F.greatest(w - 2, F.lit(0)))
+
+        def rest(f: Column) -> Column:
+            others = F.array_sort(F.transform(F.filter(rows, lambda x: ~F.array_contains(f, x["i"])), lambda x: hashed(x, F.lit(""))))
+            more = F.transform(F.slice(others, F.lit(1), F.greatest(w - 2 - F.size(f), F.lit(0))), lambda x: x["i"])
+            return F.array_sort(F.concat(F.array(F.lit(0), n - 1), f, more))
+
+        return let(firsts, rest)
+
+    return let(streets, pick)
 
 
 def canonical(hands: DataFrame, column: str = "hand") -> DataFrame:
     """hands with `column` (see longform.HAND_DDL) replaced by its canonical view."""
     h = lambda p: F.col(f"{column}.{p}")
     most = F.greatest(F.lit(6), F.coalesce(seat_or_zero(h("metadata.max_seats"), 10), F.lit(0)))
-    df = hands.withColumn("__most", most).withColumn("__bb", F.coalesce(h("metadata.bb"), F.lit(0.0)))
-    df = df.withColumn("__order", seat_order(F.transform(h("actions"), lambda a: a["actor_seat"]), F.transform(h("players"), lambda p: p["seat"]), F.col("__most")))
+    bb = F.coalesce(h("metadata.bb"), F.lit(0.0))
+    order = seat_order(F.transform(h("actions"), lambda a: a["actor_seat"]), F.transform(h("players"), lambda p: p["seat"]), most)
     seed = lambda a, name: F.concat_ws("|", _text(h("metadata.hero_seat")), _text(h("metadata.max_seats")), _text(a["street"]), _text(a["actor_seat"]), _text(a["action_id"]), F.lit(name))
-    bb = F.col("__bb")
 
-    def money(a: Column) -> Column:
+    def money(a: Column, order: Column) -> Column:
         c = lambda name, cap: coarse(to_bb(a[name], bb, cap), seed(a, name))
-        before = c("pot_before", CAP_POT)
-        return F.struct(
-            kind_of(a["action_type"]).alias("direct"), _text(a["street"]).alias("street"), F.coalesce(_alias(F.col("__order"), seat_or_zero(a["actor_seat"], F.col("__most"))), F.lit(0)).alias("seat"),
+        row = lambda before: F.struct(
+            kind_of(a["action_type"]).alias("direct"), _text(a["street"]).alias("street"), F.coalesce(_alias(order, seat_or_zero(a["actor_seat"], most)), F.lit(0)).alias("seat"),
             c("amount", CAP_ACTION).alias("amount"), c("raise_to", CAP_POT).alias("raise_to"), c("call_to", CAP_POT).alias("call_to"),
             before.alias("before"), coarse(F.greatest(before, to_bb(a["pot_after"], bb, CAP_POT)), seed(a, "pot_after")).alias("after"),
         )
+        return let(c("pot_before", CAP_POT), row)
 
-    df = df.withColumn("__a", F.transform(F.coalesce(h("actions"), F.array()), money))
-    df = df.withColumn("__a", F.transform("__a", lambda a: a.withField("kind", _resolved(a["direct"], a["amount"], a["raise_to"], a["call_to"], a["before"], a["after"]))))
+    named = lambda a: a.withField("kind", _resolved(a["direct"], a["amount"], a["raise_to"], a["call_to"], a["before"], a["after"]))
     empty = lambda a: (a["direct"] == "") & (a["amount"] <= 0) & (a["raise_to"] <= 0) & (a["call_to"] <= 0) & (a["after"] <= a["before"])
-    df = df.withColumn("__a", F.filter("__a", lambda a: ~a["kind"].isin("small_blind", "big_blind", "ante") & ~empty(a)))
     shown = lambda a: F.struct(
         F.lit("").alias("action_id"), a["street"].alias("street"), a["seat"].alias("actor_seat"), a["kind"].alias("action_type"), from_bb(a["amount"]).alias("amount"),
         F.when(a["raise_to"] > 0, from_bb(a["raise_to"])).alias("raise_to"), F.when(a["call_to"] > 0, from_bb(a["call_to"])).alias("call_to"),
         a["amount"].alias("normalized_amount_bb"), from_bb(a["before"]).alias("pot_before"), from_bb(a["after"]).alias("pot_after"),
     )
-    df = df.withColumn("__a", F.transform("__a", shown))
-    df = df.withColumn("__a", collapse(F.col("__a")))
-    streets = F.transform(F.col("__a"), lambda a: a["street"])
-    pick = F.concat_ws("|", _text(h("metadata.hero_seat")), _text(h("metadata.max_seats")), _text(F.get(streets, 0)), F.size("__a").cast("string"))
-    df = df.withColumn("__i", visible_places(streets, pick))
-    df = df.withColumn("__a", F.transform("__i", lambda i, k: F.get(F.col("__a"), i).withField("action_id", (k + 1).cast("string"))))
-    alias = lambda p: _alias(F.col("__order"), seat_or_zero(p["seat"], F.col("__most")))
-    seats = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(h("players"), F.array()), alias), lambda s: s > 0)))
-    stack = lambda s: F.element_at(F.filter(h("players"), lambda p: alias(p) == s), -1)["starting_stack"]  # noqa: E731  the last of a seat counts
-    players = F.transform(seats, lambda s: F.struct(F.concat(F.lit("seat_"), s.cast("string")).alias("player_uid"), s.alias("seat"), from_bb(to_bb(stack(s), bb, CAP_STACK)).alias("starting_stack"), F.lit(None).cast("array<string>").alias("hole_cards"), F.lit(False).alias("showed_hand")))
-    hero = F.coalesce(_alias(F.col("__order"), seat_or_zero(h("metadata.hero_seat"), F.col("__most"))), F.lit(0))
+
+    def sampled(rows: Column) -> Column:
+        pick = F.concat_ws("|", _text(h("metadata.hero_seat")), _text(h("metadata.max_seats")), _text(F.get(rows, 0)["street"]), F.size(rows).cast("string"))
+        places = visible_places(F.transform(rows, lambda a: a["street"]), pick)
+        return F.transform(places, lambda i, k: F.get(rows, i).withField("action_id", (k + 1).cast("string")))
+
+    def actions(order: Column) -> Column:
+        rows = F.transform(F.transform(F.coalesce(h("actions"), F.array()), lambda a: money(a, order)), named)
+        kept = F.filter(rows, lambda a: ~a["kind"].isin("small_blind", "big_blind", "ante") & ~empty(a))
+        return let(collapse(F.transform(kept, shown)), sampled)
+
+    def players(order: Column) -> Column:
+        alias = lambda p: _alias(order, seat_or_zero(p["seat"], most))
+        seats = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(h("players"), F.array()), alias), lambda s: s > 0)))
+        stack = lambda s: F.element_at(F.filter(h("players"), lambda p: alias(p) == s), -1)["starting_stack"]  # noqa: E731  the last of a seat counts
+        return F.transform(seats, lambda s: F.struct(F.concat(F.lit("seat_"), s.cast("string")).alias("player_uid"), s.alias("seat"), from_bb(to_bb(stack(s), bb, CAP_STACK)).alias("starting_stack"), F.lit(None).cast("array<string>").alias("hole_cards"), F.lit(False).alias("showed_hand")))
+
+    hero = F.coalesce(let(order, lambda o: _alias(o, seat_or_zero(h("metadata.hero_seat"), most))), F.lit(0))
     meta = F.struct(
-        _text(h("metadata.game_type")).alias("game_type"), _text(h("metadata.limit_type")).alias("limit_type"), F.greatest(F.lit(2), F.size("__order")).alias("max_seats"), hero.alias("hero_seat"),
+        _text(h("metadata.game_type")).alias("game_type"), _text(h("metadata.limit_type")).alias("limit_type"), F.greatest(F.lit(2), F.size(order)).alias("max_seats"), hero.alias("hero_seat"),
         _text(h("metadata.hand_ended_on_street")).alias("hand_ended_on_street"), F.lit(0).alias("button_seat"), F.lit(SB).alias("sb"), F.lit(BB).alias("bb"), F.lit(0.0).alias("ante"), F.lit(None).cast("string").alias("rng_seed_commitment"),
     )
     boards = F.transform(F.coalesce(h("streets"), F.array()), lambda s: F.struct(_text(s["street"]).alias("street"), F.array().cast("array<string>").alias("board_cards")))
     outcome = F.struct(F.array().cast("array<string>").alias("winners"), F.create_map().cast("map<string,double>").alias("payouts"), F.lit(0.0).alias("total_pot"), F.lit(0.0).alias("rake"), F.lit("").alias("result_reason"), F.lit(False).alias("showdown"))
-    view = F.struct(F.lit(None).cast("string").alias("hand_id"), meta.alias("metadata"), players.alias("players"), boards.alias("streets"), F.col("__a").alias("actions"), outcome.alias("outcome"))
-    return df.withColumn(column, view).drop("__most", "__bb", "__order", "__a", "__i")
+    view = F.struct(F.lit(None).cast("string").alias("hand_id"), meta.alias("metadata"), let(order, players).alias("players"), boards.alias("streets"), let(order, actions).alias("actions"), outcome.alias("outcome"))
+    return hands.withColumn(column, view)
 
 
 def chunk_signature(hand: DataFrame, act: DataFrame) -> DataFrame:
