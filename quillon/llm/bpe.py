@@ -26,7 +26,7 @@ from quillon.llm.batches import map_texts
 #: A cut where the low bits of the hash of this many characters are zero: chunks of about 2**BITS characters.
 ROLL, BITS = 12, 8
 #: Characters of keys that a task keeps for reuse, for words and for chunks.
-CACHE_CHARS = 16_000_000
+CACHE_CHARS = 8_000_000
 #: New words that are encoded in one call.
 GROUP = 2_000
 _SAFE = re.compile("[ \n]+")
