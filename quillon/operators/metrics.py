@@ -142,3 +142,31 @@ def day_bootstrap(days: DataFrame, day: str, fp: str, n: str, draws: int = 300,
     pick = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("days")), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), i), F.size("days")).cast("int") + 1))
     drawn = each.select("draw", F.explode(F.transform(pick, lambda i: F.element_at("days", i))).alias("x"))
     return drawn.groupBy("draw").agg(_safe(F.sum("x.f"), F.sum("x.n"), 0.0).alias("fpr")).agg(F.percentile("fpr", F.lit(q)).alias("fpr_upper"))
+
+
+def window_objective(df: DataFrame, fractions: list[float], windows: int = 66, size: int = 40, score: str = "score", label: str = "label", seed: int = 0) -> DataFrame:
+    """fraction, objective: mean reward_v2 of random windows less three times the share of windows with reward 0.
+
+    A window holds round(size x fraction) positives and the rest negatives,
+    drawn by hashes of seed, fraction and window: the smallest hash of each
+    place's draw. Rows are numbered once in each class; a window looks up its
+    places, so no row is copied for windows that don't use it.
+    """
+    spark = df.sparkSession
+    order = Window.partitionBy(label, "__part").orderBy(F.xxhash64(F.lit(seed), score, F.monotonically_increasing_id()))
+    parts = df.select(score, label).withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), score), F.lit(64)))
+    sizes = {(r[label], r["__part"]): r["count"] for r in parts.groupBy(label, "__part").count().collect()}  # two classes of 64 parts
+    totals = {c: sum(n for (k, _), n in sizes.items() if k == c) for c in (0, 1)}
+    base, run = {}, {0: 0, 1: 0}
+    for c, p in sorted(sizes):
+        base[(c, p)] = run[c]
+        run[c] += sizes[(c, p)]
+    offsets = spark.createDataFrame([(c, p, b) for (c, p), b in base.items()] or [(0, 0, 0)], f"{label} int, __part bigint, __base bigint")
+    numbered = parts.withColumn("__i", F.row_number().over(order) - 1).join(F.broadcast(offsets), [label, "__part"]).withColumn("__place", F.col("__base") + F.col("__i"))
+    asks = [(f, w, i, int(i < round(size * f))) for f in fractions for w in range(windows) for i in range(size)]
+    drawn = spark.createDataFrame(asks, f"fraction double, w int, ord int, {label} int")
+    total = F.when(F.col(label) == 1, F.lit(totals[1])).otherwise(F.lit(totals[0]))
+    drawn = drawn.where(total > 0).withColumn("__place", F.pmod(F.xxhash64(F.lit(seed), "fraction", "w", "ord"), total))
+    rows = numbered.join(drawn, [label, "__place"]).select("fraction", "w", "ord", score, label)
+    r = rewards(rows.withColumnsRenamed({score: "score", label: "label"}), ["fraction", "w"], "ord")
+    return r.groupBy("fraction").agg((F.avg("reward_v2") - 3.0 * F.avg((F.col("reward_v2") == 0).cast("int"))).alias("objective"))

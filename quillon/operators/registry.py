@@ -63,6 +63,13 @@ def compliance(manifests: DataFrame, uid: str, at: str) -> DataFrame:
     return out.withColumn("status_changed", F.coalesce(F.lag("status").over(Window.partitionBy(uid).orderBy(at)) != F.col("status"), F.lit(True)))
 
 
+def normalise_manifest(manifest: Column) -> Column:
+    """A map of texts without null or blank values, trimmed; yes, no and the like as true and false."""
+    plain = F.transform_values(manifest, lambda _, v: F.trim(v))
+    word = lambda v: F.when(F.lower(v).isin("true", "yes", "1"), "true").when(F.lower(v).isin("false", "no", "0"), "false").otherwise(v)
+    return F.transform_values(F.map_filter(plain, lambda _, v: v.isNotNull() & (v != "")), lambda _, v: word(v))
+
+
 def changes(rows: DataFrame, key: str, at: str, digest: str) -> DataFrame:
     """Only rows whose digest differs from that of the key's row before; the first is a change."""
     before = F.lag(digest).over(Window.partitionBy(key).orderBy(at))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import drift, metrics
+
 EPS = 1e-6
 
 
@@ -74,6 +76,41 @@ class Stack:
         return out.drop("features", *[f"__{c}" for c in self.columns])
 
 
+    def save(self, path: str) -> None:
+        """Every fitted part under a folder, and what they are in a JSON table."""
+        self.prepared.write().overwrite().save(f"{path}/prepared")
+        for name, m in self.models.items():
+            m.write().overwrite().save(f"{path}/{name}")
+        if self.kind == "logistic":
+            self.meta.write().overwrite().save(f"{path}/meta")
+        SparkSession.active().createDataFrame([(self.columns, list(self.names), self.kind, self.k, self.seed)], "columns array<string>, names array<string>, meta string, k int, seed int").write.mode("overwrite").json(f"{path}/config")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Stack:
+        c = spark.read.schema("columns array<string>, names array<string>, meta string, k int, seed int").json(f"{path}/config").head()
+        out = cls(c["columns"], tuple(c["names"]), c["meta"], c["k"], c["seed"])
+        kinds = {"gbt": GBTClassificationModel, "forest": RandomForestClassificationModel, "linear": LogisticRegressionModel}
+        out.prepared = PipelineModel.load(f"{path}/prepared")
+        out.models = {n: kinds[n].load(f"{path}/{n}") for n in out.names}
+        if out.kind == "logistic":
+            out.meta = LogisticRegressionModel.load(f"{path}/meta")
+        return out
+
+
+def search(train: DataFrame, test: DataFrame, columns: list[str], key: str, day: str, ks_limits: list[float], names: tuple[str, ...] = ("forest", "linear"), meta: str = "logistic") -> list[tuple[float, int, float]]:
+    """(ks limit, columns kept, sel_score) of each limit, best first: features under the limit, a stack on train, daily rewards on test."""
+    found = []
+    screened = drift.screen(train, columns).persist()
+    for limit in ks_limits:
+        kept = drift.select_features(columns, screened, ks_max=limit)
+        if kept:
+            scored = Stack(kept, names, meta).fit(train, key).transform(test)
+            sel = metrics.stability(metrics.rewards(scored, [day], key)).head()["sel_score"]
+            found.append((limit, len(kept), sel if sel is not None else float("-inf")))
+    screened.unpersist()
+    return sorted(found, key=lambda x: -x[2])
+
+
 def importances(stack: Stack, name: str = "gbt", k: int = 20) -> list[str]:
     """The k most important columns of a tree learner."""
     weights = stack.models[name].featureImportances.toArray()

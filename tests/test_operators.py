@@ -220,3 +220,41 @@ def test_stack(spark):
     out = Stack(["a", "b"], names=("forest", "linear"), k=3).fit(train, "id").transform(test)
     assert metrics.average_precision(out.withColumn("g", F.lit(1)), ["g"]).head()["ap"] > 0.95
     assert pseudo_labels(out).count() > 0
+
+
+def test_stack_saves_and_searches(spark, tmp_path):
+    from quillon.plans.model import Stack, importances, search
+
+    rows = [(i, float(i % 17), float(i * 7 % 13), int(i % 17 > 8), f"d{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int, day string")
+    s = Stack(["a", "b"], names=("forest",), meta="mean").fit(df, "id")
+    s.save(str(tmp_path / "m"))
+    again = Stack.load(spark, str(tmp_path / "m"))
+    a, b = (x.transform(df).select("id", "score").orderBy("id").collect() for x in (s, again))
+    assert a == b and importances(s, "forest", 1) == ["a"]
+    best = search(df, df, ["a", "b"], "id", "day", [0.5, 1.1], names=("forest",), meta="mean")
+    assert best[0][:2] == (1.1, 2)
+
+
+def test_state_tables(spark, tmp_path):
+    from quillon.sources import state
+
+    assert state.read_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+    df = spark.createDataFrame([("x", 0.5, 1)], "feature string, auc double, ks int")
+    state.write_csv(df, str(tmp_path / "c"))
+    assert state.read_csv(spark, str(tmp_path / "c"), "feature string, auc double, ks int").collect() == df.collect()
+    state.write_summary(df, str(tmp_path / "s"))
+    assert next((tmp_path / "s").glob("part*")).read_text().startswith('{"auc"')
+    nested = spark.sql("select struct(1 as a, true as b, array('x','y') as c) as m, 2.5D as d")
+    assert nested.select(*state.flatten_metrics(nested.schema)).head().asDict() == {"m/a": 1, "m/b": 1, "m/c_count": 2, "d": 2.5}
+    b = spark.createDataFrame([(0, [("h1",), ("h2",)], True, None), (1, [], False, None), (2, [("h3",)], None, ["r1"]), (3, None, False, None)], "pos int, hands array<struct<hand_id:string>>, is_bot boolean, ref_ids array<string>")
+    kept, ids = state.cycle_batches(b)
+    assert {r["pos"]: r["is_human"] for r in kept.collect()} == {0: False, 2: True} and sorted(r[0] for r in ids.collect()) == ["h1", "h2", "r1"]
+
+
+def test_manifest_and_window_objective(spark):
+    m = spark.createDataFrame([({"a": " Yes ", "b": None, "c": "  ", "d": "x"},)], "m map<string,string>").select(registry.normalise_manifest(F.col("m")).alias("m")).head()["m"]
+    assert m == {"a": "true", "d": "x"}
+    df = spark.createDataFrame([(0.1 + (i % 10) / 100 + 0.7 * (i % 2), i % 2) for i in range(200)], "score double, label int")
+    got = {r["fraction"]: r["objective"] for r in metrics.window_objective(df, [0.2, 0.5], windows=5).collect()}
+    assert got == pytest.approx({0.2: 1.0, 0.5: 1.0})
