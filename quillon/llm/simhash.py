@@ -43,6 +43,13 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, from the lowest; short sums stay in bytes."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    return bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+
+
 def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     """SimHash of 64 x words bits: a bit is set if it is in over half of the hashes; all zero if the text has no word.
 
@@ -53,7 +60,7 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     for at in range(0, len(hashes), 1 << 15):  # bounded memory for any length
         h = hashes[at : at + (1 << 15)]
         for w in range(words):
-            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            ones[w] += _bit_counts(h)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
@@ -120,7 +127,7 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
     masks = [(home, np.uint64(inside))] + [(home, np.uint64(sum(1 << i for i in rest[k : k + 8]))) for k in range(0, len(rest), 8)]
     for w in range(fp.shape[1]):
         if w != home:
-            masks += [(w, np.uint64(0xFFFF << k)) for k in (48, 32, 16, 0)]
+            masks += [(w, np.uint64(0xFF << k)) for k in range(56, -1, -8)]
     # Gray rank within each mask, highest level first: neighbours in the order differ in few bits, nodes are runs.
     order = np.lexsort([gray_rank(fp[:, w] & m) for w, m in reversed(masks)])
     leaves, sets = fp[order], _Sets(len(fp))
@@ -133,15 +140,11 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
     roots = np.arange(len(starts[0]))
     big = roots[leaf_end[0] - starts[0] > 1]
     stack = [(0, big[k : k + FRONTIER], big[k : k + FRONTIER], np.zeros(len(big[k : k + FRONTIER]), np.int64)) for k in range(0, len(big), FRONTIER)]
+    single = [e - f == 1 for f, e in zip(starts, leaf_end, strict=True)]
     while stack:
         level, a, b, seen = stack.pop()
-        if level == n_levels - 1:  # leaves: distinct fingerprints
-            hit = a != b
-            sets.link(starts[level][a[hit]], starts[level][b[hit]])
-            continue
-        la, lb = sets.label[starts[level][a]], sets.label[starts[level][b]]
         one = _uniform(sets.label, starts[level], leaf_end[level])
-        live = ~(one[a] & one[b] & (la == lb))
+        live = ~(one[a] & one[b] & (sets.label[starts[level][a]] == sets.label[starts[level][b]]))
         a, b, seen = a[live], b[live], seen[live]
         if not len(a):
             continue
@@ -159,8 +162,19 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
         pair, ca, cb = pair[keep], ca[keep], cb[keep]
         w, m = masks[level + 1]
         diff = seen[pair] + np.bitwise_count((leaves[starts[level + 1][ca], w] ^ leaves[starts[level + 1][cb], w]) & m)
-        keep = (diff <= bits) & ((ca != cb) | (leaf_end[level + 1][ca] - starts[level + 1][ca] > 1))
+        alone = single[level + 1]
+        keep = (diff <= bits) & ((ca != cb) | ~alone[ca])
         ca, cb, diff = ca[keep], cb[keep], diff[keep]
+        lone = alone[ca] & alone[cb]  # two fingerprints are left: compared at once, unless known as linked
+        x, y = starts[level + 1][ca[lone]], starts[level + 1][cb[lone]]
+        apart = sets.label[x] != sets.label[y]
+        x, y = x[apart], y[apart]
+        far = np.zeros(len(x), np.int64)
+        for j in range(leaves.shape[1]):
+            far += np.bitwise_count(leaves[x, j] ^ leaves[y, j])
+        hit = far <= bits
+        sets.link(x[hit], y[hit])
+        ca, cb, diff = ca[~lone], cb[~lone], diff[~lone]
         near = np.argsort(-diff, kind="stable")  # the stack takes the nearest last in, so first out
         for at in range(0, len(ca), FRONTIER):
             own = near[at : at + FRONTIER]
@@ -279,7 +293,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     def link(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep")
         fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
-        band = (group[0] // each, ((1 << band_bits) - 1) << (group[0] % each * band_bits))
+        word, place = divmod(int(group[0]), each)  # a Python int: a shifted 32-bit one overflows
+        band = (word, ((1 << band_bits) - 1) << (place * band_bits))
         return _star(link_leaves(fp, band, bits), part["rep"].to_numpy())
 
     dealt = nodes.select("fp", "rep").mapInPandas(deal, "band int, bucket int, fp binary, rep long")
