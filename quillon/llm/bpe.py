@@ -25,8 +25,8 @@ from quillon.llm.batches import map_texts
 
 #: A cut where the low bits of the hash of this many characters are zero: chunks of about 2**BITS characters.
 ROLL, BITS = 12, 8
-#: Characters of keys that a task keeps for reuse, for words and for chunks.
-CACHE_CHARS = 8_000_000
+#: Characters of keys that a worker keeps for reuse, for words and for chunks, in two generations each.
+CACHE_CHARS = 5_000_000
 #: New words that are encoded in one call.
 GROUP = 2_000
 _SAFE = re.compile("[ \n]+")
@@ -61,6 +61,7 @@ class ChunkCoder:
         self.digits = [str(i) for i in range(size)]
         self.words: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.old_words, self.old_chunks = self.words, self.chunks
         self.word_chars = self.chunk_chars = 0
 
     def _put(self, word: str, ids: list[int]) -> None:
@@ -71,9 +72,16 @@ class ChunkCoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode strings that are new, many in one call: an added token, which ends whatever it stands beside, parts them."""
-        if self.word_chars > CACHE_CHARS:
-            self.words, self.word_chars = {}, 0
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if self.word_chars > CACHE_CHARS // 2:  # what is still in use comes over from the old generation
+            self.old_words, self.words, self.word_chars = self.words, {}, 0
+        new = []
+        for w in dict.fromkeys(words):
+            if w not in self.words:
+                if w in self.old_words:
+                    self.words[w] = self.old_words[w]
+                    self.word_chars += len(w)
+                else:
+                    new.append(w)
         plain = [w for w in new if self.separator and self.separator not in w]
         for at in range(0, len(plain), GROUP):
             group = plain[at : at + GROUP]
@@ -109,8 +117,8 @@ class ChunkCoder:
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         plans, new = [], []
-        if self.chunk_chars > CACHE_CHARS:
-            self.chunks, self.chunk_chars = {}, 0
+        if self.chunk_chars > CACHE_CHARS // 2:
+            self.old_chunks, self.chunks, self.chunk_chars = self.chunks, {}, 0
         fresh: dict[str, list[str]] = {}
         for text in texts:
             plan = [(inside, s) for inside, s in self.pieces(text) if s]
@@ -118,6 +126,9 @@ class ChunkCoder:
             for inside, s in plan:
                 if not inside:
                     new.append(s)
+                elif s in self.old_chunks and s not in self.chunks:
+                    self.chunks[s] = self.old_chunks[s]
+                    self.chunk_chars += len(s)
                 elif s not in self.chunks and s not in fresh:
                     fresh[s] = [w for w in _SAFE.split(s) if w]
                     new += fresh[s]
