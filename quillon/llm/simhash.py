@@ -190,10 +190,11 @@ def _uniform(label: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return change[ends - 1] == change[starts]
 
 
-def bands(bits: int = 2) -> list[int]:
-    """bits+1 masks that part the 64 bits into runs of nearly equal length."""
-    edges = [round(64 * i / (bits + 1)) for i in range(bits + 2)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+def bands(bits: int = 2, within: int = (1 << 64) - 1) -> list[int]:
+    """bits+1 masks that part the bits of `within` into runs of nearly equal length."""
+    own = [i for i in range(64) if within >> i & 1]
+    edges = [round(len(own) * i / (bits + 1)) for i in range(bits + 2)]
+    return [sum(1 << i for i in own[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _star(root: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
@@ -205,8 +206,14 @@ def _star(root: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"src": rep[own], "dst": dst[own]})
 
 
-#: Distinct fingerprints that one bucket should hold.
-BUCKET_ROWS = 20_000
+#: Distinct fingerprints that one bucket should hold; those that share a band's value from which it is parted further.
+BUCKET_ROWS, HOT_ROWS = 20_000, 50_000
+
+
+def _hot(dealt: DataFrame) -> DataFrame | None:
+    """(band, value) that over HOT_ROWS fingerprints share, if any."""
+    found = checkpointed(dealt.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("band", "value"))
+    return None if found.isEmpty() else found
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
@@ -215,19 +222,27 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     fps: fp long (distinct), rep long. src and dst are reps; dst is the smaller
     end. The count of buckets follows the count of fingerprints.
     """
-    n = fps.count()
-    per_band = max(64, n // BUCKET_ROWS)
+    buckets = max(64, fps.count() // BUCKET_ROWS)
     masks = bands(bits)
+    finer = {i: bands(bits, ((1 << 64) - 1) & ~m) for i, m in enumerate(masks)}
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         fp, rep = part["fp"].to_numpy().view(np.uint64), part["rep"].to_numpy()
         order = np.argsort(rep, kind="stable")
         fp, rep = fp[order], rep[order]
-        return _star(link_leaves(fp[:, None], (0, masks[key[0]]), bits), rep)
+        band, sub = int(key[0]), int(key[1])
+        mask = masks[band] | (finer[band][sub] if sub >= 0 else 0)
+        return _star(link_leaves(fp[:, None], (0, mask), bits), rep)
 
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    banded = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.pmod(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))), F.lit(per_band)).alias("bucket")) for i, m in enumerate(signed)])).alias("t"))
-    return banded.select("t.band", "t.bucket", "fp", "rep").groupBy("band", "bucket").applyInPandas(run, "src long, dst long")
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(signed(m)).alias("value")) for i, m in enumerate(masks)])
+    dealt = fps.select("fp", "rep", F.explode(keys).alias("t")).select("t.band", F.lit(-1).alias("sub"), "t.value", "fp", "rep")
+    if (hot := _hot(dealt)) is not None:
+        # of a value that very many share the other bits are banded again: a pair within the limit agrees in one of those bands too
+        subs = F.array(*[F.struct(F.lit(i).alias("b"), F.lit(j).alias("sub"), F.col("fp").bitwiseAND(signed(masks[i] | m)).alias("value")) for i in finer for j, m in enumerate(finer[i])])
+        inner = dealt.join(hot, ["band", "value"], "left_semi").select("band", "fp", "rep", F.explode(subs).alias("t")).where("t.b = band")
+        dealt = dealt.join(hot, ["band", "value"], "left_anti").select("band", "sub", "value", "fp", "rep").unionByName(inner.select("band", "t.sub", "t.value", "fp", "rep"))
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("band", "sub", "value"), F.lit(buckets))).groupBy("band", "sub", "bucket").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
@@ -282,23 +297,44 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     prints = checkpointed(map_texts(keyed, [key], text, run, "fp binary"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
     buckets = max(8, nodes.count() // BUCKET_ROWS)
+    n_bands = words * each
+    value_of = lambda fp, band: (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
-            for band in range(words * each):
-                value = (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
-                yield pd.DataFrame({"band": band, "bucket": (value % np.uint64(buckets)).astype(np.int32), "fp": part["fp"], "rep": part["rep"]})
+            for band in range(n_bands):
+                yield pd.DataFrame({"band": band, "sub": -1, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"]})
+
+    def deal_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+            for sub in range(n_bands):
+                own = part["band"].to_numpy() != sub
+                value = (part["value"].to_numpy() << band_bits) + value_of(fp, sub).astype(np.int64)
+                yield pd.DataFrame({"band": part["band"], "sub": sub, "value": value, "fp": part["fp"], "rep": part["rep"]})[own]
 
     def link(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep")
         fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
         word, place = divmod(int(group[0]), each)  # a Python int: a shifted 32-bit one overflows
-        band = (word, ((1 << band_bits) - 1) << (place * band_bits))
-        return _star(link_leaves(fp, band, bits), part["rep"].to_numpy())
-
-    dealt = nodes.select("fp", "rep").mapInPandas(deal, "band int, bucket int, fp binary, rep long")
-    edges = checkpointed(dealt.groupBy("band", "bucket").applyInPandas(link, "src long, dst long").distinct())
+        mask = ((1 << band_bits) - 1) << (place * band_bits)
+        if int(group[1]) >= 0:  # rows of a bucket that agree in the second band as well are neighbours below the first
+            rows, rep = [], part["rep"].to_numpy()
+            second = value_of(fp, int(group[1]))
+            for v in np.unique(second):
+                own = second == v
+                rows.append(_star(link_leaves(fp[own], (word, mask), bits), rep[own]))
+            return pd.concat(rows)
+        return _star(link_leaves(fp, (word, mask), bits), part["rep"].to_numpy())
+
+    schema = "band int, sub int, value long, fp binary, rep long"
+    dealt = nodes.select("fp", "rep").mapInPandas(deal, schema)
+    if (hot := _hot(dealt)) is not None:  # a value that very many share is indexed by the other bands in turn
+        inner = dealt.join(hot, ["band", "value"], "left_semi").select("band", "sub", "value", "fp", "rep").mapInPandas(deal_again, schema)
+        dealt = dealt.join(hot, ["band", "value"], "left_anti").select("band", "sub", "value", "fp", "rep").unionByName(inner)
+    bucket = F.pmod(F.xxhash64("band", "sub", "value"), F.lit(buckets))
+    edges = checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(link, "src long, dst long").distinct())
     labels = min_labels(edges)
     named = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     return prints.join(named, "fp").select(key, "component_id").distinct()

@@ -78,7 +78,10 @@ def test_gray_rank_orders_neighbours():
     assert all(bin(int(a) ^ int(b)).count("1") == 1 for a, b in zip(order, order[1:], strict=False))
 
 
-def test_near_duplicates_by_brute_force(spark):
+@pytest.mark.parametrize("hot", [None, 3])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)  # shared values are parted further
     rng = random.Random(2)
     texts = [" ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(400)) for _ in range(25)]
     texts += [t + " tail" for t in texts[:15]] + texts[:5] + ["", None]
@@ -101,7 +104,10 @@ def test_simhash_rows(spark, odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0 and simhash.keep_one(odd.where("false")).count() == 0
 
 
-def test_near_copies_find_edits_and_spare_others(spark):
+@pytest.mark.parametrize("hot", [None, 1])
+def test_near_copies_find_edits_and_spare_others(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [[word() for _ in range(300)] for _ in range(40)]
