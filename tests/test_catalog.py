@@ -54,3 +54,12 @@ def test_feature_names_and_counts():
 def test_perhand_and_hero_counts(spark, sf):
     assert len(catalog.QUERIES["features_perhand"](spark, sf).columns) == 294
     assert len(catalog.QUERIES["features_hero"](spark, sf).columns) == 177
+
+
+@pytest.mark.parametrize(("name", "columns"), [("ema_scores", {"user_id", "ts", "value"}), ("served_registry", {"user_id", "ts", "event_type"}), ("audit_evidence", {"o_custkey", "o_totalprice"})])
+def test_scans_read_only_what_is_used(spark, sf, name, columns):
+    import re
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    read = {c.split(":")[0] for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in s.split(",")}
+    assert read == columns and "CartesianProduct" not in plan
