@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Characters of text that one call of a batch function gets, unless a single text is longer.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 
 def slices(texts: list, most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
