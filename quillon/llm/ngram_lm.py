@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillon.llm import packed
 
@@ -113,7 +114,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     Repeated rows count, and score, each for itself.
     """
     plan = packed.size_up(docs, text, hashes_per_char=0.16 * order)
-    blocks = packed.in_blocks(docs, key, text, plan)
+    # keys travel as text: pandas would turn whole numbers beside a null into floats
+    blocks = packed.in_blocks(docs.select(F.col(key).cast("string"), text), key, text, plan)
     replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order)))
     kind = docs.schema[key].dataType.simpleString()
 
@@ -125,8 +127,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         rows["per_word"] = [s / n if n else None for s, n in zip(rows["log10_score"], rows["n_words"], strict=True)]
         return rows
 
-    schema = f"`{key}` {kind}, n_words long, n_backoff long, log10_score double, per_word double"
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
+    schema = f"`{key}` string, n_words long, n_backoff long, log10_score double, per_word double"
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
 
 
 def oracle_sql(least: int = LEAST) -> str:

@@ -288,6 +288,8 @@ def test_lm_rows(spark, odd):
     rows = {r["doc_id"]: r for r in ngram_lm.score(odd).collect()}
     assert rows[1]["n_words"] == 0 and rows[1]["per_word"] is None and rows[6]["n_words"] == 20000
     assert ngram_lm.score(odd.where("false")).count() == 0
+    large = spark.createDataFrame([(2**60 + i if i else None, "a b") for i in range(5)], "doc_id long, text string")
+    assert {r["doc_id"] for r in ngram_lm.score(large).collect()} == {None, *(2**60 + i for i in range(1, 5))}
 
 
 def test_lm_of_higher_order_by_brute_force(spark):
