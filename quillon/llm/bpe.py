@@ -59,6 +59,8 @@ class ChunkCoder:
         size = self.tokenizer.get_vocab_size()
         self.names = [self.tokenizer.id_to_token(i) for i in range(size)] if self.tokenizer.decoder is None else None
         self.digits = [str(i) for i in range(size)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
         self.words: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
         self.old_words, self.old_chunks = self.words, self.chunks
@@ -71,7 +73,12 @@ class ChunkCoder:
         self.word_chars += len(word)
 
     def learn(self, words: list[str]) -> None:
-        """Encode strings that are new, many in one call: an added token, which ends whatever it stands beside, parts them."""
+        """Encode strings that are new, many in one call.
+
+        Where the vocabulary marks ends of words, strings of letters, which are
+        one word each, are told apart by the marks; the rest by an added token
+        between them, which ends whatever it stands beside.
+        """
         if self.word_chars > CACHE_CHARS // 2:  # what is still in use comes over from the old generation
             self.old_words, self.words, self.word_chars = self.words, {}, 0
         new = []
@@ -82,6 +89,18 @@ class ChunkCoder:
                     self.word_chars += len(w)
                 else:
                     new.append(w)
+        if self.last is not None:
+            letters = [w for w in new if w.isalpha() and w.lower().isalpha()]
+            for at in range(0, len(letters), GROUP):
+                group = letters[at : at + GROUP]
+                ids = self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group) and (not ids or ends[-1] == len(ids)):
+                    start = 0
+                    for w, end in zip(group, ends.tolist(), strict=True):
+                        self._put(w, ids[start:end])
+                        start = end
+            new = [w for w in new if w not in self.words]
         plain = [w for w in new if self.separator and self.separator not in w]
         for at in range(0, len(plain), GROUP):
             group = plain[at : at + GROUP]
