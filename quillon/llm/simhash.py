@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_texts
 from quillon.llm.components import min_labels
-from quillon.session import checkpointed
+from quillon.session import checkpointed, materialised
 
 SEED = 42
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -55,7 +55,10 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
 
     The second and further words come from the same hashes, mixed anew.
     """
-    hashes = shingle_hashes(text, width)
+    return _simhash(shingle_hashes(text, width), words)
+
+
+def _simhash(hashes: np.ndarray, words: int) -> np.ndarray:
     ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 15):  # bounded memory for any length
         h = hashes[at : at + (1 << 15)]
@@ -117,11 +120,23 @@ def _levels(leaves: np.ndarray, masks: list[tuple[int, np.uint64]]) -> list[np.n
 FRONTIER = 1 << 18
 
 
-def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
+def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int = 0) -> np.ndarray:
     """For distinct fingerprints (a row of words each): index of a member of each one's component, over links in which `band` agrees.
 
-    band: a word's index and a mask of its bits. A link differs in `bits` bits at most.
+    band: a word's index and a mask of its bits. A link differs in `bits` bits at
+    most; the last `tail` words tell fingerprints apart but differ at no cost.
     """
+    return _walk(fp, band, bits, tail, None)[0]
+
+
+def pairs_between(fp: np.ndarray, band: tuple[int, int], bits: int, family: np.ndarray, tail: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of two families that `link_leaves` would link by themselves."""
+    return _walk(fp, band, bits, tail, family)[1]
+
+
+def _walk(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int, family: np.ndarray | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Links join components as they are found; with families these are the components, and links are listed."""
+    n_words = fp.shape[1] - tail
     home, inside = band
     rest = [i for i in range(63, -1, -1) if not inside >> i & 1]
     masks = [(home, np.uint64(inside))] + [(home, np.uint64(sum(1 << i for i in rest[k : k + 8]))) for k in range(0, len(rest), 8)]
@@ -131,6 +146,10 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
     # Gray rank within each mask, highest level first: neighbours in the order differ in few bits, nodes are runs.
     order = np.lexsort([gray_rank(fp[:, w] & m) for w, m in reversed(masks)])
     leaves, sets = fp[order], _Sets(len(fp))
+    if family is not None:
+        _, at, group = np.unique(family[order], return_index=True, return_inverse=True)
+        sets.label = at[group]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = _levels(leaves, masks)
     n_levels = len(masks)
     first = [np.searchsorted(starts[i + 1], starts[i]) for i in range(n_levels - 1)]
@@ -161,7 +180,7 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
         keep = (a[pair] != b[pair]) | (ca <= cb)
         pair, ca, cb = pair[keep], ca[keep], cb[keep]
         w, m = masks[level + 1]
-        diff = seen[pair] + np.bitwise_count((leaves[starts[level + 1][ca], w] ^ leaves[starts[level + 1][cb], w]) & m)
+        diff = seen[pair] + (w < n_words) * np.bitwise_count((leaves[starts[level + 1][ca], w] ^ leaves[starts[level + 1][cb], w]) & m)
         alone = single[level + 1]
         keep = (diff <= bits) & ((ca != cb) | ~alone[ca])
         ca, cb, diff = ca[keep], cb[keep], diff[keep]
@@ -170,10 +189,14 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
         apart = sets.label[x] != sets.label[y]
         x, y = x[apart], y[apart]
         far = np.zeros(len(x), np.int64)
-        for j in range(leaves.shape[1]):
+        for j in range(n_words):
             far += np.bitwise_count(leaves[x, j] ^ leaves[y, j])
         hit = far <= bits
-        sets.link(x[hit], y[hit])
+        if family is None:
+            sets.link(x[hit], y[hit])
+        else:
+            left.append(order[x[hit]])
+            right.append(order[y[hit]])
         ca, cb, diff = ca[~lone], cb[~lone], diff[~lone]
         near = np.argsort(-diff, kind="stable")  # the stack takes the nearest last in, so first out
         for at in range(0, len(ca), FRONTIER):
@@ -181,7 +204,7 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int) -> np.ndarray:
             stack.append((level + 1, ca[own], cb[own], diff[own]))
     out = np.empty(len(fp), np.int64)
     out[order] = order[sets.label]
-    return out
+    return out, (np.concatenate(left), np.concatenate(right))
 
 
 def _uniform(label: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -262,8 +285,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits
     return prints.join(named, "fp", "left").select(key, hexed, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Share of near pairs at the similarity asked for that the wide index must find.
-RECALL = 0.97
+#: Share of near pairs at the similarity asked for that the bands of the wide index must find, and by how many deviations a pair's bits may exceed the mean.
+RECALL, SLACK = 0.97, 3.0
 
 
 def wide_index(n: int, similarity: float) -> tuple[int, int, int, int]:
@@ -271,71 +294,136 @@ def wide_index(n: int, similarity: float) -> tuple[int, int, int, int]:
 
     At resemblance J a bit differs with chance arccos(2J / (1 + J)) / pi. Bands
     are wide enough for buckets of about 64 at any n; words are added until a
-    pair at J agrees in one band with the chance RECALL.
+    pair at J agrees in one band with the chance RECALL. The limit in bits only
+    chooses what is compared: it lets 99.8 % of the pairs at J pass.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = max(8, math.ceil(math.log2(max(2, n))) - 6)
     each = 64 // width
     words = max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** width) / each))
-    return words, width, each, math.floor(64 * words * differ + math.sqrt(64 * words * differ * (1 - differ)))
+    return words, width, each, math.floor(64 * words * differ + SLACK * math.sqrt(64 * words * differ * (1 - differ)))
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """key, component_id: the smallest key reachable over links of estimated resemblance `similarity` or more.
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common elements of two sorted sets; two empty ones are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (src, dst) of which some texts (id, text) have a resemblance of shingle sets of `similarity` or more."""
 
-    Resemblance of two texts' sets of `width`-word shingles is estimated by the
-    differing bits of fingerprints of 256 bits or more, indexed like the short
-    ones with a band as the top node. Texts without a word are alike. Null keys
-    are not linked and not returned. Repeated rows give one row.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, text, own = None, None, None
+        for part in parts:
+            near = []
+            for dst, a, b in zip(part["dst"], part["a"], part["b"], strict=True):
+                if own is None or dst != hub or b != text:  # a hub's pairs come one after another
+                    hub, text, own = dst, b, shingle_set(b, width)
+                near.append(jaccard(shingle_set(a, width), own) >= similarity)
+            yield part.loc[near, ["src", "dst"]]
+
+    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("src", "a"), ("dst", "b")))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long").distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links with the same components: each src keeps its smallest dst, to which its other ones are linked."""
+    both = edges.select("src", "dst", F.min("dst").over(Window.partitionBy("src")).alias("least"))
+    return both.select("src", "least").union(both.select("dst", "least")).toDF("src", "dst").where("src <> dst").distinct()
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """key, component_id: the smallest key reachable over links of resemblance `similarity` or more.
+
+    Resemblance is that of two texts' sets of `width`-word shingles. Fingerprints
+    of the sets, of 256 bits or more, indexed like the short ones with a band as
+    the top node, only choose pairs; a link needs the exact resemblance. First
+    each bucket's candidates are compared with the smallest of them, which makes
+    families; then all candidates of two families with each other. Texts without
+    a word are alike. Null keys are not linked and not returned. Texts that share
+    a key are one document. Repeated rows give one row.
     """
     keyed = df.where(F.col(key).isNotNull())
     words, band_bits, each, bits = wide_index(keyed.count(), similarity)
 
     def run(texts: list) -> list[list]:
-        return [[fingerprint(t, width, words).tobytes() for t in texts]]
+        sets = [shingle_set(t, width) for t in texts]
+        return [[_simhash(s, words).tobytes() + xxhash.xxh64_digest(s.tobytes(), SEED) for s in sets]]  # the digest tells sets of one fingerprint apart
 
     prints = checkpointed(map_texts(keyed, [key], text, run, "fp binary"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
     buckets = max(8, nodes.count() // BUCKET_ROWS)
     n_bands = words * each
+    matrix = lambda fps: np.frombuffer(b"".join(fps), np.uint64).reshape(-1, words + 1)
     value_of = lambda fp, band: (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+            fp = matrix(part["fp"])
             for band in range(n_bands):
-                yield pd.DataFrame({"band": band, "sub": -1, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"]})
+                yield pd.DataFrame({"band": band, "sub": -1, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"], "family": part["family"]})
 
     def deal_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+            fp = matrix(part["fp"])
             for sub in range(n_bands):
                 own = part["band"].to_numpy() != sub
                 value = (part["value"].to_numpy() << band_bits) + value_of(fp, sub).astype(np.int64)
-                yield pd.DataFrame({"band": part["band"], "sub": sub, "value": value, "fp": part["fp"], "rep": part["rep"]})[own]
+                yield pd.DataFrame({"band": part["band"], "sub": sub, "value": value, "fp": part["fp"], "rep": part["rep"], "family": part["family"]})[own]
 
-    def link(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep")
-        fp = np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(-1, words)
+    def top(group: tuple) -> tuple[int, int]:
         word, place = divmod(int(group[0]), each)  # a Python int: a shifted 32-bit one overflows
-        mask = ((1 << band_bits) - 1) << (place * band_bits)
-        if int(group[1]) >= 0:  # rows of a bucket that agree in the second band as well are neighbours below the first
-            rows, rep = [], part["rep"].to_numpy()
-            second = value_of(fp, int(group[1]))
-            for v in np.unique(second):
-                own = second == v
-                rows.append(_star(link_leaves(fp[own], (word, mask), bits), rep[own]))
-            return pd.concat(rows)
-        return _star(link_leaves(fp, (word, mask), bits), part["rep"].to_numpy())
-
-    schema = "band int, sub int, value long, fp binary, rep long"
-    dealt = nodes.select("fp", "rep").mapInPandas(deal, schema)
-    if (hot := _hot(dealt)) is not None:  # a value that very many share is indexed by the other bands in turn
-        inner = dealt.join(hot, ["band", "value"], "left_semi").select("band", "sub", "value", "fp", "rep").mapInPandas(deal_again, schema)
-        dealt = dealt.join(hot, ["band", "value"], "left_anti").select("band", "sub", "value", "fp", "rep").unionByName(inner)
-    bucket = F.pmod(F.xxhash64("band", "sub", "value"), F.lit(buckets))
-    edges = checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(link, "src long, dst long").distinct())
-    labels = min_labels(edges)
+        return word, ((1 << band_bits) - 1) << (place * band_bits)
+
+    def parted(group: tuple, part: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+        part = part.sort_values("rep")
+        fp = matrix(part["fp"])
+        if int(group[1]) < 0:
+            yield fp, part
+            return
+        second = value_of(fp, int(group[1]))
+        for v in np.unique(second):  # rows of a bucket that agree in the second band as well are neighbours below the first
+            yield fp[second == v], part[second == v]
+
+    def star(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_star(link_leaves(fp, top(group), bits, 1), own["rep"].to_numpy()) for fp, own in parted(group, part)])
+
+    def across(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for fp, own in parted(group, part):
+            rep = own["rep"].to_numpy()
+            a, b = pairs_between(fp, top(group), bits, own["family"].to_numpy(), 1)
+            rows.append(pd.DataFrame({"src": np.maximum(rep[a], rep[b]), "dst": np.minimum(rep[a], rep[b])}))
+        return pd.concat(rows)
+
+    schema = "band int, sub int, value long, fp binary, rep long, family long"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def candidates(members: DataFrame, found) -> DataFrame:
+        dealt = members.select("fp", "rep", "family").mapInPandas(deal, schema)
+        if (hot := _hot(dealt)) is not None:  # a value that very many share is indexed by the other bands in turn
+            inner = dealt.join(hot, ["band", "value"], "left_semi").select(*columns).mapInPandas(deal_again, schema)
+            dealt = dealt.join(hot, ["band", "value"], "left_anti").select(*columns).unionByName(inner)
+        bucket = F.pmod(F.xxhash64("band", "sub", "value"), F.lit(buckets))
+        return checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(found, "src long, dst long").where("src <> dst").distinct())
+
+    first = candidates(nodes.withColumn("family", F.col("rep")), star)
+    involved = checkpointed(first.select(F.col("src").alias("id")).union(first.select("dst")).distinct())
+    texts = keyed.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi").distinct()
+    texts = materialised(texts)
+    edges = checkpointed(contracted(confirmed(first, texts, similarity, width)))
+    families = min_labels(edges)
+    members = nodes.join(involved, nodes["rep"] == involved["id"], "left_semi")
+    members = members.join(families, members["rep"] == families["node"], "left").select("fp", "rep", F.coalesce("label", "rep").alias("family"))
+    more = candidates(members, across).join(first, ["src", "dst"], "left_anti")
+    more = checkpointed(confirmed(more, texts, similarity, width))
+    labels = min_labels(checkpointed(contracted(edges.unionByName(more)))) if not more.isEmpty() else families
     named = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     return prints.join(named, "fp").select(key, "component_id").distinct()
 

@@ -122,6 +122,41 @@ def test_near_copies_find_edits_and_spare_others(spark, monkeypatch, hot):
     assert all(lab[40 + i] == i for i in range(20)) and all(lab[i] == i for i in range(40))
 
 
+def plain_jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_link_by_exact_resemblance(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(404)] for _ in range(40)]  # 400 shingles
+    texts = [" ".join(b) for b in base]
+    for b, edge in ((b, 60 if i < 20 else 40) for i, b in enumerate(base)):  # a changed end of 60 words: 340 of 460 are common; of 40: 360 of 440
+        texts.append(" ".join(b[:-edge] + [word() for _ in range(edge)]))
+    repeated = "one two three four five " * 2000  # its repeats outweigh all else in a count of shingles
+    texts += [repeated + " ".join(word() for _ in range(100)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    like = [plain_jaccard(texts[i], texts[40 + i]) for i in range(40)]
+    assert all(0.7 < j < 0.8 for j in like[:20]) and all(j > 0.8 for j in like[20:])
+    assert all(lab[40 + i] == 40 + i for i in range(20))  # 0.74 is no near copy
+    assert sum(lab[40 + i] == i for i in range(20, 40)) >= 18 and lab[80] == 80 and lab[81] == 81
+
+
+def test_pairs_between_families_by_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.int64).view(np.uint64)
+    near = base.repeat(4, 0)
+    near[:, 0] ^= np.uint64(1) << rng.integers(8, 64, len(near)).astype(np.uint64)
+    x = np.unique(np.column_stack([np.concatenate([near, base, base]), np.arange(240, dtype=np.uint64)]), axis=0)  # the last word only tells rows apart
+    family = rng.integers(0, 30, len(x))
+    far = sum(np.bitwise_count(x[:, None, j] ^ x[None, :, j]).astype(int) for j in range(2))
+    want = np.argwhere((far <= 2) & (((x[:, None, 0] ^ x[None, :, 0]) & np.uint64(0xFF)) == 0) & (family[:, None] != family[None, :]))
+    a, b = simhash.pairs_between(x, (0, 0xFF), 2, family, 1)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in want.tolist()} and len(want) > 100
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["label"] for r in components.min_labels(spark.createDataFrame(edges, "src long, dst long")).collect()}
