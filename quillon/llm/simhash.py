@@ -14,7 +14,7 @@ rounds over DataFrames.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -338,6 +338,28 @@ def contracted(edges: DataFrame) -> DataFrame:
     return both.select("src", "least").union(both.select("dst", "least")).toDF("src", "dst").where("src <> dst").distinct()
 
 
+def in_blocks(dealt: DataFrame, every: bool) -> DataFrame:
+    """dealt (band, value, rep, family, ...) with `sub`, a task of bounded size within the rows that share a value.
+
+    Rows are dealt into blocks of HOT_ROWS / 2, the largest family of a value
+    apart from the others. With `every`, each two blocks meet in a task, but for
+    two of the largest family, so all pairs of two families do; else each block
+    is a task.
+    """
+    sizes = dealt.groupBy("band", "value", "family").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band", "value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "family")).alias("main"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / F.lit(HOT_ROWS))).cast("int")
+    sizes = checkpointed(sizes.select("band", "value", F.col("main.family").alias("main"), blocks(F.col("main.n")).alias("f"), blocks(F.col("n") - F.col("main.n")).alias("r"), (F.col("n") == F.col("main.n")).alias("one")))
+    own = F.xxhash64("rep", "fp")
+    main = F.col("family") == F.col("main")
+    rows = dealt.drop("sub").join(sizes, ["band", "value"]).withColumn("i", F.when(main, F.pmod(own, F.col("f"))).otherwise(F.col("f") + F.pmod(own, F.col("r"))).cast("int"))
+    if not every:
+        return rows.withColumn("sub", F.col("i"))
+    all_blocks = F.col("f") + F.col("r")
+    rows = rows.where(~F.col("one")).withColumn("j", F.explode(F.sequence(F.when(main, F.col("f")).otherwise(F.lit(0)), all_blocks - 1))).where("i <> j")
+    return rows.withColumn("sub", F.least("i", "j") * all_blocks + F.greatest("i", "j"))
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """key, component_id: the smallest key reachable over links of resemblance `similarity` or more.
 
@@ -345,7 +367,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     of the sets, of 256 bits or more, indexed like the short ones with a band as
     the top node, only choose pairs; a link needs the exact resemblance. First
     each bucket's candidates are compared with the smallest of them, which makes
-    families; then all candidates of two families with each other. Texts without
+    families; then all candidates of two families with each other. A value that
+    over HOT_ROWS share is compared in blocks, with the same result. Texts without
     a word are alike. Null keys are not linked and not returned. Texts that share
     a key are one document. Repeated rows give one row.
     """
@@ -367,61 +390,45 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
         for part in parts:
             fp = matrix(part["fp"])
             for band in range(n_bands):
-                yield pd.DataFrame({"band": band, "sub": -1, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"], "family": part["family"]})
-
-    def deal_again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            fp = matrix(part["fp"])
-            for sub in range(n_bands):
-                own = part["band"].to_numpy() != sub
-                value = (part["value"].to_numpy() << band_bits) + value_of(fp, sub).astype(np.int64)
-                yield pd.DataFrame({"band": part["band"], "sub": sub, "value": value, "fp": part["fp"], "rep": part["rep"], "family": part["family"]})[own]
+                yield pd.DataFrame({"band": band, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"], "family": part["family"]})
 
     def top(group: tuple) -> tuple[int, int]:
         word, place = divmod(int(group[0]), each)  # a Python int: a shifted 32-bit one overflows
         return word, ((1 << band_bits) - 1) << (place * band_bits)
 
-    def parted(group: tuple, part: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
-        part = part.sort_values("rep")
-        fp = matrix(part["fp"])
-        if int(group[1]) < 0:
-            yield fp, part
-            return
-        second = value_of(fp, int(group[1]))
-        for v in np.unique(second):  # rows of a bucket that agree in the second band as well are neighbours below the first
-            yield fp[second == v], part[second == v]
-
     def star(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_star(link_leaves(fp, top(group), bits, 1), own["rep"].to_numpy()) for fp, own in parted(group, part)])
+        part = part.sort_values("rep")
+        return _star(link_leaves(matrix(part["fp"]), top(group), bits, 1), part["rep"].to_numpy())
 
     def across(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for fp, own in parted(group, part):
-            rep = own["rep"].to_numpy()
-            a, b = pairs_between(fp, top(group), bits, own["family"].to_numpy(), 1)
-            rows.append(pd.DataFrame({"src": np.maximum(rep[a], rep[b]), "dst": np.minimum(rep[a], rep[b])}))
-        return pd.concat(rows)
-
-    schema = "band int, sub int, value long, fp binary, rep long, family long"
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def candidates(members: DataFrame, found) -> DataFrame:
-        dealt = members.select("fp", "rep", "family").mapInPandas(deal, schema)
-        if (hot := _hot(dealt)) is not None:  # a value that very many share is indexed by the other bands in turn
-            inner = dealt.join(hot, ["band", "value"], "left_semi").select(*columns).mapInPandas(deal_again, schema)
-            dealt = dealt.join(hot, ["band", "value"], "left_anti").select(*columns).unionByName(inner)
-        bucket = F.pmod(F.xxhash64("band", "sub", "value"), F.lit(buckets))
-        return checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(found, "src long, dst long").where("src <> dst").distinct())
-
-    first = candidates(nodes.withColumn("family", F.col("rep")), star)
-    involved = checkpointed(first.select(F.col("src").alias("id")).union(first.select("dst")).distinct())
+        rep = part["rep"].to_numpy()
+        a, b = pairs_between(matrix(part["fp"]), top(group), bits, part["family"].to_numpy(), 1)
+        return pd.DataFrame({"src": np.maximum(rep[a], rep[b]), "dst": np.minimum(rep[a], rep[b])})
+
+    schema = "band int, value long, fp binary, rep long, family long"
+    columns = ["band", "sub", "value", "fp", "rep", "family"]
+
+    def candidates(members: DataFrame, found: Callable[[tuple, pd.DataFrame], pd.DataFrame], every: bool) -> tuple[DataFrame, DataFrame]:
+        """(src, dst), and the reps among members that have a hot value."""
+        crowd = members.select("rep").where("false")
+        dealt = members.select("fp", "rep", "family").mapInPandas(deal, schema).withColumn("sub", F.lit(-1))
+        if (hot := _hot(dealt)) is not None:
+            inner = dealt.join(hot, ["band", "value"], "left_semi")
+            crowd = inner.select("rep").distinct()
+            inner = in_blocks(inner, every)
+            dealt = dealt.join(hot, ["band", "value"], "left_anti").select(*columns).unionByName(inner.select(*columns))
+        bucket = F.when(F.col("sub") < 0, F.pmod(F.xxhash64("band", "value"), F.lit(buckets))).otherwise(F.col("value"))
+        return checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(found, "src long, dst long").where("src <> dst").distinct()), crowd
+
+    first, crowd = candidates(nodes.withColumn("family", F.col("rep")), star, every=False)
+    involved = checkpointed(first.select(F.col("src").alias("id")).union(first.select("dst")).union(crowd).distinct())
     texts = keyed.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi").distinct()
     texts = materialised(texts)
     edges = checkpointed(contracted(confirmed(first, texts, similarity, width)))
     families = min_labels(edges)
     members = nodes.join(involved, nodes["rep"] == involved["id"], "left_semi")
     members = members.join(families, members["rep"] == families["node"], "left").select("fp", "rep", F.coalesce("label", "rep").alias("family"))
-    more = candidates(members, across).join(first, ["src", "dst"], "left_anti")
+    more = candidates(members, across, every=True)[0].join(first, ["src", "dst"], "left_anti")
     more = checkpointed(confirmed(more, texts, similarity, width))
     labels = min_labels(checkpointed(contracted(edges.unionByName(more)))) if not more.isEmpty() else families
     named = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))

@@ -157,6 +157,37 @@ def test_pairs_between_families_by_brute_force():
     assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in want.tolist()} and len(want) > 100
 
 
+def test_hot_bands_lose_no_near_copy(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(404)] for _ in range(60)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-40] + [word() for _ in range(40)]) for b in base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, width, each, bits = index = simhash.wide_index(100_000, 0.8)
+    monkeypatch.setattr(simhash, "wide_index", lambda n, similarity: index)
+    prints = [simhash._simhash(simhash.shingle_set(t, 5), words) for t in texts]
+    values = [[int(fp[w]) >> k * width & (1 << width) - 1 for w in range(words) for k in range(each)] for fp in prints]
+    common = [sum(a == b for a, b in zip(values[i], values[60 + i], strict=True)) for i in range(60)]
+    near = [sum(int(x).bit_count() for x in prints[i] ^ prints[60 + i]) <= bits and common[i] > 0 for i in range(60)]
+    assert any(n and c == 1 for n, c in zip(near, common, strict=True)) and sum(near) >= 54  # some pairs share one band only
+    monkeypatch.setattr(simhash, "HOT_ROWS", 1)  # all shared values are hot
+    lab = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert [lab[60 + i] == i for i in range(60)] == near
+
+
+@pytest.mark.parametrize("hot", [2, 5, 1000])
+def test_blocks_bring_all_families_together(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rows = [(b, 7, bytes([i]), i, 0 if i < 12 else i) for b in (0, 1) for i in range(20)] + [(0, 8, bytes([i]), i, 3) for i in range(9)]
+    dealt = spark.createDataFrame(rows, "band int, value long, fp binary, rep long, family long").withColumn("sub", F.lit(-1))
+    tasks = {}
+    for r in simhash.in_blocks(dealt, every=True).collect():
+        tasks.setdefault((r["band"], r["value"], r["sub"]), []).append((r["rep"], r["family"]))
+    met = {(b, v, x, y) for (b, v, _), own in tasks.items() for x, f in own for y, g in own if x < y and f != g}
+    assert met == {(b, 7, x, y) for b in (0, 1) for x in range(20) for y in range(max(x + 1, 12), 20)}
+    assert simhash.in_blocks(dealt, every=False).count() == len(rows)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["label"] for r in components.min_labels(spark.createDataFrame(edges, "src long, dst long")).collect()}
