@@ -42,11 +42,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture uses them whole; n_chars as before. The one that a prefix cuts is left out."""
+    """Rows as often as the mixture uses them, each for itself; of the one at which a leaf's prefix ends the last use is its first words, n_chars that of the cut text."""
     docs = docs.select(*COLUMNS)
-    used = mixing.mix(docs, budget_share=MIX_SHARE, max_epochs=MIX_EPOCHS).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    again = docs.join(used, "doc_id").withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select(*COLUMNS)
+    used = mixing.mix(docs, budget_share=MIX_SHARE, max_epochs=MIX_EPOCHS, keep=COLUMNS)
+    cut = F.when(F.col("partial_tokens") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    again = used.select("row.*", "partial_tokens", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("copies").cast("int")), cut)).alias("__cut"))
+    again = again.withColumn("text", F.when(F.col("__cut"), mixing.first_words("text", "partial_tokens")).otherwise(F.col("text")))
+    return again.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

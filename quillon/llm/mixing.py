@@ -9,7 +9,7 @@ of the next epoch's seeded order, the prefix that fills its budget to the token.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,12 @@ def token_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+def first_words(text: str, n: str) -> Column:
+    """A text up to the end of its n-th word."""
+    ends = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+    return F.array_join(F.slice(F.split(F.col(text), ends), F.lit(1), F.col(n).cast("int")), "")
+
+
 def domain_of(source: str, domains: int = 4) -> Column:
     """The default domain: one of `domains` (16 at most) by the source's name."""
     return F.concat(F.lit("d"), F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(source), F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int"), F.lit(domains)).cast("string"))
@@ -80,8 +86,9 @@ def mix(
     budget_share: float = BUDGET_SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """key, LEVELS, tokens, copies, partial_tokens of each document that is used.
+    """key, LEVELS, tokens, copies, partial_tokens of each document that is used; with `keep` also `row`, a struct of these columns of its own row.
 
     copies: how often the whole document is used. partial_tokens: the tokens of
     the one document of a leaf at which its prefix ends (0 elsewhere). Null
@@ -98,24 +105,32 @@ def mix(
         F.coalesce(F.col(lang).cast("string"), none).alias("language"),
         F.coalesce(F.col(source).cast("string"), none).alias("source_name"),
         token_count(text).alias("tokens"),
+        *([F.struct(*keep).alias("row")] if keep else []),
     ).where("tokens > 0")
-    named = checkpointed(named)
+    whole, named = named, checkpointed(named.drop("row"))
     leaves = checkpointed(budgets(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens")), budget_share, max_epochs, weights))
     plan = leaves.select(*LEVELS, F.expr("budget div n_tokens").alias("epochs"), F.expr("budget % n_tokens").alias("rest"))
-    seen = named.join(plan, list(LEVELS))
-    seen = seen.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("__key").cast("string"), F.lit(""))).cast("binary")))
-    # dealt by slice: the join above may have left a leaf in one place
-    seen = seen.withColumn("slice", F.substring("h", 1, 3)).repartition(*LEVELS, "slice")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(plan, list(LEVELS))
+        rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("__key").cast("string"), F.lit(""))).cast("binary")))
+        # dealt by slice: the join above may have left a leaf in one place
+        return rows.withColumn("slice", F.substring("h", 1, 3)).repartition(*LEVELS, "slice")
+
+    seen = dealt(named)
     sums = seen.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy(*LEVELS, "slice").orderBy("h", "__key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    if keep:
+        seen = dealt(whole)
+    ties = [F.xxhash64("row")] if keep else []
+    within = Window.partitionBy(*LEVELS, "slice").orderBy("h", "__key", "tokens", *ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = seen.withColumn("upto", F.sum("tokens").over(within)).join(sums, [*LEVELS, "slice"])
     end = F.col("offset") + F.col("upto")
     copies = (F.col("epochs") + F.when(end <= F.col("rest"), 1).otherwise(0)).cast("long")
     begin = end - F.col("tokens")
     partial = F.when((begin < F.col("rest")) & (end > F.col("rest")), F.col("rest") - begin).otherwise(0).cast("long")
-    out = placed.select(F.col("__key").alias(key), *LEVELS, "tokens", copies.alias("copies"), partial.alias("partial_tokens"))
+    out = placed.select(F.col("__key").alias(key), *LEVELS, "tokens", copies.alias("copies"), partial.alias("partial_tokens"), *(["row"] if keep else []))
     return out.where("copies > 0 or partial_tokens > 0")
 
 

@@ -66,3 +66,28 @@ def test_stages_take_odd_rows(spark):
     for _, f in cp.STAGES:
         f(spark, docs, D).collect()
         f(spark, docs.where("false"), D).collect()
+
+
+def test_mix_stage_fills_budgets_row_by_row(spark, monkeypatch):
+    from quillon.llm import mixing
+
+    monkeypatch.setattr(cp, "MIX_SHARE", 0.7)
+    text = lambda i, n: "  ".join(f"w{i}x{j}" for j in range(n)) + " \t"
+    rows = [(None, text(1, 30), "en", "a", 7), (None, text(2, 20), "en", "a", 7), (1, text(3, 9), "en", "a", 7), (1, text(4, 5), "fr", "b", 7), (1, text(4, 5), "fr", "b", 7)]
+    rows += [(2, text(5, 4000), "fr", "long", 7)] + [(10 + i, text(10 + i, 3 + i), "de", "c", 7) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    used = mixing.mix(docs, budget_share=0.7, max_epochs=2, keep=cp.COLUMNS).collect()
+    want = {}
+    for r in used:
+        leaf = (r["language"], r["source_name"])
+        want[leaf] = want.get(leaf, 0) + r["copies"] * r["tokens"] + r["partial_tokens"]
+    out, got, cuts = cp.mix_sources(spark, docs, D).collect(), {}, 0
+    for r in out:
+        leaf = (r["lang"], r["source"])
+        got[leaf] = got.get(leaf, 0) + len(r["text"].split())
+        whole = [t for k, t, la, so, _ in rows if k == r["doc_id"] and (la, so) == leaf and t.startswith(r["text"])]
+        assert whole and (r["n_chars"] == 7 if r["text"] in whole else r["n_chars"] == len(r["text"]))
+        cuts += r["text"] not in whole
+    plan = {(r["language"], r["source_name"]): r["budget"] for r in mixing.budgets(docs.select(mixing.domain_of("source").alias("domain"), F.col("lang").alias("language"), F.col("source").alias("source_name"), mixing.token_count("text").alias("t")).groupBy(*mixing.LEVELS).agg(F.sum("t").alias("n_tokens")), 0.7, 2).collect()}
+    assert got == want == {k: v for k, v in plan.items() if v} and cuts >= 1 and ("fr", "long") in got
+    assert any(r["doc_id"] is None for r in out)
