@@ -116,13 +116,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     plan = packed.size_up(docs, text, hashes_per_char=0.16 * order)
     # keys travel as text: pandas would turn whole numbers beside a null into floats
     blocks = packed.in_blocks(docs.select(F.col(key).cast("string"), text), key, text, plan)
-    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order)))
+    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order), counted=np.uint64), np.uint64, counted=np.uint64)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         texts = left["text"].tolist()
         asked, _ = _counted(texts, order)
-        rows = pd.DataFrame(_scored(texts, order, least, asked, packed.aligned(right)), columns=["n_words", "n_backoff", "log10_score"])
+        rows = pd.DataFrame(_scored(texts, order, least, asked, packed.aligned(right, np.uint64)), columns=["n_words", "n_backoff", "log10_score"])
         rows.insert(0, key, left[key].to_numpy())
         rows["per_word"] = [s / n if n else None for s, n in zip(rows["log10_score"], rows["n_words"], strict=True)]
         return rows

@@ -61,30 +61,33 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def requests(blocks: DataFrame, plan: Plan, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: type = np.uint64) -> DataFrame:
+def requests(blocks: DataFrame, plan: Plan, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: type = np.uint64, counted: type = np.uint32) -> DataFrame:
     """bucket, block, hashes, counts. `hashes` gets a block's texts and returns its distinct hashes, sorted, and a count for each.
 
     kind: uint64 sends whole hashes, for counts; uint32 the low half, for filters whose hits are tested again.
+    counted: counts are sent as this, at most its largest.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, n = hashes(part["text"].tolist())
         edges = bucket_edges(h, plan.buckets)
-        rows = [(i, key[0], pack(h[a:b].astype(kind)), pack(np.minimum(n[a:b], 0xFFFFFFFF).astype(np.uint32))) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        rows = [(i, key[0], pack(h[a:b].astype(kind)), pack(np.minimum(n[a:b], min(np.iinfo(counted).max, np.iinfo(np.int64).max)).astype(counted))) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
         return pd.DataFrame(rows, columns=["bucket", "block", "hashes", "counts"])
 
     return blocks.groupBy("block").applyInPandas(run, "bucket int, block int, hashes binary, counts binary")
 
 
-def totals(asked: DataFrame, kind: type = np.uint32, hashes: type = np.uint64) -> DataFrame:
-    """block, bucket, totals: for each hash asked (sent as `hashes`) its sum over all blocks, at most the largest of `kind`."""
+def totals(asked: DataFrame, kind: type = np.uint32, hashes: type = np.uint64, counted: type = np.uint32) -> DataFrame:
+    """block, bucket, totals: for each hash asked (sent as `hashes`, counts as `counted`) its sum over all blocks, at most the largest of `kind`."""
     top = np.iinfo(kind).max
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         own = [unpack(x, hashes) for x in part["hashes"]]
-        counts = np.concatenate([unpack(x, np.uint32) for x in part["counts"]]).astype(float)
-        _, at = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.minimum(np.bincount(at, weights=counts), top).astype(kind)[at]
+        counts = np.concatenate([unpack(x, counted) for x in part["counts"]]).astype(np.uint64)
+        distinct, at = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.zeros(len(distinct), np.uint64)
+        np.add.at(total, at, counts)
+        total = np.minimum(total, np.uint64(top)).astype(kind)[at]
         ends = np.cumsum([len(x) for x in own]).tolist()
         rows = [pack(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         return pd.DataFrame({"block": part["block"], "bucket": key[0], "totals": rows})

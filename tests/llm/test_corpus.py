@@ -378,3 +378,18 @@ def test_lm_of_higher_order_by_brute_force(spark):
 
     got = {r["doc_id"]: r["log10_score"] for r in ngram_lm.score(df, order=3).collect()}
     assert got == pytest.approx({i: sum(word(t, j) for j in range(len(t))) for i, t in enumerate(texts)})
+
+
+def test_lm_counts_go_beyond_32_bits(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    want = {r["doc_id"]: (r["n_backoff"], round(r["log10_score"], 9)) for r in ngram_lm.score(df).collect()}
+    real = ngram_lm._counted
+
+    def many(texts, order):
+        h, n = real(texts, order)
+        return h, n << 31
+
+    monkeypatch.setattr(ngram_lm, "_counted", many)  # as if each text came 2^31 times: shares stay
+    got = {r["doc_id"]: (r["n_backoff"], round(r["log10_score"], 9)) for r in ngram_lm.score(df, least=2 << 31).collect()}
+    assert got == want
