@@ -57,9 +57,11 @@ def rotate(uids: DataFrame, cycle: int, k: int, uid: str = "uid") -> DataFrame:
     return numbered.withColumn("turn", turn.cast("int")).where(F.col("turn") < F.least(F.lit(k), F.col("n"))).select(uid, "turn")
 
 
-def eligible(neurons: DataFrame, targets: list[int] | None = None, stake_limit: float = 0.0) -> DataFrame:
-    """Neurons that may be asked: not uid 0, in the target list if there is one, no permit with stake, a usable address."""
+def eligible(neurons: DataFrame, targets: DataFrame | list[int] | None = None, stake_limit: float = 0.0) -> DataFrame:
+    """Neurons that may be asked: not uid 0, in the target list (or DataFrame with `uid`) if there is one, no permit with stake, a usable address."""
     ok = (F.col("uid") != 0) & ~(F.col("permit") & (F.col("stake") >= stake_limit)) & F.col("ip").isNotNull() & ~F.col("ip").isin("", "0.0.0.0") & (F.col("port") > 0)
+    if isinstance(targets, DataFrame):
+        return neurons.where(ok).join(targets.select("uid").distinct(), "uid", "left_semi")
     return neurons.where(ok & F.col("uid").isin(targets) if targets else ok)
 
 

@@ -367,9 +367,10 @@ def rotation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS uid FROM customer WHERE c_custkey <> 0 AND NOT (c_nationkey < 5 AND c_acctbal >= 1000) AND c_mktsegment NOT IN ('', '0.0.0.0') AND c_nationkey > 0 AND c_custkey % 3 = 0")
 def eligible_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    c = table(spark, sf_dir, "customer")
+    targets = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("uid"))
     n = c.select(F.col("c_custkey").alias("uid"), (F.col("c_nationkey") < 5).alias("permit"), F.col("c_acctbal").alias("stake"), F.col("c_mktsegment").alias("ip"), F.col("c_nationkey").alias("port"))
-    return weights.eligible(n, None, 1000.0).select("uid")
+    return weights.eligible(n, targets, 1000.0).select("uid")
 
 
 _EPOCH = """WITH t AS (SELECT o_orderkey, TIMESTAMP '2026-05-01 00:00:00' + INTERVAL 1 HOUR * (o_orderkey % 2000) AS ts FROM orders),

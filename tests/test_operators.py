@@ -258,3 +258,10 @@ def test_manifest_and_window_objective(spark):
     df = spark.createDataFrame([(0.1 + (i % 10) / 100 + 0.7 * (i % 2), i % 2) for i in range(200)], "score double, label int")
     got = {r["fraction"]: r["objective"] for r in metrics.window_objective(df, [0.2, 0.5], windows=5).collect()}
     assert got == pytest.approx({0.2: 1.0, 0.5: 1.0})
+
+
+def test_eligible_takes_targets_as_a_table(spark):
+    n = spark.createDataFrame([(u, False, 0.0, "1.2.3.4", 80) for u in range(6)], "uid long, permit boolean, stake double, ip string, port int")
+    targets = spark.createDataFrame([(0,), (2,), (2,), (5,), (9,)], "uid long")
+    assert sorted(r["uid"] for r in weights.eligible(n, targets).collect()) == [2, 5]
+    assert weights.eligible(n, targets.where("false")).count() == 0
