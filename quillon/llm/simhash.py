@@ -14,7 +14,7 @@ rounds over DataFrames.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,16 +126,6 @@ def link_leaves(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int = 0)
     band: a word's index and a mask of its bits. A link differs in `bits` bits at
     most; the last `tail` words tell fingerprints apart but differ at no cost.
     """
-    return _walk(fp, band, bits, tail, None)[0]
-
-
-def pairs_between(fp: np.ndarray, band: tuple[int, int], bits: int, family: np.ndarray, tail: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of two families that `link_leaves` would link by themselves."""
-    return _walk(fp, band, bits, tail, family)[1]
-
-
-def _walk(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int, family: np.ndarray | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Links join components as they are found; with families these are the components, and links are listed."""
     n_words = fp.shape[1] - tail
     home, inside = band
     rest = [i for i in range(63, -1, -1) if not inside >> i & 1]
@@ -146,10 +136,6 @@ def _walk(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int, family: n
     # Gray rank within each mask, highest level first: neighbours in the order differ in few bits, nodes are runs.
     order = np.lexsort([gray_rank(fp[:, w] & m) for w, m in reversed(masks)])
     leaves, sets = fp[order], _Sets(len(fp))
-    if family is not None:
-        _, at, group = np.unique(family[order], return_index=True, return_inverse=True)
-        sets.label = at[group]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = _levels(leaves, masks)
     n_levels = len(masks)
     first = [np.searchsorted(starts[i + 1], starts[i]) for i in range(n_levels - 1)]
@@ -192,11 +178,7 @@ def _walk(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int, family: n
         for j in range(n_words):
             far += np.bitwise_count(leaves[x, j] ^ leaves[y, j])
         hit = far <= bits
-        if family is None:
-            sets.link(x[hit], y[hit])
-        else:
-            left.append(order[x[hit]])
-            right.append(order[y[hit]])
+        sets.link(x[hit], y[hit])
         ca, cb, diff = ca[~lone], cb[~lone], diff[~lone]
         near = np.argsort(-diff, kind="stable")  # the stack takes the nearest last in, so first out
         for at in range(0, len(ca), FRONTIER):
@@ -204,7 +186,7 @@ def _walk(fp: np.ndarray, band: tuple[int, int], bits: int, tail: int, family: n
             stack.append((level + 1, ca[own], cb[own], diff[own]))
     out = np.empty(len(fp), np.int64)
     out[order] = order[sets.label]
-    return out, (np.concatenate(left), np.concatenate(right))
+    return out
 
 
 def _uniform(label: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -309,68 +291,146 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common elements of two sorted sets; two empty ones are alike."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (src, dst) of which some texts (id, text) have a resemblance of shingle sets of `similarity` or more."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, text, own = None, None, None
-        for part in parts:
-            near = []
-            for dst, a, b in zip(part["dst"], part["a"], part["b"], strict=True):
-                if own is None or dst != hub or b != text:  # a hub's pairs come one after another
-                    hub, text, own = dst, b, shingle_set(b, width)
-                near.append(jaccard(shingle_set(a, width), own) >= similarity)
-            yield part.loc[near, ["src", "dst"]]
+#: Bytes of shingle sets that a task compares with each other, about.
+BLOCK_BYTES = 8_000_000
 
-    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("src", "a"), ("dst", "b")))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long").distinct()
 
+def link_sets(fp: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float, family: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join texts of resemblance `similarity` or more into the components that all such pairs make.
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Links with the same components: each src keeps its smallest dst, to which its other ones are linked."""
-    both = edges.select("src", "dst", F.min("dst").over(Window.partitionBy("src")).alias("least"))
-    return both.select("src", "least").union(both.select("dst", "least")).toDF("src", "dst").where("src <> dst").distinct()
+    fp: a row of words for each text; only pairs within `bits` bits are
+    compared, and none of one family or of texts that are joined already.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    start = np.cumsum(size) - size
+    _, flat = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
+    label = np.arange(n) if family is None else np.unique(family, return_inverse=True)[1]
+    own = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    left, right = [], []
+    for i in range(n - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+        if not len(j):
+            continue
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= bits]
+        mine = flat[start[i] : start[i] + size[i]]
+        own[mine] = True
+        upto, a = np.cumsum(size[j]), 0
+        while a < len(j):  # so many at a time as BLOCK_BYTES hold
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BLOCK_BYTES // 8)))
+            k, w = j[a:b], size[j[a:b]]
+            heads = np.cumsum(w) - w
+            at = np.repeat(start[k] - heads, w) + np.arange(int(w.sum()))
+            seen = np.concatenate(([0], np.cumsum(own[flat[at]])))
+            common = seen[heads + w] - seen[heads]
+            all_of = size[i] + w - common
+            for t in k[(common >= similarity * all_of) | (all_of == 0)].tolist():
+                if label[t] != label[i]:
+                    left.append(i)
+                    right.append(t)
+                    label[label == label[t]] = label[i]
+            a = b
+        own[mine] = False
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def candidate_groups(nodes: DataFrame, words: int, band_bits: int, each: int, bits: int) -> DataFrame:
+    """(node, label): reps whose fingerprints, of `words` words and a digest, differ in `bits` bits at most and agree in a band, joined to groups.
+
+    A band's value that over HOT_ROWS fingerprints share makes one group as it
+    is; groups only choose what is compared.
+    """
+    buckets = max(8, nodes.count() // BUCKET_ROWS)
+    matrix = lambda fps: np.frombuffer(b"".join(fps), np.uint64).reshape(-1, words + 1)
+    value_of = lambda fp, band: (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
 
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fp = matrix(part["fp"])
+            for band in range(words * each):
+                yield pd.DataFrame({"band": band, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"]})
 
-def in_blocks(dealt: DataFrame, every: bool) -> DataFrame:
-    """dealt (band, value, rep, family, ...) with `sub`, a task of bounded size within the rows that share a value.
+    def star(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        word, place = divmod(int(key[0]), each)  # a Python int: a shifted 32-bit one overflows
+        part = part.sort_values("rep")
+        return _star(link_leaves(matrix(part["fp"]), (word, ((1 << band_bits) - 1) << (place * band_bits)), bits, 1), part["rep"].to_numpy())
 
-    Rows are dealt into blocks of HOT_ROWS / 2, the largest family of a value
-    apart from the others. With `every`, each two blocks meet in a task, but for
-    two of the largest family, so all pairs of two families do; else each block
-    is a task.
+    dealt = nodes.select("fp", "rep").mapInPandas(deal, "band int, value long, fp binary, rep long")
+    crowd = None
+    if (hot := _hot(dealt)) is not None:
+        inner = dealt.join(hot, ["band", "value"], "left_semi").select("band", "value", "rep")
+        least = inner.groupBy("band", "value").agg(F.min("rep").alias("dst"))
+        crowd = inner.join(least, ["band", "value"]).select(F.col("rep").alias("src"), "dst")
+        dealt = dealt.join(hot, ["band", "value"], "left_anti")
+    bucket = F.pmod(F.xxhash64("band", "value"), F.lit(buckets))
+    found = dealt.withColumn("bucket", bucket).groupBy("band", "bucket").applyInPandas(star, "src long, dst long")
+    return min_labels(found if crowd is None else found.unionByName(crowd))
+
+
+def _compared(members: DataFrame, words: int, bits: int, similarity: float) -> DataFrame:
+    """(src, dst) links among members (task, label, rep, family, fp, shingles) of one task and label and different families."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        src, dst = [], []
+        for _, own in part.groupby("label"):
+            own = own.sort_values("rep")
+            fp = np.frombuffer(b"".join(own["fp"]), np.uint64).reshape(-1, words + 1)[:, :words]
+            rep = own["rep"].to_numpy()
+            a, b = link_sets(fp, [np.frombuffer(s, np.uint64) for s in own["shingles"]], bits, similarity, own["family"].to_numpy())
+            src.append(rep[b])
+            dst.append(rep[a])
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+    return members.groupBy("task").applyInPandas(run, "src long, dst long")
+
+
+def verified(members: DataFrame, words: int, bits: int, similarity: float) -> DataFrame:
+    """(node, label): components over links of exact resemblance among members (label, rep, fp, shingles) of one candidate group.
+
+    Groups of up to BLOCK_BYTES are compared whole, many of them in a task.
+    Larger ones are dealt into blocks: first each block is compared in itself,
+    together with the group's first member; then, where that leaves several
+    families, each two blocks meet, but for two blocks of the largest family.
     """
-    sizes = dealt.groupBy("band", "value", "family").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band", "value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "family")).alias("main"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n * 2 / F.lit(HOT_ROWS))).cast("int")
-    sizes = checkpointed(sizes.select("band", "value", F.col("main.family").alias("main"), blocks(F.col("main.n")).alias("f"), blocks(F.col("n") - F.col("main.n")).alias("r"), (F.col("n") == F.col("main.n")).alias("one")))
+    size = F.length("shingles") + F.lit(64)
+    groups = checkpointed(members.groupBy("label").agg(F.sum(size).alias("bytes"), F.min("rep").alias("first")).withColumn("f", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")))
+    total, most = groups.agg(F.sum("bytes"), F.max("f")).head()
+    tasks = max(8, int((total or 0) // BLOCK_BYTES))
+    members = members.join(groups.select("label", "first", "f"), "label").withColumn("family", F.col("rep"))
     own = F.xxhash64("rep", "fp")
-    main = F.col("family") == F.col("main")
-    rows = dealt.drop("sub").join(sizes, ["band", "value"]).withColumn("i", F.when(main, F.pmod(own, F.col("f"))).otherwise(F.col("f") + F.pmod(own, F.col("r"))).cast("int"))
-    if not every:
-        return rows.withColumn("sub", F.col("i"))
-    all_blocks = F.col("f") + F.col("r")
-    rows = rows.where(~F.col("one")).withColumn("j", F.explode(F.sequence(F.when(main, F.col("f")).otherwise(F.lit(0)), all_blocks - 1))).where("i <> j")
-    return rows.withColumn("sub", F.least("i", "j") * all_blocks + F.greatest("i", "j"))
+    one = F.struct(F.pmod(F.xxhash64("label"), F.lit(tasks)).cast("long").alias("a"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    small = members.where("f = 1").withColumn("task", one)
+    if (most or 1) == 1:
+        return min_labels(_compared(small, words, bits, similarity))
+    large = checkpointed(members.where("f > 1"))
+    every = F.when(F.col("rep") == F.col("first"), F.sequence(F.lit(0), F.col("f") - 1)).otherwise(F.array(F.pmod(own, F.col("f")).cast("int")))
+    in_block = large.withColumn("i", F.explode(every)).withColumn("task", F.struct(F.col("label").alias("a"), "i", F.lit(-1).alias("j"))).drop("i")
+    links = checkpointed(_compared(small.unionByName(in_block, allowMissingColumns=True), words, bits, similarity))
+    families = min_labels(links)
+    left = large.drop("family").join(families.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    sizes = left.groupBy("label", "family").agg(F.sum(size).alias("b"))
+    sizes = sizes.groupBy("label").agg(F.sum("b").alias("b"), F.max(F.struct("b", "family")).alias("main"))
+    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b * 2 / F.lit(BLOCK_BYTES))).cast("int")
+    sizes = sizes.where(F.col("b") > F.col("main.b")).select("label", F.col("main.family").alias("main"), blocks(F.col("main.b")).alias("m"), blocks(F.col("b") - F.col("main.b")).alias("r"))
+    is_main = F.col("family") == F.col("main")
+    met = left.join(sizes, "label").withColumn("i", F.when(is_main, F.pmod(own, F.col("m"))).otherwise(F.col("m") + F.pmod(own, F.col("r"))).cast("int"))
+    met = met.withColumn("k", F.explode(F.sequence(F.when(is_main, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("r") - 1)))
+    met = met.withColumn("task", F.struct(F.col("label").alias("a"), F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"))).select("task", "label", "rep", "family", "fp", "shingles")
+    return min_labels(links.unionByName(checkpointed(_compared(met, words, bits, similarity))))
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """key, component_id: the smallest key reachable over links of resemblance `similarity` or more.
 
-    Resemblance is that of two texts' sets of `width`-word shingles. Fingerprints
-    of the sets, of 256 bits or more, indexed like the short ones with a band as
-    the top node, only choose pairs; a link needs the exact resemblance. First
-    each bucket's candidates are compared with the smallest of them, which makes
-    families; then all candidates of two families with each other. A value that
-    over HOT_ROWS share is compared in blocks, with the same result. Texts without
-    a word are alike. Null keys are not linked and not returned. Texts that share
-    a key are one document. Repeated rows give one row.
+    Resemblance is that of two texts' sets of `width`-word shingles, computed
+    exactly. Fingerprints of the sets, of 256 bits or more, indexed like the
+    short ones with a band as the top node, only choose groups whose members are
+    compared. Texts without a word, null ones included, are alike. Null keys are
+    not linked and not returned. Texts that share a key are one document, and
+    repeated rows give one row. Empty tables give none. A very long text is one
+    set of 8 bytes a shingle. Other columns of df, whatever their names, are not
+    read.
     """
     keyed = df.where(F.col(key).isNotNull())
     words, band_bits, each, bits = wide_index(keyed.count(), similarity)
@@ -379,60 +439,23 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
         sets = [shingle_set(t, width) for t in texts]
         return [[_simhash(s, words).tobytes() + xxhash.xxh64_digest(s.tobytes(), SEED) for s in sets]]  # the digest tells sets of one fingerprint apart
 
+    def both(texts: list) -> list[list]:
+        return [*run(texts), [shingle_set(t, width).tobytes() for t in texts]]
+
     prints = checkpointed(map_texts(keyed, [key], text, run, "fp binary"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
-    buckets = max(8, nodes.count() // BUCKET_ROWS)
-    n_bands = words * each
-    matrix = lambda fps: np.frombuffer(b"".join(fps), np.uint64).reshape(-1, words + 1)
-    value_of = lambda fp, band: (fp[:, band // each] >> np.uint64(band % each * band_bits)) & np.uint64((1 << band_bits) - 1)
-
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            fp = matrix(part["fp"])
-            for band in range(n_bands):
-                yield pd.DataFrame({"band": band, "value": value_of(fp, band).astype(np.int64), "fp": part["fp"], "rep": part["rep"], "family": part["family"]})
-
-    def top(group: tuple) -> tuple[int, int]:
-        word, place = divmod(int(group[0]), each)  # a Python int: a shifted 32-bit one overflows
-        return word, ((1 << band_bits) - 1) << (place * band_bits)
-
-    def star(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep")
-        return _star(link_leaves(matrix(part["fp"]), top(group), bits, 1), part["rep"].to_numpy())
-
-    def across(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rep = part["rep"].to_numpy()
-        a, b = pairs_between(matrix(part["fp"]), top(group), bits, part["family"].to_numpy(), 1)
-        return pd.DataFrame({"src": np.maximum(rep[a], rep[b]), "dst": np.minimum(rep[a], rep[b])})
-
-    schema = "band int, value long, fp binary, rep long, family long"
-    columns = ["band", "sub", "value", "fp", "rep", "family"]
-
-    def candidates(members: DataFrame, found: Callable[[tuple, pd.DataFrame], pd.DataFrame], every: bool) -> tuple[DataFrame, DataFrame]:
-        """(src, dst), and the reps among members that have a hot value."""
-        crowd = members.select("rep").where("false")
-        dealt = members.select("fp", "rep", "family").mapInPandas(deal, schema).withColumn("sub", F.lit(-1))
-        if (hot := _hot(dealt)) is not None:
-            inner = dealt.join(hot, ["band", "value"], "left_semi")
-            crowd = inner.select("rep").distinct()
-            inner = in_blocks(inner, every)
-            dealt = dealt.join(hot, ["band", "value"], "left_anti").select(*columns).unionByName(inner.select(*columns))
-        bucket = F.when(F.col("sub") < 0, F.pmod(F.xxhash64("band", "value"), F.lit(buckets))).otherwise(F.col("value"))
-        return checkpointed(dealt.withColumn("bucket", bucket).groupBy("band", "sub", "bucket").applyInPandas(found, "src long, dst long").where("src <> dst").distinct()), crowd
-
-    first, crowd = candidates(nodes.withColumn("family", F.col("rep")), star, every=False)
-    involved = checkpointed(first.select(F.col("src").alias("id")).union(first.select("dst")).union(crowd).distinct())
-    texts = keyed.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi").distinct()
-    texts = materialised(texts)
-    edges = checkpointed(contracted(confirmed(first, texts, similarity, width)))
-    families = min_labels(edges)
-    members = nodes.join(involved, nodes["rep"] == involved["id"], "left_semi")
-    members = members.join(families, members["rep"] == families["node"], "left").select("fp", "rep", F.coalesce("label", "rep").alias("family"))
-    more = candidates(members, across, every=True)[0].join(first, ["src", "dst"], "left_anti")
-    more = checkpointed(confirmed(more, texts, similarity, width))
-    labels = min_labels(checkpointed(contracted(edges.unionByName(more)))) if not more.isEmpty() else families
+    groups = candidate_groups(nodes, words, band_bits, each, bits)
+    grouped = nodes.join(groups, nodes["rep"] == groups["node"]).select("label", "rep", "fp")
+    chosen = keyed.join(grouped.select(F.col("rep").alias("__rep")).distinct(), F.col(key).cast("long") == F.col("__rep"), "left_semi")
+    sets = map_texts(chosen, [key], text, both, "fp binary, shingles binary").select(F.col(key).cast("long").alias("rep"), "fp", "shingles")
+    members = materialised(grouped.join(sets.dropDuplicates(["rep", "fp"]), ["rep", "fp"]).select("label", "rep", "fp", "shingles"))
+    labels = verified(members, words, bits, similarity)
+    several = prints.groupBy(key).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(key)
+    tied = checkpointed(prints.join(several, key, "left_semi").join(nodes, "fp").select(F.col(key).cast("long").alias("src"), F.col("rep").alias("dst")).where("src <> dst"))
+    if not tied.isEmpty():
+        labels = min_labels(tied.union(labels.select("node", "label")))
     named = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(key, "component_id").distinct()
+    return prints.join(named, "fp").groupBy(key).agg(F.min("component_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:

@@ -144,17 +144,78 @@ def test_near_copies_link_by_exact_resemblance(spark):
     assert sum(lab[40 + i] == i for i in range(20, 40)) >= 18 and lab[80] == 80 and lab[81] == 81
 
 
-def test_pairs_between_families_by_brute_force():
+def test_link_sets_by_brute_force():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.int64).view(np.uint64)
-    near = base.repeat(4, 0)
-    near[:, 0] ^= np.uint64(1) << rng.integers(8, 64, len(near)).astype(np.uint64)
-    x = np.unique(np.column_stack([np.concatenate([near, base, base]), np.arange(240, dtype=np.uint64)]), axis=0)  # the last word only tells rows apart
-    family = rng.integers(0, 30, len(x))
-    far = sum(np.bitwise_count(x[:, None, j] ^ x[None, :, j]).astype(int) for j in range(2))
-    want = np.argwhere((far <= 2) & (((x[:, None, 0] ^ x[None, :, 0]) & np.uint64(0xFF)) == 0) & (family[:, None] != family[None, :]))
-    a, b = simhash.pairs_between(x, (0, 0xFF), 2, family, 1)
-    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in want.tolist()} and len(want) > 100
+    base = [rng.choice(60, 20, replace=False) for _ in range(20)]
+    sets = [np.unique(np.concatenate((rng.choice(base[i % 20], 16, replace=False), rng.integers(0, 60, 3)))).astype(np.uint64) for i in range(147)] + [np.zeros(0, np.uint64)] * 3
+    family = rng.integers(0, 60, 150)
+    fp = np.zeros((150, 2), np.uint64)
+    fp[:75, 0] = np.uint64(7)
+    near = np.array([[fp[i, 0] == fp[j, 0] and (len(np.intersect1d(x, y)) >= 0.6 * len(np.union1d(x, y))) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    want = closure(near | (family[:, None] == family[None, :]))
+    a, b = simhash.link_sets(fp, sets, 2, 0.6, family)
+    made = family[:, None] == family[None, :]
+    made[a, b] = made[b, a] = True
+    assert (closure(made) == want).all() and near[a, b].all() and len(a) > 5
+
+
+@pytest.mark.parametrize(("hot", "block"), [(50_000, 8_000_000), (100, 100_000)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, hot, block):
+    """2,000 edits of one absent text, of which any two are about as like as the limit, and 400 exact copies."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(2_000):
+        t = list(base)
+        for k in range(1 if i % 3 else 2):
+            t[rng.randrange(60)] = f"x{i}y{k}"
+        texts.append(" ".join(t))
+    texts += [texts[5]] * 400
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = [simhash.shingle_set(t, 5) for t in texts[:2_000]]
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    sizes = np.array([len(h) for h in hashes])
+    m = np.zeros((2_000, at.max() + 1), np.float32)
+    m[np.repeat(np.arange(2_000), sizes), at] = 1
+    common = m @ m.T
+    alike = common >= 0.8 * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    want = closure(alike)
+    lab = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert all(lab[i] == lab[5] for i in range(2_000, 2_400))
+    got = np.array([lab[i] for i in range(2_000)])
+    assert (got >= want).all() and (got == want).mean() > 0.97 and 100 < len(set(want.tolist())) < 1_900
+    assert all(want[g] == want[i] for i, g in enumerate(got.tolist()))
+
+
+def test_near_copies_recall(spark):
+    """Of all pairs at 0.8 or more, queries being the ids divisible by 50, nine in ten at least are in one component."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").toPandas()
+    rng = random.Random(3)
+    texts = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    for k in [k for k in texts if k % 50 == 0 and texts[k] and 40 < len(texts[k].split()) < 400]:
+        words = texts[k].split(" ")
+        for _ in range(max(1, len(words) // 50)):  # at the limit or a little over it
+            words[rng.randrange(len(words))] = "changed"
+        texts[10_000_000 + k] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lab = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    sets = {k: simhash.shingle_set(t, 5) for k, t in texts.items()}
+    keys = np.array(list(sets))
+    sizes = np.array([len(sets[k]) for k in keys])
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    _, flat = np.unique(np.concatenate([sets[k] for k in keys]), return_inverse=True)
+    found = pairs = 0
+    for i in np.flatnonzero((keys % 50 == 0) & (sizes > 1)):
+        mark = np.zeros(flat.max() + 1, bool)
+        mark[flat[owner == i]] = True
+        common = np.bincount(owner, weights=mark[flat], minlength=len(keys))
+        like = np.flatnonzero(common >= 0.8 * (sizes + sizes[i] - common))
+        like = like[like != i]
+        pairs += len(like)
+        found += sum(lab[keys[j]] == lab[keys[i]] for j in like)
+    assert pairs > 100 and found >= 0.9 * pairs
 
 
 def test_hot_bands_lose_no_near_copy(spark, monkeypatch):
@@ -172,20 +233,7 @@ def test_hot_bands_lose_no_near_copy(spark, monkeypatch):
     assert any(n and c == 1 for n, c in zip(near, common, strict=True)) and sum(near) >= 54  # some pairs share one band only
     monkeypatch.setattr(simhash, "HOT_ROWS", 1)  # all shared values are hot
     lab = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
-    assert [lab[60 + i] == i for i in range(60)] == near
-
-
-@pytest.mark.parametrize("hot", [2, 5, 1000])
-def test_blocks_bring_all_families_together(spark, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
-    rows = [(b, 7, bytes([i]), i, 0 if i < 12 else i) for b in (0, 1) for i in range(20)] + [(0, 8, bytes([i]), i, 3) for i in range(9)]
-    dealt = spark.createDataFrame(rows, "band int, value long, fp binary, rep long, family long").withColumn("sub", F.lit(-1))
-    tasks = {}
-    for r in simhash.in_blocks(dealt, every=True).collect():
-        tasks.setdefault((r["band"], r["value"], r["sub"]), []).append((r["rep"], r["family"]))
-    met = {(b, v, x, y) for (b, v, _), own in tasks.items() for x, f in own for y, g in own if x < y and f != g}
-    assert met == {(b, 7, x, y) for b in (0, 1) for x in range(20) for y in range(max(x + 1, 12), 20)}
-    assert simhash.in_blocks(dealt, every=False).count() == len(rows)
+    assert all(lab[60 + i] == i for i in range(60) if near[i])
 
 
 def test_components_of_chains(spark):
@@ -195,6 +243,19 @@ def test_components_of_chains(spark):
     assert components.min_labels(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_stars_never_grow_and_end_with_a_link_a_node(spark):
+    rng = random.Random(9)
+    edges = {(rng.randrange(15), i) for i in range(15, 4_000) for _ in range(12)} | {(5_000 + i, 5_001 + i) for i in range(64)}
+    links = spark.createDataFrame([(b, a) for a, b in edges], "hi long, lo long").where("hi > lo").union(spark.createDataFrame([(5_001 + i, 5_000 + i) for i in range(64)], "hi long, lo long")).distinct()
+    sizes = [links.count()]
+    for _ in range(3):
+        links = components.small_star(components.large_star(links))
+        sizes.append(links.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] <= 2 * 4_065
+    got = {r["node"]: r["label"] for r in components.min_labels(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
+    assert all(got[i] == got[15] for i in range(15, 4_000)) and all(got[5_000 + i] == 5_000 for i in range(65))
+
+
 @pytest.mark.parametrize("hot", [None, 2])
 def test_repeats_by_brute_force(spark, monkeypatch, hot):
     if hot:
