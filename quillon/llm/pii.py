@@ -11,6 +11,7 @@ Offsets are code points, end exclusive. Null and empty texts give no spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -36,12 +37,21 @@ _HOMOGLYPHS = dict(
     )
 )
 _INVISIBLE = "​‌‍⁠﻿­"
-_DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_WORD = "(?:" + "|".join(_DIGITS) + ")"
-# Last parts of host names that a spoken address must end with.
+# Spelled digits from 0 to 9 in English, German, French and Spanish.
+_SPELLED = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_DIGITS = {w: str(i) for line in _SPELLED for i, w in enumerate(line.split())} | {"oh": "0"}
+_WORD = "(?:" + "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w))) + ")"
+_RUN = rf"\b(?:(?i:plus)[\x20-])?(?i:{_WORD})(?:[\x20,-]{{1,2}}(?i:{_WORD}))*\b"
+# Common last parts of host names, taken whatever stands before; words that are no host, and words that end none unless listed.
 _TOP = "com|org|net|edu|gov|info|biz|io|ai|dev|app|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|au|ca|mx"
-#: So many spelled digits in a row count as a number.
-SPELLED_RUN = 7
+_NO_HOST = "the|a|an|this|that|these|those|each|every|any|some|one|which|what|his|her|its|our|their|my|your"
+_NO_TOP = "on|of|and|or|is|was|were|are|the|to|as|by|if|with|for|from|that|this|he|she|they|we|you|not|but|so"
+_HOST = rf"(?:(?!(?i:{_NO_HOST})\b)[A-Za-z0-9-]{{1,63}}[\x20\t]{{1,3}}(?i:dot)[\x20\t]{{1,3}}){{1,4}}(?:(?i:{_TOP})|(?!(?i:{_NO_TOP})\b)[A-Za-z]{{2,24}})\b"
 
 
 def _char_table() -> dict[str, str]:
@@ -54,14 +64,29 @@ def _char_table() -> dict[str, str]:
 _CHARS = _char_table()
 _RULES = re.compile(
     "(?P<char>[" + "".join(map(re.escape, _CHARS)) + "])"
-    r"|(?P<at>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:at|arroba)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
+    r"|(?P<at>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:at|arroba|arobase)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
     r"|(?P<dot>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:dot|punto|point|punkt)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
-    r"|(?P<at2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:at)[\x20\t]{1,3}(?=(?:[A-Za-z0-9-]{1,63}[\x20\t]{1,3}(?i:dot)[\x20\t]{1,3}){1,4}"
-    + rf"(?i:{_TOP})\b))"
-    r"|(?P<dot2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:dot)[\x20\t]{1,3}(?=[A-Za-z0-9]))"
-    rf"|(?P<spelled>\b(?:(?i:plus)[\x20-])?(?i:{_WORD})(?:[\x20,-]{{1,2}}(?i:{_WORD})){{{SPELLED_RUN - 1},}}\b)"
+    rf"|(?P<at2>(?<=[A-Za-z0-9])[\x20\t]{{1,3}}(?i:at)[\x20\t]{{1,3}}(?={_HOST}))"
+    r"|(?P<at3>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:arroba|arobase)[\x20\t]{1,3}(?=[A-Za-z0-9]))"
+    r"|(?P<dot2>(?<=[A-Za-z0-9])[\x20\t]{1,3}(?i:dot|punto|punkt)[\x20\t]{1,3}(?=[A-Za-z0-9]))"
+    rf"|(?P<spelled>{_RUN})"
 )
-_TRIGGER = re.compile("[" + "".join(map(re.escape, _CHARS)) + r"]|[\[({<][\x20\t]{0,3}(?i:at|arroba|dot|punto|point|punkt)[\x20\t]{0,3}[\])}>]|\x20(?i:dot)\x20" + rf"|(?:(?i:{_WORD})[\x20,-]{{1,2}}){{3}}", re.ASCII)
+# What a text, in lower case, without any disguise that the rules could turn into an identifier does not hold.
+_ODD_CHAR = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]")
+_SIGN = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|arroba|arobase|dot|punto|point|punkt)[\x20\t]{0,3}[\])}>]|[\x20\t](?:dot|punto|punkt|arroba|arobase)[\x20\t]")
+
+
+def _may_hide(text: str) -> bool:
+    low = text.lower()
+    if _ODD_CHAR.search(text) or _SIGN.search(low):
+        return True
+    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
+    if _DIGITS.keys().isdisjoint(words):
+        return False
+    digit = [w in _DIGITS or w[-1] in "0123456789" for w in words]  # two digits side by side, one of them spelled
+    return any(a and b and not (x[-1].isdigit() and y[-1].isdigit()) for a, b, x, y in zip(digit, digit[1:], words, words[1:], strict=False))
+
+
 _SPOKEN = re.compile(rf"(?i:{_WORD}|plus)")
 
 
@@ -136,7 +161,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
             for w in _SPOKEN.finditer(m[0]):
                 write(_DIGITS.get(w[0].lower(), "+"), m.start() + w.start(), m.start() + w.end())
         else:
-            write("@" if kind in ("at", "at2") else ".", *m.span())
+            write("@" if kind.startswith("at") else ".", *m.span())
     keep(at, len(text))
     return "".join(parts), starts, ends
 
@@ -144,15 +169,17 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: base and deobfuscated ones that no base span of their kind covers."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
+    if not _may_hide(text):
         return base, base
     plain, starts, ends = normalise(text)
     more = set()
-    covers = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    covers = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # of one kind, in order and apart
+    first = {k: [a for a, _ in v] for k, v in covers.items()}
     for kind, a, b in base_spans(plain):
-        span = (starts[a], ends[b - 1])
-        if not any(x <= span[0] and span[1] <= y for x, y in covers[kind]):
-            more.add((kind, *span))
+        start, end = starts[a], ends[b - 1]
+        at = bisect_right(first[kind], start) - 1
+        if at < 0 or covers[kind][at][1] < end:
+            more.add((kind, start, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(chain(base, more), key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -174,8 +201,10 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """key, n_<kind> of base spans, base and all spans as kind:start:end lists, and the redacted text.
 
-    Null text: no spans and a null redacted text. Repeated rows give a row each.
-    `keep` names further columns to carry along.
+    Null text: no spans and a null redacted text; empty text: no spans. Null keys
+    and repeated rows give a row each, an empty table none. `keep` names further
+    columns to carry along; others, whatever their names, are not read. Work and
+    memory grow with a text's length, however long.
     """
 
     def run(texts: list) -> list[list]:

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -40,8 +43,9 @@ ALLOWED = (
     re.compile(r"[A-Za-z_=+/-]+"),  # words, paths, identifiers without a digit
     re.compile(r"(?:[A-Za-z]+[/_-]){2,}[A-Za-z]*[0-9]{0,4}"),  # paths and slugs
     re.compile(r"[A-Za-z_/=+-]+[0-9]{1,4}"),  # a numbered name
-    re.compile(r"(?i)0123456789abcdef.*|.*(?:abcdefghij|example|placeholder|changeme|xxxxxx).*"),
 )
+#: Parts of a string that are there to be replaced: what is left beside them is judged by itself.
+_PLACEHOLDER = re.compile(r"(?i:0123456789abcdef|abcdefghij|example|placeholder|changeme|x{6,})")
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -68,31 +72,36 @@ def window_entropies(s: str, width: int = WINDOW) -> list[float]:
     return out
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(start, string) of the strings to be scanned: candidates that no allow-list rule explains, without placeholders in them."""
+    for cand in _CANDIDATE.finditer(text):
+        if any(rule.fullmatch(cand[0]) for rule in ALLOWED):
+            continue
+        at = cand.start()
+        for stop in [*_PLACEHOLDER.finditer(cand[0]), None]:
+            end = cand.start() + stop.start() if stop else cand.end()
+            if end - at >= WINDOW:
+                yield at, text[at:end]
+            at = cand.start() + stop.end() if stop else at
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
-    """Maximal unions of high-entropy windows in candidates that no allow-list rule explains."""
+    """Maximal unions of high-entropy windows of the candidates."""
     found = []
-    for cand in _CANDIDATE.finditer(text):
-        s = cand[0]
-        if not _DIGIT.search(s) or not (_LOWER.search(s) or _UPPER.search(s)) or any(rule.fullmatch(s) for rule in ALLOWED):
+    for start, s in candidates(text):
+        if not _DIGIT.search(s) or not (_LOWER.search(s) or _UPPER.search(s)):
             continue
-        spans: list[tuple[int, int]] = []
+        spans = []
         for _, chars, least in CLASSES:
             for run in chars.finditer(s):
-                if not _DIGIT.search(run[0]):
-                    continue
-                for i, h in enumerate(window_entropies(run[0])):
-                    if h >= least:
-                        a = cand.start() + run.start() + i
-                        if spans and spans[-1][0] <= a <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], a + WINDOW))
-                        else:
-                            spans.append((a, a + WINDOW))
+                if _DIGIT.search(run[0]):
+                    spans += [start + run.start() + i for i, h in enumerate(window_entropies(run[0])) if h >= least]
         merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
+        for a in sorted(spans):
             if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+                merged[-1] = (merged[-1][0], a + WINDOW)
             else:
-                merged.append((a, b))
+                merged.append((a, a + WINDOW))
         found += [(ENTROPY, a, b) for a, b in merged]
     return found
 
@@ -115,12 +124,18 @@ def _by_start(span: tuple[str, int, int]) -> tuple[int, int, int]:
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and those with entropy spans that no base span covers."""
     base = base_spans(text)
-    more = [s for s in entropy_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    first, reach = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))  # how far base spans that start no later go
+    more = [s for s in entropy_spans(text) if not (at := bisect_right(first, s[1])) or reach[at - 1] < s[2]]
     return base, sorted([*base, *more], key=_by_start) if more else base
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_<kind> of base spans, base spans and all spans as kind:start:end lists. One row per input row."""
+    """key, n_<kind> of base spans, base spans and all spans as kind:start:end lists. One row per input row.
+
+    Null and empty texts have no spans; null keys and repeated rows give a row
+    each, an empty table none. Other columns, whatever their names, are not
+    read. Work grows with a text's length, however long.
+    """
 
     def run(texts: list) -> list[list]:
         rows = []
