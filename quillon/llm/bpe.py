@@ -2,13 +2,17 @@
 
 A rolling hash over the last characters cuts a text where its low bits are zero,
 so equal passages of different documents give equal chunks wherever they stand.
-The inside of a chunk, between its first and last safe cut (a space or a line
-feed), is encoded once and reused. The fragment before a join and the one after
-it are re-encoded together, and the window of re-encoding widens, chunk by
-chunk, until it ends at a safe cut on both sides. No token, added token,
-normalisation or pre-token spans a safe cut, so there the encoding agrees
-exactly with that of the whole text. New chunks are taken apart at safe cuts,
-and only strings not seen before reach the tokenizer.
+A chunk is encoded once and reused; at the join of two chunks a window around it
+is re-encoded and widened until it agrees with its surroundings.
+
+What agreement takes depends on the tokenizer. Where white space is dropped
+before tokens are made (which is tried out when the file is read), a window
+that ends at a space or a line feed on both sides agrees by itself, so a
+chunk's inside, between its first and last such cut, is reused and new chunks
+are taken apart at them: only words not seen before reach the tokenizer. For any
+other tokenizer the ids are compared: the window is that of some tokens on
+either side, and it is doubled until its first ids are those of what stands
+before the join and its last ids those of the chunk after it.
 """
 
 from __future__ import annotations
@@ -48,12 +52,8 @@ def cuts(text: str) -> np.ndarray:
 class ChunkCoder:
     """Encodes texts to (count, ids joined by a space, decoded text) with reuse of chunks and words."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         self.separator = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)), None)
         self.cut = self.tokenizer.token_to_id(self.separator) if self.separator else None
         size = self.tokenizer.get_vocab_size()
@@ -159,15 +159,96 @@ class ChunkCoder:
         return [self._join([self.chunks[s] if inside else words[s] for inside, s in plan]) for plan in plans]
 
 
+#: Tokens on either side of a join that are encoded again at first; ids that must agree at either end of the window.
+JOIN, AGREE = 16, 4
+
+
+class JoinCoder:
+    """As ChunkCoder, for any tokenizer: joins are repaired until the ids agree."""
+
+    def __init__(self, tokenizer) -> None:
+        from tokenizers.processors import ByteLevel
+
+        self.tokenizer = tokenizer
+        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # adds no ids; offsets take in the white space of a token
+        self.chunks: dict[str, tuple[list, list]] = {}
+        self.old_chunks, self.chunk_chars = self.chunks, 0
+
+    def _tokens(self, text: str) -> tuple[list[int], list[int]]:
+        """ids, and the place behind each."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return e.ids, [b for _, b in e.offsets]
+
+    def _chunk(self, chunk: str) -> tuple[list[int], list[int]]:
+        if (got := self.chunks.get(chunk)) is None:
+            got = self.old_chunks.get(chunk) or self._tokens(chunk)
+            if self.chunk_chars > CACHE_CHARS // 2:
+                self.old_chunks, self.chunks, self.chunk_chars = self.chunks, {}, 0
+            self.chunks[chunk] = got
+            self.chunk_chars += len(chunk)
+        return got
+
+    def _joined(self, text: str) -> list[int]:
+        ids, ends, at = [], [], 0
+        for stop in [*cuts(text).tolist(), len(text)]:
+            new, new_ends = self._chunk(text[at:stop])
+            reach = JOIN if ids else 0
+            while reach:
+                i, j = max(0, len(ids) - reach), min(len(new), reach)
+                start, end = (ends[i - 1] if i else 0), (at + new_ends[j - 1] if 0 < j < len(new) else stop)
+                window, window_ends = self._tokens(text[start:end])
+                before = i == 0 or (window[:AGREE] == ids[i : i + AGREE] and [start + x for x in window_ends[:AGREE]] == ends[i : i + AGREE])
+                behind = j == len(new) or (window[-AGREE:] == new[j - AGREE : j] and [start + x for x in window_ends[-AGREE:]] == [at + x for x in new_ends[j - AGREE : j]])
+                if before and behind:
+                    ids[i:], ends[i:] = window, [start + x for x in window_ends]
+                    new, new_ends = new[j:], new_ends[j:]
+                    break
+                reach *= 2
+            ids += new
+            ends += [at + x for x in new_ends]
+            at = stop
+        return ids
+
+    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        made = [self._joined(t) for t in texts]
+        return [(len(i), " ".join(map(str, i)), self.tokenizer.decode(i, skip_special_tokens=False)) for i in made]
+
+
+def drops_space(tokenizer) -> bool:
+    """Whether white space only parts words: no token, added token or normalisation reaches across it."""
+    if tokenizer.pre_tokenizer is None:
+        return False
+    if any(t.lstrip or t.rstrip or _SAFE.search(t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    sample = "a b\nc  d \n e"
+    plain = tokenizer.normalizer.normalize_str(sample) if tokenizer.normalizer else sample
+    return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(plain)] == list("abcde")
+
+
+def coder(path: str) -> ChunkCoder | JoinCoder:
+    """The coder that fits a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return ChunkCoder(tokenizer) if drops_space(tokenizer) else JoinCoder(tokenizer)
+
+
 @lru_cache(maxsize=2)
-def _coder(path: str) -> ChunkCoder:
-    return ChunkCoder(path)
+def _coder(path: str) -> ChunkCoder | JoinCoder:
+    return coder(path)
 
 
 def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """key, n_tokens, ids_text (decimal ids joined by a space), decoded of every row; null counts as empty.
+    """key, n_tokens, ids_text (decimal ids joined by a space), decoded of every row.
 
-    `tokenizer` is the path of a tokenizer file, present on every executor.
+    `tokenizer` is the path of a tokenizer file, present on every executor; ids
+    are those of the tokenizers library for the whole text, without special
+    tokens. Null counts as empty: no ids and an empty decoded text. Null keys and
+    repeated rows give a row each, an empty table none. Columns other than
+    `keep`, whatever their names, are not read. A very long text is held whole
+    with its ids in one task.
     """
 
     def run(texts: list) -> list[list]:
