@@ -48,6 +48,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.written(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        F.round(sketch.distinct_shingles(F.col("sketch")), 3).alias("n_shingles"),
+        F.round(sketch.containment(F.col("sketch"), F.col("edited_sketch")), 6).alias("contained"),
     )
 
 

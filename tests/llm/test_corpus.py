@@ -322,6 +322,31 @@ def test_sketch_estimates(spark):
     assert [g["r"] for g in got[1:]] == [1.0, 1.0, 0.0, 1.0] and got[1]["n"] == 1 and got[2]["n"] == 0
 
 
+def test_fingerprints_by_brute_force(spark):
+    """op5 on all documents: edited texts exactly; likeness, containment and counts exactly up to K shingles, near the truth beyond."""
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, D, "documents").collect()}
+    order = sorted(docs, reverse=True)
+
+    def shingles(t):
+        w = [x for x in t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    off = {"near_edited": [], "near_next": [], "contained": []}
+    for r in queries.op5_fingerprints(spark, D).collect():
+        text, after = docs[r["doc_id"]], docs[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = shingles(text), shingles(edited), shingles(after)
+        for name, got, want, both in (("near_edited", r["near_edited"], like(a, b), a | b), ("near_next", r["near_next"], like(a, c), a | c)):
+            off[name].append(abs(got - want))
+            assert abs(got - want) < (1e-9 if len(both) < sketch.K else 0.3)
+        off["contained"].append(abs(r["contained"] - (len(a & b) / len(a) if a else 1.0)))
+        assert r["n_shingles"] == len(a) if len(a) < sketch.K else abs(r["n_shingles"] / len(a) - 1) < 0.6
+    assert all(sum(v) / len(v) < 0.06 for v in off.values())
+
+
 def test_sketches_merge_like_the_whole(spark):
     docs = spark.createDataFrame([("g", f"p{i} q r s t u v{i}") for i in range(60)], "g string, text string")
     parts = sketch.merged(sketch.sketches(docs), ["g"]).head()["sketch"]

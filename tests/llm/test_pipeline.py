@@ -49,7 +49,7 @@ def test_pii_stage_redacts(stages):
 
 
 def test_last_stage_encodes(stages):
-    coder = bpe.ChunkCoder(queries.tokenizer_path())
+    coder = bpe.coder(queries.tokenizer_path())
     texts = {r["doc_id"]: r["text"] for r in stages[3].collect()}
     for r in stages[4].limit(40).collect():
         assert r["ids"] == coder.tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -58,6 +59,12 @@ def test_base_pii_is_the_plain_patterns():
         ("pay four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
         ("host １０.0.0.1!", "ip", "１０.0.0.1"),
         ("x a​b@c.de", "email", "a​b@c.de"),
+        ("mail jane\tat\texample\tdot\torg now", "email", "jane\tat\texample\tdot\torg"),
+        ("mail jan at pivo dot cz now", "email", "jan at pivo dot cz"),
+        ("escribe a ana arroba correo punto cl", "email", "ana arroba correo punto cl"),
+        ("host one nine two dot one six eight dot one dot one ok", "ip", "one nine two dot one six eight dot one dot one"),
+        ("ruf plus vier neun 30 eins zwei drei 456 an", "phone", "plus vier neun 30 eins zwei drei 456"),
+        ("tel +33 un deux trois 45 six sept", "phone", "+33 un deux trois 45 six sept"),
     ],
 )
 def test_disguises_map_back(text, kind, span):
@@ -68,13 +75,20 @@ def test_disguises_map_back(text, kind, span):
 
 
 def test_plain_words_are_left_alone():
-    text = "She was at home, one or two of us. Look at the dot on the map."
+    text = "She was at home, one or two of us. Look at the dot on the map. One two three four five six seven eight, at a dot com fair; point at one dot and one more."
     assert pii.find_spans(text) == ([], []) and pii.redact(text, []) == text
 
 
 def test_pii_runs_in_linear_time():
     assert pii.find_spans("a" * 300_000) == ([], [])
     assert pii.find_spans("1" * 200_000)[0] == []
+    text = "a@b.org x at y dot zz one two three four " * 20_000  # every span is looked up among 20,000
+    start = time.perf_counter()
+    base, every = pii.find_spans(text)
+    assert len(base) == 20_000 and len(every) == 40_000 and time.perf_counter() - start < 10
+    start = time.perf_counter()
+    base, every = secrets.find_spans("token=abcdefghijkl0123 zK8fQ2mX9pLw3vB7nRt5yHc1dGs6jE4uA0 " * 20_000)
+    assert len(base) == 20_000 and len(every) == 40_000 and time.perf_counter() - start < 20
 
 
 def test_pii_rows(spark, odd):
@@ -112,6 +126,8 @@ def test_entropy_finds_and_allows():
     assert secrets.entropy_spans("key q7Zk9LmX2vTp4WrB8nYs1HdJ6 end")
     for fine in ("123e4567-e89b-12d3-a456-426614174000", "aVeryLongCamelCaseIdentifierName", "2024-01-02-03-04-05-06-07", "src/main/resources/application"):
         assert not secrets.entropy_spans(f"see {fine} end"), fine
+    assert not secrets.entropy_spans("see q7Zk9Lexample4WrB8nYs1 end")  # too little beside the placeholder
+    assert secrets.entropy_spans("see my-example-q7Zk9LmX2vTp4WrB8nYs1HdJ6 end")
     base, every = secrets.find_spans("token=q7Zk9LmX2vTp4WrB8nYs1HdJ6")
     assert base == every and base[0][0] == "assign"
 
@@ -129,6 +145,45 @@ def test_language_accuracy_on_held_out(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def plain_grams(text):
+    marked = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return [marked[i - 1 : i + 2] for i in range(1, len(marked) - 1) if marked[i] != " "]
+
+
+def test_language_by_brute_force(spark):
+    """Exact sets of n-grams instead of filters: the same counts but for false positives, and the same decisions."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    learn = docs.where(~langid.held_out(F.col("doc_id")))
+    model = langid.train(learn, sample_rows=1 << 30)
+    seen = {v: Counter() for v in model.languages}
+    for r in learn.where("lang is not null and text is not null").collect():
+        seen[r["lang"]].update(plain_grams(r["text"]))
+    rate = {}
+    for v, c in seen.items():
+        often = {g: n for g, n in c.items() if n >= langid.LEAST_COUNT}
+        total = sum(often.values())
+        rate[v] = {g: n / total for g, n in often.items()}
+    top = Counter()
+    for r in rate.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    own = {v: {g for g, x in r.items() if x >= langid.FAIR_SHARE * top[g]} for v, r in rate.items()}
+    texts = [r["text"] for r in docs.where("text is not null").collect()]
+    counts, total, _ = model.counts(texts)
+    pred, score = model.predict(texts)
+    same = 0
+    for i, t in enumerate(texts):
+        grams = plain_grams(t)
+        exact = [sum(g in own[v] for g in grams) for v in model.languages]
+        assert total[i] == len(grams) and all(abs(a - b) <= 0.05 * len(grams) + 3 for a, b in zip(counts[i], exact, strict=True))
+        if grams:
+            same += pred[i] == model.languages[max(range(len(exact)), key=lambda k: exact[k])]
+            assert abs(score[i] - max(exact) / len(grams)) < 0.1 or len(grams) < 40
+        else:
+            same += (pred[i], score[i]) == ("und", 0.0)
+    assert same >= 0.99 * len(texts)
+
+
 def test_language_rows(spark, odd):
     train = spark.createDataFrame([(i, t, v) for i in range(40) for t, v in (("the cat and the dog", "en"), ("der hund und die katze", "de"))], "doc_id long, text string, lang string")
     model = langid.train(train)
@@ -145,7 +200,7 @@ def test_grams_stay_in_their_text():
 
 @pytest.fixture(scope="module")
 def coder():
-    return bpe.ChunkCoder(queries.tokenizer_path())
+    return bpe.coder(queries.tokenizer_path())
 
 
 def test_bpe_equals_the_library(spark, coder):
@@ -157,6 +212,32 @@ def test_bpe_equals_the_library(spark, coder):
         assert plain == coder.tokenizer.decode(want, skip_special_tokens=False)
 
 
+def spaced_tokenizer(path):
+    """A vocabulary whose tokens begin with a space, and no pre-tokenizer: tokens reach across words."""
+    from tokenizers import Tokenizer, models
+
+    vocab = {t: i for i, t in enumerate(["a", "b", " ", " b", "ab", " a", "ab ", "aa", " b b", "\n", "é"])}
+    merges = [(" ", "b"), ("a", "b"), (" ", "a"), ("ab", " "), ("a", "a"), (" b", " b")]
+    Tokenizer(models.BPE(vocab, merges)).save(path)
+    return path
+
+
+@pytest.mark.parametrize("kind", ["bytes", "spaced"])
+def test_bpe_of_any_tokenizer_equals_the_library(spark, tmp_path, kind):
+    path = spaced_tokenizer(f"{tmp_path}/t.json") if kind == "spaced" else queries.tokenizer_path("byte_bpe_50k.json")
+    own = bpe.coder(path)
+    assert isinstance(own, bpe.JoinCoder)
+    rng = random.Random(6)
+    texts = ["a b b a", "", " ", "a" * 4000, " b" * 3000, "ab " * 2000]
+    texts += ["".join(rng.choice(["a", "b", " ", " b", "aa", "\n", "é"]) for _ in range(rng.randrange(3000))) for _ in range(60)]
+    if kind == "bytes":
+        texts += [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect() if r["text"]] + ["日本語😀 " * 700, "x" + " " * 900 + "y", "don't 12345 !!!### <|endoftext|> end"]
+    for text, (n, ids, plain) in zip(texts, own.encode(texts), strict=True):
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want))), text[:40]
+        assert plain == own.tokenizer.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_cuts_follow_content():
     passage = " ".join(str(i * i) for i in range(400))
     inside = lambda t: {s for is_in, s in bpe.ChunkCoder.pieces(t) if is_in}
@@ -166,7 +247,7 @@ def test_bpe_cuts_follow_content():
 
 def test_bpe_caches_are_bounded(coder, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_CHARS", 100)
-    small = bpe.ChunkCoder(queries.tokenizer_path())
+    small = bpe.coder(queries.tokenizer_path())
     for i in range(20):
         text = " ".join(f"w{i}x{j}" for j in range(30))
         assert small.encode([text]) == coder.encode([text])
