@@ -19,6 +19,10 @@ from quillon.session import checkpointed
 SEED = 17
 #: Share of all tokens that is asked for, and how often a document may be used.
 BUDGET_SHARE, MAX_EPOCHS = 0.6, 2
+#: Target weights of the registered query, by level and name; names that aren't listed weigh 1.
+TARGETS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "language": {"en": 5, "de": 3, "fr": 2}, "source": {"src3": 3, "src7": 2, "src11": 4}}
+#: Documents of a leaf from which its slices are sliced again.
+WIDE_LEAF = 1 << 24
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "language", "source_name")
 
@@ -82,7 +86,7 @@ def mix(
     lang: str = "lang",
     source: str = "source",
     domain: Column | None = None,
-    weights: Mapping[str, Mapping[str, int]] | None = None,
+    weights: Mapping[str, Mapping[str, int]] | None = None,  # by "domain", "language" and "source": name and weight, 1 for others
     budget_share: float = BUDGET_SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
@@ -93,10 +97,13 @@ def mix(
     copies: how often the whole document is used. partial_tokens: the tokens of
     the one document of a leaf at which its prefix ends (0 elsewhere). Null
     language and source are a leaf of their own, "(none)"; documents without
-    a token are never used. Repeated rows count as documents of their own.
+    a token, null and empty texts among them, are never used. Repeated rows and
+    null keys count as documents of their own. An empty table gives no row.
+    Columns other than those named, whatever their names, are not read.
 
     A leaf may hold a third of all rows: its running total is taken in 4096
-    slices of the seeded hash, and slices are offset by their aggregated sums.
+    slices of the seeded hash, and slices are offset by their aggregated sums;
+    from WIDE_LEAF documents on each slice is parted into 4096 once more.
     """
     none = F.lit("(none)")
     named = docs.select(
@@ -108,19 +115,23 @@ def mix(
         *([F.struct(*keep).alias("row")] if keep else []),
     ).where("tokens > 0")
     whole, named = named, checkpointed(named.drop("row"))
-    leaves = checkpointed(budgets(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens")), budget_share, max_epochs, weights))
-    plan = leaves.select(*LEVELS, F.expr("budget div n_tokens").alias("epochs"), F.expr("budget % n_tokens").alias("rest"))
+    sized = checkpointed(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
+    leaves = checkpointed(budgets(sized.drop("n_docs"), budget_share, max_epochs, weights).join(sized.select(*LEVELS, "n_docs"), list(LEVELS)))
+    digits = F.when(F.col("n_docs") >= WIDE_LEAF, 6).otherwise(3)
+    plan = leaves.select(*LEVELS, F.expr("budget div n_tokens").alias("epochs"), F.expr("budget % n_tokens").alias("rest"), digits.alias("digits"))
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.join(plan, list(LEVELS))
         rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("__key").cast("string"), F.lit(""))).cast("binary")))
         # dealt by slice: the join above may have left a leaf in one place
-        return rows.withColumn("slice", F.substring("h", 1, 3)).repartition(*LEVELS, "slice")
+        return rows.withColumn("slice", F.substring("h", F.lit(1), F.col("digits"))).repartition(*LEVELS, "slice")
 
     seen = dealt(named)
     sums = seen.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    sums = checkpointed(sums.withColumn("top", F.substring("slice", 1, 3)))
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy(*LEVELS, "top").agg(F.sum("n").alias("n")).withColumn("base", before(LEVELS, "top")).drop("n")
+    sums = sums.withColumn("own", before((*LEVELS, "top"), "slice")).join(tops, [*LEVELS, "top"]).select(*LEVELS, "slice", (F.col("base") + F.col("own")).alias("offset"))
     if keep:
         seen = dealt(whole)
     ties = [F.xxhash64("row")] if keep else []
@@ -134,19 +145,23 @@ def mix(
     return out.where("copies > 0 or partial_tokens > 0")
 
 
-def oracle_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
-    """The same for equal weights, in DuckDB's SQL over `documents`."""
+def oracle_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: Mapping[str, Mapping[str, int]] | None = None) -> str:
+    """The same in DuckDB's SQL over `documents`."""
+
+    def weight(column: str, level: str) -> str:
+        own = (weights or {}).get(level, {})
+        return f"CASE {column} {' '.join(f"WHEN '{n}' THEN {w}" for n, w in own.items())} ELSE 1 END" if own else "1"
 
     def filled(src: str, parent: str, name: str) -> str:
         return f"""
-      SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), greatest(0.0, max(CASE WHEN NOT is_full THEN lvl END) OVER (PARTITION BY {parent}))) END AS budget
-      FROM (SELECT *, lvl >= CAST(cap AS DOUBLE) / 1 AS is_full FROM (
-        SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                  / count(*) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE), {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM ({src})))"""
-
-    top = filled(f"SELECT *, CAST(sum(n) OVER () AS DOUBLE) * {budget_share} AS have FROM (SELECT domain, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap, sum(n_tokens) AS n, 0 AS root FROM leaves GROUP BY domain)", "root", "domain")
-    mid = filled(f"SELECT a.*, t.budget AS have FROM (SELECT domain, language, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap FROM leaves GROUP BY 1, 2) a JOIN top t USING (domain)", "domain", "language")
-    low = filled(f"SELECT l.*, CAST(l.n_tokens * {max_epochs} AS BIGINT) AS cap, m.budget AS have FROM leaves l JOIN mid m USING (domain, language)", "domain, language", "source_name")
+      SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), greatest(0.0, max(CASE WHEN NOT is_full THEN lvl END) OVER (PARTITION BY {parent})) * weight) END AS budget
+      FROM (SELECT *, lvl >= CAST(cap AS DOUBLE) / weight AS is_full FROM (
+        SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM ({src})))"""
+
+    top = filled(f"SELECT *, CAST(sum(n) OVER () AS DOUBLE) * {budget_share} AS have FROM (SELECT domain, {weight('domain', 'domain')} AS weight, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap, sum(n_tokens) AS n, 0 AS root FROM leaves GROUP BY domain)", "root", "domain")
+    mid = filled(f"SELECT a.*, t.budget AS have FROM (SELECT domain, language, {weight('language', 'language')} AS weight, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap FROM leaves GROUP BY domain, language) a JOIN top t USING (domain)", "domain", "language")
+    low = filled(f"SELECT l.*, {weight('source_name', 'source')} AS weight, CAST(l.n_tokens * {max_epochs} AS BIGINT) AS cap, m.budget AS have FROM leaves l JOIN mid m USING (domain, language)", "domain, language", "source_name")
     levels = "domain, language, source_name"
     return f"""
 WITH named AS (

@@ -20,7 +20,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.TARGETS)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,4 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 20"""
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_repeats, op4_simhash, op5_fingerprints, op6_bpe, op7_secrets, op8_language_id, op9_pii, op10_lm_scores)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_nearest": OP2_SQL, "op10_lm_scores": ngram_lm.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(weights=mixing.TARGETS), "op2_nearest": OP2_SQL, "op10_lm_scores": ngram_lm.oracle_sql()}

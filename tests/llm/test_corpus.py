@@ -410,6 +410,13 @@ def test_mixing_fills_budgets_to_the_token(spark):
     assert got == want and m.groupBy("source_name").agg(F.count_if(F.col("partial_tokens") > 0).alias("n")).where("n > 1").count() == 0
 
 
+def test_mixing_of_wide_leaves_is_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "en", f"s{i % 2}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    plain = sorted(map(str, mixing.mix(docs, budget_share=0.7).collect()))
+    monkeypatch.setattr(mixing, "WIDE_LEAF", 10)
+    assert sorted(map(str, mixing.mix(docs, budget_share=0.7).collect())) == plain and len(plain) > 100
+
+
 def test_mixing_rows(spark, odd):
     rows = mixing.mix(odd, budget_share=1.0).collect()
     assert all(r["tokens"] > 0 for r in rows) and {r["doc_id"] for r in rows} <= {None, 6, 7, 8}
