@@ -19,6 +19,7 @@ BUCKETS = ("shallow", "medium", "deep")
 def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> Flow:
     f = Flow()
     hs = "chunk_id, hand_ix, street"
+    is_a = lambda kind, column="kind": f"{column} = '{kind}'"
     at = lambda s, e: f"CASE WHEN street = '{s}' THEN {e} END"
     f.step("hero", "SELECT chunk_id, min_by(hero_seat, hand_ix) FILTER (WHERE hero_seat IS NOT NULL) AS hero, count(*) AS n_hands FROM hand GROUP BY chunk_id")
     f.step("x0", f"SELECT a.*, h.hero, coalesce(a.seat = h.hero, FALSE) AS mine, a.kind IN {AGG} AS agg FROM act a JOIN hero h ON h.chunk_id = a.chunk_id")
@@ -34,9 +35,9 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     )
     # fold to aggression
     f.step("fta_h", f"SELECT {hs}, min_by(kind, act_ix) AS k FROM x WHERE mine AND hot = 1 GROUP BY {hs}")
-    f.step("fta", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r}')} AS n_{s}, {count_if(f'street = {s!r} AND k = {chr(39)}fold{chr(39)}')} AS f_{s}" for s in STREETS) + " FROM fta_h GROUP BY chunk_id")
+    f.step("fta", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r}')} AS n_{s}, {count_if(f'street = {s!r} AND {is_a("fold", "k")}')} AS f_{s}" for s in STREETS) + " FROM fta_h GROUP BY chunk_id")
     # aggression, per street and in all
-    f.step("af", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r} AND agg')} AS a_{s}, {count_if(f'street = {s!r} AND kind = {chr(39)}call{chr(39)}')} AS c_{s}" for s in STREETS) + " FROM x WHERE mine GROUP BY chunk_id")
+    f.step("af", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r} AND agg')} AS a_{s}, {count_if(f'street = {s!r} AND {is_a("call")}')} AS c_{s}" for s in STREETS) + " FROM x WHERE mine GROUP BY chunk_id")
     # flags of a hand's preflop
     flag = lambda c: f"max(CASE WHEN {c} THEN 1 ELSE 0 END)"
     f.step("pre_h", f"SELECT chunk_id, hand_ix, {flag(f'mine AND kind IN {VOLUNTARY}')} AS vpip, {flag(f'mine AND kind IN {RAISE}')} AS pfr, {flag(f'mine AND kind IN {RAISE} AND raised >= 1')} AS three, {flag(f'mine AND kind IN {RAISE} AND raised = 0')} AS opened FROM x WHERE street = 'preflop' GROUP BY chunk_id, hand_ix")
@@ -44,33 +45,33 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     f.step("pres", "SELECT chunk_id, " + ", ".join(f"avg({c}) AS {c}, stddev_pop({c}) AS {c}_s" for c in ("vpip", "pfr", "three", "opened")) + ", stddev_pop(CASE WHEN vpip = 1 THEN pfr END) AS ratio_s FROM pre GROUP BY chunk_id")
     # giving up after the flop
     f.step("fl_h", f"SELECT chunk_id, hand_ix, min_by(kind, act_ix) AS k0, min(act_ix) AS i0, max(CASE WHEN kind = 'fold' THEN act_ix END) AS fold_at FROM x WHERE mine AND street = 'flop' GROUP BY chunk_id, hand_ix")
-    f.step("fl", f"SELECT q.chunk_id, count(*) AS saw, {count_if('h.hero_won')} AS won, {count_if('p.pfr = 1')} AS chances, {count_if(f'p.pfr = 1 AND q.k0 IN {AGG} AND q.fold_at > q.i0')} AS gave, {count_if(chr(113) + '.k0 = ' + chr(39) + 'check' + chr(39))} AS checked, {count_if('q.k0 = ' + chr(39) + 'check' + chr(39) + ' AND q.fold_at > q.i0')} AS check_fold FROM fl_h q JOIN hand h ON h.chunk_id = q.chunk_id AND h.hand_ix = q.hand_ix JOIN pre p ON p.chunk_id = q.chunk_id AND p.hand_ix = q.hand_ix GROUP BY q.chunk_id")
+    f.step("fl", f"SELECT q.chunk_id, count(*) AS saw, {count_if('h.hero_won')} AS won, {count_if('p.pfr = 1')} AS chances, {count_if(f'p.pfr = 1 AND q.k0 IN {AGG} AND q.fold_at > q.i0')} AS gave, {count_if(is_a("check", "q.k0"))} AS checked, {count_if(is_a("check", "q.k0") + " AND q.fold_at > q.i0")} AS check_fold FROM fl_h q JOIN hand h ON h.chunk_id = q.chunk_id AND h.hand_ix = q.hand_ix JOIN pre p ON p.chunk_id = q.chunk_id AND p.hand_ix = q.hand_ix GROUP BY q.chunk_id")
     # sizes
     snap = "(" + " OR ".join(f"abs(ratio - {t}) <= 0.05 * {t}" for t in SNAP) + ")"
     f.step("sz", f"SELECT chunk_id, stddev_pop(ratio) AS s, {share(snap)} AS snap, " + ", ".join(f"stddev_pop({at(s, 'ratio')}) AS s_{s}, avg({at(s, 'ratio')}) AS m_{s}, avg({at(s, f'CAST({snap} AS INT)')}) AS n_{s}" for s in STREETS) + " FROM x WHERE ratio IS NOT NULL GROUP BY chunk_id")
     f.step("rt", f"SELECT chunk_id, count(*) AS n, count(DISTINCT {d.rint('raise_to * 1000')}) AS u FROM x WHERE mine AND agg AND raise_to > 0 GROUP BY chunk_id")
     # hero's share of aggression by hand and street
-    f.step("hs", f"SELECT {hs}, count(*) AS n, avg(CAST(agg AS INT)) AS q, {count_if('agg')} AS b, {count_if(chr(107) + 'ind = ' + chr(39) + 'check' + chr(39))} AS c FROM x WHERE mine GROUP BY {hs}")
+    f.step("hs", f"SELECT {hs}, count(*) AS n, avg(CAST(agg AS INT)) AS q, {count_if('agg')} AS b, {count_if(is_a("check"))} AS c FROM x WHERE mine GROUP BY {hs}")
     f.step("tr", "SELECT chunk_id, " + ", ".join(f"coalesce(avg({at(s, 'q')}), 0) AS q_{s}" for s in STREETS) + " FROM hs GROUP BY chunk_id")
     rate = "CASE WHEN b + c > 0 THEN CAST(b AS DOUBLE) / (b + c) END"
-    f.step("cb", "SELECT chunk_id, " + ", ".join(f"coalesce({div(f'sum({at(s, chr(98))})', f'sum({at(s, 'b + c')})')}, 0) AS r_{s}, coalesce(stddev_pop({at(s, rate)}), 0) AS s_{s}, avg({at(s, rate)}) AS m_{s}" for s in POST) + " FROM hs GROUP BY chunk_id")
+    f.step("cb", "SELECT chunk_id, " + ", ".join(f"coalesce({div(f'sum({at(s, "b")})', f'sum({at(s, "b + c")})')}, 0) AS r_{s}, coalesce(stddev_pop({at(s, rate)}), 0) AS s_{s}, avg({at(s, rate)}) AS m_{s}" for s in POST) + " FROM hs GROUP BY chunk_id")
     # halves of a chunk
     f.step("hf", "SELECT h.chunk_id, h.hand_ix, h.hand_ix < floor(CAST(k.n_hands AS DOUBLE) / 2) AS early FROM hand h JOIN hero k ON k.chunk_id = h.chunk_id WHERE k.n_hands >= 4")
     two = lambda e: (f"coalesce(avg(CASE WHEN early THEN {e} END), 0)", f"coalesce(avg(CASE WHEN NOT early THEN {e} END), 0)")
     cols = lambda name, e: f"{two(e)[0]} AS {name}_0, {two(e)[1]} AS {name}_1"
     f.step("dr_h", f"SELECT f.chunk_id, {cols('vpip', 'p.vpip')}, {cols('pfr', 'p.pfr')} FROM hf f JOIN pre p ON p.chunk_id = f.chunk_id AND p.hand_ix = f.hand_ix GROUP BY f.chunk_id")
-    f.step("dr_a", f"SELECT f.chunk_id, {cols('agg', 'CAST(x.agg AS INT)')}, {cols('fold', 'CAST((x.kind = ' + chr(39) + 'fold' + chr(39) + ') AS INT)')}, {cols('size', 'x.ratio')} FROM hf f JOIN x ON x.chunk_id = f.chunk_id AND x.hand_ix = f.hand_ix WHERE x.mine GROUP BY f.chunk_id")
+    f.step("dr_a", f"SELECT f.chunk_id, {cols('agg', 'CAST(x.agg AS INT)')}, {cols('fold', f'CAST(({is_a("fold", "x.kind")}) AS INT)')}, {cols('size', 'x.ratio')} FROM hf f JOIN x ON x.chunk_id = f.chunk_id AND x.hand_ix = f.hand_ix WHERE x.mine GROUP BY f.chunk_id")
     # the very next action
-    f.step("pb", f"SELECT chunk_id, hand_ix, street, {count_if(f'kind = {chr(39)}check{chr(39)}')} AS ct, {count_if(f'kind = {chr(39)}check{chr(39)} AND next_kind IN {AGG}')} AS cb, {count_if('agg')} AS vb, {count_if(f'agg AND next_kind IN {AGG}')} AS vr FROM x WHERE NOT mine AND next_mine AND street IN {IN_POST} GROUP BY {hs}")
-    f.step("pbs", "SELECT chunk_id, " + ", ".join(f"{div(f'sum({at(s, chr(99) + chr(98))})', f'sum({at(s, chr(99) + chr(116))})')} AS p_{s}, {div(f'sum({at(s, 'vr')})', f'sum({at(s, 'vb')})')} AS r_{s}, sum({at(s, 'ct')}) AS n_{s}, stddev_pop(CASE WHEN street = '{s}' AND ct > 0 THEN CAST(cb AS DOUBLE) / ct END) AS s_{s}" for s in POST) + " FROM pb GROUP BY chunk_id")
+    f.step("pb", f"SELECT chunk_id, hand_ix, street, {count_if(is_a("check"))} AS ct, {count_if(f'{is_a("check")} AND next_kind IN {AGG}')} AS cb, {count_if('agg')} AS vb, {count_if(f'agg AND next_kind IN {AGG}')} AS vr FROM x WHERE NOT mine AND next_mine AND street IN {IN_POST} GROUP BY {hs}")
+    f.step("pbs", "SELECT chunk_id, " + ", ".join(f"{div(f'sum({at(s, "cb")})', f'sum({at(s, "ct")})')} AS p_{s}, {div(f'sum({at(s, "vr")})', f'sum({at(s, "vb")})')} AS r_{s}, sum({at(s, 'ct')}) AS n_{s}, stddev_pop(CASE WHEN street = '{s}' AND ct > 0 THEN CAST(cb AS DOUBLE) / ct END) AS s_{s}" for s in POST) + " FROM pb GROUP BY chunk_id")
     f.step("rs", f"SELECT x.chunk_id, x.street, x.after_kind AS k, CASE WHEN x.pot_before / CASE WHEN h.bb > 0 THEN h.bb ELSE 0.02 END < 10 THEN 'small' ELSE 'big' END AS pot FROM x JOIN hand h ON h.chunk_id = x.chunk_id AND h.hand_ix = x.hand_ix WHERE NOT x.mine AND x.agg AND x.after_mine AND x.after_street = x.street AND x.street IN {STREETS}")
     f.entropy("rs_h", "rs", "k", by="chunk_id, street", kind="plain")
     f.entropy("rs_p", "rs", "k", by="chunk_id, street, pot", kind="plain")
     f.entropy("rs_post", "rs", "k", kind="plain", where=f"street IN {IN_POST}")
     f.step("rs_e", "SELECT chunk_id, " + ", ".join(f"max({at(s, 'h')}) AS h_{s}" for s in STREETS) + " FROM rs_h GROUP BY chunk_id")
     f.step("rs_d", "SELECT chunk_id, " + ", ".join(f"abs(coalesce(max(CASE WHEN street = '{s}' AND pot = 'big' THEN h END), 0) - coalesce(max(CASE WHEN street = '{s}' AND pot = 'small' THEN h END), 0)) AS d_{s}" for s in STREETS) + " FROM rs_p GROUP BY chunk_id")
-    is_k = lambda k: f"CAST((k IN {k}) AS INT)"
-    f.step("rs_n", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r}')} AS n_{s}, avg({at(s, is_k('(' + chr(39) + 'fold' + chr(39) + ')'))}) AS f_{s}, avg({at(s, is_k('(' + chr(39) + 'call' + chr(39) + ')'))}) AS c_{s}, avg({at(s, is_k(AGG))}) AS r_{s}" for s in STREETS) + " FROM rs GROUP BY chunk_id")
+    was = lambda cond: f"CAST(({cond}) AS INT)"
+    f.step("rs_n", "SELECT chunk_id, " + ", ".join(f"{count_if(f'street = {s!r}')} AS n_{s}, avg({at(s, was(is_a("fold", "k")))}) AS f_{s}, avg({at(s, was(is_a("call", "k")))}) AS c_{s}, avg({at(s, was(f"k IN {AGG}"))}) AS r_{s}" for s in STREETS) + " FROM rs GROUP BY chunk_id")
     # raise wars before the flop
     f.step("rw", "SELECT *, max(CASE WHEN mine AND agg THEN depth END) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own FROM x WHERE street = 'preflop'")
     f.step("rws", f"SELECT chunk_id, {count_if('mine AND depth = 3')} AS h4, {count_if('mine AND depth = 5')} AS h5, {count_if('NOT mine AND ((depth = 3 AND own = 2) OR (depth = 2 AND own = 1))')} AS f3, {count_if('NOT mine AND depth = 4 AND own = 3')} AS f4 FROM rw WHERE agg GROUP BY chunk_id")
@@ -100,7 +101,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     f.step("is0", "SELECT chunk_id, hand_ix, act_ix, mine, agg, kind, CASE WHEN street = lag(street) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix) THEN 0 ELSE 1 END AS new FROM x")
     f.step("is1", "SELECT *, sum(new) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM is0")
     f.step("is2", "SELECT *, min(CASE WHEN NOT mine THEN act_ix END) OVER (PARTITION BY chunk_id, hand_ix, isle ORDER BY act_ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS reply FROM is1")
-    f.step("vf", f"SELECT b.chunk_id, count(*) AS n, {share('r.kind = ' + chr(39) + 'fold' + chr(39))} AS f, {share('r.kind = ' + chr(39) + 'call' + chr(39))} AS c, {share('r.agg')} AS r FROM is2 b JOIN x0 r ON r.chunk_id = b.chunk_id AND r.hand_ix = b.hand_ix AND r.act_ix = b.reply WHERE b.mine AND b.agg GROUP BY b.chunk_id")
+    f.step("vf", f"SELECT b.chunk_id, count(*) AS n, {share(is_a("fold", "r.kind"))} AS f, {share(is_a("call", "r.kind"))} AS c, {share('r.agg')} AS r FROM is2 b JOIN x0 r ON r.chunk_id = b.chunk_id AND r.hand_ix = b.hand_ix AND r.act_ix = b.reply WHERE b.mine AND b.agg GROUP BY b.chunk_id")
 
     total = lambda t, p, streets: "(" + " + ".join(f"coalesce({t}.{p}_{s}, 0)" for s in streets) + ")"
     af = lambda s: f"coalesce({div(f'af.a_{s}', f'af.c_{s}')}, 0)"

@@ -1,28 +1,34 @@
 """The driver tables as hands, players and actions, so that feature sets run over them.
 
-Binding E, over `events`: a chunk is user_id mod 20, a hand half a day of it,
-the order is (ts, event_id), streets are quarters of the half day. Money is
-counted in whole cents, so that sums are the same in any order.
+Binding E, over `events`: a chunk is a table of six users, so chunks grow with
+the users, each of whom is a seat; a hand is half a day of a chunk, the order is
+(ts, event_id), streets are quarters of the half day. Money is counted in whole
+cents, so that sums are the same in any order.
 """
 
 from __future__ import annotations
 
 from quillon.functions.sql import Flow
 
-CHUNKS = 20
+SEATS = 6
 
 
 def events_as_hands() -> list[tuple[str, str]]:
     """Steps that make hand, play and act from a table `events`, in SQL that both engines read."""
     f = Flow()
-    f.step("ev", f"SELECT CAST(user_id % {CHUNKS} AS BIGINT) AS chunk_id, CAST(ts AS DATE) AS day, hour(ts) AS h, ts, event_id, user_id, event_type, CAST(round(value * 10) AS BIGINT) AS cents FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL")
+    f.step(
+        "ev",
+        f"""SELECT CAST(floor(user_id / {SEATS}.0) AS BIGINT) AS chunk_id, CAST(ts AS DATE) AS day, CAST(floor(hour(ts) / 12.0) AS INT) AS half, hour(ts) AS h, ts, event_id, user_id, event_type, CAST(round(value * 10) AS BIGINT) AS cents
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL""",
+    )
+    f.step("hn", "SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY day, half) - 1 AS hand_ix FROM (SELECT DISTINCT chunk_id, day, half FROM ev) d")
     f.step(
         "hx",
-        """SELECT *, dense_rank() OVER (PARTITION BY chunk_id ORDER BY day, CAST(floor(h / 12.0) AS INT)) - 1 AS hand_ix,
-        CASE CAST(floor((h % 12) / 3.0) AS INT) WHEN 0 THEN 'preflop' WHEN 1 THEN 'flop' WHEN 2 THEN 'turn' ELSE 'river' END AS street,
-        CAST(CAST(floor(user_id / 20.0) AS BIGINT) % 6 + 1 AS INT) AS seat,
+        f"""SELECT e.*, n.hand_ix, CASE CAST(floor((h % 12) / 3.0) AS INT) WHEN 0 THEN 'preflop' WHEN 1 THEN 'flop' WHEN 2 THEN 'turn' ELSE 'river' END AS street,
+        CAST(user_id % {SEATS} + 1 AS INT) AS seat,
         CASE WHEN event_id % 13 = 0 THEN 'small_blind' WHEN event_id % 17 = 0 THEN 'big_blind' WHEN event_type = 'error' THEN 'fold' WHEN event_type = 'view' THEN 'check' WHEN event_type = 'click' THEN 'call'
-             WHEN event_type = 'signup' THEN 'bet' WHEN event_id % 11 = 0 THEN 'all_in' ELSE 'raise' END AS kind FROM ev""",
+             WHEN event_type = 'signup' THEN 'bet' WHEN event_id % 11 = 0 THEN 'all_in' ELSE 'raise' END AS kind
+        FROM ev e JOIN hn n ON n.chunk_id = e.chunk_id AND n.day = e.day AND n.half = e.half""",
     )
     f.step(
         "ax",

@@ -77,8 +77,18 @@ FEATURE_QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+_BOUND: dict[tuple[str, str], HandTables] = {}
+
+
 def hands(spark: SparkSession, sf_dir: str) -> HandTables:
-    """The binding of `events` as tables, written once: feature sets read them many times."""
+    """The binding of `events` as tables, written once for each session and folder: feature sets read them many times."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _BOUND:
+        _BOUND[key] = _bind(spark, sf_dir)
+    return _BOUND[key]
+
+
+def _bind(spark: SparkSession, sf_dir: str) -> HandTables:
     ev = table(spark, sf_dir, "events")
     one = lambda name, steps, **t: materialised(Flow(last=f"SELECT * FROM {name}").frame(spark, steps, **t))
     steps = bindings.events_as_hands()

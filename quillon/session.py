@@ -23,11 +23,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave spark.checkpoint.dir as the cluster names it; set a folder only where none is named (tests)."""
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which the session's file system deletes when it closes; results may still read it till then."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, as the cluster names it in spark.checkpoint.dir.
+
+    Where none is named a local session gets a temporary one (tests); elsewhere
+    that would be a folder of the driver alone, so it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-ckpt-"))
+        gone_at_exit(spark, sc.getCheckpointDir())  # the session's own folder below the one named
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,10 +53,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the checkpoint folder, deleted when the session ends."""
+    return gone_at_exit(spark, f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared checkpoint folder and read back: for tables that a plan reads many times."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
