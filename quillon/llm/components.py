@@ -38,7 +38,8 @@ def min_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     its links cost. Each round is checkpointed; two sums reach the driver.
     """
     ends = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-    links = checkpointed(small_star(ends.distinct()))
+    links = checkpointed(ends.distinct())  # what finds the links runs once
+    links = checkpointed(small_star(links))
     state = _state(links)
     while state[0]:
         links = checkpointed(small_star(large_star(links)))

@@ -23,6 +23,8 @@ BUDGET_SHARE, MAX_EPOCHS = 0.6, 2
 TARGETS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "language": {"en": 5, "de": 3, "fr": 2}, "source": {"src3": 3, "src7": 2, "src11": 4}}
 #: Documents of a leaf from which its slices are sliced again.
 WIDE_LEAF = 1 << 24
+#: Leaves up to which their plan, a short row for each, goes to all machines; beyond, it is joined by a shuffle.
+FEW_LEAVES = 50_000
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "language", "source_name")
 
@@ -66,7 +68,7 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
-    """Leaves (LEVELS, n_tokens) with `budget` in tokens."""
+    """Leaves (LEVELS, n_tokens, ...) with `budget` in tokens."""
     weights = weights or {}
     leaves = leaves.withColumn("cap", F.col("n_tokens") * max_epochs)
     top = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("n_tokens").alias("n")).withColumn("root", F.lit(0))
@@ -76,7 +78,7 @@ def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: Ma
     mid = fill(mid.join(top.select("domain", F.col("budget").alias("have")), "domain"), ["domain"], "language")
     low = leaves.withColumn("weight", _weight("source_name", weights.get("source")))
     low = fill(low.join(mid.select("domain", "language", F.col("budget").alias("have")), ["domain", "language"]), ["domain", "language"], "source_name")
-    return low.select(*LEVELS, "n_tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
+    return low.select(*LEVELS, *[c for c in leaves.columns if c not in (*LEVELS, "cap")], F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
 
 def mix(
@@ -115,10 +117,12 @@ def mix(
         *([F.struct(*keep).alias("row")] if keep else []),
     ).where("tokens > 0")
     whole, named = named, checkpointed(named.drop("row"))
-    sized = checkpointed(named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
-    leaves = checkpointed(budgets(sized.drop("n_docs"), budget_share, max_epochs, weights).join(sized.select(*LEVELS, "n_docs"), list(LEVELS)))
+    leaves = named.groupBy(*LEVELS).agg(F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
+    leaves = checkpointed(budgets(checkpointed(leaves), budget_share, max_epochs, weights))
     digits = F.when(F.col("n_docs") >= WIDE_LEAF, 6).otherwise(3)
     plan = leaves.select(*LEVELS, F.expr("budget div n_tokens").alias("epochs"), F.expr("budget % n_tokens").alias("rest"), digits.alias("digits"))
+    if leaves.count() <= FEW_LEAVES:
+        plan = F.broadcast(plan)
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.join(plan, list(LEVELS))
