@@ -8,6 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import quantiles
+from quillon.operators.drift import long_form
+
 CLIP = 1e-7
 
 
@@ -23,8 +26,10 @@ class QuantileMap:
         """From at most `most` quantiles of each column: a bounded number of values reaches the driver."""
         n = max(2, min(most, df.count()))
         levels = [i / (n - 1) for i in range(n)]
-        row = df.agg(*[F.percentile(c, F.array(*[F.lit(x) for x in levels])).alias(c) for c in columns]).head()
-        return cls(levels, {c: list(row[c] or []) for c in columns})
+        found: dict[str, list[float]] = {c: [] for c in columns}
+        for r in quantiles(long_form(df, columns), ["feature"], "x", levels).orderBy("feature", "level_ix").collect():
+            found[r["feature"]].append(r["quantile"])
+        return cls(levels, found)
 
     def rank(self, column: str) -> Column:
         """Rank in [0, 1] of a value, linear between quantiles; the middle of a flat stretch."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import quantiles, running
+
+MOST_RULES = 10_000
+
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, x): a row for each value; values that are no number are null."""
@@ -14,8 +18,8 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
 def out_of_domain(bench: DataFrame, live: DataFrame, columns: list[str], limit: float = 5.0, least: int = 20) -> DataFrame:
     """feature, z, robust: |mean live - mean bench| in sample standard deviations of bench.
 
-    Fewer than `least` values on a side: no z, not robust. No spread: z infinite
-    where means differ, else 0.
+    Fewer than `least` values on a side: no z, not robust. No spread: z is
+    infinite, not robust, even where means are equal.
     """
     a = long_form(bench, columns).groupBy("feature").agg(F.count("x").alias("na"), F.avg("x").alias("ma"), F.stddev_samp("x").alias("sa"))
     b = long_form(live, columns).groupBy("feature").agg(F.count("x").alias("nb"), F.avg("x").alias("mb"))
@@ -28,8 +32,10 @@ def out_of_domain(bench: DataFrame, live: DataFrame, columns: list[str], limit:
 def rule_filter(names: DataFrame, rules: DataFrame, column: str = "feature") -> DataFrame:
     """column, reason: the first rule (rank) that excludes a name, null if none does. rules: rank, kind exact|substring, pattern, reason.
 
-    Rules are a written list: broadcast.
+    Rules are a written list; more than MOST_RULES of them are an error, since each name is held against all.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     n = F.lower(F.col(column))
     hit = F.when(F.col("kind") == "exact", n == F.lower("pattern")).otherwise(n.contains(F.lower(F.col("pattern"))))
     found = names.join(F.broadcast(rules), hit, "left")
@@ -43,9 +49,8 @@ def screen(df: DataFrame, columns: list[str], label: str = "label", day: str | N
     """
     x = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("f")).select("y", "f.feature", "f.x").where("x is not null and not isnan(x)")
     steps = x.groupBy("feature", "x").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    w, all_of = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    cp, cn, tp, tn = F.sum("p").over(w), F.sum("n").over(w), F.sum("p").over(all_of), F.sum("n").over(all_of)
-    ranked = steps.select("feature", tp.alias("tp"), tn.alias("tn"), (F.col("p") * (cn - F.col("n") / 2.0)).alias("u"), F.abs(F.try_divide(cp.cast("double"), tp) - F.try_divide(cn.cast("double"), tn)).alias("gap"))
+    cp, cn, tp, tn = F.col("cp"), F.col("cn"), F.col("all_cp"), F.col("all_cn")
+    ranked = running(steps, ["feature"], ["x"], {"cp": "p", "cn": "n"}).select("feature", tp.alias("tp"), tn.alias("tn"), (F.col("p") * (cn - F.col("n") / 2.0)).alias("u"), F.abs(F.try_divide(cp.cast("double"), tp) - F.try_divide(cn.cast("double"), tn)).alias("gap"))
     return ranked.groupBy("feature").agg(F.try_divide(F.sum("u").cast("double"), (F.first("tp") * F.first("tn")).cast("double")).alias("auc"), F.max("gap").alias("ks"))
 
 
@@ -66,8 +71,9 @@ def select_features(columns: list[str], screened: DataFrame | None = None, prefi
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: the median of each column."""
-    return df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)).alias(c) for c in columns])
+    """One row: the median of each column, null for one without a value. Values are counted and ranked over range partitions."""
+    found = quantiles(long_form(df, columns), ["feature"], "x", [0.5])
+    return found.agg(*[F.max(F.when(F.col("feature") == c, F.col("quantile"))).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import quantiles, running
+
 
 def _safe(a: Column, b: Column, default: float | None = None) -> Column:
     out = F.try_divide(a.cast("double"), b.cast("double"))
@@ -18,10 +20,9 @@ def _safe(a: Column, b: Column, default: float | None = None) -> Column:
 def average_precision(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """by, ap: equal scores are one step; 0 without a positive. Scores are counted before they are ranked."""
     steps = df.groupBy(*by, score).agg(F.sum(label).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    total = F.sum("tp").over(Window.partitionBy(*by))
-    steps = steps.withColumn("part", _safe(F.col("tp"), total) * _safe(F.sum("tp").over(w), F.sum("n").over(w)))
-    return steps.groupBy(*by).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("ap"))
+    steps = running(steps, by, [F.desc(score)], {"hits": "tp", "asked": "n"})
+    part = _safe(F.col("tp"), F.col("all_hits")) * _safe(F.col("hits"), F.col("asked"))
+    return steps.groupBy(*by).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("ap"))
 
 
 def recall_at_fpr(df: DataFrame, by: list[str], order: str, score: str = "score", label: str = "label", most: float = 0.05) -> DataFrame:
@@ -29,14 +30,9 @@ def recall_at_fpr(df: DataFrame, by: list[str], order: str, score: str = "score"
 
     Ties are ranked by `order`. 0, 0 where a class is missing.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc(score), F.col(order))
-    all_of = Window.partitionBy(*by)
-    neg = F.lit(1) - F.col(label)
-    ranked = df.select(
-        *by,
-        _safe(F.sum(label).over(w), F.sum(label).over(all_of)).alias("recall"),
-        _safe(F.sum(neg).over(w), F.sum(neg).over(all_of)).alias("fpr"),
-    )
+    rows = df.select(*by, score, order, F.col(label).alias("__pos"), (F.lit(1) - F.col(label)).alias("__neg"))
+    ranked = running(rows, by, [F.desc(score), F.col(order)], {"hits": "__pos", "misses": "__neg"})
+    ranked = ranked.select(*by, _safe(F.col("hits"), F.col("all_hits")).alias("recall"), _safe(F.col("misses"), F.col("all_misses")).alias("fpr"))
     best = F.max(F.when(F.col("fpr") <= most, F.struct("recall", (-F.col("fpr")).alias("less"))))
     found = ranked.groupBy(*by).agg(best.alias("best"))
     return found.select(*by, F.coalesce("best.recall", F.lit(0.0)).alias("recall"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("fpr"))
@@ -72,16 +68,15 @@ def balance(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
 def threshold_scan(df: DataFrame, rates: list[float], score: str = "score", label: str = "label") -> DataFrame:
     """rate, threshold (the quantile 1 - rate of scores), n_tp, fpr, sanity, safe: for each rate of positives asked.
 
-    Thresholds come from one aggregate; rows are then counted once for all of them.
+    Thresholds come from counted scores; rows are then read once, with a pair of counts for each threshold in one aggregate.
     """
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(1 - r) for r in rates])).alias("cuts")).select(F.posexplode("cuts").alias("i", "threshold"))
-    cuts = cuts.withColumn("rate", F.element_at(F.array(*[F.lit(r) for r in rates]), F.col("i") + 1))
-    pairs = df.select(score, label).join(F.broadcast(cuts), F.lit(True), "cross")  # one row for each rate asked
-    hard, pos = F.col(score) >= F.col("threshold"), F.col(label) == 1
-    n = pairs.groupBy("rate", "threshold").agg(F.count_if(hard & pos).alias("n_tp"), F.count_if(hard & ~pos).alias("fp"), F.count_if(~pos).alias("n"))
+    cuts = quantiles(df, [], score, [1 - r for r in rates]).agg(F.array_sort(F.collect_list(F.struct("level_ix", "quantile"))).alias("cuts"))  # one row
+    hard, pos = lambda i: F.col(score) >= F.get("cuts", F.lit(i))["quantile"], F.col(label) == 1
+    counts = [F.struct(F.lit(float(r)).alias("rate"), F.max(F.get("cuts", F.lit(i))["quantile"]).alias("threshold"), F.count_if(hard(i) & pos).alias("n_tp"), F.count_if(hard(i) & ~pos).alias("fp")) for i, r in enumerate(rates)]
+    n = df.select(score, label).join(F.broadcast(cuts), F.lit(True), "cross").agg(F.count_if(~pos).alias("n"), F.array(*counts).alias("c")).select("n", F.explode("c").alias("c")).select("n", "c.*")
     fpr = _safe(F.col("fp"), F.col("n"), 0.0)
     sanity = F.when(F.col("n_tp") == 0, 0.0).when(fpr <= 0.10, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (fpr - 0.10) / 0.90))
-    return n.select("rate", "threshold", "n_tp", fpr.alias("fpr"), sanity.alias("sanity"), (fpr <= 0.10).alias("safe"))
+    return n.where("threshold is not null").select("rate", "threshold", "n_tp", fpr.alias("fpr"), sanity.alias("sanity"), (fpr <= 0.10).alias("safe"))
 
 
 def last_n(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
@@ -90,14 +85,21 @@ def last_n(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).withColumn("enough", F.count("*").over(Window.partitionBy(*by)) >= n).where(F.col("__r") <= n).drop("__r")
 
 
-def windowed_rewards(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """by, sample_count, ap, recall, fpr, reward of the last n predictions; zeros and fpr 1 where there are fewer than n."""
-    recent = last_n(df, by, order, n)
-    counts = recent.groupBy(*by).agg(F.count("*").alias("sample_count"), F.max("enough").alias("enough"))
+def windowed_rewards(df: DataFrame, by: list[str], order: str, n: int, coverage: str | None = None, latency: str | None = None) -> DataFrame:
+    """by, sample_count, ap, recall, fpr, reward of the last n predictions; zeros and fpr 1 where there are fewer than n.
+
+    With `coverage` also coverage_rate, its mean over those rows (0 without a
+    value), with `latency` latency_mean_seconds (null without one), of short
+    groups too. A window of under one is one.
+    """
+    recent = last_n(df, by, order, max(1, n))
+    means = ([F.coalesce(F.avg(coverage), F.lit(0.0)).alias("coverage_rate")] if coverage else []) + ([F.avg(latency).alias("latency_mean_seconds")] if latency else [])
+    counts = recent.groupBy(*by).agg(F.count("*").alias("sample_count"), F.max("enough").alias("enough"), *means)
     m = counts.join(average_precision(recent, by), by).join(recall_at_fpr(recent, by, order), by)
     pick = lambda c, other: F.when(F.col("enough"), F.col(c)).otherwise(F.lit(other)).alias(c)
     m = m.withColumn("reward", 0.75 * F.col("ap") + 0.25 * F.col("recall"))
-    return m.select(*by, "sample_count", pick("ap", 0.0), pick("recall", 0.0), pick("fpr", 1.0), pick("reward", 0.0))
+    extra = [c for c, on in (("coverage_rate", coverage), ("latency_mean_seconds", latency)) if on]
+    return m.select(*by, "sample_count", pick("ap", 0.0), pick("recall", 0.0), pick("fpr", 1.0), pick("reward", 0.0), *extra)
 
 
 def valid_responses(sent: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
@@ -131,6 +133,12 @@ def reward_summary(df: DataFrame, reward: str, others: list[str]) -> DataFrame:
     return df.agg(F.min(r).alias("reward_min"), F.max(r).alias("reward_max"), F.avg(r).alias("reward_mean"), F.count_if(r != 0).alias("reward_nonzero"), *[F.avg(c).alias(f"{c}_mean") for c in others])
 
 
+def drawn(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2^60 - 1 that follows from the MD5 of the parts, joined by colons: the same in every run and engine."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def day_bootstrap(days: DataFrame, day: str, fp: str, n: str, draws: int = 300, q: float = 0.95, seed: int = 0) -> DataFrame:
     """fpr_upper: quantile of the false-positive rate over draws of days with replacement; a day drawn twice counts once.
 
@@ -139,34 +147,26 @@ def day_bootstrap(days: DataFrame, day: str, fp: str, n: str, draws: int = 300,
     """
     listed = days.agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(fp).alias("f"), F.col(n).alias("n")))).alias("days"))  # days, not rows
     each = listed.select("days", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pick = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("days")), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), i), F.size("days")).cast("int") + 1))
-    drawn = each.select("draw", F.explode(F.transform(pick, lambda i: F.element_at("days", i))).alias("x"))
-    return drawn.groupBy("draw").agg(_safe(F.sum("x.f"), F.sum("x.n"), 0.0).alias("fpr")).agg(F.percentile("fpr", F.lit(q)).alias("fpr_upper"))
+    pick = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("days")), lambda i: F.pmod(drawn(seed, F.col("draw"), i), F.size("days")).cast("int") + 1))
+    taken = each.select("draw", F.explode(F.transform(pick, lambda i: F.element_at("days", i))).alias("x"))
+    return taken.groupBy("draw").agg(_safe(F.sum("x.f"), F.sum("x.n"), 0.0).alias("fpr")).agg(F.percentile("fpr", F.lit(q)).alias("fpr_upper"))
 
 
-def window_objective(df: DataFrame, fractions: list[float], windows: int = 66, size: int = 40, score: str = "score", label: str = "label", seed: int = 0) -> DataFrame:
+def window_objective(df: DataFrame, fractions: list[float], order: str = "ord", windows: int = 66, size: int = 40, score: str = "score", label: str = "label", seed: int = 0) -> DataFrame:
     """fraction, objective: mean reward_v2 of random windows less three times the share of windows with reward 0.
 
     A window holds round(size x fraction) positives and the rest negatives,
-    drawn by hashes of seed, fraction and window: the smallest hash of each
-    place's draw. Rows are numbered once in each class; a window looks up its
-    places, so no row is copied for windows that don't use it.
+    drawn with replacement by hashes of seed, fraction's index, window and
+    place. Each class is numbered once in the order of a hash of `order`, which
+    tells rows apart; a window looks up its places, so no row is copied for
+    windows that don't use it. A class without rows leaves its places out.
     """
-    spark = df.sparkSession
-    order = Window.partitionBy(label, "__part").orderBy(F.xxhash64(F.lit(seed), score, F.monotonically_increasing_id()))
-    parts = df.select(score, label).withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), score), F.lit(64)))
-    sizes = {(r[label], r["__part"]): r["count"] for r in parts.groupBy(label, "__part").count().collect()}  # two classes of 64 parts
-    totals = {c: sum(n for (k, _), n in sizes.items() if k == c) for c in (0, 1)}
-    base, run = {}, {0: 0, 1: 0}
-    for c, p in sorted(sizes):
-        base[(c, p)] = run[c]
-        run[c] += sizes[(c, p)]
-    offsets = spark.createDataFrame([(c, p, b) for (c, p), b in base.items()] or [(0, 0, 0)], f"{label} int, __part bigint, __base bigint")
-    numbered = parts.withColumn("__i", F.row_number().over(order) - 1).join(F.broadcast(offsets), [label, "__part"]).withColumn("__place", F.col("__base") + F.col("__i"))
-    asks = [(f, w, i, int(i < round(size * f))) for f in fractions for w in range(windows) for i in range(size)]
-    drawn = spark.createDataFrame(asks, f"fraction double, w int, ord int, {label} int")
-    total = F.when(F.col(label) == 1, F.lit(totals[1])).otherwise(F.lit(totals[0]))
-    drawn = drawn.where(total > 0).withColumn("__place", F.pmod(F.xxhash64(F.lit(seed), "fraction", "w", "ord"), total))
-    rows = numbered.join(drawn, [label, "__place"]).select("fraction", "w", "ord", score, label)
-    r = rewards(rows.withColumnsRenamed({score: "score", label: "label"}), ["fraction", "w"], "ord")
+    rows = df.select(score, label, F.lit(1).alias("one"), drawn(seed, F.col(order)).alias("h"), order)
+    numbered = running(rows, [label], ["h", order], {"place": "one"}).select(score, label, (F.col("place") - 1).alias("place"))
+    totals = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("total"))  # two rows
+    asks = [(k, f, w, i, int(i < round(size * f))) for k, f in enumerate(fractions) for w in range(windows) for i in range(size)]
+    asked = df.sparkSession.createDataFrame(asks, "k int, fraction double, w int, ord int, __label int").join(totals, "__label")
+    asked = asked.withColumn("place", F.pmod(drawn(seed, F.col("k"), F.col("w"), F.col("ord")), F.col("total")))
+    taken = numbered.withColumnRenamed(label, "__label").join(asked, ["__label", "place"]).select("fraction", "w", "ord", F.col(score).alias("score"), F.col("__label").alias("label"))
+    r = rewards(taken, ["fraction", "w"], "ord")
     return r.groupBy("fraction").agg((F.avg("reward_v2") - 3.0 * F.avg((F.col("reward_v2") == 0).cast("int"))).alias("objective"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,24 +15,67 @@ RECENT = 64
 REQUIRED = ("open_source", "repo_url", "repo_commit", "model_name", "model_version", "training_data_statement", "private_data_attestation")
 
 
-@F.pandas_udf(StringType())
-def canonical_json(text: pd.Series) -> pd.Series:
-    """JSON with sorted keys, no spaces, ASCII; null where it can't be read."""
+# Texts that mean yes.
+YES = ("1", "true", "yes", "y", "on")
 
+
+def _rewritten(text: pd.Series, change: Callable = lambda v: v, separators: tuple[str, str] = (",", ":")) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
+            return None if t is None else json.dumps(change(json.loads(t)), sort_keys=True, separators=separators)
         except ValueError:
             return None
 
     return text.map(one)
 
 
+@F.pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON with sorted keys, no spaces, ASCII; null where it can't be read."""
+    return _rewritten(text)
+
+
+@F.pandas_udf(StringType())
+def spaced_json(text: pd.Series) -> pd.Series:
+    """As canonical_json, with a space after commas and colons."""
+    return _rewritten(text, separators=(", ", ": "))
+
+
+@F.pandas_udf(StringType())
+def plain_manifest(text: pd.Series) -> pd.Series:
+    """A manifest in canonical JSON: texts trimmed, nulls, blanks and empty lists gone, list items as text, open_source true or false."""
+
+    def trimmed(v: object) -> object:
+        if v is None or isinstance(v, bool | int | float):
+            return v
+        if isinstance(v, list):
+            return [s for s in (str(x).strip() for x in v if x is not None) if s]
+        return str(v).strip()
+
+    def change(m: dict) -> dict:
+        out = {k: t for k, t in ((k, trimmed(v)) for k, v in (m or {}).items()) if t is not None and t != "" and t != []}
+        if m and "open_source" in m:
+            out["open_source"] = m["open_source"] if isinstance(m["open_source"], bool) else str(m["open_source"]).strip().lower() in YES
+        return out
+
+    return _rewritten(text, change)
+
+
 def fingerprint(json_text: Column) -> Column:
     """SHA-256 of the canonical form of a JSON text."""
     return F.sha2(canonical_json(json_text), 256)
 
 
+def content_hash(json_text: Column) -> Column:
+    """MD5 by which equal chunks are told: of their JSON with sorted keys."""
+    return F.md5(spaced_json(json_text).cast("binary"))
+
+
+def manifest_digest(json_text: Column) -> Column:
+    """SHA-256 of a manifest in its plain form: manifests that differ in blanks and nulls only have one digest."""
+    return F.sha2(plain_manifest(json_text), 256)
+
+
 def served(events: DataFrame, key: str, at: str) -> DataFrame:
     """key, first_seen, last_seen, times_served, repeats: of all serves of each key, those of one batch included."""
     return events.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("times_served"), (F.count("*") - 1).alias("repeats"))
@@ -53,12 +97,27 @@ def recent(events: DataFrame, by: list[str], order: str, n: int = RECENT) -> Dat
     return events.withColumn("age", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("age") <= n)
 
 
-def compliance(manifests: DataFrame, uid: str, at: str) -> DataFrame:
-    """manifests with missing (required fields without a value), status, and status_changed against the one before of the uid."""
-    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in REQUIRED]))
-    closed = F.when(F.lower(F.col("open_source").cast("string")).isin("false", "0", "no"), F.array(F.lit("open_source_false"))).otherwise(F.array().cast("array<string>"))
-    bad = F.when(F.col("repo_commit").isNotNull() & ~F.col("repo_commit").rlike("^[0-9a-fA-F]{7,64}$"), F.array(F.lit("bad_commit"))).otherwise(F.array().cast("array<string>"))
-    out = manifests.withColumn("missing", gaps).withColumn("violations", F.concat(closed, bad))
+def compliance(manifests: DataFrame, uid: str, at: str, standard_repo: str | None = None, standard_model: str | None = None) -> DataFrame:
+    """manifests with missing (required fields without a value), violations, status, and status_changed against the one before of the uid.
+
+    open_source is missing unless it says yes; implementation_files (an array)
+    needs an item, implementation_sha256 a value. A commit that is not 7 to 40
+    lower-case hex digits, a missing one included, is a violation, and so is the
+    standard model's repository under another model's name. Where every field is
+    null there is no manifest: all of REQUIRED is missing and nothing violated.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    gone = {c: text(c) == "" for c in REQUIRED} | {"open_source": ~F.lower(text("open_source")).isin(*YES)}
+    gone |= {"implementation_files": ~F.coalesce(F.exists("implementation_files", lambda f: F.coalesce(F.trim(f) != "", F.lit(False))), F.lit(False)), "implementation_sha256": text("implementation_sha256") == ""}
+    none = F.lit(True)
+    for c in gone:
+        none = none & F.col(c).isNull()
+    named = lambda conds: F.array_compact(F.array(*[F.when(cond, F.lit(c)) for c, cond in conds.items()]))
+    broken = {"repo_commit_invalid": ~text("repo_commit").rlike(r"\A[0-9a-f]{7,40}\z")}
+    if standard_repo is not None:
+        broken["repo_url_must_point_to_model_repo"] = (F.rtrim(text("repo_url"), F.lit("/")) == standard_repo.rstrip("/")) & (text("model_name") != F.lit(standard_model or ""))
+    out = manifests.withColumn("missing", F.when(none, F.array(*map(F.lit, REQUIRED))).otherwise(named(gone)))
+    out = out.withColumn("violations", F.when(none, F.array().cast("array<string>")).otherwise(named(broken)))
     out = out.withColumn("status", F.when((F.size("missing") == 0) & (F.size("violations") == 0), "transparent").otherwise("opaque"))
     return out.withColumn("status_changed", F.coalesce(F.lag("status").over(Window.partitionBy(uid).orderBy(at)) != F.col("status"), F.lit(True)))
 
@@ -82,10 +141,20 @@ def without(registry: DataFrame, removed: DataFrame, key: str, status: str = "st
     return kept, kept.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def status_summary(reports: DataFrame, at: str, status: str, prefixes: tuple[str, ...], n: int = 32) -> DataFrame:
-    """Of the last n reports how many have a status with each prefix."""
+def status_summary(reports: DataFrame, at: str, status: str, verified: str, provider: str = "provider_", n: int = 32) -> DataFrame:
+    """One row for the last n reports: how many there are, are verified, and failed at the provider; status and verification of the newest.
+
+    A failure is a status with the provider's prefix other than its "completed".
+    """
     last = reports.orderBy(F.desc(at)).limit(n)
-    return last.agg(F.count("*").alias("n"), *[F.count_if(F.col(status).startswith(p)).alias(f"n_{p}") for p in prefixes])
+    failed = F.col(status).startswith(provider) & (F.col(status) != provider + "completed")
+    return last.agg(
+        F.count("*").alias("recent_report_count"),
+        F.count_if(verified).alias("verified_report_count"),
+        F.count_if(failed).alias("provider_failure_count"),
+        F.max_by(status, at).alias("last_status"),
+        F.coalesce(F.max_by(verified, at), F.lit(False)).alias("last_proof_verified"),
+    )
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

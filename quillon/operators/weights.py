@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import running
+
 QUANTUM = 65535
 
 
@@ -50,11 +52,11 @@ def quantise(weights: DataFrame, by: list[str], weight: str = "weight") -> DataF
 
 
 def rotate(uids: DataFrame, cycle: int, k: int, uid: str = "uid") -> DataFrame:
-    """The k uids whose turn it is in a cycle (from 1), wrapping around the sorted list."""
-    w = Window.partitionBy(F.lit(0)).orderBy(uid)
-    numbered = uids.select(uid, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    turn = F.pmod(F.col("i") - F.pmod(F.lit((cycle - 1) * k), F.col("n")), F.col("n"))
-    return numbered.withColumn("turn", turn.cast("int")).where(F.col("turn") < F.least(F.lit(k), F.col("n"))).select(uid, "turn")
+    """The k uids whose turn it is in a cycle (from 1), wrapping around the sorted list of distinct uids."""
+    numbered = running(uids.select(uid).distinct().withColumn("one", F.lit(1)), [], [F.col(uid)], {"i": "one"})
+    n = F.col("all_i")
+    turn = F.pmod(F.col("i") - 1 - F.pmod(F.lit((cycle - 1) * k), n), n)
+    return numbered.withColumn("turn", turn.cast("int")).where(F.col("turn") < F.least(F.lit(k), n)).select(uid, "turn")
 
 
 def eligible(neurons: DataFrame, targets: DataFrame | list[int] | None = None, stake_limit: float = 0.0) -> DataFrame:

@@ -211,10 +211,14 @@ _N = 40
     _SCORED
     + f", k AS (SELECT uid, count(*) AS c FROM scored GROUP BY uid), recent AS (SELECT s.* FROM scored s QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ord DESC) <= {_N})"
     + _AP.format(by="uid", src="recent")
-    + f" SELECT ap.uid, least(k.c, {_N}) AS sample_count, round(CASE WHEN k.c >= {_N} THEN ap ELSE 0 END, 6) AS ap, round(CASE WHEN k.c >= {_N} THEN recall ELSE 0 END, 6) AS recall, round(CASE WHEN k.c >= {_N} THEN fpr ELSE 1 END, 6) AS fpr, round(CASE WHEN k.c >= {_N} THEN 0.75 * ap + 0.25 * recall ELSE 0 END, 6) AS reward FROM ap JOIN rk ON rk.uid = ap.uid JOIN k ON k.uid = ap.uid"
+    + ", v AS (SELECT uid, avg(CASE WHEN ord % 5 = 0 THEN 0.0 ELSE 1.0 END) AS cov, avg(CASE WHEN ord % 4 <> 0 THEN CAST(ord % 9 AS DOUBLE) END) AS lat FROM recent GROUP BY uid)"
+    + f" SELECT ap.uid, least(k.c, {_N}) AS sample_count, round(CASE WHEN k.c >= {_N} THEN ap ELSE 0 END, 6) AS ap, round(CASE WHEN k.c >= {_N} THEN recall ELSE 0 END, 6) AS recall, round(CASE WHEN k.c >= {_N} THEN fpr ELSE 1 END, 6) AS fpr, round(CASE WHEN k.c >= {_N} THEN 0.75 * ap + 0.25 * recall ELSE 0 END, 6) AS reward, round(CAST(cov AS DOUBLE), 6) AS coverage_rate, round(lat, 6) AS latency_mean_seconds FROM ap JOIN rk ON rk.uid = ap.uid JOIN k ON k.uid = ap.uid JOIN v ON v.uid = ap.uid"
 )
 def windowed_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(metrics.windowed_rewards(scored(spark, sf_dir), ["uid"], "ord", _N), "ap", "recall", "fpr", "reward")
+    s = scored(spark, sf_dir)
+    s = s.withColumn("cov", F.when(F.col("ord") % 5 == 0, 0.0).otherwise(1.0)).withColumn("lat", F.when(F.col("ord") % 4 != 0, (F.col("ord") % 9).cast("double")))
+    m = metrics.windowed_rewards(s, ["uid"], "ord", _N, "cov", "lat")
+    return r6(m, "ap", "recall", "fpr", "reward", "coverage_rate", "latency_mean_seconds")
 
 
 @query("SELECT o.o_custkey AS uid, count(*) AS n_sent, CAST(sum(CASE WHEN o.o_orderstatus <> 'P' THEN 1 ELSE 0 END) AS BIGINT) AS n_scores, CASE WHEN sum(CASE WHEN o.o_orderstatus <> 'P' THEN 1 ELSE 0 END) = count(*) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM orders o GROUP BY o.o_custkey")
@@ -245,10 +249,37 @@ def reward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(m, "reward_min", "reward_max", "reward_mean", "ap_mean", "fpr_mean")
 
 
-@query()
+_DRAW = "CAST('0x' || substring(md5({}), 1, 15) AS BIGINT)"
+
+
+@query(
+    _SCORED
+    + f""", days AS (SELECT day, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE label = 0) AS n, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS c FROM scored GROUP BY day),
+  p AS (SELECT DISTINCT d.range AS draw, {_DRAW.format("'0:' || d.range || ':' || k.range")} % (SELECT max(c) FROM days) AS i FROM range(300) d, range(1, (SELECT max(c) + 1 FROM days)) k),
+  r AS (SELECT draw, coalesce(CAST(sum(fp) AS DOUBLE) / nullif(sum(n), 0), 0) AS fpr FROM p JOIN days USING (i) GROUP BY draw)
+  SELECT round(quantile_cont(fpr, 0.95), 6) AS fpr_upper FROM r"""
+)
 def release_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = scored(spark, sf_dir).groupBy("day").agg(F.count_if((F.col("score") >= 0.5) & (F.col("label") == 0)).alias("fp"), F.count_if(F.col("label") == 0).alias("n"))
-    return metrics.day_bootstrap(days, "day", "fp", "n")
+    return r6(metrics.day_bootstrap(days, "day", "fp", "n"), "fpr_upper")
+
+
+_FRACTIONS, _WINDOWS, _SIZE = (0.2, 0.35, 0.5), 66, 40
+
+
+@query(
+    _SCORED
+    + f""", num AS (SELECT score, label, row_number() OVER (PARTITION BY label ORDER BY {_DRAW.format("'0:' || ord")}, ord) - 1 AS place, count(*) OVER (PARTITION BY label) AS total FROM scored),
+  fr AS (SELECT unnest(range({len(_FRACTIONS)})) AS k, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in _FRACTIONS)}]) AS fraction, unnest({[round(_SIZE * f) for f in _FRACTIONS]}) AS pos),
+  asks AS (SELECT k, fraction, w.range AS w, i.range AS ord, CASE WHEN i.range < pos THEN 1 ELSE 0 END AS label, k * 1000 + w.range AS g FROM fr, range({_WINDOWS}) w, range({_SIZE}) i),
+  win AS (SELECT a.g, a.fraction, a.ord, n.score, n.label FROM asks a JOIN (SELECT label, max(total) AS total FROM num GROUP BY label) t ON t.label = a.label
+    JOIN num n ON n.label = a.label AND n.place = {_DRAW.format("'0:' || a.k || ':' || a.w || ':' || a.ord")} % t.total)"""
+    + _AP.format(by="g", src="win")
+    + _TM.format(by="g", src="win")
+    + f", v AS (SELECT w.fraction, {_V2} AS reward FROM (SELECT DISTINCT g, fraction FROM win) w JOIN ap ON ap.g = w.g JOIN rk ON rk.g = w.g JOIN tm ON tm.g = w.g) SELECT fraction, round(avg(reward) - 3.0 * avg(CAST(reward = 0 AS INT)), 6) AS objective FROM v GROUP BY fraction"
+)
+def window_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(metrics.window_objective(scored(spark, sf_dir), list(_FRACTIONS), "ord", _WINDOWS, _SIZE), "objective")
 
 
 # Drift, selection, calibration
@@ -420,17 +451,23 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.recent(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-_MANIFEST = "SELECT o_orderkey AS seen_at, o_custkey AS uid, CASE WHEN o_orderkey % 7 = 0 THEN 'false' ELSE 'true' END AS open_source, CASE WHEN o_orderkey % 5 <> 0 THEN 'repo' END AS repo_url, CASE WHEN o_orderkey % 11 = 0 THEN 'xyz' ELSE 'abcdef0' END AS repo_commit, 'm' AS model_name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '1' END AS model_version, 't' AS training_data_statement, 'p' AS private_data_attestation FROM orders"
+_MANIFEST = """SELECT o_orderkey AS seen_at, o_custkey AS uid, CASE WHEN o_orderkey % 7 = 0 THEN 'false' ELSE 'true' END AS open_source, CASE WHEN o_orderkey % 5 <> 0 THEN 'repo' WHEN o_orderkey % 10 = 0 THEN 'standard/' END AS repo_url,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'xyz' WHEN o_orderkey % 11 = 1 THEN 'ABCDEF0' WHEN o_orderkey % 11 > 2 THEN 'abcdef0' END AS repo_commit, 'm' AS model_name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '1' END AS model_version, 't' AS training_data_statement, 'p' AS private_data_attestation,
+  CASE WHEN o_orderkey % 13 > 1 THEN 'a.py' WHEN o_orderkey % 13 = 1 THEN ' ' END AS file, CASE WHEN o_orderkey % 17 > 0 THEN 'h' END AS implementation_sha256 FROM orders"""
 
 
+# Counted by hand from the cases above: what is missing, and what is violated.
 @query(
-    f"""WITH m AS ({_MANIFEST}), s AS (SELECT seen_at, uid, (CASE WHEN repo_url IS NULL THEN 1 ELSE 0 END + CASE WHEN model_version = '' THEN 1 ELSE 0 END) AS n_missing, (CASE WHEN open_source = 'false' THEN 1 ELSE 0 END + CASE WHEN NOT regexp_full_match(repo_commit, '[0-9a-fA-F]{{7,64}}') THEN 1 ELSE 0 END) AS n_violations FROM m),
-  t AS (SELECT *, CASE WHEN n_missing + n_violations = 0 THEN 'transparent' ELSE 'opaque' END AS status FROM s)
+    """WITH s AS (SELECT o_orderkey AS seen_at, o_custkey AS uid, o_orderkey % 7 = 0 AS closed, o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 AS no_repo, o_orderkey % 11 = 2 AS no_commit, o_orderkey % 3 = 0 AS no_version, o_orderkey % 13 < 2 AS no_files, o_orderkey % 17 = 0 AS no_hash,
+    o_orderkey % 11 < 3 AS bad_commit, o_orderkey % 10 = 0 AS others_repo FROM orders),
+  n AS (SELECT seen_at, uid, CAST(closed AS INT) + CAST(no_repo AS INT) + CAST(no_commit AS INT) + CAST(no_version AS INT) + CAST(no_files AS INT) + CAST(no_hash AS INT) AS n_missing, CAST(bad_commit AS INT) + CAST(others_repo AS INT) AS n_violations FROM s),
+  t AS (SELECT *, CASE WHEN n_missing + n_violations = 0 THEN 'transparent' ELSE 'opaque' END AS status FROM n)
   SELECT seen_at, uid, CAST(n_missing AS INTEGER) AS n_missing, CAST(n_violations AS INTEGER) AS n_violations, status, coalesce(lag(status) OVER (PARTITION BY uid ORDER BY seen_at) <> status, TRUE) AS status_changed FROM t"""
 )
 def compliance_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = spark.sql(_MANIFEST.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
-    c = registry.compliance(m, "uid", "seen_at")
+    m = m.withColumn("implementation_files", F.when(F.col("file").isNotNull(), F.array(F.lit(None).cast("string"), F.col("file"))))
+    c = registry.compliance(m, "uid", "seen_at", "standard", "standard-model")
     return c.select("seen_at", "uid", F.size("missing").alias("n_missing"), F.size("violations").alias("n_violations"), "status", "status_changed")
 
 
@@ -445,9 +482,15 @@ def registry_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.without(o, table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("uid")), "uid")[1]
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE starts_with(event_type, 'p')) AS n_p, count(*) FILTER (WHERE starts_with(event_type, 'e')) AS n_e FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 32)")
+@query(
+    """WITH r AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'provider_completed' WHEN 'error' THEN 'provider_error' WHEN 'click' THEN 'provider_timeout' ELSE 'local_completed' END AS status, value > 50 AS verified FROM events ORDER BY event_id DESC LIMIT 32)
+  SELECT count(*) AS recent_report_count, count(*) FILTER (WHERE verified) AS verified_report_count, count(*) FILTER (WHERE status IN ('provider_error', 'provider_timeout')) AS provider_failure_count,
+    first(status ORDER BY event_id DESC) AS last_status, first(verified ORDER BY event_id DESC) AS last_proof_verified FROM r"""
+)
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.status_summary(table(spark, sf_dir, "events"), "event_id", "event_type", ("p", "e"))
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "provider_completed").when(kind == "error", "provider_error").when(kind == "click", "provider_timeout").otherwise("local_completed")
+    return registry.status_summary(table(spark, sf_dir, "events").select("event_id", status.alias("status"), (F.col("value") > 50).alias("verified")), "event_id", "status", "verified")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
@@ -602,11 +645,16 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(tokens.tfidf(tokens.documents(t.hand, t.act), ["chunk_id", "hand_ix"]), "weight")
 
 
-@query(_HANDS + """, n AS (SELECT chunk_id, hand_ix, count(*) OVER (PARTITION BY chunk_id) AS n FROM hand), w AS (SELECT *, CASE WHEN n <= 40 THEN 0 ELSE CAST(floor(hand_ix / 25.0) AS INTEGER) END AS win FROM n),
-  k AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, win) AS own FROM w) SELECT chunk_id, hand_ix, win FROM k WHERE n <= 40 OR own >= 12""")
+# Two tables at a time are a chunk here, so that some chunks are over the limit of 60 hands.
+@query(
+    _HANDS
+    + """, p AS (SELECT CAST(floor(chunk_id / 2.0) AS BIGINT) AS pair, hand_ix * 2 + chunk_id % 2 AS ix FROM hand), n AS (SELECT *, count(*) OVER (PARTITION BY pair) AS n FROM p),
+  w AS (SELECT *, CASE WHEN n <= 60 THEN 0 ELSE CAST(floor(ix / 40.0) AS INTEGER) END AS win FROM n), k AS (SELECT *, count(*) OVER (PARTITION BY pair, win) AS own FROM w)
+  SELECT pair, ix, win FROM k WHERE n <= 60 OR own >= 20"""
+)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hands(spark, sf_dir).hand.select("chunk_id", "hand_ix")
-    return tokens.serve_windows(h, ["chunk_id"], "hand_ix", 40, 25, 12).select("chunk_id", "hand_ix", F.col("window").alias("win"))
+    h = hands(spark, sf_dir).hand.select(F.floor(F.col("chunk_id") / 2).alias("pair"), (F.col("hand_ix") * 2 + F.col("chunk_id") % 2).alias("ix"))
+    return tokens.serve_windows(h, ["pair"], "ix").withColumnRenamed("window", "win")
 
 
 @query(_SCORED + " SELECT uid, round(avg(score), 6) AS score, min_by(label, ord) AS label FROM scored GROUP BY uid")

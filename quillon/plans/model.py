@@ -9,17 +9,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import running
+from quillon.operators import calibrate as calibration
 from quillon.operators import drift, metrics
 
 EPS = 1e-6
+CONFIG = "columns array<string>, names array<string>, meta string, k int, seed int, calibrate boolean, threshold double, weight string, levels array<double>, quantiles array<double>"
 
 
-def learners(seed: int = 0) -> dict:
-    """Base learners by name; each reads `features` and `label`."""
+def learners(seed: int = 0, weight: str | None = None) -> dict:
+    """Base learners by name; each reads `features` and `label`, and `weight` if named."""
+    own = {"weightCol": weight} if weight else {}
     return {
-        "gbt": GBTClassifier(maxDepth=4, maxIter=20, seed=seed),
-        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed),
-        "linear": LogisticRegression(maxIter=100, regParam=0.01),
+        "gbt": GBTClassifier(maxDepth=4, maxIter=20, seed=seed, **own),
+        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **own),
+        "linear": LogisticRegression(maxIter=100, regParam=0.01, **own),
     }
 
 
@@ -30,8 +34,9 @@ def prepare(columns: list[str]) -> Pipeline:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """df with `fold`: a hash of the key, in each class on its own salt."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(k)).cast("int"))
+    """df with `fold`: each class is dealt in turn to the folds in the order of a hash of the key, so folds hold equal shares of it."""
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__one", F.lit(1))
+    return running(hashed, [label], ["__h", key], {"__i": "__one"}).withColumn("fold", F.pmod(F.col("__i") - 1, F.lit(k)).cast("int")).drop("__h", "__one", "__i", "all___i")
 
 
 def _probability(model, df: DataFrame, name: str) -> DataFrame:
@@ -41,40 +46,59 @@ def _probability(model, df: DataFrame, name: str) -> DataFrame:
 
 
 class Stack:
-    """Base learners, their out-of-fold scores, and a logistic or mean meta learner."""
+    """Base learners, their out-of-fold scores, a logistic or mean meta learner, and what is done to its score.
 
-    def __init__(self, columns: list[str], names: tuple[str, ...] = ("gbt", "forest", "linear"), meta: str = "logistic", k: int = 5, seed: int = 0) -> None:
-        self.columns, self.names, self.kind, self.k, self.seed = columns, names, meta, k, seed
+    calibrate: blend the score with its rank among out-of-fold scores.
+    threshold: shift logits so that this score becomes a half. weight: a column
+    of row weights for the base learners.
+    """
+
+    def __init__(self, columns: list[str], names: tuple[str, ...] = ("gbt", "forest", "linear"), meta: str = "logistic", k: int = 5, seed: int = 0, calibrate: bool = False, threshold: float | None = None, weight: str | None = None) -> None:
+        self.columns, self.names, self.kind, self.k, self.seed, self.weight = columns, names, meta, k, seed, weight
+        self.calibrate, self.threshold, self.map = calibrate, threshold, None
 
     def fit(self, df: DataFrame, key: str, label: str = "label") -> Stack:
-        """Every fold is scored by learners that did not see it; the meta learner is fitted on those scores."""
+        """Every fold is scored by learners that did not see it; the meta learner and the calibration are fitted on those scores."""
         df = folds(df.withColumnRenamed(label, "label") if label != "label" else df, key, "label", self.k, self.seed)
         self.prepared = prepare(self.columns).fit(df)
         x = self.prepared.transform(df).persist()
-        parts = None
-        if self.kind == "logistic":
+        made = lambda: learners(self.seed, self.weight)
+        if self.kind == "logistic" or self.calibrate:
+            parts = None
             for fold in range(self.k):
                 part = x.where(F.col("fold") == fold)
                 for name in self.names:
-                    part = _probability(learners(self.seed)[name].fit(x.where(F.col("fold") != fold)), part, name)
+                    part = _probability(made()[name].fit(x.where(F.col("fold") != fold)), part, name)
                 parts = part if parts is None else parts.unionByName(part)
-            joined = VectorAssembler(inputCols=list(self.names), outputCol="meta").transform(parts)
-            self.meta = LogisticRegression(featuresCol="meta", maxIter=100).fit(joined)
-        self.models = {name: learners(self.seed)[name].fit(x) for name in self.names}
+            if self.kind == "logistic":
+                self.meta = LogisticRegression(featuresCol="meta", maxIter=100).fit(VectorAssembler(inputCols=list(self.names), outputCol="meta").transform(parts))
+            if self.calibrate:
+                self.map = calibration.QuantileMap.fit(self._meta(parts), ["score"])
+        self.models = {name: made()[name].fit(x) for name in self.names}
         x.unpersist()
         return self
 
+    def refit(self, train: DataFrame, test: DataFrame, key: str, label: str = "label") -> Stack:
+        """A stack of the same settings fitted on both: for serving, once the test rows have told what they can."""
+        again = Stack(self.columns, self.names, self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight)
+        return again.fit(train.unionByName(test), key, label)
+
+    def _meta(self, df: DataFrame) -> DataFrame:
+        if self.kind == "mean":
+            return df.withColumn("score", sum(F.col(n) for n in self.names) / len(self.names))
+        return _probability(self.meta, VectorAssembler(inputCols=list(self.names), outputCol="meta").transform(df), "score").drop("meta")
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """df with a score of each base learner and `score`."""
+        """df with a score of each base learner and `score`, calibrated, shifted and within [0, 1]."""
         out = self.prepared.transform(df)
         for name in self.names:
             out = _probability(self.models[name], out, name)
-        if self.kind == "mean":
-            out = out.withColumn("score", sum(F.col(n) for n in self.names) / len(self.names))
-        else:
-            out = _probability(self.meta, VectorAssembler(inputCols=list(self.names), outputCol="meta").transform(out), "score").drop("meta")
-        return out.drop("features", *[f"__{c}" for c in self.columns])
-
+        out = self._meta(out)
+        if self.map is not None:
+            out = out.withColumn("score", calibration.blended(self.map, "score"))
+        if self.threshold is not None:
+            out = out.withColumn("score", calibration.logit_shift(F.col("score"), self.threshold))
+        return out.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).drop("features", *[f"__{c}" for c in self.columns])
 
     def save(self, path: str) -> None:
         """Every fitted part under a folder, and what they are in a JSON table."""
@@ -83,32 +107,39 @@ class Stack:
             m.write().overwrite().save(f"{path}/{name}")
         if self.kind == "logistic":
             self.meta.write().overwrite().save(f"{path}/meta")
-        SparkSession.active().createDataFrame([(self.columns, list(self.names), self.kind, self.k, self.seed)], "columns array<string>, names array<string>, meta string, k int, seed int").write.mode("overwrite").json(f"{path}/config")
+        levels, quantiles = (self.map.levels, self.map.quantiles["score"]) if self.map else ([], [])
+        row = (self.columns, list(self.names), self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight, levels, quantiles)
+        SparkSession.active().createDataFrame([row], CONFIG).write.mode("overwrite").json(f"{path}/config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Stack:
-        c = spark.read.schema("columns array<string>, names array<string>, meta string, k int, seed int").json(f"{path}/config").head()
-        out = cls(c["columns"], tuple(c["names"]), c["meta"], c["k"], c["seed"])
+        c = spark.read.schema(CONFIG).json(f"{path}/config").head()
+        out = cls(c["columns"], tuple(c["names"]), c["meta"], c["k"], c["seed"], c["calibrate"], c["threshold"], c["weight"])
         kinds = {"gbt": GBTClassificationModel, "forest": RandomForestClassificationModel, "linear": LogisticRegressionModel}
         out.prepared = PipelineModel.load(f"{path}/prepared")
         out.models = {n: kinds[n].load(f"{path}/{n}") for n in out.names}
         if out.kind == "logistic":
             out.meta = LogisticRegressionModel.load(f"{path}/meta")
+        if c["quantiles"]:
+            out.map = calibration.QuantileMap(list(c["levels"]), {"score": list(c["quantiles"])})
         return out
 
 
-def search(train: DataFrame, test: DataFrame, columns: list[str], key: str, day: str, ks_limits: list[float], names: tuple[str, ...] = ("forest", "linear"), meta: str = "logistic") -> list[tuple[float, int, float]]:
-    """(ks limit, columns kept, sel_score) of each limit, best first: features under the limit, a stack on train, daily rewards on test."""
+def search(train: DataFrame, test: DataFrame, columns: list[str], key: str, day: str, ks_limits: list[float], grid: list[dict] | None = None) -> list[tuple[float, dict, int, float]]:
+    """(ks limit, settings, columns kept, sel_score) of each limit and settings, best first: features under the limit, a stack on train, daily rewards on test.
+
+    grid: settings of Stack; one mean stack of two learners if none is given.
+    """
     found = []
     screened = drift.screen(train, columns).persist()
     for limit in ks_limits:
         kept = drift.select_features(columns, screened, ks_max=limit)
-        if kept:
-            scored = Stack(kept, names, meta).fit(train, key).transform(test)
+        for settings in (grid or [{"names": ("forest", "linear"), "meta": "logistic"}]) if kept else []:
+            scored = Stack(kept, **settings).fit(train, key).transform(test)
             sel = metrics.stability(metrics.rewards(scored, [day], key)).head()["sel_score"]
-            found.append((limit, len(kept), sel if sel is not None else float("-inf")))
+            found.append((limit, settings, len(kept), sel if sel is not None else float("-inf")))
     screened.unpersist()
-    return sorted(found, key=lambda x: -x[2])
+    return sorted(found, key=lambda x: -x[3])
 
 
 def importances(stack: Stack, name: str = "gbt", k: int = 20) -> list[str]:
@@ -127,6 +158,12 @@ def time_split(df: DataFrame, day: str, from_day: str) -> tuple[DataFrame, DataF
     return df.where(F.col(day) < from_day), df.where(F.col(day) >= from_day)
 
 
+def hand_weights(hands: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """hands with `weight`: 1 over the hands of the chunk, so that every chunk weighs alike."""
+    sizes = hands.groupBy(chunk).agg((1.0 / F.count("*")).alias("weight"))
+    return hands.join(sizes, chunk)
+
+
 def hand_blend(trees: str = "gbt", linear: str = "linear"):
     """.6 of the trees' score and .4 of the linear one's."""
     return 0.6 * F.col(trees) + 0.4 * F.col(linear)

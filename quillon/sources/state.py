@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """The table at a path; an empty one of the schema where there is none."""
+    """The state table at a path; an empty one of the schema where there is none or it can't be read.
+
+    State is small (a row for each key): it is read once to see whether it can be.
+    """
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException:
+        found = spark.read.schema(schema).format(fmt).options(**({"mode": "FAILFAST"} if fmt in ("json", "csv") else {})).load(path)
+        found.foreach(lambda _: None)
+        return found
+    except (PySparkException, Py4JError):
         return spark.createDataFrame([], schema)
 
 
+STATE = "uid long, score double, hotkey string, step long"
+
+
+def write_scores(df: DataFrame, path: str) -> None:
+    """A cycle's numeric state (STATE), each step in a folder of its own: a reader never sees half a state."""
+    df.select("uid", "score", "hotkey", "step").write.mode("overwrite").partitionBy("step").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, uids: DataFrame) -> DataFrame:
+    """The state of the last step for (uid, hotkey) rows; score 0 where a uid is new, and step 0 where there is no state.
+
+    A uid whose hotkey changed starts from 0.
+    """
+    every = read_or_empty(spark, path, STATE)
+    last = every.agg(F.coalesce(F.max("step"), F.lit(0)).alias("now"))  # one row
+    own = every.select(F.col("uid").alias("__uid"), "score", F.col("hotkey").alias("__key"), F.col("step").alias("__step"))
+    kept = uids.join(F.broadcast(last), F.lit(True), "cross").join(own, (F.col("uid") == F.col("__uid")) & (F.col("__step") == F.col("now")), "left")
+    return kept.select("uid", F.when(F.col("__key").eqNullSafe(F.col("hotkey")), F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("score"), "hotkey", F.col("now").alias("step"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV report with a header; fields that don't parse are null."""
     return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE")

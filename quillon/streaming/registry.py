@@ -29,20 +29,35 @@ def served_stream(events: DataFrame, key: str = "fingerprint", at: str = "ts") -
 
 
 def ema_stream(rewards: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """A stream of (uid, step, score): s <- alpha r + (1 - alpha) s, steps without a reward of the uid count as 0."""
+    """A stream of (uid, step, score, n): s <- alpha r + (1 - alpha) s, steps without a reward of the uid count as 0.
+
+    Every reward counts by its own step, several of one step and late ones
+    included, so scores are those of weights.ema up to the uid's last step; n
+    counts its rewards. `ema_now` brings all uids to one step.
+    """
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step, score = state.get if state.exists else (None, 0.0)
+        step, score, n = state.get if state.exists else (None, 0.0, 0)
         for p in parts:
-            for t, r in p.sort_values("step")[["step", "reward"]].itertuples(index=False):
-                gap = 1 if step is None else int(t) - step
-                if gap > 0:
-                    score = score * (1 - alpha) ** gap + alpha * float(r)
+            for t, r in p[["step", "reward"]].itertuples(index=False):
+                n += 1
+                if step is None or t > step:
+                    score *= 0.0 if step is None else (1 - alpha) ** (int(t) - step)
                     step = int(t)
-        state.update((step, score))
-        yield pd.DataFrame({"uid": [k[0]], "step": [step], "score": [score]})
+                score += alpha * (1 - alpha) ** (step - int(t)) * (0.0 if pd.isna(r) else float(r))
+        if step is None:
+            return
+        state.update((step, score, n))
+        yield pd.DataFrame({"uid": [k[0]], "step": [step], "score": [score], "n": [n]})
+
+    return rewards.groupBy("uid").applyInPandasWithState(update, "uid long, step long, score double, n long", "step long, score double, n long", "update", GroupStateTimeout.NoTimeout)
+
 
-    return rewards.groupBy("uid").applyInPandasWithState(update, "uid long, step long, score double", "step long, score double", "update", GroupStateTimeout.NoTimeout)
+def ema_now(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """uid, score at the latest step of all, from the rows that ema_stream wrote: of each uid the newest, decayed."""
+    own = scores.groupBy("uid").agg(F.max(F.struct("n", "step", "score")).alias("s")).select("uid", "s.step", "s.score")
+    last = own.agg(F.max("step").alias("now"))  # one row
+    return own.join(F.broadcast(last), F.lit(True), "cross").select("uid", (F.col("score") * F.pow(F.lit(1 - alpha), (F.col("now") - F.col("step")).cast("double"))).alias("score"))
 
 
 def run_cycles(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]):

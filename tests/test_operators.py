@@ -1,8 +1,12 @@
 """Operators on fixtures small enough to work out by hand."""
 
+import gzip
+import hashlib
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,8 +119,9 @@ def test_average_precision_groups_ties(spark):
 def test_windowed_reward_counts(spark):
     rows = [(7, i, 0.1 if i < 50 else 0.9, int(i >= 50)) for i in range(100)]
     df = spark.createDataFrame(rows, "uid int, ord int, score double, label int")
-    full, short = metrics.windowed_rewards(df, ["uid"], "ord", 100).head(), metrics.windowed_rewards(df, ["uid"], "ord", 101).head()
-    assert full["sample_count"] == 100 and full["reward"] == pytest.approx(1.0)
+    df = df.withColumn("cov", F.lit(1.0)).withColumn("lat", F.when(F.col("ord") > 97, 10.0))
+    full, short = metrics.windowed_rewards(df, ["uid"], "ord", 100, "cov", "lat").head(), metrics.windowed_rewards(df, ["uid"], "ord", 101).head()
+    assert full["sample_count"] == 100 and full["reward"] == pytest.approx(1.0) and (full["coverage_rate"], full["latency_mean_seconds"]) == (1.0, 10.0)
     assert short["reward"] == 0 and short["fpr"] == 1
 
 
@@ -149,9 +154,16 @@ def test_rotation_wraps(spark):
 
 
 def test_compliance_and_fingerprint(spark):
-    m = spark.createDataFrame([(1, 1, "true", "r", "abcdef0", "m", "1", "t", "p"), (1, 2, "false", "r", "zz", "m", None, "t", "p")], "uid int, at int, open_source string, repo_url string, repo_commit string, model_name string, model_version string, training_data_statement string, private_data_attestation string")
-    rows = registry.compliance(m, "uid", "at").orderBy("at").collect()
-    assert [r["status"] for r in rows] == ["transparent", "opaque"] and rows[1]["missing"] == ["model_version"] and rows[1]["violations"] == ["open_source_false", "bad_commit"]
+    good = ("yes", "r/", "abcdef0", "m", "1", "t", "p", ["a.py"], "h")
+    rows = [good, ("false", "r", "zz", "m", None, "t", "p", [" ", None], None), ("1", "std/", "ABCDEF0", "m", "1", "t", "p", ["a"], "h"), ("true", "std", None, "std model", "1", "t", "p", ["a"], "h"), (None,) * 9]
+    schema = "uid int, at int, open_source string, repo_url string, repo_commit string, model_name string, model_version string, training_data_statement string, private_data_attestation string, implementation_files array<string>, implementation_sha256 string"
+    m = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], schema)
+    rows = registry.compliance(m, "uid", "at", "std", "std model").orderBy("at").collect()
+    assert [r["status"] for r in rows] == ["transparent"] + ["opaque"] * 4 and [r["status_changed"] for r in rows] == [True, True, False, False, False]
+    assert rows[1]["missing"] == ["open_source", "model_version", "implementation_files", "implementation_sha256"] and rows[1]["violations"] == ["repo_commit_invalid"]
+    assert rows[2]["missing"] == [] and rows[2]["violations"] == ["repo_commit_invalid", "repo_url_must_point_to_model_repo"]
+    assert rows[3]["missing"] == ["repo_commit"] and rows[3]["violations"] == ["repo_commit_invalid"]
+    assert rows[4]["missing"] == list(registry.REQUIRED) and rows[4]["violations"] == []
     j = spark.createDataFrame([('{"b": 1, "a": 1e-05}',), ('{"a":0.00001,"b":1}',), ("{broken",)], "j string").select(registry.fingerprint(F.col("j")).alias("f")).collect()
     assert j[0]["f"] == j[1]["f"] and j[2]["f"] is None
 
@@ -191,8 +203,80 @@ def test_sources(spark, tmp_path):
     assert len(r) == 3 and {x["data"] for x in r} == {"2026-03-04"} and {x["chunk_id"]: x["label"] for x in r} == {"r#0": 1, "r#1": 0}
 
 
+def test_broken_elements_cost_themselves_only(spark, tmp_path):
+    h = hand([act("preflop", 1, "call", 0.02)], game_type='a "quoted" ] } [ { name \\')
+    whole, bad = json.dumps(h), '{"metadata": {"bb": }, "players": [1, 2,]}'
+    for name, parts in {"start": [bad, whole, whole, whole], "middle": [whole, bad, whole, whole], "end": [whole, whole, whole, bad]}.items():
+        (tmp_path / f"{name}.json").write_text("[" + ", ".join(parts) + "]")
+        with gzip.open(tmp_path / f"{name}z.json.gz", "wt") as f:
+            f.write("[" + ",\n".join(parts) + "]")
+        for path in (f"{name}.json", f"{name}z.json.gz"):
+            got = sources.flat(spark, str(tmp_path / path), 3).collect()
+            assert [r["hand_ix"] for r in got] == [0, 1, 2] and all(r["hand"]["metadata"]["game_type"] == h["metadata"]["game_type"] for r in got)
+    (tmp_path / "n.json").write_text(f"[[{whole}], [{whole}, {bad}], [{whole}, {whole}]]")
+    assert sources.nested(spark, str(tmp_path / "n.json")).groupBy("chunk_id").count().count() == 2
+    rec = json.dumps({"chunkId": "r", "chunks": [[h]], "groundTruth": [1]})
+    (tmp_path / "data_2026_01_05.json").write_text('{"data": {"n": {"x": 1}, "chunks": [{"chunkId": }, ' + rec + "]}}")
+    assert [(r["chunk_id"], r["data"]) for r in sources.records(spark, str(tmp_path / "data_2026_01_05.json")).collect()] == [("r#0", "2026-01-05")]
+    assert sources.flat(spark, str(tmp_path / "n.json"), 1).count() == 0 and list(sources.elements("", "[", "{")) == list(sources.elements('[{"a"', "[", "{")) == []
+
+
+def test_files_land_once(spark, tmp_path):
+    listed, done = (spark.createDataFrame([(f,) for f in fs], "file string") for fs in (["a", "b", "c"], ["b"]))
+    assert sorted(r["file"] for r in sources.new_files(listed, done).collect()) == ["a", "c"]
+    df = spark.createDataFrame([("d1", 1), ("d2", 2)], "data string, x int")
+    sources.land(df, str(tmp_path / "t"), "data")
+    assert (tmp_path / "t" / "data=d1").is_dir() and sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("data", "x").collect())) == [("d1", 1), ("d2", 2)]
+
+
+def test_running_sums_and_quantiles(spark):
+    from quillon.functions.ranks import quantiles, running
+
+    rng = random.Random(1)
+    rows = [(g, rng.randrange(50) / 4, i) for i in range(400) for g in (None, "a", "b")] + [("one", 2.5, 0), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, i int").repartition(5)
+    got = {(r["g"], r["i"]): (r["s"], r["all_s"]) for r in running(df.where("x is not null"), ["g"], [F.desc("x"), F.col("i")], {"s": "x"}).collect()}
+    for g in (None, "a", "b", "one"):
+        own, total = sorted(((x, i) for k, x, i in rows if k == g), key=lambda t: (-t[0], t[1])), 0.0
+        for x, i in own:
+            total += x
+            assert got[(g, i)] == pytest.approx((total, sum(x for x, _ in own)))
+    q = {(r["g"], r["level_ix"]): r["quantile"] for r in quantiles(df, ["g"], "x", [0, 0.1, 0.5, 1]).collect()}
+    for g in (None, "a", "b", "one"):
+        own = [x for k, x, _ in rows if k == g]
+        assert [q[(g, k)] for k in range(4)] == pytest.approx(np.quantile(own, [0, 0.1, 0.5, 1]).tolist())
+    assert ("none", 0) not in q
+
+
+def test_threshold_search_and_bootstrap(spark):
+    c = spark.createDataFrame([(0.3, 0.9, 0.2), (0.5, 0.7, 0.1), (0.6, 0.7, 0.05), (0.9, 0.1, 0.0)], "threshold double, objective double, fpr_upper double")
+    assert calibrate.search_threshold(c).head()[0] == 0.5
+    assert calibrate.search_threshold(c, most=-1.0, fallback=0.42).head()[0] == 0.42
+    days = spark.createDataFrame([(d, d, 10) for d in range(7)], "day int, fp long, n long")
+    upper, least = (metrics.day_bootstrap(days, "day", "fp", "n", q=q).head()[0] for q in (0.95, 0.0))
+    assert 0 <= least < 0.3 < upper <= 0.6
+    same = spark.createDataFrame([(d, 1, 4) for d in range(5)], "day int, fp long, n long")
+    assert metrics.day_bootstrap(same, "day", "fp", "n").head()[0] == 0.25
+
+
+def test_numeric_state(spark, tmp_path):
+    from quillon.sources import state
+
+    uids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "uid long, hotkey string")
+    path = str(tmp_path / "scores")
+    assert {r["score"] for r in state.read_scores(spark, path, uids).collect()} == {0.0}
+    for step in (3, 4):
+        state.write_scores(spark.createDataFrame([(0, step / 2, "a", step), (1, 1.0, "old", step)], state.STATE), path)
+    assert sorted(tuple(r) for r in state.read_scores(spark, path, uids).collect()) == [(0, 2.0, "a", 4), (1, 0.0, "b", 4), (2, 0.0, "c", 4)]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no parquet")
+    (tmp_path / "broken.json").write_text('{"uid": "x", ')
+    assert state.read_or_empty(spark, str(tmp_path / "broken"), state.STATE).count() == 0
+    assert state.read_or_empty(spark, str(tmp_path / "broken.json"), state.STATE, "json").count() == 0
+
+
 def test_stream_registry(spark, tmp_path):
-    from quillon.streaming.registry import ema_stream, served_stream
+    from quillon.streaming.registry import ema_now, ema_stream, served_stream
 
     for i, keys in enumerate((["a", "a", "b"], ["a"])):
         spark.createDataFrame([(k, i) for k in keys], "fingerprint string, n int").select("fingerprint", F.timestamp_seconds("n").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -202,13 +286,31 @@ def test_stream_registry(spark, tmp_path):
     q.stop()
     got = {r["fingerprint"]: r["n"] for r in spark.sql("select fingerprint, max(times_served) n from served group by 1").collect()}
     assert got == {"a": 3, "b": 1}
-    spark.createDataFrame([(1, 0, 1.0), (1, 2, 1.0)], "uid long, step long, reward double").coalesce(1).write.parquet(str(tmp_path / "rw"))
-    s = spark.readStream.schema("uid long, step long, reward double").parquet(str(tmp_path / "rw"))
+    for rows in ([(1, 0, 0.0), (1, 0, 3.0), (2, 0, 1.0), (3, 2, -1.0)], [(1, 1, 3.0), (1, 4, 2.0), (3, 2, -2.0)], [(1, 2, 5.0), (3, 1, 4.0)]):  # repeats of a step, gaps, late ones
+        spark.createDataFrame(rows, "uid long, step long, reward double").coalesce(1).write.mode("append").parquet(str(tmp_path / "rw"))
+    s = spark.readStream.schema("uid long, step long, reward double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rw"))
     q = ema_stream(s, 0.5).writeStream.format("memory").queryName("ema").outputMode("update").option("checkpointLocation", str(tmp_path / "ck2")).start()
     q.processAllAvailable()
     q.stop()
-    batch = weights.ema(spark.read.parquet(str(tmp_path / "rw")), 0.5).head()["score"]
-    assert spark.sql("select score from ema").head()[0] == pytest.approx(batch) == pytest.approx(0.625)
+    batch = {r["uid"]: r["score"] for r in weights.ema(spark.read.parquet(str(tmp_path / "rw")), 0.5).collect()}
+    assert {r["uid"]: r["score"] for r in ema_now(spark.table("ema"), 0.5).collect()} == pytest.approx(batch) and len(batch) == 3
+
+
+def test_stream_epochs_and_cycles(spark, tmp_path):
+    from quillon.streaming.registry import epochs, run_cycles
+
+    times = ["2026-01-01 19:59:59", "2026-01-01 20:00:00", "2026-01-02 19:00:00", "2026-01-05 00:00:00"]
+    spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "in"))
+    q = epochs(stream, "ts", "1 hour").writeStream.format("memory").queryName("epochs").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["s"]: r["n"] for r in spark.sql("select cast(window.start as string) as s, n from epochs").collect()}
+    assert got == {"2025-12-31 20:00:00": 1, "2026-01-01 20:00:00": 2, "2026-01-04 20:00:00": 1}
+    seen = []
+    for _ in range(2):  # the second run finds nothing new
+        run_cycles(spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "in")), str(tmp_path / "ck2"), lambda df, i: seen.append((i, df.count()))).awaitTermination(60)
+    assert seen == [(0, 4)]
 
 
 def test_stack(spark):
@@ -232,8 +334,30 @@ def test_stack_saves_and_searches(spark, tmp_path):
     again = Stack.load(spark, str(tmp_path / "m"))
     a, b = (x.transform(df).select("id", "score").orderBy("id").collect() for x in (s, again))
     assert a == b and importances(s, "forest", 1) == ["a"]
-    best = search(df, df, ["a", "b"], "id", "day", [0.5, 1.1], names=("forest",), meta="mean")
-    assert best[0][:2] == (1.1, 2)
+    best = search(df, df, ["a", "b"], "id", "day", [0.5, 1.1], [{"names": ("forest",), "meta": "mean"}, {"names": ("linear",), "meta": "mean"}])
+    assert best[0][0] == 1.1 and best[0][2] == 2 and len(best) >= 2
+
+
+def test_stack_calibrates_shifts_weighs_and_refits(spark, tmp_path):
+    from quillon.plans.model import Stack, folds, hand_blend, hand_weights
+
+    rows = [(i, float(i % 17) + i % 5 / 3, int(i % 17 > 8), f"c{i % 9 if i % 2 else 0}") for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, a double, label int, chunk_id string")
+    dealt = folds(df, "id", "label", 4).groupBy("label", "fold").count().collect()
+    assert all(max(n) - min(n) <= 1 for n in ([r["count"] for r in dealt if r["label"] == c] for c in (0, 1)))
+    w = hand_weights(df)
+    assert w.groupBy("chunk_id").agg(F.sum("weight").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+    plain = Stack(["a"], names=("linear",), meta="mean", k=3).fit(w, "id")
+    s = Stack(["a"], names=("linear",), meta="mean", k=3, calibrate=True, threshold=0.3, weight="weight").fit(w, "id")
+    out = s.transform(w)
+    want = calibrate.logit_shift(calibrate.blended(calibrate.QuantileMap(s.map.levels, {"linear": s.map.quantiles["score"]}), "linear"), 0.3)
+    assert out.where(F.abs(F.col("score") - want) > 1e-9).count() == 0 and out.where("score < 0 or score > 1").count() == 0
+    assert plain.transform(w).where(F.abs(F.col("score") - F.col("linear")) > 1e-12).count() == 0
+    s.save(str(tmp_path / "m"))
+    assert Stack.load(spark, str(tmp_path / "m")).transform(w).select("id", "score").orderBy("id").collect() == out.select("id", "score").orderBy("id").collect()
+    again = s.refit(w.where("id < 200"), w.where("id >= 200"), "id").transform(w)
+    assert [r[0] for r in again.orderBy("id").select("score").collect()] == pytest.approx([r[0] for r in out.orderBy("id").select("score").collect()], abs=1e-6)
+    assert spark.createDataFrame([(0.5, 1.0)], "gbt double, linear double").select(hand_blend().alias("x")).head()[0] == pytest.approx(0.7)
 
 
 def test_state_tables(spark, tmp_path):
@@ -255,9 +379,16 @@ def test_state_tables(spark, tmp_path):
 def test_manifest_and_window_objective(spark):
     m = spark.createDataFrame([({"a": " Yes ", "b": None, "c": "  ", "d": "x"},)], "m map<string,string>").select(registry.normalise_manifest(F.col("m")).alias("m")).head()["m"]
     assert m == {"a": "true", "d": "x"}
-    df = spark.createDataFrame([(0.1 + (i % 10) / 100 + 0.7 * (i % 2), i % 2) for i in range(200)], "score double, label int")
+    j = spark.createDataFrame([('{"a": [" x", null, "", 3], "b": "  ", "n": 2, "open_source": " On ", "e": []}',), ('{"n": 2,"open_source":true,"a":["x","3"]}',)], "j string")
+    j = j.select(registry.plain_manifest("j").alias("p"), registry.manifest_digest(F.col("j")).alias("d"), registry.content_hash(F.col("j")).alias("c")).collect()
+    assert j[0]["p"] == '{"a":["x","3"],"n":2,"open_source":true}' and j[0]["d"] == j[1]["d"]
+    assert j[1]["c"] == hashlib.md5(json.dumps({"n": 2, "open_source": True, "a": ["x", "3"]}, sort_keys=True).encode()).hexdigest()
+    df = spark.createDataFrame([(i, 0.1 + (i % 10) / 100 + 0.7 * (i % 2), i % 2) for i in range(200)], "ord int, score double, label int")
     got = {r["fraction"]: r["objective"] for r in metrics.window_objective(df, [0.2, 0.5], windows=5).collect()}
     assert got == pytest.approx({0.2: 1.0, 0.5: 1.0})
+    mixed = df.withColumn("score", F.pmod(F.col("ord") * 37, F.lit(101)) / 101.0)
+    one, other = (metrics.window_objective(d, [0.3], windows=5).head()["objective"] for d in (mixed, mixed.repartition(7)))
+    assert one == other
 
 
 def test_eligible_takes_targets_as_a_table(spark):
