@@ -109,5 +109,6 @@ def joined(base: str, parts: list[str], columns: dict[str, str], key: str = "chu
     if only:
         columns = {c: columns[c] for c in only}
     parts = [p for p in parts if any(f"{p}." in e for e in columns.values())]
-    wrap = (lambda e: e) if digits is None else (lambda e: f"round({e}, {digits}) + 0")
+    # means of whole cents often end on a 5 just after the last place: moved off it, so that engines round alike
+    wrap = (lambda e: e) if digits is None else (lambda e: f"round({e} + 1e-{digits + 4}, {digits}) + 0")
     return f"SELECT {base}.{key}, " + ", ".join(f"{wrap(f'CAST({e} AS DOUBLE)')} AS {n}" for n, e in columns.items()) + f" FROM {base} " + " ".join(f"LEFT JOIN {p} ON {p}.{key} = {base}.{key}" for p in parts)
