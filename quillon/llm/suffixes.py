@@ -203,7 +203,7 @@ def maximal_repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, least:
         lead += np.where(zero, shift // 8, 0)
         x = np.where(zero, x << np.uint64(shift), x)
     lcp = np.minimum(lcp, np.where(some.any(1), word * 8 + np.minimum(lead, 7), size[1:]))
-    left, right, depth = intervals(lcp, length, int(size.max(initial=0)))
+    left, right, depth = intervals(lcp, length)
     # single suffixes whose segment has several keys are repeats of their own, at the full size
     changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
     own = np.flatnonzero((least < most)[seg] & (offset == 0))
@@ -222,24 +222,27 @@ def maximal_repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, least:
     return seg[member], offset[member], depth[group], smallest[group], group
 
 
-def intervals(lcp: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The common-prefix interval tree down to depth `least`: left, right (suffix ranks, inclusive) and depth of each node.
 
-    What a stack scan pops, taken depth by depth: at depth d the open stretches
-    are the runs of values of d and over; a run that holds a d itself is a node.
+    A scan with a stack of open intervals: a smaller prefix closes the deeper
+    ones. Only ranks at which the prefix changes are visited.
     """
-    out = []
-    for d in range(least, most + 1):
-        over = lcp >= d
-        if not over.any():
-            break
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], over, [False])).astype(np.int8)))
-        a, b = edge[::2], edge[1::2]
-        node = np.minimum.reduceat(np.append(lcp, 0), np.ravel(np.column_stack((a, b))))[::2] == d
-        out.append((a[node], b[node], np.full(int(node.sum()), d)))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+    short = np.where(lcp < least, 0, lcp)
+    change = np.flatnonzero(np.diff(short, prepend=0, append=0))
+    value = np.append(short, 0)
+    open_: list[tuple[int, int]] = []  # depth, left
+    left, right, depth = [], [], []
+    for i, d in zip(change.tolist(), value[change].tolist(), strict=True):
+        start = i
+        while open_ and open_[-1][0] > d:
+            deep, start = open_.pop()
+            left.append(start)
+            right.append(i)
+            depth.append(deep)
+        if d and (not open_ or open_[-1][0] < d):
+            open_.append((d, start))
+    return np.array(left, np.int64), np.array(right, np.int64), np.array(depth, np.int64)
 
 
 def _asked_segments(texts: list[str], replies: pd.DataFrame, length: int):
