@@ -6,6 +6,9 @@ among what followed the longest context found, times ALPHA for each order
 backed off; the last resort is its share of all words. Scores of a document are
 summed as log10. Words, contexts and n-grams are 64-bit hashes; tables are
 partitioned by hash and joined by the request and reply of packed.py.
+
+Most n-grams of two and more words occur once. A first round with half hashes
+tells which do, so whole hashes and counts travel for the others only.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import packed
 
-ALPHA, ORDER, LEAST = 0.4, 2, 2
+ALPHA, ORDER, LEAST = 0.4, 3, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ALL = np.uint64(0x5851F42D4C957F2D)  # stands for the empty n-gram, whose count is that of all words
 #: Characters that are taken apart at a time within a block.
@@ -62,26 +65,44 @@ def _steps(texts: list[str]):
         yield start, len(texts)
 
 
-def _counted(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(texts: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the n-grams of `low` to `high` words, and how often each occurs; with 1 also the count of all words."""
     parts, counts = [], []
     for a, b in _steps(texts):
-        hashes, owner = grams(texts[a:b], order)
-        h, n = np.unique(np.concatenate([*hashes, np.repeat(_ALL, len(owner))]), return_counts=True)
+        hashes, owner = grams(texts[a:b], high)
+        h, n = np.unique(np.concatenate(hashes[low - 1 :]), return_counts=True)
         parts.append(h)
         counts.append(n)
+        if low == 1:
+            parts.append(np.array([_ALL]))
+            counts.append(np.array([len(owner)]))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, at = np.unique(np.concatenate(parts), return_inverse=True)
     n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-    real = h != 0
+    real = (h != 0) & (n > 0)
     return h[real], n[real]
 
 
+def _wanted(texts: list[str], order: int, least: int, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes whose counts a block asks for: of all words, and of n-grams that the first round saw `least` times."""
+    h, n = _counted(texts, 1, 1)
+    if order == 1:
+        return h, n
+    more, m = _counted(texts, 2, order)
+    often = packed.aligned(told, np.uint8) >= min(least, 255)
+    h, n = np.concatenate((h, more[often])), np.concatenate((n, m[often]))
+    by = np.argsort(h, kind="stable")
+    return h[by], n[by]
+
+
 def _scored(texts: list[str], order: int, least: int, asked: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
     """(words, words that backed off, log10 score) of each text."""
 
     def count(h: np.ndarray) -> np.ndarray:
-        return np.where(h == 0, 0, total[np.minimum(np.searchsorted(asked, h), len(asked) - 1)]).astype(float)
+        """0 for what was not asked for."""
+        at = np.minimum(np.searchsorted(asked, h), len(asked) - 1)
+        return np.where((h != 0) & (asked[at] == h), total[at], 0).astype(float)
 
     out = []
     for a, b in _steps(texts):
@@ -111,37 +132,52 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     """key, n_words, n_backoff, log10_score (sum) and per_word of every row.
 
     Null and texts without a word have 0 words, score 0 and a null per_word.
-    Repeated rows count, and score, each for itself.
+    Repeated rows count, and score, each for itself; null keys too. An empty
+    table gives no row; columns other than key and text, whatever their names,
+    are not read. A very long text is one block's, taken apart step by step.
     """
     plan = packed.size_up(docs, text, hashes_per_char=0.16 * order)
     # keys travel as text: pandas would turn whole numbers beside a null into floats
     blocks = packed.in_blocks(docs.select(F.col(key).cast("string"), text), key, text, plan)
-    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order), counted=np.uint64), np.uint64, counted=np.uint64)
+    seen = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, 2, order), np.uint32, np.uint8), np.uint8, np.uint32, np.uint8)
+    if order == 1:
+        seen = seen.where("false")
+    asked = packed.requests(blocks, plan, lambda texts, told: _wanted(texts, order, least, told), counted=np.uint64, replies=seen)
+    replies = packed.totals(asked, np.uint64, counted=np.uint64)
     kind = docs.schema[key].dataType.simpleString()
+    both = seen.select("block", "bucket", "totals", F.lit(True).alias("first")).unionByName(replies.select("block", "bucket", "totals", F.lit(False).alias("first")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         texts = left["text"].tolist()
-        asked, _ = _counted(texts, order)
-        rows = pd.DataFrame(_scored(texts, order, least, asked, packed.aligned(right, np.uint64)), columns=["n_words", "n_backoff", "log10_score"])
+        first = right["first"].to_numpy(bool)
+        wanted, _ = _wanted(texts, order, least, right[first])
+        rows = pd.DataFrame(_scored(texts, order, least, wanted, packed.aligned(right[~first], np.uint64)), columns=["n_words", "n_backoff", "log10_score"])
         rows.insert(0, key, left[key].to_numpy())
         rows["per_word"] = [s / n if n else None for s, n in zip(rows["log10_score"], rows["n_words"], strict=True)]
         return rows
 
     schema = f"`{key}` string, n_words long, n_backoff long, log10_score double, per_word double"
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
-
-
-def oracle_sql(least: int = LEAST) -> str:
-    """The same for order 2 in DuckDB's SQL over `documents`, scores rounded to 6 places."""
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
+
+
+def oracle_sql(order: int = ORDER, least: int = LEAST) -> str:
+    """The same in DuckDB's SQL over `documents`, scores rounded to 6 places. p1 is the word before, p2 the one before that."""
+    before = [f"p{k}" for k in range(1, order)]
+    names = lambda n: [*before[: n - 1][::-1], "w"]
+    tables = [f"c{n} AS (SELECT {', '.join(names(n))}, count(*) AS c FROM g {f'WHERE p{n - 1} IS NOT NULL ' if n > 1 else ''}GROUP BY ALL{f' HAVING count(*) >= {least}' if n > 1 else ''})" for n in range(1, order + 1)]
+    joins, cases = [], []
+    for n in range(order, 0, -1):
+        joins.append(f"LEFT JOIN c{n} ON {' AND '.join(f'c{n}.{x} = g.{x}' for x in names(n))}")
+        if n > 1:  # the context of the n-gram is the (n - 1)-gram of the words before
+            joins.append(f"LEFT JOIN c{n - 1} x{n} ON {' AND '.join(f'x{n}.{a} = g.{b}' for a, b in zip(names(n - 1), names(n)[:-1], strict=True))}")
+            cases.append(f"WHEN c{n}.c IS NOT NULL THEN log10(c{n}.c::DOUBLE / x{n}.c) + (reach - {n}) * log10({ALPHA})")
+    used = " ".join(f"WHEN c{n}.c IS NOT NULL THEN {n}" for n in range(order, 1, -1))
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
-c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-c2 AS (SELECT p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= {least}),
-s AS (SELECT g.r, g.p IS NOT NULL AND c2.c IS NULL AS backed,
-             CASE WHEN c2.c IS NOT NULL THEN log10(c2.c::DOUBLE / cp.c) ELSE log10(cw.c::DOUBLE / (SELECT count(*) FROM t)) + CASE WHEN g.p IS NULL THEN 0 ELSE log10({ALPHA}) END END AS v
-      FROM g JOIN c1 cw ON cw.w = g.w LEFT JOIN c1 cp ON cp.w = g.p LEFT JOIN c2 ON c2.p = g.p AND c2.w = g.w),
+g AS (SELECT r, w, least(i, {order}) AS reach{''.join(f', lag(w, {k}) OVER (PARTITION BY r ORDER BY i) AS p{k}' for k in range(1, order))} FROM t),
+{', '.join(tables)},
+s AS (SELECT g.r, CASE WHEN FALSE THEN 1 {used} ELSE 1 END < reach AS backed, CASE WHEN FALSE THEN 0.0 {' '.join(cases)} ELSE log10(c1.c::DOUBLE / (SELECT count(*) FROM t)) + (reach - 1) * log10({ALPHA}) END AS v FROM g {' '.join(joins)}),
 d AS (SELECT r, count(*) AS n_words, count(*) FILTER (WHERE backed) AS n_backoff, sum(v) AS v FROM s GROUP BY r)
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(v, 0), 6) AS log10_score, round(v / n_words, 6) AS per_word
 FROM w LEFT JOIN d USING (r)"""

@@ -45,10 +45,9 @@ def in_blocks(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
     return docs.select(block.alias("block"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """For sorted hashes the position at which each bucket starts, and the end."""
-    width = (1 << 64) // buckets + 1
-    return np.searchsorted(hashes, np.array([min(i * width, (1 << 64) - 1) for i in range(buckets)] , np.uint64)).tolist() + [len(hashes)]
+def bucket_width(buckets: int) -> int:
+    """How many hash values a bucket takes."""
+    return (1 << 64) // buckets + 1
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -61,20 +60,37 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def requests(blocks: DataFrame, plan: Plan, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: type = np.uint64, counted: type = np.uint32) -> DataFrame:
+def requests(blocks: DataFrame, plan: Plan, hashes: Callable[..., tuple[np.ndarray, np.ndarray]], kind: type = np.uint64, counted: type = np.uint32, replies: DataFrame | None = None) -> DataFrame:
     """bucket, block, hashes, counts. `hashes` gets a block's texts and returns its distinct hashes, sorted, and a count for each.
 
-    kind: uint64 sends whole hashes, for counts; uint32 the low half, for filters whose hits are tested again.
-    counted: counts are sent as this, at most its largest.
+    With `replies`, rows by block, it also gets those of the block.
+    kind: uint64 sends whole hashes, for counts; uint32 the 32 bits that tell
+    most within a bucket, for filters whose hits are tested again.
+    counted: counts are sent as this, at most its largest. A block has a row for
+    each bucket that it has hashes of, and visits no other.
     """
+    width = bucket_width(plan.buckets)
+    shift = np.uint64(max(0, width.bit_length() - 32))
+
+    def rows(block: int, h: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        bucket = h // np.uint64(width)
+        own, start = np.unique(bucket, return_index=True)
+        sent = h if kind == np.uint64 else ((h - bucket * np.uint64(width)) >> shift).astype(kind)
+        counts = np.minimum(n, min(np.iinfo(counted).max, np.iinfo(np.int64).max)).astype(counted)
+        ends = [*start[1:].tolist(), len(h)][: len(own)]
+        made = [(i, block, pack(sent[a:b]), pack(counts[a:b])) for i, a, b in zip(own.tolist(), start.tolist(), ends, strict=True)]
+        return pd.DataFrame(made, columns=["bucket", "block", "hashes", "counts"])
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        h, n = hashes(part["text"].tolist())
-        edges = bucket_edges(h, plan.buckets)
-        rows = [(i, key[0], pack(h[a:b].astype(kind)), pack(np.minimum(n[a:b], min(np.iinfo(counted).max, np.iinfo(np.int64).max)).astype(counted))) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        return pd.DataFrame(rows, columns=["bucket", "block", "hashes", "counts"])
+        return rows(key[0], *hashes(part["text"].tolist()))
 
-    return blocks.groupBy("block").applyInPandas(run, "bucket int, block int, hashes binary, counts binary")
+    def answered(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return rows(key[0], *hashes(part["text"].tolist(), told)) if len(part) else rows(key[0], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    schema = "bucket int, block int, hashes binary, counts binary"
+    if replies is None:
+        return blocks.groupBy("block").applyInPandas(run, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(answered, schema)
 
 
 def totals(asked: DataFrame, kind: type = np.uint32, hashes: type = np.uint64, counted: type = np.uint32) -> DataFrame:

@@ -473,14 +473,35 @@ def test_lm_of_higher_order_by_brute_force(spark):
     assert got == pytest.approx({i: sum(word(t, j) for j in range(len(t))) for i, t in enumerate(texts)})
 
 
+@pytest.mark.parametrize(("order", "least"), [(1, 2), (2, 2), (2, 1), (4, 3)])
+def test_lm_equals_its_sql(spark, order, least):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    want = {r[0]: r[1:] for r in duck.execute(ngram_lm.oracle_sql(order, least)).fetchall()}
+    for r in ngram_lm.score(table(spark, D, "documents"), order=order, least=least).collect():
+        n, backed, v, per = want[r["doc_id"]]
+        assert (r["n_words"], r["n_backoff"]) == (n, backed) and r["log10_score"] == pytest.approx(v, abs=2e-6) and (per is None) == (r["per_word"] is None)
+
+
+def test_texts_beyond_a_step(spark, monkeypatch):
+    """Long texts are taken apart in steps, and many blocks and buckets talk to each other: the same scores."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    plain = {r["doc_id"]: r["log10_score"] for r in ngram_lm.score(df).collect()}
+    monkeypatch.setattr(ngram_lm, "STEP_CHARS", 50)
+    monkeypatch.setattr(ngram_lm.packed, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(ngram_lm.packed, "BUCKET_HASHES", 20)
+    assert {r["doc_id"]: r["log10_score"] for r in ngram_lm.score(df).collect()} == pytest.approx(plain)
+
+
 def test_lm_counts_go_beyond_32_bits(spark, monkeypatch):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(30))) for i in range(20)], "doc_id long, text string")
     want = {r["doc_id"]: (r["n_backoff"], round(r["log10_score"], 9)) for r in ngram_lm.score(df).collect()}
     real = ngram_lm._counted
 
-    def many(texts, order):
-        h, n = real(texts, order)
+    def many(texts, low, high):
+        h, n = real(texts, low, high)
         return h, n << 31
 
     monkeypatch.setattr(ngram_lm, "_counted", many)  # as if each text came 2^31 times: shares stay
