@@ -6,9 +6,6 @@ among what followed the longest context found, times ALPHA for each order
 backed off; the last resort is its share of all words. Scores of a document are
 summed as log10. Words, contexts and n-grams are 64-bit hashes; tables are
 partitioned by hash and joined by the request and reply of packed.py.
-
-Most n-grams of two and more words occur once. A first round with half hashes
-tells which do, so whole hashes and counts travel for the others only.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import packed
 
-ALPHA, ORDER, LEAST = 0.4, 3, 2
+ALPHA, ORDER, LEAST = 0.4, 2, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ALL = np.uint64(0x5851F42D4C957F2D)  # stands for the empty n-gram, whose count is that of all words
 #: Characters that are taken apart at a time within a block.
@@ -65,17 +62,14 @@ def _steps(texts: list[str]):
         yield start, len(texts)
 
 
-def _counted(texts: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the n-grams of `low` to `high` words, and how often each occurs; with 1 also the count of all words."""
+def _counted(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the n-grams of up to `order` words and of the empty one, and how often each occurs."""
     parts, counts = [], []
     for a, b in _steps(texts):
-        hashes, owner = grams(texts[a:b], high)
-        h, n = np.unique(np.concatenate(hashes[low - 1 :]), return_counts=True)
-        parts.append(h)
-        counts.append(n)
-        if low == 1:
-            parts.append(np.array([_ALL]))
-            counts.append(np.array([len(owner)]))
+        hashes, owner = grams(texts[a:b], order)
+        h, n = np.unique(np.concatenate(hashes), return_counts=True)
+        parts += [h, np.array([_ALL])]
+        counts += [n, np.array([len(owner)])]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, at = np.unique(np.concatenate(parts), return_inverse=True)
@@ -84,25 +78,11 @@ def _counted(texts: list[str], low: int, high: int) -> tuple[np.ndarray, np.ndar
     return h[real], n[real]
 
 
-def _wanted(texts: list[str], order: int, least: int, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes whose counts a block asks for: of all words, and of n-grams that the first round saw `least` times."""
-    h, n = _counted(texts, 1, 1)
-    if order == 1:
-        return h, n
-    more, m = _counted(texts, 2, order)
-    often = packed.aligned(told, np.uint8) >= min(least, 255)
-    h, n = np.concatenate((h, more[often])), np.concatenate((n, m[often]))
-    by = np.argsort(h, kind="stable")
-    return h[by], n[by]
-
-
 def _scored(texts: list[str], order: int, least: int, asked: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
     """(words, words that backed off, log10 score) of each text."""
 
     def count(h: np.ndarray) -> np.ndarray:
-        """0 for what was not asked for."""
-        at = np.minimum(np.searchsorted(asked, h), len(asked) - 1)
-        return np.where((h != 0) & (asked[at] == h), total[at], 0).astype(float)
+        return np.where(h == 0, 0, total[np.minimum(np.searchsorted(asked, h), len(asked) - 1)]).astype(float)
 
     out = []
     for a, b in _steps(texts):
@@ -139,25 +119,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     plan = packed.size_up(docs, text, hashes_per_char=0.16 * order)
     # keys travel as text: pandas would turn whole numbers beside a null into floats
     blocks = packed.in_blocks(docs.select(F.col(key).cast("string"), text), key, text, plan)
-    seen = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, 2, order), np.uint32, np.uint8), np.uint8, np.uint32, np.uint8)
-    if order == 1:
-        seen = seen.where("false")
-    asked = packed.requests(blocks, plan, lambda texts, told: _wanted(texts, order, least, told), counted=np.uint64, replies=seen)
-    replies = packed.totals(asked, np.uint64, counted=np.uint64)
+    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order), counted=np.uint64), np.uint64, counted=np.uint64)
     kind = docs.schema[key].dataType.simpleString()
-    both = seen.select("block", "bucket", "totals", F.lit(True).alias("first")).unionByName(replies.select("block", "bucket", "totals", F.lit(False).alias("first")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         texts = left["text"].tolist()
-        first = right["first"].to_numpy(bool)
-        wanted, _ = _wanted(texts, order, least, right[first])
-        rows = pd.DataFrame(_scored(texts, order, least, wanted, packed.aligned(right[~first], np.uint64)), columns=["n_words", "n_backoff", "log10_score"])
+        asked, _ = _counted(texts, order)
+        rows = pd.DataFrame(_scored(texts, order, least, asked, packed.aligned(right, np.uint64)), columns=["n_words", "n_backoff", "log10_score"])
         rows.insert(0, key, left[key].to_numpy())
         rows["per_word"] = [s / n if n else None for s, n in zip(rows["log10_score"], rows["n_words"], strict=True)]
         return rows
 
     schema = f"`{key}` string, n_words long, n_backoff long, log10_score double, per_word double"
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema).withColumn(key, F.col(key).cast(kind))
 
 
 def oracle_sql(order: int = ORDER, least: int = LEAST) -> str:
