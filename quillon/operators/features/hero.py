@@ -45,7 +45,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     f.step("pres", "SELECT chunk_id, " + ", ".join(f"avg({c}) AS {c}, stddev_pop({c}) AS {c}_s" for c in ("vpip", "pfr", "three", "opened")) + ", stddev_pop(CASE WHEN vpip = 1 THEN pfr END) AS ratio_s FROM pre GROUP BY chunk_id")
     # giving up after the flop
     f.step("fl_h", f"SELECT chunk_id, hand_ix, min_by(kind, act_ix) AS k0, min(act_ix) AS i0, max(CASE WHEN kind = 'fold' THEN act_ix END) AS fold_at FROM x WHERE mine AND street = 'flop' GROUP BY chunk_id, hand_ix")
-    f.step("fl", f"SELECT q.chunk_id, count(*) AS saw, {count_if('h.hero_won')} AS won, {count_if('p.pfr = 1')} AS chances, {count_if(f'p.pfr = 1 AND q.k0 IN {AGG} AND q.fold_at > q.i0')} AS gave, {count_if(is_a("check", "q.k0"))} AS checked, {count_if(is_a("check", "q.k0") + " AND q.fold_at > q.i0")} AS check_fold FROM fl_h q JOIN hand h ON h.chunk_id = q.chunk_id AND h.hand_ix = q.hand_ix JOIN pre p ON p.chunk_id = q.chunk_id AND p.hand_ix = q.hand_ix GROUP BY q.chunk_id")
+    f.step("fl", f"SELECT q.chunk_id, count(*) AS saw, {count_if("contains(h.winners, concat(',', CAST(k.hero AS STRING), ','))")} AS won, {count_if('p.pfr = 1')} AS chances, {count_if(f'p.pfr = 1 AND q.k0 IN {AGG} AND q.fold_at > q.i0')} AS gave, {count_if(is_a("check", "q.k0"))} AS checked, {count_if(is_a("check", "q.k0") + " AND q.fold_at > q.i0")} AS check_fold FROM fl_h q JOIN hand h ON h.chunk_id = q.chunk_id AND h.hand_ix = q.hand_ix JOIN pre p ON p.chunk_id = q.chunk_id AND p.hand_ix = q.hand_ix JOIN hero k ON k.chunk_id = q.chunk_id GROUP BY q.chunk_id")
     # sizes
     snap = "(" + " OR ".join(f"abs(ratio - {t}) <= 0.05 * {t}" for t in SNAP) + ")"
     f.step("sz", f"SELECT chunk_id, stddev_pop(ratio) AS s, {share(snap)} AS snap, " + ", ".join(f"stddev_pop({at(s, 'ratio')}) AS s_{s}, avg({at(s, 'ratio')}) AS m_{s}, avg({at(s, f'CAST({snap} AS INT)')}) AS n_{s}" for s in STREETS) + " FROM x WHERE ratio IS NOT NULL GROUP BY chunk_id")

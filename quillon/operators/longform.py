@@ -24,7 +24,7 @@ HAND_DDL = (
 
 @dataclass(frozen=True)
 class HandTables:
-    """hand: a row for each hand; play: for each player of a hand; act: for each action of a hand."""
+    """hand: a row for each hand (winners: seats between commas); play: for each player of a hand; act: for each action of a hand."""
 
     hand: DataFrame
     play: DataFrame
@@ -40,7 +40,6 @@ def action_kind(raw):
 def long_tables(chunks: DataFrame) -> HandTables:
     """From (chunk_id, hand_ix, hand) with `hand` of HAND_DDL. Hands without actions or players stay as hands."""
     h = chunks.select("chunk_id", "hand_ix", "hand")
-    seat_text = F.col("hand.metadata.hero_seat").cast("string")
     hand = h.select(
         "chunk_id",
         "hand_ix",
@@ -51,7 +50,7 @@ def long_tables(chunks: DataFrame) -> HandTables:
         F.greatest(F.lit(1), F.coalesce("hand.metadata.max_seats", F.lit(6))).alias("max_seats"),
         F.coalesce("hand.metadata.bb", F.lit(0.02)).alias("bb"),
         F.coalesce("hand.outcome.showdown", F.lit(False)).alias("showdown"),
-        F.coalesce(F.array_contains("hand.outcome.winners", seat_text), F.lit(False)).alias("hero_won"),
+        F.concat(F.lit(","), F.coalesce(F.array_join("hand.outcome.winners", ","), F.lit("")), F.lit(",")).alias("winners"),
     ).withColumns({c: F.when(F.col(c) >= 0, F.col(c)).otherwise(0) for c in ("n_players", "n_streets")})
     p = h.select("chunk_id", "hand_ix", F.posexplode("hand.players").alias("play_ix", "p"))
     play = p.select("chunk_id", "hand_ix", "play_ix", F.col("p.seat").alias("seat"), F.col("p.starting_stack").alias("stack"))

@@ -48,6 +48,6 @@ def events_as_hands() -> list[tuple[str, str]]:
     f.step(
         "hand",
         """SELECT h.chunk_id, h.hand_ix, n.n AS n_players, h.n_streets, h.hero_seat, CAST(h.hand_ix % 6 + 1 AS INT) AS button_seat, 6 AS max_seats, CAST(0.5 AS DOUBLE) AS bb,
-        h.hand_ix % 3 = 0 AS showdown, h.hand_ix % 4 = 1 AS hero_won FROM hd h JOIN np n ON n.chunk_id = h.chunk_id AND n.hand_ix = h.hand_ix""",
+        h.hand_ix % 3 = 0 AS showdown, CASE WHEN h.hand_ix % 4 = 1 THEN concat(',', CAST(h.hero_seat AS STRING), ',') ELSE ',' END AS winners FROM hd h JOIN np n ON n.chunk_id = h.chunk_id AND n.hand_ix = h.hand_ix""",
     )
     return f.steps

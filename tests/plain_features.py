@@ -282,4 +282,158 @@ def perhand_set(chunk):
     return out | {"schema_high_actor_entropy_hand_rate": share(r["actor_entropy"] >= 0.75 for r in rows), "schema_long_action_hand_rate": share(r["action_count"] >= 12 for r in rows)}
 
 
-SETS = {"actions": actions_set, "temporal": temporal_set, "context": context_set, "perhand": perhand_set}
+def plain_bits(values):
+    c = Counter(values)
+    return -sum(x / c.total() * math.log2(x / c.total()) for x in c.values()) if c else 0.0
+
+
+def hero_set(chunk):
+    """The hero is the hero seat of the first hand that names one; what is undefined is 0."""
+    hero = next((h["metadata"]["hero_seat"] for h in chunk if h["metadata"]["hero_seat"] is not None), None)
+    post, n = STREETS[1:], len(chunk)
+    by = lambda h, s: [a for a in h["actions"] if a["street"] == s]
+    mine = lambda a: a["actor_seat"] == hero
+    bet = lambda a: a["action_type"] in BETS
+    q = lambda a, b: a / b if b else 0.0
+    z = lambda x: 0.0 if x is None else x
+    out = {}
+    # facing a bet; bets and calls
+    faced, calls, hits = Counter(), Counter(), Counter()
+    folds = Counter()
+    for h in chunk:
+        for s in STREETS:
+            line = by(h, s)
+            first = next((i for i, a in enumerate(line) if bet(a) and not mine(a)), len(line))
+            answer = next((a["action_type"] for a in line[first:] if mine(a)), None)
+            faced[s] += answer is not None
+            folds[s] += answer == "fold"
+            hits[s] += sum(mine(a) and bet(a) for a in line)
+            calls[s] += sum(mine(a) and a["action_type"] == "call" for a in line)
+    for s in STREETS:
+        out |= {f"bt_fold_to_{s}_aggression": q(folds[s], faced[s]), f"bt_faced_{s}_aggression_count": faced[s], f"bt_hero_af_{s}": q(hits[s], calls[s])}
+    total = lambda c: sum(c[s] for s in post)
+    after = q(total(hits), total(calls))
+    out |= {"bt_postflop_fold_to_aggression": q(total(folds), total(faced)), "bt_postflop_faced_aggression": total(faced), "bt_hero_af_postflop": after, "bt_hero_af_mismatch": out["bt_hero_af_preflop"] - after, "bt_hero_af_ratio": out["bt_hero_af_preflop"] / max(after, 0.01)}
+    # hands before the flop
+    vpip, pfr, three, opened = [], [], [], []
+    for h in chunk:
+        line = by(h, "preflop")
+        others = next((i for i, a in enumerate(line) if not mine(a) and a["action_type"] in RAISES), len(line))
+        raises = [i for i, a in enumerate(line) if mine(a) and a["action_type"] in RAISES]
+        vpip.append(float(any(mine(a) and a["action_type"] in IN for a in line)))
+        pfr.append(float(bool(raises)))
+        three.append(float(any(i > others for i in raises)))
+        opened.append(float(any(i < others for i in raises)))
+    v, p, t, o = map(np.mean, (vpip, pfr, three, opened))
+    out |= {"bt_hero_vpip": v, "bt_hero_3bet_rate": t, "bt_hero_open_raise_rate": o, "bt_hero_3bet_vpip_ratio": t / max(v, 0.01), "bt_hero_3bet_open_ratio": t / max(o, 0.01)}
+    out |= {"gto_vpip_mean": v, "gto_pfr_mean": p, "gto_3bet_mean": t, "gto_pfr_vpip_ratio": p / max(v, 1e-9), "gto_vpip_std": np.std(vpip), "gto_pfr_std": np.std(pfr), "gto_3bet_std": np.std(three), "gto_vpip_cv": np.std(vpip) / max(v, 1e-9), "gto_pfr_cv": np.std(pfr) / max(p, 1e-9), "gto_pfr_vpip_ratio_std": z(std(b for a, b in zip(vpip, pfr, strict=True) if a))}
+    # the flop
+    flops = [(i, [a["action_type"] for a in by(h, "flop") if mine(a)]) for i, h in enumerate(chunk)]
+    flops = [(i, k) for i, k in flops if k]
+    raised = [k for i, k in flops if pfr[i]]
+    checked = [k for _, k in flops if k[0] == "check"]
+    out |= {"bt_saw_flop_count": len(flops), "bt_wwsf_proxy": q(sum(str(hero) in chunk[i]["outcome"]["winners"] for i, _ in flops), len(flops)), "bt_cbet_opportunities": len(raised), "bt_cbet_fold_rate": q(sum(k[0] in BETS and "fold" in k[1:] for k in raised), len(raised)), "bt_check_fold_flop_rate": q(sum("fold" in k[1:] for k in checked), len(checked))}
+    # sizes
+    own = [a for h in chunk for a in h["actions"] if mine(a)]
+    sized = [(a["street"], a["amount"] / a["pot_before"]) for a in own if a["action_type"] in ("bet", "raise") and a["pot_before"] > 0 and a["amount"] > 0]
+    snap = lambda x: any(abs(x - f) <= 0.05 * f for f in (0.25, 0.33, 0.5, 0.67, 0.75, 1.0, 1.25, 1.5, 2.0))
+    for s in STREETS:
+        x = [r for k, r in sized if k == s]
+        out |= {f"bt_hero_{s}_bet_ratio_std": z(std(x)), f"bt_hero_{s}_bet_ratio_mean": z(mean(x)), f"bt_hero_{s}_snap_rate": z(share(map(snap, x)))}
+    x, to = [r for _, r in sized], [round(a["raise_to"], 3) for a in own if bet(a) and a["raise_to"]]
+    out |= {"bt_hero_overall_bet_ratio_std": z(std(x)), "bt_hero_overall_snap_rate": z(share(map(snap, x))), "bt_hero_unique_raise_to": len(set(to)), "bt_hero_raise_to_count": len(to), "bt_hero_raise_to_uniqueness": q(len(set(to)), len(to))}
+    # shares of aggression by hand and street
+    lines = {s: [[a for a in by(h, s) if mine(a)] for h in chunk] for s in STREETS}
+    rate = {s: z(mean(share(map(bet, k)) for k in lines[s] if k)) for s in STREETS}
+    out |= {f"bt_hero_agg_rate_{s}": r for s, r in rate.items()}
+    late = [rate[s] for s in post]
+    out |= {"bt_preflop_to_postflop_agg_drop": max(0.0, rate["preflop"] - np.mean(late)), "bt_agg_trend_flop_to_river": late[0] - late[2], "bt_postflop_agg_consistency": np.std(late) if all(late) else 0.0}
+    for s in post:
+        pairs = [(sum(map(bet, k)), sum(a["action_type"] == "check" for a in k)) for k in lines[s]]
+        r, x = q(sum(b for b, _ in pairs), sum(b + c for b, c in pairs)), [b / (b + c) for b, c in pairs if b + c]
+        out |= {f"gto_bet_rate_{s}": r, f"gto_bet_imbalance_{s}": abs(r - 0.5), f"gto_bet_rate_std_{s}": z(std(x)), f"gto_bet_rate_cv_{s}": z(std(x)) / max(abs(z(mean(x))), 1e-9)}
+    # halves
+    half = {}
+    for side, hs, at0 in (("a", chunk[: n // 2], 0), ("b", chunk[n // 2 :], n // 2)):
+        acts_ = [a for h in hs for a in h["actions"] if mine(a)]
+        sizes = [a["amount"] / a["pot_before"] for a in acts_ if a["action_type"] in ("bet", "raise") and a["pot_before"] > 0 and a["amount"] > 0]
+        half[side] = {"vpip": z(mean(vpip[at0 : at0 + len(hs)])), "pfr": z(mean(pfr[at0 : at0 + len(hs)])), "agg": z(share(map(bet, acts_))), "fold": z(share(a["action_type"] == "fold" for a in acts_)), "bet_size": z(mean(sizes))}
+    move = {k: (half["b"][k] - half["a"][k]) if n >= 4 else 0.0 for k in half["a"]}
+    out |= {f"gto_drift_{k}": abs(x) for k, x in move.items()} | {"gto_drift_composite": np.mean(list(map(abs, move.values()))), "gto_drift_vpip_signed": move["vpip"], "gto_drift_agg_signed": move["agg"]}
+    # the very next action
+    for s in post:
+        turns = [[(a, b) for a, b in pairwise(by(h, s)) if mine(b) and not mine(a)] for h in chunk]
+        after_check, after_bet = [[bet(b) for a, b in x if a["action_type"] == "check"] for x in turns], [bet(b) for x in turns for a, b in x if bet(a)]
+        flat = [b for x in after_check for b in x]
+        out |= {f"gto_probe_rate_{s}": z(share(flat)), f"gto_checked_to_count_{s}": len(flat), f"gto_raise_vs_bet_rate_{s}": z(share(after_bet)), f"gto_probe_rate_std_{s}": z(std(mean(x) for x in after_check if x))}
+    replies = defaultdict(list)
+    for h in chunk:
+        for a, b in pairwise(h["actions"]):
+            if bet(a) and not mine(a) and mine(b) and a["street"] == b["street"]:
+                replies[a["street"]].append((b["action_type"], a["pot_before"] / (h["metadata"]["bb"] or 0.02) < 10))
+    for s in STREETS:
+        k = [x for x, _ in replies[s]]
+        out |= {f"gto_response_entropy_{s}": plain_bits(k), f"gto_response_count_{s}": len(k), f"gto_fold_rate_vs_bet_{s}": q(k.count("fold"), len(k)), f"gto_call_rate_vs_bet_{s}": q(k.count("call"), len(k)), f"gto_raise_rate_vs_bet_{s}": q(sum(x in BETS for x in k), len(k))}
+        out[f"gto_response_pot_sensitivity_{s}"] = abs(plain_bits(x for x, low in replies[s] if not low) - plain_bits(x for x, low in replies[s] if low))
+    out["gto_postflop_response_entropy"] = plain_bits(x for s in post for x, _ in replies[s])
+    # raises one over the other
+    wars, depths, at_depth = Counter(), [], defaultdict(list)
+    for h in chunk:
+        depth = last = 0
+        for a in by(h, "preflop"):
+            depth += bet(a)
+            if bet(a) and mine(a):
+                wars[f"own{depth}"] += 1
+                last = depth
+            elif bet(a) and last == depth - 1 and last:
+                wars[f"met{depth}"] += 1
+            if mine(a) and depth:
+                at_depth[depth].append(a["action_type"])
+        depths.append(depth)
+    met3 = wars["met2"] + wars["met3"]
+    out |= {"at_hero_4bet_count": wars["own3"], "at_hero_5bet_count": wars["own5"], "at_3bet_faced_count": met3, "at_4bet_faced_count": wars["met4"], "at_hero_4bet_rate": wars["own3"] / max(1, met3), "at_hero_5bet_rate": wars["own5"] / max(1, wars["met4"]), "at_hero_4bet_per_hand": wars["own3"] / n, "at_hero_5bet_per_hand": wars["own5"] / n}
+    out |= {"at_preflop_2bet_rate": depths.count(1) / n, "at_preflop_3bet_rate": depths.count(2) / n, "at_preflop_4bet_rate": depths.count(3) / n, "at_preflop_5bet_plus_rate": sum(d > 3 for d in depths) / n, "at_preflop_max_depth": max(depths), "at_preflop_depth_entropy": plain_bits(depths)}
+    for d in (1, 2, 3):
+        out |= {f"at_hero_action_entropy_at_{d}bet": plain_bits(at_depth[d]), f"at_hero_count_at_{d}bet": len(at_depth[d])}
+    # stack to pot
+    bucket = {"shallow": [], "medium": [], "deep": []}
+    for h, k in zip(chunk, lines["flop"], strict=True):
+        stack, flop = next((x["starting_stack"] or 0 for x in h["players"] if x["seat"] == hero), 0), by(h, "flop")
+        if k and stack > 0 and flop[0]["pot_before"] > 0:
+            spr = stack / flop[0]["pot_before"]
+            bucket["shallow" if spr < 3 else "medium" if spr < 10 else "deep"].append(share(map(bet, k)))
+    for b, x in bucket.items():
+        out |= {f"at_hero_agg_{b}": z(mean(x)), f"at_hero_{b}_hand_count": len(x)}
+    means = [np.mean(x) for x in bucket.values() if x]
+    out |= {"at_spr_agg_variance": z(std(means)), "at_spr_agg_range": np.ptp(means) if means else 0.0}
+    # few and many, in and out of position
+    crowd, place = {True: [], False: []}, {True: [], False: []}
+    for h in chunk:
+        for s in post:
+            few = len({a["actor_seat"] for a in by(h, s) if a["action_type"] != "fold"}) <= 2
+            crowd[few] += [bet(a) for a in by(h, s) if mine(a)]
+            if h["metadata"]["button_seat"] is not None and hero is not None:
+                place[(h["metadata"]["button_seat"] - hero) % h["metadata"]["max_seats"] <= 1] += [bet(a) for a in by(h, s) if mine(a)]
+    for x, one, other, names in ((crowd, "hu", "mw", ("hu_mw_agg_diff", "mw_ratio")), (place, "ip", "oop", ("ip_oop_agg_diff", "ip_ratio"))):
+        yes, no = z(share(x[True])), z(share(x[False]))
+        out |= {f"at_hero_{one}_postflop_agg": yes, f"at_hero_{other}_postflop_agg": no, f"at_hero_{names[0]}": yes - no, f"at_hero_{one}_hands": len(x[True]), f"at_hero_{other}_hands": len(x[False]), f"at_hero_{names[1]}": len(x[one == "ip"]) / max(1, len(x[True]) + len(x[False]))}
+    # entropies of actions and sizes
+    ent = {s: plain_bits(a["action_type"] for k in lines[s] for a in k) for s in STREETS}
+    for s in STREETS:
+        acts_ = [a for k in lines[s] for a in k]
+        sizes = [round(round(a["amount"] / a["pot_before"] * 100) / 5) for a in acts_ if bet(a) and a["pot_before"] > 0 and a["amount"] > 0]
+        out |= {f"at_hero_action_entropy_{s}": ent[s], f"at_hero_action_count_{s}": len(acts_), f"at_hero_bet_size_entropy_{s}": plain_bits(sizes)}
+    some = [ent[s] for s in STREETS if any(lines[s])]
+    out |= {"at_hero_action_entropy_mean": z(mean(some)), "at_hero_action_entropy_std": z(std(some))}
+    # answers to hero's bets while the street lasts
+    answers = []
+    for h in chunk:
+        for i, a in enumerate(h["actions"]):
+            if mine(a) and bet(a):
+                rest = next((b for b in h["actions"][i + 1 :] if b["street"] != a["street"] or not mine(b)), None)
+                answers += [rest["action_type"]] if rest is not None and rest["street"] == a["street"] else []
+    k = len(answers)
+    return out | {"at_hero_bets_faced_by_villain": k, "at_villain_fold_to_hero_bet": q(answers.count("fold"), k), "at_villain_call_to_hero_bet": q(answers.count("call"), k), "at_villain_raise_to_hero_bet": q(sum(x in BETS for x in answers), k)}
+
+
+SETS = {"actions": actions_set, "temporal": temporal_set, "context": context_set, "perhand": perhand_set, "hero": hero_set}

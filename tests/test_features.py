@@ -30,7 +30,7 @@ def generated_hand(rng, table):
         "players": [{"seat": s, "starting_stack": rng.choice((1.0, 2.0, 2.0, round(rng.random() * 3, 2)))} for s in seats],
         "streets": [{"street": s} for s in sorted({a["street"] for a in actions} - {"preflop"})],
         "actions": actions,
-        "outcome": {"winners": [], "showdown": rng.random() < 0.3},
+        "outcome": {"winners": [str(s) for s in seats if rng.random() < 0.3], "showdown": rng.random() < 0.3},
     }
 
 
