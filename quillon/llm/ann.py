@@ -76,10 +76,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, key: str = "
     Vectors that are null, zero or hold a null or non-finite component take no
     part, nor do null keys. Rows with the query's own key are no candidates;
     vectors are compared with those of their own length only. Of repeated rows
-    each is a candidate and each query key is answered once.
+    each is a candidate and each query key is answered once, for the smallest of
+    its vectors. Empty tables give no row; other columns, whatever their names,
+    are not read.
     """
     pick = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    asked, there = pick(queries).dropDuplicates(["id"]), pick(candidates)
+    asked, there = pick(queries).groupBy("id").agg(F.min("v").alias("v")), pick(candidates)
     n_q, n_c = queries.count(), candidates.count()
     rows, cols = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CANDIDATE_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

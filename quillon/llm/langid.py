@@ -147,6 +147,11 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 
 def identify(df: DataFrame, filters: LanguageFilters, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """key, lang_pred, score of every row; null text or no letter: `und`, 0.0. `keep` names columns to carry along."""
+    """key, lang_pred, score of every row; null or empty text or no letter: `und`, 0.0. `keep` names columns to carry along.
+
+    Null keys and repeated rows give a row each, an empty table none; other
+    columns, whatever their names, are not read. A very long text is read in one
+    piece, some 50 bytes a character.
+    """
     shared = df.sparkSession.sparkContext.broadcast(filters)  # bounded: SLOTS words for each 64 languages
     return map_texts(df, [key, *(keep or [])], text, lambda texts: list(shared.value.predict(texts)), "lang_pred string, score double")

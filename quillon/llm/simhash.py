@@ -255,8 +255,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits
 
     Null and empty texts share fingerprint zero and link like any other. Rows
     with a null key take no part in components and have a null component_id.
-    Repeated rows give a row each. Work grows with distinct fingerprints, not
-    with pairs: equal fingerprints are one node, a bucket's links are a star.
+    Repeated rows give a row each, an empty table none; other columns, whatever
+    their names, are not read. Very long texts are hashed in steps. Work grows
+    with distinct fingerprints, not with pairs: equal fingerprints are one node,
+    a bucket's links are a star.
     """
     prints = checkpointed(fingerprints(df, key, text, width))
     nodes = checkpointed(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).cast("long").alias("rep")))

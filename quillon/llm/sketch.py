@@ -93,7 +93,8 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     edited: the last floor(n_chars / 3) code points replaced by the first as
     many of the next document's (in descending key order, the first after the
-    last). Null text counts as empty. Of rows that share a key, the one with
+    last). Null text counts as empty. Repeated rows give a row each, an empty table
+    none; other columns, whatever their names, are not read. Of rows that share a key, the one with
     the smallest text is the others' next document. A null key has no next
     document: its text is not edited and near_next is null.
     """

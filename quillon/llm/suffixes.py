@@ -371,8 +371,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     A byte is removed where a string of `length` bytes covers it that also
     starts in a row with a smaller key. Null text counts as empty. Rows with a
-    null key lose nothing and take nothing. Rows that share a key lose nothing
-    to each other.
+    null key lose nothing and take nothing. Rows that share a key, repeated ones
+    too, lose nothing to each other. An empty table gives no row; other columns,
+    whatever their names, are not read. A very long text is held whole in one
+    task, with some 60 bytes for each of its own.
     """
     plan = packed.size_up(docs, text, hashes_per_char=0.075)
     keyed = docs.where(F.col(key).isNotNull())
