@@ -299,7 +299,7 @@ def test_interval_tree_by_stack():
                 want.add((left, i, d))
             if v and (not stack or stack[-1][0] < v):
                 stack.append((v, left))
-        got = set(zip(*[x.tolist() for x in suffixes.intervals(lcp, 2, 5)], strict=True))
+        got = set(zip(*[x.tolist() for x in suffixes.intervals(lcp, 2)], strict=True))
         assert got == {w for w in want if w[2] >= 2}
 
 
