@@ -29,8 +29,8 @@ from quillon.llm.batches import map_texts
 
 #: A cut where the low bits of the hash of this many characters are zero: chunks of about 2**BITS characters.
 ROLL, BITS = 12, 8
-#: Characters of keys that a worker keeps for reuse, for words and for chunks, in two generations each.
-CACHE_CHARS = 5_000_000
+#: Characters of keys that a worker keeps for reuse, for words and for chunks, in two generations each; a word takes some 40 bytes for each.
+CACHE_CHARS = 2_500_000
 #: New words that are encoded in one call.
 GROUP = 2_000
 _SAFE = re.compile("[ \n]+")
