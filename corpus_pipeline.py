@@ -22,6 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE = 0.2
 #: Mixing: tokens asked for as a share of all, and uses of a document at most.
 MIX_SHARE, MIX_EPOCHS = 1.0, 2
+#: What a worker of the last stage keeps for reuse, after what four stages have left in it.
+ENCODE_ROOM = 2_500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each document; null and empty texts have none."""
-    found = bpe.encode_decode(docs.select(*COLUMNS), tokenizer_path(), keep=["lang", "source"])
+    found = bpe.encode_decode(docs.select(*COLUMNS), tokenizer_path(), keep=["lang", "source"], room=ENCODE_ROOM)
     return found.select("doc_id", "lang", "source", "n_tokens", bpe.ids().alias("ids"))
 
 

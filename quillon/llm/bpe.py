@@ -30,7 +30,7 @@ from quillon.llm.batches import map_texts
 #: A cut where the low bits of the hash of this many characters are zero: chunks of about 2**BITS characters.
 ROLL, BITS = 12, 8
 #: Characters of keys that a worker keeps for reuse, for words and for chunks, in two generations each; a word takes some 40 bytes for each.
-CACHE_CHARS = 2_500_000
+CACHE_CHARS = 5_000_000
 #: New words that are encoded in one call.
 GROUP = 2_000
 _SAFE = re.compile("[ \n]+")
@@ -52,8 +52,8 @@ def cuts(text: str) -> np.ndarray:
 class ChunkCoder:
     """Encodes texts to (count, ids joined by a space, decoded text) with reuse of chunks and words."""
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, room: int) -> None:
+        self.tokenizer, self.room = tokenizer, room
         self.separator = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)), None)
         self.cut = self.tokenizer.token_to_id(self.separator) if self.separator else None
         size = self.tokenizer.get_vocab_size()
@@ -79,7 +79,7 @@ class ChunkCoder:
         one word each, are told apart by the marks; the rest by an added token
         between them, which ends whatever it stands beside.
         """
-        if self.word_chars > CACHE_CHARS // 2:  # what is still in use comes over from the old generation
+        if self.word_chars > self.room // 2:  # what is still in use comes over from the old generation
             self.old_words, self.words, self.word_chars = self.words, {}, 0
         new = []
         for w in dict.fromkeys(words):
@@ -136,7 +136,7 @@ class ChunkCoder:
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         plans, new = [], []
-        if self.chunk_chars > CACHE_CHARS // 2:
+        if self.chunk_chars > self.room // 2:
             self.old_chunks, self.chunks, self.chunk_chars = self.chunks, {}, 0
         fresh: dict[str, list[str]] = {}
         for text in texts:
@@ -166,10 +166,10 @@ JOIN, AGREE = 16, 4
 class JoinCoder:
     """As ChunkCoder, for any tokenizer: joins are repaired until the ids agree."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, room: int) -> None:
         from tokenizers.processors import ByteLevel
 
-        self.tokenizer = tokenizer
+        self.tokenizer, self.room = tokenizer, room
         self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # adds no ids; offsets take in the white space of a token
         self.chunks: dict[str, tuple[list, list]] = {}
         self.old_chunks, self.chunk_chars = self.chunks, 0
@@ -182,7 +182,7 @@ class JoinCoder:
     def _chunk(self, chunk: str) -> tuple[list[int], list[int]]:
         if (got := self.chunks.get(chunk)) is None:
             got = self.old_chunks.get(chunk) or self._tokens(chunk)
-            if self.chunk_chars > CACHE_CHARS // 2:
+            if self.chunk_chars > self.room // 2:
                 self.old_chunks, self.chunks, self.chunk_chars = self.chunks, {}, 0
             self.chunks[chunk] = got
             self.chunk_chars += len(chunk)
@@ -225,34 +225,35 @@ def drops_space(tokenizer) -> bool:
     return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(plain)] == list("abcde")
 
 
-def coder(path: str) -> ChunkCoder | JoinCoder:
-    """The coder that fits a tokenizer file."""
+def coder(path: str, room: int | None = None) -> ChunkCoder | JoinCoder:
+    """The coder that fits a tokenizer file; room: characters of keys that it keeps, CACHE_CHARS if not given."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return ChunkCoder(tokenizer) if drops_space(tokenizer) else JoinCoder(tokenizer)
+    return (ChunkCoder if drops_space(tokenizer) else JoinCoder)(tokenizer, room or CACHE_CHARS)
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> ChunkCoder | JoinCoder:
-    return coder(path)
+def _coder(path: str, room: int | None) -> ChunkCoder | JoinCoder:
+    return coder(path, room)
 
 
-def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, room: int | None = None) -> DataFrame:
     """key, n_tokens, ids_text (decimal ids joined by a space), decoded of every row.
 
     `tokenizer` is the path of a tokenizer file, present on every executor; ids
     are those of the tokenizers library for the whole text, without special
     tokens. Null counts as empty: no ids and an empty decoded text. Null keys and
     repeated rows give a row each, an empty table none. Columns other than
-    `keep`, whatever their names, are not read. A very long text is held whole
+    `keep`, whatever their names, are not read. `room` bounds what a worker keeps
+    for reuse (characters of keys, some 40 bytes each). A very long text is held whole
     with its ids in one task.
     """
 
     def run(texts: list) -> list[list]:
-        made = _coder(tokenizer).encode([t or "" for t in texts])
+        made = _coder(tokenizer, room).encode([t or "" for t in texts])
         return [list(c) for c in zip(*made, strict=True)]
 
     return map_texts(df, [key, *(keep or [])], text, run, "n_tokens long, ids_text string, decoded string")
