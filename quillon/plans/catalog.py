@@ -17,7 +17,7 @@ from quillon.operators import calibrate, drift, metrics, registry, sanitize, tok
 from quillon.operators.features import REGISTRY
 from quillon.operators.longform import HandTables
 from quillon.plans import bindings
-from quillon.session import materialised, table
+from quillon.session import materialised, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -680,3 +680,63 @@ def count_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     # events carry dense ids, so the place of each is known without a sort of all
     flat = e.select(F.lit("events").alias("file"), F.col("event_id").alias("pos"), k.alias("hand"))
     return in_chunks(flat, 100).groupBy(F.split("chunk_id", "#")[1].cast("long").alias("n")).agg(F.count("*").alias("hands"), F.sum("hand").alias("total"))
+
+
+# Scans, streams and models
+
+
+@query(
+    _HANDS
+    + " SELECT h.chunk_id || '-' || h.hand_ix AS hand_id, h.hero_seat, h.n_players AS players, count(a.act_ix) AS actions, round(coalesce(sum(a.amount), 0), 6) AS amount FROM hand h LEFT JOIN act a ON a.chunk_id = h.chunk_id AND a.hand_ix = h.hand_ix GROUP BY ALL"
+)
+def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hands of the binding, written as text files of JSON arrays and read again by the array reader."""
+    from quillon.sources.hands import flat
+
+    named = nested_hands(spark, sf_dir).withColumn("hand", F.col("hand").withField("hand_id", F.concat_ws("-", F.col("chunk_id").cast("string"), F.col("hand_ix").cast("string"))))
+    arrays = named.groupBy("chunk_id", F.expr("hand_ix div 1000")).agg(F.to_json(F.collect_list("hand")).alias("value"))
+    folder = new_folder(spark, "json")
+    arrays.select("value").write.option("maxRecordsPerFile", 100).text(folder)
+    read = flat(spark, folder, 1).select("hand.*")
+    paid = F.aggregate("actions", F.lit(0.0), lambda acc, a: acc + F.coalesce(a["amount"], F.lit(0.0)))
+    found = read.select("hand_id", F.col("metadata.hero_seat").alias("hero_seat"), F.size("players").cast("long").alias("players"), F.size("actions").cast("long").alias("actions"), paid.alias("amount"))
+    return r6(found, "amount")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS fingerprint, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS times_served FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served registry as a stream over the events' files; of each user the newest row that the cycles wrote."""
+    from quillon.streaming.registry import run_cycles, served_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    pattern = f"{sf_dir.rstrip('/')}/[e]vents.parquet"  # a stream takes a single file by a pattern only, a folder either way
+    stream = spark.readStream.schema(schema).parquet(pattern).where(F.col("user_id").isNotNull())
+    rows = served_stream(stream.select(F.col("user_id").cast("string").alias("fingerprint"), F.col("ts").cast("timestamp").alias("ts")))
+    out = new_folder(spark, "served")
+    # a cycle that is run again writes over its own folder
+    run_cycles(rows, new_folder(spark, "stream"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/cycle={n}")).awaitTermination()
+    newest = spark.read.parquet(out).groupBy("fingerprint").agg(F.max(F.struct("times_served", "first_seen", "last_seen")).alias("r"))
+    at = schema["ts"].dataType
+    return newest.select("fingerprint", F.col("r.first_seen").cast(at).alias("first_seen"), F.col("r.last_seen").cast(at).alias("last_seen"), F.col("r.times_served").alias("times_served"))
+
+
+@query()
+def stack_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a stack that learns their quality from the shape of the labelled ones' texts."""
+    from quillon.plans.model import Stack
+
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_remove(F.split(text, r"\s+"), "")
+    rate = lambda part, whole: F.when(whole > 0, part / whole)
+    shape = {
+        "chars": F.log1p(F.length(text).cast("double")),
+        "words": F.log1p(F.size(words).cast("double")),
+        "distinct": rate(F.size(F.array_distinct(words)), F.size(words)),
+        "letters": rate(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.length(text)),
+        "capitals": rate(F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")), F.length(text)),
+        "figures": rate(F.length(F.regexp_replace(text, r"[^0-9]", "")), F.length(text)),
+    }
+    docs = materialised(table(spark, sf_dir, "documents").select("doc_id", *[c.cast("double").alias(n) for n, c in shape.items()]))
+    known = docs.join(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+    stack = Stack(list(shape), ("forest", "linear"), k=3).fit(known, "doc_id")
+    return r6(stack.transform(docs).select("doc_id", "score"), "score")

@@ -61,8 +61,8 @@ def ema_now(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def run_cycles(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]):
-    """Feed each micro-batch to `sink` once per batch id; the checkpoint is the offset commit."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    """Feed each micro-batch, of a stateful stream what it changed, to `sink` once per batch id; the checkpoint is the offset commit."""
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
 
 
 def epochs(stream: DataFrame, at: str, late: str, hours: int = 24, offset: str = "20 hours") -> DataFrame:

@@ -37,7 +37,7 @@ def test_matches_sql(spark, sf, duck, name):
     assert canon(ours, sorted(ours.columns)) == canon(theirs, sorted(ours.columns))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"stack_model"}))
 def test_runs_without_sql(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 

@@ -396,3 +396,14 @@ def test_eligible_takes_targets_as_a_table(spark):
     targets = spark.createDataFrame([(0,), (2,), (2,), (5,), (9,)], "uid long")
     assert sorted(r["uid"] for r in weights.eligible(n, targets).collect()) == [2, 5]
     assert weights.eligible(n, targets.where("false")).count() == 0
+
+
+def test_stack_query_tells_good_from_bad(spark, sf):
+    from quillon.plans.catalog import QUERIES
+
+    got = QUERIES["stack_model"](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert got.where("score is null or score < 0 or score > 1").isEmpty()
+    mean = {r["quality"]: r["m"] for r in got.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
+    assert mean[1] > mean[0] + 0.1
