@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, bpe, langid, mixing, ngram_lm, pii, secrets, simhash, sketch, suffixes
+from quillon.llm import ann, bpe, clustering, divergence, exact, langid, mixing, ngram_lm, pii, secrets, simhash, sketch, suffixes
 from quillon.session import table
 
 
@@ -80,6 +80,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("log10_score", F.round("log10_score", 6)).withColumn("per_word", F.round("per_word", 6))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
@@ -89,5 +101,5 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS sco
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 20"""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_repeats, op4_simhash, op5_fingerprints, op6_bpe, op7_secrets, op8_language_id, op9_pii, op10_lm_scores)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(weights=mixing.TARGETS), "op2_nearest": OP2_SQL, "op10_lm_scores": ngram_lm.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_repeats, op4_simhash, op5_fingerprints, op6_bpe, op7_secrets, op8_language_id, op9_pii, op10_lm_scores, op11_divergence, op12_clustering, op13_exact)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(weights=mixing.TARGETS), "op2_nearest": OP2_SQL, "op10_lm_scores": ngram_lm.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op12_clustering": clustering.oracle_sql(), "op13_exact": exact.oracle_sql()}
