@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A budget of tokens goes down a tree domain - language - source in proportion to
-integer weights. A node takes at most its tokens times the epochs allowed; what
+weights, 0 or more. A node takes at most its tokens times the epochs allowed; what
 it can't take goes to its siblings by their weights, and only what a whole
 subtree can't take goes further up. Each source then takes whole epochs and,
 of the next epoch's seeded order, the prefix that fills its budget to the token.
@@ -9,7 +9,9 @@ of the next epoch's seeded order, the prefix that fills its budget to the token.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ SEED = 17
 #: Share of all tokens that is asked for, and how often a document may be used.
 BUDGET_SHARE, MAX_EPOCHS = 0.6, 2
 #: Target weights of the registered query, by level and name; names that aren't listed weigh 1.
-TARGETS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "language": {"en": 5, "de": 3, "fr": 2}, "source": {"src3": 3, "src7": 2, "src11": 4}}
+TARGETS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "language": {"en": 5, "de": 3, "fr": 2}, "source": {"src3": 3, "src7": 2, "src11": 4, "src2": 0.5, "src5": 0}}
 #: Documents of a leaf from which its slices are sliced again.
 WIDE_LEAF = 1 << 24
 #: Leaves up to which their plan, a short row for each, goes to all machines; beyond, it is joined by a shuffle.
@@ -45,38 +47,51 @@ def domain_of(source: str, domains: int = 4) -> Column:
     return F.concat(F.lit("d"), F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(source), F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int"), F.lit(domains)).cast("string"))
 
 
-def _weight(column: str, weights: Mapping[str, int] | None) -> Column:
-    out = F.lit(None).cast("long")
-    for name, w in (weights or {}).items():
-        out = F.when(F.col(column) == name, F.lit(int(w)).cast("long")).otherwise(out)
-    return F.coalesce(out, F.lit(1).cast("long"))
+def whole_weights(weights: Mapping[str, float] | None) -> tuple[dict[str, int], int]:
+    """Weights of a level as whole numbers in the same proportion, and that of names that aren't listed."""
+    exact = {name: Fraction(str(w)) for name, w in (weights or {}).items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError(f"weights are 0 or more: {weights}")
+    of = math.lcm(1, *(w.denominator for w in exact.values()))
+    return {name: int(w * of) for name, w in exact.items()}, of
+
+
+def _weight(column: str, weights: Mapping[str, float] | None) -> Column:
+    named, other = whole_weights(weights)
+    out = F.lit(other).cast("long")
+    for name, w in named.items():
+        out = F.when(F.col(column) == name, F.lit(w).cast("long")).otherwise(out)
+    return out
 
 
 def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Nodes (weight, cap, have = the parent's budget) with `budget`: shares by weight up to cap, the rest to siblings.
 
     Sorted by cap / weight the nodes that fill up are a prefix; the others share
-    what is left by weight. Windows are over a parent's children, not documents.
+    what is left by weight. A node without weight has a cap of 0 and gets
+    nothing. Windows are over a parent's children, not documents.
     """
-    by = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), name)
+    ratio = F.try_divide(F.col("cap").cast("double"), F.col("weight"))
+    by = Window.partitionBy(*parent).orderBy(ratio.asc_nulls_first(), name)
     before, onward = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("have") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
-    nodes = nodes.withColumn("level", level).withColumn("full", F.col("level") >= F.col("cap") / F.col("weight"))
+    level = F.try_divide(F.col("have") - F.coalesce(F.sum("cap").over(before), F.lit(0)), F.sum("weight").over(onward))
+    nodes = nodes.withColumn("level", level).withColumn("full", (F.col("weight") == 0) | (F.col("level") >= ratio))
     share = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parent))
     budget = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.greatest(F.lit(0.0), share) * F.col("weight")))
     return nodes.withColumn("share", share).withColumn("budget", budget).drop("level", "full", "share")
 
 
-def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
-    """Leaves (LEVELS, n_tokens, ...) with `budget` in tokens."""
+def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """Leaves (LEVELS, n_tokens, ...) with `budget` in tokens. What a node of weight 0 could hold counts for none of its ancestors."""
     weights = weights or {}
-    leaves = leaves.withColumn("cap", F.col("n_tokens") * max_epochs)
-    top = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("n_tokens").alias("n")).withColumn("root", F.lit(0))
+    able = F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)
+    up = lambda nodes, *by: nodes.groupBy(*by).agg(F.sum("cap").alias("cap"), F.sum("n").alias("n"))
+    low = leaves.withColumn("weight", _weight("source_name", weights.get("source"))).withColumn("cap", F.col("n_tokens") * max_epochs).withColumn("cap", able)
+    mid = up(low.withColumn("n", F.col("n_tokens")), "domain", "language").withColumn("weight", _weight("language", weights.get("language"))).withColumn("cap", able)
+    top = up(mid, "domain").withColumn("weight", _weight("domain", weights.get("domain"))).withColumn("cap", able).withColumn("root", F.lit(0))
     have = F.sum("n").over(Window.partitionBy("root")) * F.lit(float(budget_share))
-    top = fill(top.withColumn("weight", _weight("domain", weights.get("domain"))).withColumn("have", have), ["root"], "domain")
-    mid = leaves.groupBy("domain", "language").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight("language", weights.get("language")))
+    top = fill(top.withColumn("have", have), ["root"], "domain")
     mid = fill(mid.join(top.select("domain", F.col("budget").alias("have")), "domain"), ["domain"], "language")
-    low = leaves.withColumn("weight", _weight("source_name", weights.get("source")))
     low = fill(low.join(mid.select("domain", "language", F.col("budget").alias("have")), ["domain", "language"]), ["domain", "language"], "source_name")
     return low.select(*LEVELS, *[c for c in leaves.columns if c not in (*LEVELS, "cap")], F.floor(F.col("budget") + 1e-6).cast("long").alias("budget"))
 
@@ -88,7 +103,7 @@ def mix(
     lang: str = "lang",
     source: str = "source",
     domain: Column | None = None,
-    weights: Mapping[str, Mapping[str, int]] | None = None,  # by "domain", "language" and "source": name and weight, 1 for others
+    weights: Mapping[str, Mapping[str, float]] | None = None,  # by "domain", "language" and "source": name and weight, 1 for others
     budget_share: float = BUDGET_SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
@@ -101,7 +116,9 @@ def mix(
     language and source are a leaf of their own, "(none)"; documents without
     a token, null and empty texts among them, are never used. Repeated rows and
     null keys count as documents of their own. An empty table gives no row.
-    Columns other than those named, whatever their names, are not read.
+    Columns other than those named, whatever their names, are not read. Weights
+    may be fractions; one of 0 gives no budget, and its share goes to siblings,
+    then to those of ancestors; a negative one is a ValueError.
 
     A leaf may hold a third of all rows: its running total is taken in 4096
     slices of the seeded hash, and slices are offset by their aggregated sums;
@@ -149,30 +166,35 @@ def mix(
     return out.where("copies > 0 or partial_tokens > 0")
 
 
-def oracle_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: Mapping[str, Mapping[str, int]] | None = None) -> str:
+def oracle_sql(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: Mapping[str, Mapping[str, float]] | None = None) -> str:
     """The same in DuckDB's SQL over `documents`."""
 
-    def weight(column: str, level: str) -> str:
-        own = (weights or {}).get(level, {})
-        return f"CASE {column} {' '.join(f"WHEN '{n}' THEN {w}" for n, w in own.items())} ELSE 1 END" if own else "1"
+    def able(src: str, column: str, level: str) -> str:
+        named, other = whole_weights((weights or {}).get(level))
+        weight = f"CASE {column} {' '.join(f"WHEN '{n}' THEN {w}" for n, w in named.items())} ELSE {other} END" if named else str(other)
+        return f"SELECT * EXCLUDE (most), CASE WHEN weight > 0 THEN CAST(most AS BIGINT) ELSE 0 END AS cap FROM (SELECT *, {weight} AS weight FROM ({src}))"
 
     def filled(src: str, parent: str, name: str) -> str:
+        ratio = "CAST(cap AS DOUBLE) / nullif(weight, 0)"
         return f"""
       SELECT *, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), greatest(0.0, max(CASE WHEN NOT is_full THEN lvl END) OVER (PARTITION BY {parent})) * weight) END AS budget
-      FROM (SELECT *, lvl >= CAST(cap AS DOUBLE) / weight AS is_full FROM (
-        SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-                  / sum(weight) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM ({src})))"""
-
-    top = filled(f"SELECT *, CAST(sum(n) OVER () AS DOUBLE) * {budget_share} AS have FROM (SELECT domain, {weight('domain', 'domain')} AS weight, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap, sum(n_tokens) AS n, 0 AS root FROM leaves GROUP BY domain)", "root", "domain")
-    mid = filled(f"SELECT a.*, t.budget AS have FROM (SELECT domain, language, {weight('language', 'language')} AS weight, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap FROM leaves GROUP BY domain, language) a JOIN top t USING (domain)", "domain", "language")
-    low = filled(f"SELECT l.*, {weight('source_name', 'source')} AS weight, CAST(l.n_tokens * {max_epochs} AS BIGINT) AS cap, m.budget AS have FROM leaves l JOIN mid m USING (domain, language)", "domain, language", "source_name")
+      FROM (SELECT *, weight = 0 OR lvl >= {ratio} AS is_full FROM (
+        SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY {ratio} NULLS FIRST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / nullif(sum(weight) OVER (PARTITION BY {parent} ORDER BY {ratio} NULLS FIRST, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS lvl FROM ({src})))"""
+
+    low_w = able(f"SELECT *, n_tokens * {max_epochs} AS most FROM leaves", "source_name", "source")
+    mid_w = able("SELECT domain, language, sum(cap) AS most, sum(n_tokens) AS n FROM low_w GROUP BY domain, language", "language", "language")
+    top_w = able("SELECT domain, sum(cap) AS most, sum(n) AS n, 0 AS root FROM mid_w GROUP BY domain", "domain", "domain")
+    top = filled(f"SELECT *, CAST(sum(n) OVER () AS DOUBLE) * {budget_share} AS have FROM top_w", "root", "domain")
+    mid = filled("SELECT a.*, t.budget AS have FROM mid_w a JOIN top t USING (domain)", "domain", "language")
+    low = filled("SELECT l.*, m.budget AS have FROM low_w l JOIN mid m USING (domain, language)", "domain, language", "source_name")
     levels = "domain, language, source_name"
     return f"""
 WITH named AS (
   SELECT doc_id, 'd' || CAST(CAST('0x' || md5(coalesce(source, ''))[1:1] AS INTEGER) % 4 AS VARCHAR) AS domain, coalesce(lang, '(none)') AS language,
          coalesce(source, '(none)') AS source_name, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS tokens FROM documents),
 leaves AS (SELECT {levels}, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM named WHERE tokens > 0 GROUP BY ALL),
-top AS ({top}), mid AS ({mid}), low AS ({low}),
+low_w AS ({low_w}), mid_w AS ({mid_w}), top_w AS ({top_w}), top AS ({top}), mid AS ({mid}), low AS ({low}),
 plan AS (SELECT {levels}, CAST(floor(budget + 1e-6) AS BIGINT) // n_tokens AS epochs, CAST(floor(budget + 1e-6) AS BIGINT) % n_tokens AS rest FROM low),
 seen AS (SELECT *, md5('{seed}:' || CAST(epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS h FROM named JOIN plan USING ({levels}) WHERE tokens > 0),
 placed AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY {levels} ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ends FROM seen),
