@@ -85,27 +85,30 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     groups = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).distinct()
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     kept = materialised(kept)
-    own = counts.drop("docs").join(kept, ["lang", "term"])
+    own = materialised(counts.drop("docs").join(kept, ["lang", "term"]))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     zero = F.lit(0).cast("long")
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = materialised(groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "kept", "lang_total")]))
 
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    salted = kept.select("lang", "term").withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dense = salted.join(spread, ["lang", "salt"]).join(counts.drop("docs"), ["lang", "source", "term"], "left")
-    dense = dense.withColumn("n", F.coalesce("n", zero))
-    dense = dense.select("lang", "source", "term", "n", per_whole("n", "total", "kept").alias("p"), per_whole("lang_n", "lang_total", "kept").alias("q"))
-
-    a, b = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("other_p"))
-    sums = a.join(b, ["lang", "term"]).where(F.col("source") < F.col("other")).groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("other_p"))).alias("value"))
+    dense = salted.join(spread, ["lang", "salt"]).join(own.drop("lang_n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", zero))
+    dense = dense.select("lang", "term", "source", per_whole("n", "total", "kept").alias("p"))
+
+    a, b = dense.alias("a"), dense.alias("b")  # alike, so they are worked out and dealt once
+    col = lambda side, c: F.col(f"{side}.{c}")
+    met = a.join(b, (col("a", "lang") == col("b", "lang")) & (col("a", "term") == col("b", "term")) & (col("a", "source") < col("b", "source")))
+    gap = F.abs(col("a", "p") - col("b", "p"))
+    sums = met.groupBy(col("a", "lang").alias("lang"), col("a", "source").alias("source"), col("b", "source").alias("other")).agg(F.sum(gap).alias("value"))
     both = F.explode(F.array(F.struct(F.col("source").alias("source"), F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("source").alias("item"))))
     pairs = sums.select("lang", "value", both.alias("x")).select("lang", "x.source", "x.item", "value")
     bare = groups.where("kept = 0").select("lang", "source")
     alike = bare.join(bare.select("lang", F.col("source").alias("item")), "lang").where(F.col("source") != F.col("item")).withColumn("value", zero)
     pairs = pairs.unionByName(alike).withColumn("part", F.lit("pair"))
-    more = dense.where((F.col("n") > 0) & (F.col("p") > F.col("q"))).select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"), F.lit("term").alias("part"))
+    used = own.where("n > 0").join(groups, ["lang", "source"])
+    more = used.select("lang", "source", F.col("term").alias("item"), (per_whole("n", "total", "kept") - per_whole("lang_n", "lang_total", "kept")).alias("value"), F.lit("term").alias("part")).where("value > 0")
 
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     out = pairs.withColumn("rank", rank).unionByName(more.withColumn("rank", rank).where(F.col("rank") <= top_terms))
