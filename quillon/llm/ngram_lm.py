@@ -119,7 +119,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     plan = packed.size_up(docs, text, hashes_per_char=0.16 * order)
     # keys travel as text: pandas would turn whole numbers beside a null into floats
     blocks = packed.in_blocks(docs.select(F.col(key).cast("string"), text), key, text, plan)
-    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order), counted=np.uint64), np.uint64, counted=np.uint64)
+    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _counted(texts, order), counted=np.uint64), np.uint64, counted=np.uint64, blocks=plan.blocks)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -21,8 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import materialised
+
 #: Characters of text in a block; hashes in a bucket, about.
 BLOCK_CHARS, BUCKET_HASHES = 3_000_000, 1_000_000
+#: Blocks whose rows for one bucket meet in one task.
+MOST_BLOCKS = 8192
 
 
 @dataclass(frozen=True)
@@ -86,24 +90,71 @@ def requests(blocks: DataFrame, plan: Plan, hashes: Callable[[list[str]], tuple[
     return blocks.groupBy("block").applyInPandas(run, "bucket int, block int, hashes binary, counts binary")
 
 
-def totals(asked: DataFrame, kind: type = np.uint32, hashes: type = np.uint64, counted: type = np.uint32) -> DataFrame:
-    """block, bucket, totals: for each hash asked (sent as `hashes`, counts as `counted`) its sum over all blocks, at most the largest of `kind`."""
-    top = np.iinfo(kind).max
+def _joined(part: pd.DataFrame, hashes: type, counted: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A group's rows of hashes; its distinct hashes in order, where each entry is among them, and their summed counts."""
+    own = [unpack(x, hashes) for x in part["hashes"]]
+    counts = np.concatenate([unpack(x, counted) for x in part["counts"]]).astype(np.uint64)
+    distinct, at = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.zeros(len(distinct), np.uint64)
+    np.add.at(total, at, counts)
+    return own, distinct, at, total
+
+
+def _split(values: np.ndarray, own: list[np.ndarray]) -> list[bytes]:
+    ends = np.cumsum([len(x) for x in own]).tolist()
+    return [pack(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def totals(asked: DataFrame, kind: type = np.uint32, hashes: type = np.uint64, counted: type = np.uint32, blocks: int = 0) -> DataFrame:
+    """block, bucket, totals: for each hash asked (sent as `hashes`, counts as `counted`) its sum over all blocks, at most the largest of `kind`.
+
+    blocks: how many blocks there are. A hash that is everywhere brings its
+    bucket a row from each block; from MOST_BLOCKS on they are added up, and
+    answered, over a tree of groups of at most that many.
+    """
+    top = np.uint64(np.iinfo(kind).max)
+    if blocks > MOST_BLOCKS:
+        return _tree_totals(asked, kind, hashes, counted, blocks)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        own = [unpack(x, hashes) for x in part["hashes"]]
-        counts = np.concatenate([unpack(x, counted) for x in part["counts"]]).astype(np.uint64)
-        distinct, at = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, at, counts)
-        total = np.minimum(total, np.uint64(top)).astype(kind)[at]
-        ends = np.cumsum([len(x) for x in own]).tolist()
-        rows = [pack(total[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        return pd.DataFrame({"block": part["block"], "bucket": key[0], "totals": rows})
+        own, _, at, total = _joined(part, hashes, counted)
+        return pd.DataFrame({"block": part["block"], "bucket": key[0], "totals": _split(np.minimum(total, top).astype(kind)[at], own)})
 
     return asked.groupBy("bucket").applyInPandas(run, "block int, bucket int, totals binary")
 
 
+def _tree_totals(asked: DataFrame, kind: type, hashes: type, counted: type, blocks: int) -> DataFrame:
+    """As totals: sums go up a tree whose leaves are blocks, level by level, and the answers come down again."""
+    top, node = np.uint64(np.iinfo(kind).max), "bucket int, block int, hashes binary, counts binary"
+    parent = F.expr(f"block div {MOST_BLOCKS}")
+    levels, counts = [materialised(asked)], counted
+    while blocks > 1:
+
+        def up(key: tuple, part: pd.DataFrame, counts: type = counts) -> pd.DataFrame:
+            _, distinct, _, total = _joined(part, hashes, counts)
+            return pd.DataFrame({"bucket": [key[0]], "block": [key[1]], "hashes": [pack(distinct)], "counts": [pack(total)]})
+
+        levels.append(materialised(levels[-1].groupBy("bucket", parent.cast("int").alias("block")).applyInPandas(up, node)))
+        blocks, counts = -(-blocks // MOST_BLOCKS), np.uint64
+
+    def rooted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p["counts"] = [pack(np.minimum(unpack(x, np.uint64), top).astype(kind)) for x in p["counts"]]
+            yield p
+
+    def down(key: tuple, above: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        known, total = unpack(above["hashes"].iloc[0], hashes), unpack(above["counts"].iloc[0], kind)
+        own = [unpack(x, hashes) for x in below["hashes"]]
+        found = total[np.searchsorted(known, np.concatenate(own))]
+        return pd.DataFrame({"bucket": key[0], "block": below["block"], "hashes": below["hashes"], "counts": _split(found, own)})
+
+    known = levels.pop().mapInPandas(rooted, node)
+    while levels:
+        below = levels.pop().withColumn("up", parent.cast("int"))
+        known = known.withColumn("up", F.col("block")).groupBy("bucket", "up").cogroup(below.groupBy("bucket", "up")).applyInPandas(down, node)
+    return known.select("block", "bucket", F.col("counts").alias("totals"))
+
+
 def aligned(replies: pd.DataFrame, kind: type = np.uint32) -> np.ndarray:
     """The totals of a block in the order of its sorted hashes."""
     if replies.empty:

@@ -379,7 +379,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     plan = packed.size_up(docs, text, hashes_per_char=0.075)
     keyed = docs.where(F.col(key).isNotNull())
     blocks = packed.in_blocks(keyed.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", "text", plan)
-    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _anchors(strings(texts, length)), np.uint32), np.uint16, np.uint32)
+    replies = packed.totals(packed.requests(blocks, plan, lambda texts: _anchors(strings(texts, length)), np.uint32), np.uint16, np.uint32, blocks=plan.blocks)
     buckets = max(64, plan.blocks)
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
