@@ -1,7 +1,8 @@
 """Personal data: base detectors, and offset-preserving deobfuscation before the same detectors.
 
-A transducer rewrites disguises (homoglyphs, full-width forms, spelled digits,
-"[at]"/"(dot)" and the like) into plain characters and keeps, for each character
+A transducer rewrites disguises (homoglyphs, full-width, mathematical and other
+compatibility forms, character references, spelled digits, "[at]"/"(dot)" and
+the like) into plain characters and keeps, for each character
 it writes, the span of source characters it stands for. The detectors run on the
 source and on the rewritten text; spans of the latter are mapped back.
 
@@ -11,6 +12,9 @@ Offsets are code points, end exclusive. Null and empty texts give no spans.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from array import array
 from bisect import bisect_right
 from itertools import chain
 
@@ -54,16 +58,24 @@ _NO_TOP = "on|of|and|or|is|was|were|are|the|to|as|by|if|with|for|from|that|this|
 _HOST = rf"(?:(?!(?i:{_NO_HOST})\b)[A-Za-z0-9-]{{1,63}}[\x20\t]{{1,3}}(?i:dot)[\x20\t]{{1,3}}){{1,4}}(?:(?i:{_TOP})|(?!(?i:{_NO_TOP})\b)[A-Za-z]{{2,24}})\b"
 
 
+#: Characters that identifiers are made of.
+_PLAIN = _LOCAL | frozenset("@()")
+
+
 def _char_table() -> dict[str, str]:
-    table = dict(_HOMOGLYPHS) | dict.fromkeys(_INVISIBLE, "")
-    table |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
-    table |= {chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966) for d in range(10)}  # other decimal digits
-    return table | {"。": ".", "․": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-"}
+    table: dict[str, str] = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c) == "Nd":
+            table[c] = str(unicodedata.digit(c))  # decimal digits of all scripts
+        elif unicodedata.decomposition(c).startswith("<") and (plain := unicodedata.normalize("NFKC", c)) in _PLAIN and c not in "ªº":  # but ordinals of plain prose
+            table[c] = plain
+    return table | _HOMOGLYPHS | dict.fromkeys(_INVISIBLE, "") | {"。": ".", "‐": "-", "‑": "-"}
 
 
 _CHARS = _char_table()
 _RULES = re.compile(
     "(?P<char>[" + "".join(map(re.escape, _CHARS)) + "])"
+    r"|(?P<code>&\#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});|&(?:commat|period);|%(?:40|2[EeBbDd]))"
     r"|(?P<at>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:at|arroba|arobase)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
     r"|(?P<dot>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:dot|punto|point|punkt)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
     rf"|(?P<at2>(?<=[A-Za-z0-9])[\x20\t]{{1,3}}(?i:at)[\x20\t]{{1,3}}(?={_HOST}))"
@@ -73,12 +85,13 @@ _RULES = re.compile(
 )
 # What a text, in lower case, without any disguise that the rules could turn into an identifier does not hold.
 _ODD_CHAR = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]")
+_CODE = re.compile("&\\#|&commat;|&period;|%40|%2[ebd]")
 _SIGN = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|arroba|arobase|dot|punto|point|punkt)[\x20\t]{0,3}[\])}>]|[\x20\t](?:dot|punto|punkt|arroba|arobase)[\x20\t]")
 
 
 def _may_hide(text: str) -> bool:
     low = text.lower()
-    if _ODD_CHAR.search(text) or _SIGN.search(low):
+    if _ODD_CHAR.search(text) or _SIGN.search(low) or _CODE.search(low):
         return True
     words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
     if _DIGITS.keys().isdisjoint(words):
@@ -137,9 +150,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind in KINDS for a, b in _DETECT[kind](text)]
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int]]:
+def decoded(code: str) -> str | None:
+    """The plain character that a character reference or a percent escape stands for, None if it is none of an identifier's."""
+    if code[0] == "%":
+        c = chr(int(code[1:], 16))
+    elif code[1] != "#":
+        c = {"&commat;": "@", "&period;": "."}[code]
+    else:
+        n = int(code[3:-1], 16) if code[2] in "xX" else int(code[2:-1])
+        c = chr(n) if n <= sys.maxunicode else ""
+    c = _CHARS.get(c, c)
+    return c if c in _PLAIN else None
+
+
+def normalise(text: str) -> tuple[str, array, array]:
     """The rewritten text; for each of its characters, start and end of the source it stands for."""
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at = [], array("q"), array("q"), 0
 
     def keep(a: int, b: int) -> None:
         parts.append(text[a:b])
@@ -157,6 +183,12 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
         kind = m.lastgroup
         if kind == "char":
             write(_CHARS[m[0]], *m.span())
+        elif kind == "code":
+            plain = decoded(m[0])
+            if plain is None:
+                keep(*m.span())
+            else:
+                write(plain, *m.span())
         elif kind == "spelled":
             for w in _SPOKEN.finditer(m[0]):
                 write(_DIGITS.get(w[0].lower(), "+"), m.start() + w.start(), m.start() + w.end())
@@ -204,7 +236,8 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
     Null text: no spans and a null redacted text; empty text: no spans. Null keys
     and repeated rows give a row each, an empty table none. `keep` names further
     columns to carry along; others, whatever their names, are not read. Work and
-    memory grow with a text's length, however long.
+    memory grow with a text's length, however long: a text that may hide
+    something takes some 40 bytes for each of its characters in its task.
     """
 
     def run(texts: list) -> list[list]:
