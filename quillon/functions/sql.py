@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +80,27 @@ class Flow:
 
     steps: list[tuple[str, str]] = field(default_factory=list)
     last: str = ""
+    kept: set[str] = field(default_factory=set)
 
-    def step(self, name: str, sql: str) -> Flow:
+    def step(self, name: str, sql: str, keep: bool = False) -> Flow:
+        """keep: many steps read this one, so it is worth writing down where `frame` is given a way to."""
         self.steps.append((name, sql))
+        if keep:
+            self.kept.add(name)
         return self
 
+    def needed(self) -> list[tuple[str, str]]:
+        """The steps that the last select reads, by way of others or not."""
+        known, want = dict(self.steps), []
+        asks = lambda sql: [n for n in known if re.search(rf"(FROM|JOIN) {n}\b", sql)]
+        rest = asks(self.last)
+        while rest:
+            name = rest.pop()
+            if name not in want:
+                want.append(name)
+                rest += asks(known[name])
+        return [(n, sql) for n, sql in self.steps if n in want]
+
     def entropy(self, name: str, source: str, key: str, by: str = "chunk_id", kind: str = "smoothed", where: str = "TRUE") -> Flow:
         """Step `name`: by, h (entropy of `key` within a group), total, top (largest share), top3, kinds.
 
@@ -98,8 +116,20 @@ class Flow:
     def text(self, inputs: list[tuple[str, str]] = ()) -> str:
         return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in [*inputs, *self.steps]) + "\n" + self.last
 
-    def frame(self, spark: SparkSession, inputs: list[tuple[str, str]] = (), **tables: DataFrame) -> DataFrame:
-        """Runs over DataFrames: each table's name in braces inside the first inputs, or a step of its own."""
+    def frame(self, spark: SparkSession, inputs: list[tuple[str, str]] = (), write: Callable[[DataFrame], DataFrame] | None = None, **tables: DataFrame) -> DataFrame:
+        """Runs over DataFrames: each table's name in braces inside the first inputs, or a step of its own.
+
+        write: writes a step down and reads it back; steps that are kept and needed are then worked out once.
+        """
+        if write:
+            needed, rest = self.needed(), []
+            for name, sql in needed:
+                if name in self.kept:
+                    own = Flow([*rest, (name, sql)], f"SELECT * FROM {name}")
+                    tables[name] = write(Flow(own.needed(), own.last).frame(spark, inputs, **tables))
+                else:
+                    rest.append((name, sql))
+            return Flow(rest, self.last).frame(spark, inputs, **tables)
         own = [(name, f"SELECT * FROM {{{name}}}") for name in tables]
         return spark.sql(Flow([*own, *inputs, *self.steps], self.last).text(), **tables)
 

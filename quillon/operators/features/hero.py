@@ -32,6 +32,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
         lead(mine) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix) AS after_mine, lead(kind) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix) AS after_kind, lead(street) OVER (PARTITION BY chunk_id, hand_ix ORDER BY act_ix) AS after_street,
         CASE WHEN mine AND agg AND kind <> 'all_in' AND pot_before > 0 AND amount > 0 THEN amount / pot_before END AS ratio
         FROM x0""",
+        keep=True,
     )
     # fold to aggression
     f.step("fta_h", f"SELECT {hs}, min_by(kind, act_ix) AS k FROM x WHERE mine AND hot = 1 GROUP BY {hs}")
@@ -41,7 +42,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     # flags of a hand's preflop
     flag = lambda c: f"max(CASE WHEN {c} THEN 1 ELSE 0 END)"
     f.step("pre_h", f"SELECT chunk_id, hand_ix, {flag(f'mine AND kind IN {VOLUNTARY}')} AS vpip, {flag(f'mine AND kind IN {RAISE}')} AS pfr, {flag(f'mine AND kind IN {RAISE} AND raised >= 1')} AS three, {flag(f'mine AND kind IN {RAISE} AND raised = 0')} AS opened FROM x WHERE street = 'preflop' GROUP BY chunk_id, hand_ix")
-    f.step("pre", "SELECT h.chunk_id, h.hand_ix, " + ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in ("vpip", "pfr", "three", "opened")) + " FROM hand h LEFT JOIN pre_h p ON p.chunk_id = h.chunk_id AND p.hand_ix = h.hand_ix")
+    f.step("pre", "SELECT h.chunk_id, h.hand_ix, " + ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in ("vpip", "pfr", "three", "opened")) + " FROM hand h LEFT JOIN pre_h p ON p.chunk_id = h.chunk_id AND p.hand_ix = h.hand_ix", keep=True)
     f.step("pres", "SELECT chunk_id, " + ", ".join(f"avg({c}) AS {c}, stddev_pop({c}) AS {c}_s" for c in ("vpip", "pfr", "three", "opened")) + ", stddev_pop(CASE WHEN vpip = 1 THEN pfr END) AS ratio_s FROM pre GROUP BY chunk_id")
     # giving up after the flop
     f.step("fl_h", f"SELECT chunk_id, hand_ix, min_by(kind, act_ix) AS k0, min(act_ix) AS i0, max(CASE WHEN kind = 'fold' THEN act_ix END) AS fold_at FROM x WHERE mine AND street = 'flop' GROUP BY chunk_id, hand_ix")
@@ -51,7 +52,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     f.step("sz", f"SELECT chunk_id, stddev_pop(ratio) AS s, {share(snap)} AS snap, " + ", ".join(f"stddev_pop({at(s, 'ratio')}) AS s_{s}, avg({at(s, 'ratio')}) AS m_{s}, avg({at(s, f'CAST({snap} AS INT)')}) AS n_{s}" for s in STREETS) + " FROM x WHERE ratio IS NOT NULL GROUP BY chunk_id")
     f.step("rt", f"SELECT chunk_id, count(*) AS n, count(DISTINCT {d.rint('raise_to * 1000')}) AS u FROM x WHERE mine AND agg AND raise_to > 0 GROUP BY chunk_id")
     # hero's share of aggression by hand and street
-    f.step("hs", f"SELECT {hs}, count(*) AS n, avg(CAST(agg AS INT)) AS q, {count_if('agg')} AS b, {count_if(is_a("check"))} AS c FROM x WHERE mine GROUP BY {hs}")
+    f.step("hs", f"SELECT {hs}, count(*) AS n, avg(CAST(agg AS INT)) AS q, {count_if('agg')} AS b, {count_if(is_a("check"))} AS c FROM x WHERE mine GROUP BY {hs}", keep=True)
     f.step("tr", "SELECT chunk_id, " + ", ".join(f"coalesce(avg({at(s, 'q')}), 0) AS q_{s}" for s in STREETS) + " FROM hs GROUP BY chunk_id")
     rate = "CASE WHEN b + c > 0 THEN CAST(b AS DOUBLE) / (b + c) END"
     f.step("cb", "SELECT chunk_id, " + ", ".join(f"coalesce({div(f'sum({at(s, "b")})', f'sum({at(s, "b + c")})')}, 0) AS r_{s}, coalesce(stddev_pop({at(s, rate)}), 0) AS s_{s}, avg({at(s, rate)}) AS m_{s}" for s in POST) + " FROM hs GROUP BY chunk_id")
@@ -64,7 +65,7 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     # the very next action
     f.step("pb", f"SELECT chunk_id, hand_ix, street, {count_if(is_a("check"))} AS ct, {count_if(f'{is_a("check")} AND next_kind IN {AGG}')} AS cb, {count_if('agg')} AS vb, {count_if(f'agg AND next_kind IN {AGG}')} AS vr FROM x WHERE NOT mine AND next_mine AND street IN {IN_POST} GROUP BY {hs}")
     f.step("pbs", "SELECT chunk_id, " + ", ".join(f"{div(f'sum({at(s, "cb")})', f'sum({at(s, "ct")})')} AS p_{s}, {div(f'sum({at(s, "vr")})', f'sum({at(s, "vb")})')} AS r_{s}, sum({at(s, 'ct')}) AS n_{s}, stddev_pop(CASE WHEN street = '{s}' AND ct > 0 THEN CAST(cb AS DOUBLE) / ct END) AS s_{s}" for s in POST) + " FROM pb GROUP BY chunk_id")
-    f.step("rs", f"SELECT x.chunk_id, x.street, x.after_kind AS k, CASE WHEN x.pot_before / CASE WHEN h.bb > 0 THEN h.bb ELSE 0.02 END < 10 THEN 'small' ELSE 'big' END AS pot FROM x JOIN hand h ON h.chunk_id = x.chunk_id AND h.hand_ix = x.hand_ix WHERE NOT x.mine AND x.agg AND x.after_mine AND x.after_street = x.street AND x.street IN {STREETS}")
+    f.step("rs", f"SELECT x.chunk_id, x.street, x.after_kind AS k, CASE WHEN x.pot_before / CASE WHEN h.bb > 0 THEN h.bb ELSE 0.02 END < 10 THEN 'small' ELSE 'big' END AS pot FROM x JOIN hand h ON h.chunk_id = x.chunk_id AND h.hand_ix = x.hand_ix WHERE NOT x.mine AND x.agg AND x.after_mine AND x.after_street = x.street AND x.street IN {STREETS}", keep=True)
     f.entropy("rs_h", "rs", "k", by="chunk_id, street", kind="plain")
     f.entropy("rs_p", "rs", "k", by="chunk_id, street, pot", kind="plain")
     f.entropy("rs_post", "rs", "k", kind="plain", where=f"street IN {IN_POST}")

@@ -49,11 +49,11 @@ def flow(d: Dialect, digits: int | None = None, only: tuple[str, ...] = ()) -> F
     }
     parts = ["g", "h_kind", "h_seat", "h_street", "sw", "run_seat", "run_kind", "own", "stk"]
     joins = " ".join(f"LEFT JOIN {p} ON {p}.chunk_id = h.chunk_id AND {p}.hand_ix = h.hand_ix" for p in parts)
-    f.step("ph", "SELECT h.chunk_id, h.hand_ix, " + ", ".join(f"coalesce(CAST({e} AS DOUBLE), CAST(0 AS DOUBLE)) AS {n}" for n, e in per.items()) + f" FROM hand h {joins}")
+    f.step("ph", "SELECT h.chunk_id, h.hand_ix, " + ", ".join(f"coalesce(CAST({e} AS DOUBLE), CAST(0 AS DOUBLE)) AS {n}" for n, e in per.items()) + f" FROM hand h {joins}", keep=True)
     size = "CASE " + " ".join(f"WHEN v <= {top} THEN '{name}'" for top, name in SIZES) + " ELSE 'xl' END"
     f.step("sig", f"SELECT {by}, {d.sequence_key('kind', 'act_ix')} AS action, {d.sequence_key('street', 'act_ix')} AS street, {d.sequence_key(size, 'act_ix')} AS amount_bucket FROM a GROUP BY {by}")
     f.step("sig_s", f"SELECT {by}, {d.sequence_key('seat', 'act_ix')} AS actor FROM a WHERE seat > 0 GROUP BY {by}")
-    f.step("sigs", "SELECT h.chunk_id, coalesce(s.action, '') AS action, coalesce(t.actor, '') AS actor, coalesce(s.street, '') AS street, coalesce(s.amount_bucket, '') AS amount_bucket FROM hand h LEFT JOIN sig s ON s.chunk_id = h.chunk_id AND s.hand_ix = h.hand_ix LEFT JOIN sig_s t ON t.chunk_id = h.chunk_id AND t.hand_ix = h.hand_ix")
+    f.step("sigs", "SELECT h.chunk_id, coalesce(s.action, '') AS action, coalesce(t.actor, '') AS actor, coalesce(s.street, '') AS street, coalesce(s.amount_bucket, '') AS amount_bucket FROM hand h LEFT JOIN sig s ON s.chunk_id = h.chunk_id AND s.hand_ix = h.hand_ix LEFT JOIN sig_s t ON t.chunk_id = h.chunk_id AND t.hand_ix = h.hand_ix", keep=True)
     signs = ("action", "actor", "street", "amount_bucket")
     for s in signs:
         f.entropy(f"sig_{s}", "sigs", s)

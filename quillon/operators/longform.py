@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import bucketed, materialised
+
 HAND_DDL = (
     "struct<hand_id:string,"
     "metadata:struct<game_type:string,limit_type:string,max_seats:int,hero_seat:int,hand_ended_on_street:string,button_seat:int,sb:double,bb:double,ante:double,rng_seed_commitment:string>,"
@@ -22,6 +24,10 @@ HAND_DDL = (
 )
 
 
+#: Actions of a bucket, about.
+BUCKET_ROWS = 4_000_000
+
+
 @dataclass(frozen=True)
 class HandTables:
     """hand: a row for each hand (winners: seats between commas); play: for each player of a hand; act: for each action of a hand."""
@@ -29,6 +35,16 @@ class HandTables:
     hand: DataFrame
     play: DataFrame
     act: DataFrame
+    buckets: int = 0  # by chunk_id, 0 if they aren't bucketed
+
+    def bound(self) -> HandTables:
+        """The tables written once in buckets of chunk_id, so that feature sets, all of whose groups and joins are by it, move no row again."""
+        if self.buckets:
+            return self
+        spark = self.hand.sparkSession
+        act = materialised(self.act)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-act.count() // BUCKET_ROWS))
+        return HandTables(*(bucketed(t, "chunk_id", n) for t in (self.hand, self.play, act)), n)
 
 
 def action_kind(raw):

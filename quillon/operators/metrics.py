@@ -38,6 +38,27 @@ def recall_at_fpr(df: DataFrame, by: list[str], order: str, score: str = "score"
     return found.select(*by, F.coalesce("best.recall", F.lit(0.0)).alias("recall"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("fpr"))
 
 
+def ranking(df: DataFrame, by: list[str], order: str, score: str = "score", label: str = "label", most: float = 0.05, bounded: bool = False) -> DataFrame:
+    """by, ap, recall, fpr of average_precision and recall_at_fpr from one ranking of the rows.
+
+    bounded: groups are small for sure, so each is ranked in one task and all
+    stays where the group is; else groups may span tasks.
+    """
+    rows = df.select(*by, score, order, F.col(label).alias("__pos"), (F.lit(1) - F.col(label)).alias("__neg"))
+    if bounded:
+        every = Window.partitionBy(*by)
+        upto = every.orderBy(F.desc(score), F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = rows.select(*by, score, "__pos", *[F.sum(c).over(w).alias(n) for n, c, w in (("hits", "__pos", upto), ("misses", "__neg", upto), ("all_hits", "__pos", every), ("all_misses", "__neg", every))])
+    else:
+        ranked = running(rows, by, [F.desc(score), F.col(order)], {"hits": "__pos", "misses": "__neg"})
+    recall, fpr = _safe(F.col("hits"), F.col("all_hits")), _safe(F.col("misses"), F.col("all_misses"))
+    best = F.max(F.when(fpr <= most, F.struct(recall.alias("recall"), (-fpr).alias("less")))).alias("best")
+    steps = ranked.groupBy(*by, score).agg(F.sum("__pos").alias("tp"), F.max("hits").alias("hits"), F.max(F.col("hits") + F.col("misses")).alias("asked"), F.max("all_hits").alias("all_hits"), best)
+    ap = F.coalesce(F.sum(_safe(F.col("tp"), F.col("all_hits")) * _safe(F.col("hits"), F.col("asked"))), F.lit(0.0))
+    found = steps.groupBy(*by).agg(ap.alias("ap"), F.max("best").alias("best"))
+    return found.select(*by, "ap", F.coalesce("best.recall", F.lit(0.0)).alias("recall"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("fpr"))
+
+
 def threshold_metrics(df: DataFrame, by: list[str], at: float = 0.5, score: str = "score", label: str = "label") -> DataFrame:
     """by, hard_recall, hard_fpr, positive_rate, sanity at a fixed threshold."""
     hard, pos = F.col(score) >= at, F.col(label) == 1
@@ -49,7 +70,7 @@ def threshold_metrics(df: DataFrame, by: list[str], at: float = 0.5, score: str
 
 def rewards(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, ap, recall, fpr, sanity, reward_v1 (.75 AP + .25 recall), reward_v2 (with safety, calibration and latency terms)."""
-    m = average_precision(df, by).join(recall_at_fpr(df, by, order), by).join(threshold_metrics(df, by), by)
+    m = ranking(df, by, order).join(threshold_metrics(df, by), by)
     v2 = 0.35 * F.col("ap") + 0.30 * F.col("recall") + 0.20 * F.col("sanity") + 0.10 * F.col("sanity") + F.lit(0.05)
     return m.withColumn("reward_v1", 0.75 * F.col("ap") + 0.25 * F.col("recall")).withColumn("reward_v2", F.when(F.col("sanity") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v2))))
 
@@ -95,7 +116,7 @@ def windowed_rewards(df: DataFrame, by: list[str], order: str, n: int, coverage:
     recent = last_n(df, by, order, max(1, n))
     means = ([F.coalesce(F.avg(coverage), F.lit(0.0)).alias("coverage_rate")] if coverage else []) + ([F.avg(latency).alias("latency_mean_seconds")] if latency else [])
     counts = recent.groupBy(*by).agg(F.count("*").alias("sample_count"), F.max("enough").alias("enough"), *means)
-    m = counts.join(average_precision(recent, by), by).join(recall_at_fpr(recent, by, order), by)
+    m = counts.join(ranking(recent, by, order, bounded=True), by)
     pick = lambda c, other: F.when(F.col("enough"), F.col(c)).otherwise(F.lit(other)).alias(c)
     m = m.withColumn("reward", 0.75 * F.col("ap") + 0.25 * F.col("recall"))
     extra = [c for c, on in (("coverage_rate", coverage), ("latency_mean_seconds", latency)) if on]

@@ -1,7 +1,8 @@
 """The canonical view of a hand: masked, normalised, coarsened and sampled, by hashes of its own content.
 
-All steps are array functions over the nested row: no shuffle, no Python. A
-field that is missing and one that is null are alike in hash seeds (both empty).
+All steps are array functions over the nested row: no shuffle, no Python. In
+hash seeds a field that is missing is empty. A fixed schema can't tell a null
+from it; a VARIANT of the same hand, if there is one, can: null is `None` then.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import variants
+
 SB, BB = 0.01, 0.02
 WINDOW_MIN, WINDOW_MAX, COPIES = 5, 8, 12
 CAP_STACK, CAP_ACTION, CAP_POT = 500.0, 200.0, 1000.0
@@ -126,20 +129,25 @@ def visible_places(streets: Column, seed: Column) -> Column:
     return let(streets, pick)
 
 
-def canonical(hands: DataFrame, column: str = "hand") -> DataFrame:
-    """hands with `column` (see longform.HAND_DDL) replaced by its canonical view."""
+def canonical(hands: DataFrame, column: str = "hand", raw: str | None = None) -> DataFrame:
+    """hands with `column` (see longform.HAND_DDL) replaced by its canonical view. raw: a column with the same hand as VARIANT, for seeds."""
     h = lambda p: F.col(f"{column}.{p}")
     most = F.greatest(F.lit(6), F.coalesce(seat_or_zero(h("metadata.max_seats"), 10), F.lit(0)))
     bb = F.coalesce(h("metadata.bb"), F.lit(0.0))
     order = seat_order(F.transform(h("actions"), lambda a: a["actor_seat"]), F.transform(h("players"), lambda p: p["seat"]), most)
-    seed = lambda a, name: F.concat_ws("|", _text(h("metadata.hero_seat")), _text(h("metadata.max_seats")), _text(a["street"]), _text(a["actor_seat"]), _text(a["action_id"]), F.lit(name))
+    given = lambda path: _text(h(path)) if raw is None else variants.seed_text(variants.field(F.col(raw), f"$.{path}"))
+
+    def seed_of(a: Column, i: Column) -> Callable[[str], Column]:
+        own = lambda name: _text(a[name]) if raw is None else variants.seed_text(variants.field(F.get(variants.items(F.col(raw), "$.actions"), i), f"$.{name}"))
+        return lambda name: F.concat_ws("|", given("metadata.hero_seat"), given("metadata.max_seats"), own("street"), own("actor_seat"), own("action_id"), F.lit(name))
 
-    def money(a: Column, order: Column) -> Column:
-        c = lambda name, cap: coarse(to_bb(a[name], bb, cap), seed(a, name))
+    def money(a: Column, i: Column, order: Column) -> Column:
+        seed = seed_of(a, i)
+        c = lambda name, cap: coarse(to_bb(a[name], bb, cap), seed(name))
         row = lambda before: F.struct(
             kind_of(a["action_type"]).alias("direct"), _text(a["street"]).alias("street"), F.coalesce(_alias(order, seat_or_zero(a["actor_seat"], most)), F.lit(0)).alias("seat"),
             c("amount", CAP_ACTION).alias("amount"), c("raise_to", CAP_POT).alias("raise_to"), c("call_to", CAP_POT).alias("call_to"),
-            before.alias("before"), coarse(F.greatest(before, to_bb(a["pot_after"], bb, CAP_POT)), seed(a, "pot_after")).alias("after"),
+            before.alias("before"), coarse(F.greatest(before, to_bb(a["pot_after"], bb, CAP_POT)), seed("pot_after")).alias("after"),
         )
         return let(c("pot_before", CAP_POT), row)
 
@@ -152,12 +160,12 @@ def canonical(hands: DataFrame, column: str = "hand") -> DataFrame:
     )
 
     def sampled(rows: Column) -> Column:
-        pick = F.concat_ws("|", _text(h("metadata.hero_seat")), _text(h("metadata.max_seats")), _text(F.get(rows, 0)["street"]), F.size(rows).cast("string"))
+        pick = F.concat_ws("|", given("metadata.hero_seat"), given("metadata.max_seats"), _text(F.get(rows, 0)["street"]), F.size(rows).cast("string"))
         places = visible_places(F.transform(rows, lambda a: a["street"]), pick)
         return F.transform(places, lambda i, k: F.get(rows, i).withField("action_id", (k + 1).cast("string")))
 
     def actions(order: Column) -> Column:
-        rows = F.transform(F.transform(F.coalesce(h("actions"), F.array()), lambda a: money(a, order)), named)
+        rows = F.transform(F.transform(F.coalesce(h("actions"), F.array()), lambda a, i: money(a, i, order)), named)
         kept = F.filter(rows, lambda a: ~a["kind"].isin("small_blind", "big_blind", "ante") & ~empty(a))
         return let(collapse(F.transform(kept, shown)), sampled)
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.ranks import running
 from quillon.functions.sql import DUCK, SPARK, Flow
 from quillon.operators import calibrate, drift, metrics, registry, sanitize, tokens, weights
 from quillon.operators.features import REGISTRY
+from quillon.operators.features import run as run_set
 from quillon.operators.longform import HandTables
 from quillon.plans import bindings
 from quillon.session import materialised, new_folder, table
@@ -96,13 +98,12 @@ def _bind(spark: SparkSession, sf_dir: str) -> HandTables:
     act = one("act", steps[:cut], events=ev)
     play = one("play", steps[cut:], act=act)
     hand = one("hand", steps[cut:], act=act)
-    return HandTables(hand, play, act)
+    return HandTables(hand, play, act).bound()
 
 
 def _feature(name: str, only: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = hands(spark, sf_dir)
-        return REGISTRY[name][1](SPARK, 6, only).frame(spark, hand=t.hand, play=t.play, act=t.act)
+        return run_set(REGISTRY[name][1](SPARK, 6, only), hands(spark, sf_dir))
 
     return run
 
@@ -160,8 +161,7 @@ def _round(*names: str) -> str:
 
 @query(_SCORED + _AP.format(by="uid", src="scored") + " SELECT ap.uid, " + _round("ap", "recall", "fpr") + " FROM ap JOIN rk ON rk.uid = ap.uid")
 def ap_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    return r6(metrics.average_precision(s, ["uid"]).join(metrics.recall_at_fpr(s, ["uid"], "ord"), "uid"), "ap", "recall", "fpr")
+    return r6(metrics.ranking(scored(spark, sf_dir), ["uid"], "ord"), "ap", "recall", "fpr")
 
 
 @query(_SCORED + _TM.format(by="uid", src="scored") + " SELECT uid, " + _round("hard_recall", "hard_fpr", "positive_rate", "sanity") + " FROM tm")
@@ -720,6 +720,151 @@ def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("fingerprint", F.col("r.first_seen").cast(at).alias("first_seen"), F.col("r.last_seen").cast(at).alias("last_seen"), F.col("r.times_served").alias("times_served"))
 
 
+_ANSWER_HOURS = 6
+
+
+@query(
+    f"""WITH r AS (SELECT event_id AS request_id, user_id AS uid, ts, event_id % 5 + 1 AS n_sent FROM events WHERE event_type = 'view'), a AS (SELECT user_id AS uid, ts, event_id % 5 + 1 AS n_scores FROM events WHERE event_type = 'click'),
+  j AS (SELECT r.*, a.ts AS got, a.n_scores, row_number() OVER (PARTITION BY request_id ORDER BY a.ts, a.n_scores) AS k FROM r LEFT JOIN a ON a.uid = r.uid AND a.ts BETWEEN r.ts AND r.ts + INTERVAL {_ANSWER_HOURS} HOUR)
+  SELECT uid, request_id, n_sent, n_scores, CASE WHEN n_scores = n_sent THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage, round(CAST(epoch_us(got) - epoch_us(ts) AS DOUBLE) / 1000000, 3) AS latency_seconds FROM j WHERE k = 1"""
+)
+def response_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as requests and a user's clicks as answers, joined as two streams; a request without an answer comes out when its time is over."""
+    from quillon.streaming import responses, runs
+
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+    def closing(df: DataFrame) -> DataFrame:
+        """A view and a click of nobody, long after all others: they move both watermarks past every request."""
+        end = df.agg((F.max("ts") + F.expr(f"INTERVAL {_ANSWER_HOURS + 48} HOURS")).alias("ts"))
+        return end.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("event_type"), "ts")
+
+    stream = runs.played(ev, "ts", 1, closing)
+    n = F.col("event_id") % 5 + 1
+    asked = stream.where("event_type = 'view'").select(F.col("user_id").alias("uid"), F.col("event_id").alias("request_id"), F.col("ts").alias("sent_at"), n.alias("n_sent"))
+    replies = stream.where("event_type = 'click'").select(F.col("user_id").alias("uid"), F.lit(None).cast("long").alias("request_id"), F.col("ts").alias("got_at"), n.alias("n_scores"))
+    settled = responses.answered(asked, replies, f"{_ANSWER_HOURS} HOURS", "1 hour", by_request=False)
+    out = runs.drain(settled, new_folder(spark, "stream"), new_folder(spark, "responses"), "append").where("request_id is not null")
+    return out.select("uid", "request_id", "n_sent", "n_scores", "coverage", F.round("latency_seconds", 3).alias("latency_seconds"))
+
+
+@query(
+    """WITH e AS (SELECT user_id AS uid, event_id, unnest(CASE WHEN event_id % 3 = 0 THEN [event_type, 'third'] ELSE [event_type] END) AS reason FROM events),
+  r AS (SELECT user_id AS uid, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events)
+  SELECT uid, 'count' AS part, reason AS item, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT uid, 'event' AS part, CAST(event_id AS VARCHAR) AS item, age AS n FROM r WHERE age <= 64"""
+)
+def suspicion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suspicion registry as keyed state over the events in three cycles: counts of each reason, and the last 64 events with their age."""
+    from quillon.streaming import runs, suspicion
+
+    kind = F.when(F.col("event_id") % 3 == 0, F.array("event_type", F.lit("third"))).otherwise(F.array("event_type"))
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("uid"), "event_id", F.col("ts").cast("timestamp").alias("at"), kind.alias("reasons")).where("uid is not null")
+    rows = suspicion.suspicion_stream(runs.played(ev, "event_id", 3))
+    entries = suspicion.latest(runs.drain(rows, new_folder(spark, "stream"), new_folder(spark, "suspicion")))
+    counts = entries.select("uid", F.explode("counts").alias("item", "n")).select("uid", F.lit("count").alias("part"), "item", "n")
+    events = entries.select("uid", F.size("events").alias("k"), F.posexplode("events").alias("i", "e"))  # oldest first
+    return counts.unionByName(events.select("uid", F.lit("event").alias("part"), F.col("e.event_id").cast("string").alias("item"), (F.col("k") - F.col("i")).cast("long").alias("n")))
+
+
+# Two hours of orders for each of theirs, so that all eras and the bridge occur.
+@query(_EPOCH.replace("o_orderkey % 2000", "o_orderkey % 1700").replace("SELECT strftime", "SELECT CAST(a AS BIGINT) AS start_seconds, strftime").replace("GROUP BY 1", "GROUP BY ALL"))
+def epoch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by epoch of the calendar, as a stream in event time: an epoch comes out when the watermark passes its end."""
+    from quillon.streaming import calendar, runs
+
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-05-01 00:00:00").cast("timestamp")) + (F.col("o_orderkey") % 1700) * 3600)
+    orders = table(spark, sf_dir, "orders").select(ts.alias("ts"))
+    stream = runs.played(orders, "ts", 2, lambda df: df.agg((F.max("ts") + F.expr("INTERVAL 400 HOURS")).alias("ts")))
+    out = runs.drain(calendar.epoch_stream(stream), new_folder(spark, "stream"), new_folder(spark, "epochs"), "append")
+    return out.select("epoch_id", F.unix_timestamp("start").alias("start_seconds"), "n")
+
+
+@query(
+    """WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'None' WHEN 2 THEN CAST(user_id % 9 AS VARCHAR) ELSE 'True' END || '|' || CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS seed FROM events)
+  SELECT event_id, seed, round(CAST(CAST('0x' || substring(sha256(seed), 3, 2) AS INTEGER) AS DOUBLE) / 255.0 * 2.0 - 1.0, 6) AS noise FROM s"""
+)
+def variant_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash seeds from VARIANT: a missing field, a null, a number and a boolean differ."""
+    from quillon.operators import variants
+
+    seat = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, '"seat":null,').when(F.col("event_id") % 4 == 2, F.concat(F.lit('"seat":'), (F.col("user_id") % 9).cast("string"), F.lit(","))).otherwise('"seat":true,')
+    kind = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit('"kind":"'), "event_type", F.lit('",')))
+    v = table(spark, sf_dir, "events").select("event_id", F.parse_json(F.concat(F.lit('{"m":{'), seat, kind, F.lit('"x":1}}'))).alias("v"))
+    seed = F.concat_ws("|", *[variants.seed_text(variants.field(F.col("v"), f"$.m.{p}")) for p in ("seat", "kind")])
+    return r6(v.select("event_id", seed.alias("seed")).withColumn("noise", sanitize.hash_noise(F.col("seed"))), "noise")
+
+
+@query(
+    """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)
+  SELECT event_id, 'props/k' AS path, k AS metric FROM e UNION ALL SELECT event_id, 'deep/a/b/even' AS path, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS metric FROM e
+  UNION ALL SELECT event_id, 'deep/list_count' AS path, CAST(event_id % 3 AS DOUBLE) AS metric FROM e WHERE event_id % 3 > 0"""
+)
+def variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of every event flattened without a schema, after a key was dropped at every depth."""
+    from quillon.operators import variants
+
+    items = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, ',"list":[{"label":1}]').otherwise(',"list":[1,"x"]')
+    even = F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
+    report = F.concat(F.lit('{"label":1,"props":'), "props", F.lit(',"deep":{"a":{"b":{"label":"bot","even":'), even, F.lit(',"none":null,"text":"t"}}'), items, F.lit("}}"))
+    kept = table(spark, sf_dir, "events").select("event_id", F.parse_json(variants.drop_keys(report, sanitize.PRIVATE)).alias("v"))
+    return variants.flat_metrics(kept, ["event_id"], "v")
+
+
+_PAGE = 100
+
+
+@query(
+    f"""WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_id, user_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS i FROM events WHERE ts IS NOT NULL)
+  SELECT date, CAST(i // {_PAGE} AS INTEGER) AS page, CAST(i % {_PAGE} AS INTEGER) AS pos, event_id, user_id FROM e"""
+)
+def paged_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a dump of pages by day, each under a cursor that tells nothing of its place, followed and landed in two runs."""
+    from quillon.sources import paged
+
+    e = table(spark, sf_dir, "events").where("ts is not null").select(F.to_date("ts").cast("string").alias("date"), "event_id", "user_id")
+    numbered = running(e.withColumn("one", F.lit(1)), ["date"], ["event_id"], {"i": "one"}).withColumn("i", F.col("i") - 1).withColumn("page", F.expr(f"i div {_PAGE}"))
+    cursor = lambda page: F.when(page == 0, F.lit("start")).otherwise(F.md5(F.concat_ws(":", "date", page.cast("string"))))
+    pages = numbered.groupBy("date", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id", "user_id"))), lambda x: F.struct(x["event_id"].alias("event_id"), x["user_id"].alias("user_id"))).alias("chunks"))
+    last = F.max("page").over(Window.partitionBy("date"))
+    pages = pages.withColumn("next", F.when(F.col("page") < last, cursor(F.col("page") + 1)))
+    body = F.to_json(F.struct(F.struct("chunks", F.col("next").alias("nextCursor")).alias("data")))
+    dump, out = new_folder(spark, "dump"), new_folder(spark, "landed")
+    written = pages.select("date", cursor(F.col("page")).alias("cursor"), body.alias("value"), "page")
+    written.where("page < 2").drop("page").write.partitionBy("date", "cursor").text(dump)
+    paged.land_pages(spark, dump, out)  # days with more pages stop at one that isn't there yet
+    written.where("page >= 2").drop("page").write.mode("append").partitionBy("date", "cursor").text(dump)
+    got = paged.land_pages(spark, dump, out).withColumn("r", F.from_json("record", "event_id long, user_id long"))
+    return got.select("date", "page", "pos", "r.event_id", "r.user_id")
+
+
+@query("SELECT event_id, CAST(event_id % 5 AS BIGINT) AS batch FROM events WHERE event_id % 5 < 3")
+def ready_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in five batches behind a gate, of which the fourth isn't ready: the stream ends before it, the fifth included."""
+    from quillon.sources import paged
+    from quillon.streaming import runs
+
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 5).alias("batch"), "event_id").where("batch is not null")
+    root = new_folder(spark, "gate")
+    e.select("batch", F.to_json(F.struct("event_id")).alias("value")).write.partitionBy("batch").text(f"{root}/hands")
+    status = e.groupBy("batch").agg(F.count("*").alias("available")).select("batch", (F.col("batch") != 3).alias("ready"), "available")
+    status.write.json(f"{root}/status")
+    rows = runs.drain(paged.ready_batches(spark, f"{root}/hands", f"{root}/status", 1), f"{root}/checkpoint", f"{root}/out", "append")
+    return rows.select(F.get_json_object("hand", "$.event_id").cast("long").alias("event_id"), "batch")
+
+
+@query()
+def hand_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk scores from the tokens of the hero's actions; a chunk's label is whether its hero raises more than it folds, learned on two thirds of the chunks."""
+    from quillon.plans import handtext
+
+    t = hands(spark, sf_dir)
+    own = t.act.join(t.hand.select("chunk_id", "hand_ix", "hero_seat"), ["chunk_id", "hand_ix"]).where("seat = hero_seat")
+    labels = own.groupBy("chunk_id").agg((F.count_if("kind in ('raise', 'all_in')") > F.count_if("kind = 'fold'")).cast("int").alias("label"))
+    docs = materialised(tokens.documents(t.hand, t.act).join(labels, "chunk_id"))
+    fitted = handtext.fit(docs.where("chunk_id % 3 <> 0"), rounds=10, depth=4)
+    return r6(handtext.chunk_scores(fitted, docs), "score")
+
+
 @query()
 def stack_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a stack that learns their quality from the shape of the labelled ones' texts."""

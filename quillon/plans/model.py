@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -12,18 +18,23 @@ from pyspark.sql import functions as F
 from quillon.functions.ranks import running
 from quillon.operators import calibrate as calibration
 from quillon.operators import drift, metrics
+from quillon.plans.stages import ClassProbability, Finish, LogitShift, MeanScore, ScoreMapModel
+from quillon.plans.trees import ExtraTreesClassifier, ExtraTreesModel
 
 EPS = 1e-6
-CONFIG = "columns array<string>, names array<string>, meta string, k int, seed int, calibrate boolean, threshold double, weight string, levels array<double>, quantiles array<double>"
+CONFIG = "columns array<string>, names array<string>, meta string, k int, seed int, calibrate boolean, threshold double, weight string, levels array<double>, quantiles array<double>, params string"
+Settings = Mapping[str, Mapping[str, float]]
 
 
-def learners(seed: int = 0, weight: str | None = None) -> dict:
-    """Base learners by name; each reads `features` and `label`, and `weight` if named."""
+def learners(seed: int = 0, weight: str | None = None, params: Settings | None = None) -> dict:
+    """Base learners by name; each reads `features` and `label`, and `weight` if named. params: what differs from the defaults, by learner."""
     own = {"weightCol": weight} if weight else {}
+    given = lambda name, **usual: usual | dict((params or {}).get(name, {})) | own
     return {
-        "gbt": GBTClassifier(maxDepth=4, maxIter=20, seed=seed, **own),
-        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **own),
-        "linear": LogisticRegression(maxIter=100, regParam=0.01, **own),
+        "gbt": GBTClassifier(seed=seed, **given("gbt", maxDepth=4, maxIter=20)),
+        "forest": RandomForestClassifier(seed=seed, **given("forest", numTrees=50, maxDepth=8)),
+        "extra": ExtraTreesClassifier(seed=seed, **given("extra", numTrees=50, maxDepth=8)),
+        "linear": LogisticRegression(**given("linear", maxIter=100, regParam=0.01)),
     }
 
 
@@ -45,16 +56,33 @@ def _probability(model, df: DataFrame, name: str) -> DataFrame:
     return out.drop("probability", "rawPrediction", "prediction")
 
 
+def _named(model, param: str, column: str):
+    """A model whose column is named so; Spark's own take it by a setter."""
+    setter = getattr(model, f"set{param[0].upper()}{param[1:]}", None)
+    return setter(column) if setter else model._set(**{param: column})
+
+
 class Stack:
     """Base learners, their out-of-fold scores, a logistic or mean meta learner, and what is done to its score.
 
     calibrate: blend the score with its rank among out-of-fold scores.
     threshold: shift logits so that this score becomes a half. weight: a column
-    of row weights for the base learners.
+    of row weights for the base learners. params: settings by learner.
     """
 
-    def __init__(self, columns: list[str], names: tuple[str, ...] = ("gbt", "forest", "linear"), meta: str = "logistic", k: int = 5, seed: int = 0, calibrate: bool = False, threshold: float | None = None, weight: str | None = None) -> None:
-        self.columns, self.names, self.kind, self.k, self.seed, self.weight = columns, names, meta, k, seed, weight
+    def __init__(
+        self,
+        columns: list[str],
+        names: tuple[str, ...] = ("gbt", "forest", "linear"),
+        meta: str = "logistic",
+        k: int = 5,
+        seed: int = 0,
+        calibrate: bool = False,
+        threshold: float | None = None,
+        weight: str | None = None,
+        params: Settings | None = None,
+    ) -> None:
+        self.columns, self.names, self.kind, self.k, self.seed, self.weight, self.params = columns, names, meta, k, seed, weight, params
         self.calibrate, self.threshold, self.map = calibrate, threshold, None
 
     def fit(self, df: DataFrame, key: str, label: str = "label") -> Stack:
@@ -62,7 +90,7 @@ class Stack:
         df = folds(df.withColumnRenamed(label, "label") if label != "label" else df, key, "label", self.k, self.seed)
         self.prepared = prepare(self.columns).fit(df)
         x = self.prepared.transform(df).persist()
-        made = lambda: learners(self.seed, self.weight)
+        made = lambda: learners(self.seed, self.weight, self.params)
         if self.kind == "logistic" or self.calibrate:
             parts = None
             for fold in range(self.k):
@@ -80,9 +108,46 @@ class Stack:
 
     def refit(self, train: DataFrame, test: DataFrame, key: str, label: str = "label") -> Stack:
         """A stack of the same settings fitted on both: for serving, once the test rows have told what they can."""
-        again = Stack(self.columns, self.names, self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight)
+        again = Stack(self.columns, self.names, self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight, self.params)
         return again.fit(train.unionByName(test), key, label)
 
+    def recalibrate(self, df: DataFrame) -> Stack:
+        """Fits the calibration on the scores of another domain, whose rows need no label."""
+        self.calibrate, self.map = True, calibration.QuantileMap.fit(self._scored(df), ["score"])
+        return self
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        out = self.prepared.transform(df)
+        for name in self.names:
+            out = _probability(self.models[name], out, name)
+        return self._meta(out)
+
+    def pipeline(self) -> PipelineModel:
+        """The fitted stack as one PipelineModel, which saves, loads and scores without this class."""
+        stages, gone = [self.prepared], ["features", *[f"__{c}" for c in self.columns]]
+
+        def placed(model, name: str):
+            own = model.copy()
+            mine = {"probabilityCol": f"__p_{name}", "rawPredictionCol": f"__r_{name}", "predictionCol": f"__y_{name}"}
+            for param, column in mine.items():
+                if own.hasParam(param):
+                    own = _named(own, param, column)
+            gone.extend(mine.values())
+            return own
+
+        for name in self.names:
+            stages += [placed(self.models[name], name), ClassProbability(inputCol=f"__p_{name}", outputCol=name)]
+        if self.kind == "mean":
+            stages.append(MeanScore(inputCols=list(self.names), outputCol="score"))
+        else:
+            stages += [VectorAssembler(inputCols=list(self.names), outputCol="meta"), placed(self.meta, "meta"), ClassProbability(inputCol="__p_meta", outputCol="score")]
+            gone.append("meta")
+        if self.map is not None:
+            stages.append(ScoreMapModel.of(self.map, "score"))
+        if self.threshold is not None:
+            stages.append(LogitShift(threshold=self.threshold))
+        return PipelineModel(stages=[*stages, Finish(inputCols=gone, outputCol="score")])
+
     def _meta(self, df: DataFrame) -> DataFrame:
         if self.kind == "mean":
             return df.withColumn("score", sum(F.col(n) for n in self.names) / len(self.names))
@@ -90,10 +155,7 @@ class Stack:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """df with a score of each base learner and `score`, calibrated, shifted and within [0, 1]."""
-        out = self.prepared.transform(df)
-        for name in self.names:
-            out = _probability(self.models[name], out, name)
-        out = self._meta(out)
+        out = self._scored(df)
         if self.map is not None:
             out = out.withColumn("score", calibration.blended(self.map, "score"))
         if self.threshold is not None:
@@ -108,14 +170,14 @@ class Stack:
         if self.kind == "logistic":
             self.meta.write().overwrite().save(f"{path}/meta")
         levels, quantiles = (self.map.levels, self.map.quantiles["score"]) if self.map else ([], [])
-        row = (self.columns, list(self.names), self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight, levels, quantiles)
+        row = (self.columns, list(self.names), self.kind, self.k, self.seed, self.calibrate, self.threshold, self.weight, levels, quantiles, json.dumps(self.params))
         SparkSession.active().createDataFrame([row], CONFIG).write.mode("overwrite").json(f"{path}/config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Stack:
         c = spark.read.schema(CONFIG).json(f"{path}/config").head()
-        out = cls(c["columns"], tuple(c["names"]), c["meta"], c["k"], c["seed"], c["calibrate"], c["threshold"], c["weight"])
-        kinds = {"gbt": GBTClassificationModel, "forest": RandomForestClassificationModel, "linear": LogisticRegressionModel}
+        out = cls(c["columns"], tuple(c["names"]), c["meta"], c["k"], c["seed"], c["calibrate"], c["threshold"], c["weight"], json.loads(c["params"] or "null"))
+        kinds = {"gbt": GBTClassificationModel, "forest": RandomForestClassificationModel, "extra": ExtraTreesModel, "linear": LogisticRegressionModel}
         out.prepared = PipelineModel.load(f"{path}/prepared")
         out.models = {n: kinds[n].load(f"{path}/{n}") for n in out.names}
         if out.kind == "logistic":
@@ -142,6 +204,54 @@ def search(train: DataFrame, test: DataFrame, columns: list[str], key: str, day:
     return sorted(found, key=lambda x: -x[3])
 
 
+def draws(space: Mapping[str, Sequence], n: int = 40, seed: int = 0) -> list[dict[str, dict]]:
+    """n settings, all different, of a grid given as "learner.parameter": values; all of them, in the same shuffled order, if there are no more."""
+    names = sorted(space)
+    sizes = [len(space[k]) for k in names]
+    total = math.prod(sizes)
+    out = []
+    for i in random.Random(seed).sample(range(total), min(n, total)):
+        chosen: dict[str, dict] = {}
+        for name, size in zip(names, sizes, strict=True):
+            i, at = divmod(i, size)
+            learner, parameter = name.split(".", 1)
+            chosen.setdefault(learner, {})[parameter] = space[name][at]
+        out.append(chosen)
+    return out
+
+
+def random_search(
+    df: DataFrame,
+    columns: list[str],
+    key: str,
+    day: str,
+    from_day: str,
+    space: Mapping[str, Sequence],
+    n: int = 40,
+    seed: int = 0,
+    parallel: int = 4,
+    **stack,
+) -> list[tuple[dict, float]]:
+    """(settings, sel_score), best first, of n draws from a grid: each a stack fitted on the days before a date, its daily rewards from that date on.
+
+    `parallel` fits run at a time; every one is a job of the cluster, so this
+    only keeps it busy. Days are split, not rows: no day is on both sides.
+    """
+    train, test = (part.persist() for part in time_split(df, day, from_day))
+    train.count()
+
+    def score(params: dict) -> tuple[dict, float]:
+        scored = Stack(columns, params=params, seed=seed, **stack).fit(train, key).transform(test)
+        sel = metrics.stability(metrics.rewards(scored, [day], key)).head()["sel_score"]
+        return params, sel if sel is not None else float("-inf")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(score, draws(space, n, seed)))
+    train.unpersist()
+    test.unpersist()
+    return sorted(found, key=lambda x: -x[1])
+
+
 def importances(stack: Stack, name: str = "gbt", k: int = 20) -> list[str]:
     """The k most important columns of a tree learner."""
     weights = stack.models[name].featureImportances.toArray()

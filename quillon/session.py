@@ -65,6 +65,17 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df written once in the shared checkpoint folder, dealt into buckets by `key`: what groups, joins or windows by it, or by it and more, needs no shuffle then.
+
+    The files go with the session's folder; the name in the session's catalog is one of its own.
+    """
+    path = new_folder(df.sparkSession, "buckets")
+    name = "quillon_" + path.rpartition("-")[2]
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table `name` of a data folder, by Spark's own reader so that any store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

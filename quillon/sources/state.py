@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 
+#: Spark's error conditions for content that can't be parsed; whatever else goes wrong says nothing about the content.
+UNREADABLE = ("MALFORMED_RECORD_IN_PARSING", "CANNOT_READ_FILE_FOOTER", "CONVERT_PROBLEM")
+#: What Parquet's reader says of a file that isn't one, or was cut.
+_NOT_PARQUET = ("is not a Parquet file", "Could not read footer", "expected magic number")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, by Spark's own file systems; an error to reach the store is raised."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def unparsable(error: Exception) -> bool:
+    """Whether an error is about content, not about the machines, the store or rights."""
+    text = str(error)
+    return any(f"[{c}" in text or f".{c}]" in text for c in UNREADABLE) or any(m in text for m in _NOT_PARQUET)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """The state table at a path; an empty one of the schema where there is none or it can't be read.
+    """The state table at a path; an empty one of the schema where there is none or its content doesn't parse.
 
-    State is small (a row for each key): it is read once to see whether it can be.
+    State is small (a row for each key): it is read once to see whether it can
+    be. Any other failure - a lost executor, no permission, a store that doesn't
+    answer - is raised: it must not reset a state that is there.
     """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).format(fmt).options(**({"mode": "FAILFAST"} if fmt in ("json", "csv") else {})).load(path)
     try:
-        found = spark.read.schema(schema).format(fmt).options(**({"mode": "FAILFAST"} if fmt in ("json", "csv") else {})).load(path)
-        found.foreach(lambda _: None)
-        return found
-    except (PySparkException, Py4JError):
+        found.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as e:
+        if not unparsable(e):
+            raise
         return spark.createDataFrame([], schema)
+    return found
 
 
 STATE = "uid long, score double, hotkey string, step long"

@@ -63,3 +63,10 @@ def test_scans_read_only_what_is_used(spark, sf, name, columns):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     read = {c.split(":")[0] for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in s.split(",")}
     assert read == columns and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", [f"features_{n}" for n in ("actions", "temporal", "context", "perhand", "hero")])
+def test_feature_sets_move_no_row(spark, sf, name):
+    """Tables are in buckets of chunk_id, and all that a set groups, joins and windows by is within a chunk."""
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 0, plan.count("Exchange hashpartitioning")

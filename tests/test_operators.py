@@ -116,6 +116,17 @@ def test_average_precision_groups_ties(spark):
     assert (r["recall"], r["fpr"]) == (0.5, 0.0)
 
 
+@pytest.mark.parametrize("bounded", [False, True])
+def test_one_ranking_gives_both_metrics(spark, bounded):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([0.1, 0.4, 0.4, 0.7, 0.9]), 1 if g == "ones" else 0 if g == "zeros" else rng.randint(0, 1)) for g in ("a", "b", "ones", "zeros", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, ord int, score double, label int").repartition(5)
+    got = {r["g"]: tuple(r)[1:] for r in metrics.ranking(df, ["g"], "ord", bounded=bounded).collect()}
+    ap = {r["g"]: r["ap"] for r in metrics.average_precision(df, ["g"]).collect()}
+    recall = {r["g"]: (r["recall"], r["fpr"]) for r in metrics.recall_at_fpr(df, ["g"], "ord").collect()}
+    assert {g: v[0] for g, v in got.items()} == pytest.approx(ap) and {g: v[1:] for g, v in got.items()} == recall
+
+
 def test_windowed_reward_counts(spark):
     rows = [(7, i, 0.1 if i < 50 else 0.9, int(i >= 50)) for i in range(100)]
     df = spark.createDataFrame(rows, "uid int, ord int, score double, label int")
@@ -218,7 +229,10 @@ def test_broken_elements_cost_themselves_only(spark, tmp_path):
     rec = json.dumps({"chunkId": "r", "chunks": [[h]], "groundTruth": [1]})
     (tmp_path / "data_2026_01_05.json").write_text('{"data": {"n": {"x": 1}, "chunks": [{"chunkId": }, ' + rec + "]}}")
     assert [(r["chunk_id"], r["data"]) for r in sources.records(spark, str(tmp_path / "data_2026_01_05.json")).collect()] == [("r#0", "2026-01-05")]
-    assert sources.flat(spark, str(tmp_path / "n.json"), 1).count() == 0 and list(sources.elements("", "[", "{")) == list(sources.elements('[{"a"', "[", "{")) == []
+    assert sources.flat(spark, str(tmp_path / "n.json"), 1).count() == 0
+    (tmp_path / "e.json").write_text("")
+    (tmp_path / "cut.json").write_text('[{"a"')
+    assert sources.elements(spark, str(tmp_path / "e.json"), "[", "{").count() == sources.elements(spark, str(tmp_path / "cut.json"), "[", "{").count() == 0
 
 
 def test_files_land_once(spark, tmp_path):
@@ -275,6 +289,46 @@ def test_numeric_state(spark, tmp_path):
     assert state.read_or_empty(spark, str(tmp_path / "broken.json"), state.STATE, "json").count() == 0
 
 
+def test_a_read_that_fails_resets_no_state(spark, tmp_path, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    from quillon.sources import state
+
+    path = str(tmp_path / "scores")
+    state.write_scores(spark.createDataFrame([(0, 2.0, "a", 1)], state.STATE), path)
+    uids = spark.createDataFrame([(0, "a")], "uid long, hotkey string")
+    (tmp_path / "scores" / "step=1").chmod(0o000)  # no permission to list (root may: then the read works)
+    try:
+        assert state.read_scores(spark, path, uids).head()["score"] == 2.0
+    except Exception as e:
+        assert not state.unparsable(e)
+    finally:
+        (tmp_path / "scores" / "step=1").chmod(0o755)
+    gone = next((tmp_path / "scores" / "step=1").glob("*.parquet"))
+    found = spark.read.schema(state.STATE).parquet(path)  # listed while the file is there
+    gone.rename(tmp_path / "away")
+    with pytest.raises((PySparkException, Py4JJavaError)) as lost:
+        found.write.format("noop").mode("overwrite").save()
+    assert not state.unparsable(lost.value)
+
+    class Reader:
+        """A reader whose table fails as one does whose executor is lost."""
+
+        def __getattr__(self, name):
+            return lambda *a, **k: found if name == "load" else self
+
+    (tmp_path / "away").rename(gone)
+    found.count()
+    gone.rename(tmp_path / "away")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "read", property(lambda self: Reader()))
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            state.read_scores(spark, path, uids)
+    (tmp_path / "away").rename(gone)
+    assert state.read_scores(spark, path, uids).head()["score"] == 2.0
+
+
 def test_stream_registry(spark, tmp_path):
     from quillon.streaming.registry import ema_now, ema_stream, served_stream
 
