@@ -16,6 +16,7 @@ import sys
 import unicodedata
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterable
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -72,9 +73,21 @@ def _char_table() -> dict[str, str]:
     return table | _HOMOGLYPHS | dict.fromkeys(_INVISIBLE, "") | {"。": ".", "‐": "-", "‑": "-"}
 
 
+def _runs(chars: Iterable[str]) -> str:
+    """Characters as ranges of a pattern's class: single ones beyond 16 bits are tried one by one."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+
+
 _CHARS = _char_table()
+_BEYOND = re.compile(r"[^\x00-\x7F]")
 _RULES = re.compile(
-    "(?P<char>[" + "".join(map(re.escape, _CHARS)) + "])"
+    r"(?P<char>(?![\x00-\x7F])[" + _runs(_CHARS) + "])"
     r"|(?P<code>&\#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});|&(?:commat|period);|%(?:40|2[EeBbDd]))"
     r"|(?P<at>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:at|arroba|arobase)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
     r"|(?P<dot>[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?i:dot|punto|point|punkt)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
@@ -84,14 +97,13 @@ _RULES = re.compile(
     rf"|(?P<spelled>{_RUN})"
 )
 # What a text, in lower case, without any disguise that the rules could turn into an identifier does not hold.
-_ODD_CHAR = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]")
 _CODE = re.compile("&\\#|&commat;|&period;|%40|%2[ebd]")
 _SIGN = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|arroba|arobase|dot|punto|point|punkt)[\x20\t]{0,3}[\])}>]|[\x20\t](?:dot|punto|punkt|arroba|arobase)[\x20\t]")
 
 
 def _may_hide(text: str) -> bool:
     low = text.lower()
-    if _ODD_CHAR.search(text) or _SIGN.search(low) or _CODE.search(low):
+    if not _CHARS.keys().isdisjoint(_BEYOND.findall(text)) or _SIGN.search(low) or _CODE.search(low):
         return True
     words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
     if _DIGITS.keys().isdisjoint(words):
