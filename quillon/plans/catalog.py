@@ -726,7 +726,7 @@ _ANSWER_HOURS = 6
 @query(
     f"""WITH r AS (SELECT event_id AS request_id, user_id AS uid, ts, event_id % 5 + 1 AS n_sent FROM events WHERE event_type = 'view'), a AS (SELECT user_id AS uid, ts, event_id % 5 + 1 AS n_scores FROM events WHERE event_type = 'click'),
   j AS (SELECT r.*, a.ts AS got, a.n_scores, row_number() OVER (PARTITION BY request_id ORDER BY a.ts, a.n_scores) AS k FROM r LEFT JOIN a ON a.uid = r.uid AND a.ts BETWEEN r.ts AND r.ts + INTERVAL {_ANSWER_HOURS} HOUR)
-  SELECT uid, request_id, n_sent, n_scores, CASE WHEN n_scores = n_sent THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage, round(CAST(epoch_us(got) - epoch_us(ts) AS DOUBLE) / 1000000, 3) AS latency_seconds FROM j WHERE k = 1"""
+  SELECT uid, request_id, n_sent, coalesce(n_scores, 0) AS n_scores, CASE WHEN n_scores = n_sent THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage, round(CAST(epoch_us(got) - epoch_us(ts) AS DOUBLE) / 1000000, 3) AS latency_seconds FROM j WHERE k = 1"""
 )
 def response_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views as requests and a user's clicks as answers, joined as two streams; a request without an answer comes out when its time is over."""
@@ -734,18 +734,14 @@ def response_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
-    def closing(df: DataFrame) -> DataFrame:
-        """A view and a click of nobody, long after all others: they move both watermarks past every request."""
-        end = df.agg((F.max("ts") + F.expr(f"INTERVAL {_ANSWER_HOURS + 48} HOURS")).alias("ts"))
-        return end.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("event_type"), "ts")
-
-    stream = runs.played(ev, "ts", 1, closing)
+    # a view and a click of nobody, long after all others; rows without a key would be left out before the watermark sees them
+    stream, more = runs.played([ev, *runs.closing(ev, "ts", _ANSWER_HOURS + 48, user_id=F.lit(-1), event_type=F.explode(F.array(F.lit("view"), F.lit("click"))))])
     n = F.col("event_id") % 5 + 1
     asked = stream.where("event_type = 'view'").select(F.col("user_id").alias("uid"), F.col("event_id").alias("request_id"), F.col("ts").alias("sent_at"), n.alias("n_sent"))
     replies = stream.where("event_type = 'click'").select(F.col("user_id").alias("uid"), F.lit(None).cast("long").alias("request_id"), F.col("ts").alias("got_at"), n.alias("n_scores"))
     settled = responses.answered(asked, replies, f"{_ANSWER_HOURS} HOURS", "1 hour", by_request=False)
-    out = runs.drain(settled, new_folder(spark, "stream"), new_folder(spark, "responses"), "append").where("request_id is not null")
-    return out.select("uid", "request_id", "n_sent", "n_scores", "coverage", F.round("latency_seconds", 3).alias("latency_seconds"))
+    out = runs.drain(settled, new_folder(spark, "stream"), new_folder(spark, "responses"), "append", more).where("request_id is not null")
+    return out.select("uid", "request_id", "n_sent", F.coalesce("n_scores", F.lit(0)).alias("n_scores"), "coverage", F.round("latency_seconds", 3).alias("latency_seconds"))
 
 
 @query(
@@ -759,8 +755,8 @@ def suspicion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = F.when(F.col("event_id") % 3 == 0, F.array("event_type", F.lit("third"))).otherwise(F.array("event_type"))
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("uid"), "event_id", F.col("ts").cast("timestamp").alias("at"), kind.alias("reasons")).where("uid is not null")
-    rows = suspicion.suspicion_stream(runs.played(ev, "event_id", 3))
-    entries = suspicion.latest(runs.drain(rows, new_folder(spark, "stream"), new_folder(spark, "suspicion")))
+    stream, more = runs.played([ev.where(F.col("event_id") % 3 == i) for i in range(3)])
+    entries = suspicion.latest(runs.drain(suspicion.suspicion_stream(stream), new_folder(spark, "stream"), new_folder(spark, "suspicion"), then=more))
     counts = entries.select("uid", F.explode("counts").alias("item", "n")).select("uid", F.lit("count").alias("part"), "item", "n")
     events = entries.select("uid", F.size("events").alias("k"), F.posexplode("events").alias("i", "e"))  # oldest first
     return counts.unionByName(events.select("uid", F.lit("event").alias("part"), F.col("e.event_id").cast("string").alias("item"), (F.col("k") - F.col("i")).cast("long").alias("n")))
@@ -774,9 +770,11 @@ def epoch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-05-01 00:00:00").cast("timestamp")) + (F.col("o_orderkey") % 1700) * 3600)
     orders = table(spark, sf_dir, "orders").select(ts.alias("ts"))
-    stream = runs.played(orders, "ts", 2, lambda df: df.agg((F.max("ts") + F.expr("INTERVAL 400 HOURS")).alias("ts")))
-    out = runs.drain(calendar.epoch_stream(stream), new_folder(spark, "stream"), new_folder(spark, "epochs"), "append")
-    return out.select("epoch_id", F.unix_timestamp("start").alias("start_seconds"), "n")
+    half = F.lit("2026-06-05").cast("timestamp")
+    stream, more = runs.played([orders.where(F.col("ts") < half), orders.where(F.col("ts") >= half), *runs.closing(orders, "ts", 400)])
+    out = runs.drain(calendar.epoch_stream(stream), new_folder(spark, "stream"), new_folder(spark, "epochs"), "append", more)
+    last = orders.agg(F.max("ts").alias("last"))  # one row; epochs that begin later are of closing rows
+    return out.join(F.broadcast(last), F.col("start") <= F.col("last")).select("epoch_id", F.unix_timestamp("start").alias("start_seconds"), "n")
 
 
 @query(
@@ -859,7 +857,7 @@ def hand_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = hands(spark, sf_dir)
     own = t.act.join(t.hand.select("chunk_id", "hand_ix", "hero_seat"), ["chunk_id", "hand_ix"]).where("seat = hero_seat")
-    labels = own.groupBy("chunk_id").agg((F.count_if("kind in ('raise', 'all_in')") > F.count_if("kind = 'fold'")).cast("int").alias("label"))
+    labels = own.groupBy("chunk_id").agg((F.count_if(F.col("kind").isin("raise", "all_in")) > F.count_if(F.col("kind") == "fold")).cast("int").alias("label"))
     docs = materialised(tokens.documents(t.hand, t.act).join(labels, "chunk_id"))
     fitted = handtext.fit(docs.where("chunk_id % 3 <> 0"), rounds=10, depth=4)
     return r6(handtext.chunk_scores(fitted, docs), "score")

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-import pytest
+from pyspark.sql import functions as F
 
 from quillon.streaming import calendar, responses, runs, suspicion
 
@@ -115,9 +115,8 @@ def test_epochs_close_once_and_late_rows_go(spark, tmp_path):
     assert got["day_2026-06-27_0000utc"][2] == 1 and len(got) == 6
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_played_tables_come_in_order(spark, tmp_path, parts):
-    df = spark.range(100).toDF("id")
-    stream = runs.played(df, "id", parts, lambda d: spark.createDataFrame([(10**6,)], "id long"))
-    got = runs.drain(stream, str(tmp_path / "c"), str(tmp_path / "o"), "append")
-    assert got.count() == 101
+def test_played_tables_come_one_after_the_other(spark, tmp_path):
+    df = spark.range(100).select("id", F.timestamp_seconds("id").alias("ts"))
+    stream, more = runs.played([df.where("id < 50"), df.where("id >= 50"), *runs.closing(df, "ts", 2, id=F.explode(F.array(F.lit(-1), F.lit(-2))))])
+    got = runs.drain(stream, str(tmp_path / "c"), str(tmp_path / "o"), "append", more)
+    assert got.count() == 100 + 2 * runs.CLOSINGS and got.where("id < 0").agg(F.min("ts")).head()[0] == dt.datetime(1970, 1, 1, 2, 1, 39)
