@@ -37,13 +37,16 @@ class HandTables:
     act: DataFrame
     buckets: int = 0  # by chunk_id, 0 if they aren't bucketed
 
-    def bound(self) -> HandTables:
-        """The tables written once in buckets of chunk_id, so that feature sets, all of whose groups and joins are by it, move no row again."""
+    def bound(self, actions: int | None = None) -> HandTables:
+        """The tables written once in buckets of chunk_id, so that feature sets, all of whose groups and joins are by it, move no row again.
+
+        actions: how many there are, where that is known; else they are written down to be counted.
+        """
         if self.buckets:
             return self
-        spark = self.hand.sparkSession
-        act = materialised(self.act)
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-act.count() // BUCKET_ROWS))
+        act = self.act if actions is not None else materialised(self.act)
+        actions = act.count() if actions is None else actions
+        n = max(int(act.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-actions // BUCKET_ROWS))
         return HandTables(*(bucketed(t, "chunk_id", n) for t in (self.hand, self.play, act)), n)
 
 

@@ -98,7 +98,7 @@ def _bind(spark: SparkSession, sf_dir: str) -> HandTables:
     act = one("act", steps[:cut], events=ev)
     play = one("play", steps[cut:], act=act)
     hand = one("hand", steps[cut:], act=act)
-    return HandTables(hand, play, act).bound()
+    return HandTables(hand, play, act).bound(act.count())
 
 
 def _feature(name: str, only: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
