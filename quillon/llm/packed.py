@@ -128,13 +128,16 @@ def _tree_totals(asked: DataFrame, kind: type, hashes: type, counted: type, bloc
     top, node = np.uint64(np.iinfo(kind).max), "bucket int, block int, hashes binary, counts binary"
     parent = F.expr(f"block div {MOST_BLOCKS}")
     levels, counts = [materialised(asked)], counted
-    while blocks > 1:
 
-        def up(key: tuple, part: pd.DataFrame, counts: type = counts) -> pd.DataFrame:
+    def adder(counts: type) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def up(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             _, distinct, _, total = _joined(part, hashes, counts)
             return pd.DataFrame({"bucket": [key[0]], "block": [key[1]], "hashes": [pack(distinct)], "counts": [pack(total)]})
 
-        levels.append(materialised(levels[-1].groupBy("bucket", parent.cast("int").alias("block")).applyInPandas(up, node)))
+        return up
+
+    while blocks > 1:
+        levels.append(materialised(levels[-1].groupBy("bucket", parent.cast("int").alias("block")).applyInPandas(adder(counts), node)))
         blocks, counts = -(-blocks // MOST_BLOCKS), np.uint64
 
     def rooted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
