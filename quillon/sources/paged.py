@@ -8,9 +8,11 @@ writes each under its cursor, in any order.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import quote, unquote
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
@@ -222,3 +224,7 @@ def ready_batches(spark: SparkSession, path: str, status: str, least: int = 0) -
     """A stream of BATCHES rows, see ReadyBatches."""
     spark.dataSource.register(ReadyBatches)
     return spark.readStream.format(ReadyBatches.name()).options(path=path, status=status, least=str(least)).load()
+
+
+# Planning workers beside the driver don't get files that are added for tasks: what they unpickle brings its code along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

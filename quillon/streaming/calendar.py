@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -55,3 +57,7 @@ def epoch_stream(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> Dat
     e = epoch(F.col("at"))
     named = counted.select("at", "n", e["id"].alias("epoch_id"), e["start"].alias("start"), e["end"].alias("end"), (F.unix_timestamp(e["end"]) * 1000).alias("end_ms"))
     return named.groupBy("epoch_id").transformWithStateInPandas(Epochs(), EPOCH, "Append", "EventTime")
+
+
+# Planning workers beside the driver don't get files that are added for tasks: what they unpickle brings its code along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

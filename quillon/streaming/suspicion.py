@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -97,3 +99,7 @@ def latest(entries: DataFrame) -> DataFrame:
     """Of the entries that a stream wrote the newest of each uid."""
     newest = entries.groupBy("uid").agg(F.max_by(F.struct("counts", "events", "gone"), "n_events").alias("e"))
     return newest.select("uid", "e.counts", "e.events", "e.gone")
+
+
+# Planning workers beside the driver don't get files that are added for tasks: what they unpickle brings its code along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
