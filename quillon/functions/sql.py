@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,10 @@ BLIND = "('small_blind', 'big_blind', 'ante')"
 AGG = "('bet', 'raise', 'all_in')"
 RAISE = "('raise', 'all_in')"
 VOLUNTARY = "('call', 'bet', 'raise', 'all_in')"
+#: Windows, joins and groupings of a plan without exchanges, about: a task holds the buffers of all of them at a time.
+PLAN_OPERATORS = 16
+#: Groups of parts that are written at a time.
+WRITERS = 4
 
 
 @dataclass(frozen=True)
@@ -101,6 +106,26 @@ class Flow:
                 rest += asks(known[name])
         return [(n, sql) for n, sql in self.steps if n in want]
 
+    def operators(self, sql: str) -> int:
+        """Windows, joins and groupings that a select brings into a plan, those of the steps it reads included, each as often as it is read."""
+        known = dict(self.steps)
+        read = [n for n in re.findall(r"(?:FROM|JOIN) (\w+)\b", sql) if n in known]
+        return len(re.findall(r"\b(?:OVER|JOIN|GROUP BY|DISTINCT|UNION)\b", sql)) + sum(self.operators(known[n]) for n in read)
+
+    def batches(self, key: str, most: int = PLAN_OPERATORS) -> list[list[str]]:
+        """The steps that the last select joins by `key`, in groups of about `most` operators at most; none if all of it is within."""
+        if self.operators(self.last) <= most:
+            return []
+        known, out, room = dict(self.steps), [], 0
+        for name in re.findall(rf"LEFT JOIN (\w+) ON \1\.{key} = ", self.last):
+            n = self.operators(known[name]) + 1
+            if n > room:
+                out.append([])
+                room = most
+            out[-1].append(name)
+            room -= n
+        return out
+
     def entropy(self, name: str, source: str, key: str, by: str = "chunk_id", kind: str = "smoothed", where: str = "TRUE") -> Flow:
         """Step `name`: by, h (entropy of `key` within a group), total, top (largest share), top3, kinds.
 
@@ -116,10 +141,11 @@ class Flow:
     def text(self, inputs: list[tuple[str, str]] = ()) -> str:
         return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in [*inputs, *self.steps]) + "\n" + self.last
 
-    def frame(self, spark: SparkSession, inputs: list[tuple[str, str]] = (), write: Callable[[DataFrame], DataFrame] | None = None, **tables: DataFrame) -> DataFrame:
+    def frame(self, spark: SparkSession, inputs: list[tuple[str, str]] = (), write: Callable[[DataFrame], DataFrame] | None = None, key: str = "chunk_id", **tables: DataFrame) -> DataFrame:
         """Runs over DataFrames: each table's name in braces inside the first inputs, or a step of its own.
 
-        write: writes a step down and reads it back; steps that are kept and needed are then worked out once.
+        write: writes a step down and reads it back; steps that are kept and needed are then worked out once. Where the
+        last select is still wider than a task should hold, the steps that it joins by `key` are written in groups first.
         """
         if write:
             needed, rest = self.needed(), []
@@ -129,7 +155,22 @@ class Flow:
                     tables[name] = write(Flow(own.needed(), own.last).frame(spark, inputs, **tables))
                 else:
                     rest.append((name, sql))
-            return Flow(rest, self.last).frame(spark, inputs, **tables)
+            flow = Flow(rest, self.last)
+            groups = flow.batches(key)
+            base = re.search(r" FROM (\w+) LEFT JOIN ", self.last)[1] if groups else ""
+
+            def written(group: list[str]) -> DataFrame:
+                last = f"SELECT {base}.{key}, " + ", ".join(f"struct({n}.*) AS {n}" for n in group) + f" FROM {base} " + " ".join(f"LEFT JOIN {n} ON {n}.{key} = {base}.{key}" for n in group)
+                own = Flow(rest, last)
+                return write(Flow(own.needed(), last).frame(spark, inputs, **tables))
+
+            if groups:
+                with ThreadPoolExecutor(WRITERS) as pool:
+                    tables |= {f"written_{i}": t for i, t in enumerate(pool.map(written, groups))}
+                joins = [f"LEFT JOIN written_{i} ON written_{i}.{key} = {base}.{key}" for i in range(len(groups))]  # a part is a struct of its group's table
+                flow = Flow(rest, " ".join([self.last.partition(" LEFT JOIN ")[0], *joins]))
+                flow = Flow(flow.needed(), flow.last)
+            return flow.frame(spark, inputs, **tables)
         own = [(name, f"SELECT * FROM {{{name}}}") for name in tables]
         return spark.sql(Flow([*own, *inputs, *self.steps], self.last).text(), **tables)
 

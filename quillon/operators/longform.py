@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import bucketed, materialised
@@ -24,8 +24,13 @@ HAND_DDL = (
 )
 
 
-#: Actions of a bucket, about.
-BUCKET_ROWS = 4_000_000
+#: Actions of a bucket, about: what a task holds of them in each sort of its plan stays within the page that the sort takes anyway.
+BUCKET_ROWS = 250_000
+
+
+def bucket_count(spark: SparkSession, actions: int) -> int:
+    """Buckets of so many actions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-actions // BUCKET_ROWS))
 
 
 @dataclass(frozen=True)
@@ -46,7 +51,7 @@ class HandTables:
             return self
         act = self.act if actions is not None else materialised(self.act)
         actions = act.count() if actions is None else actions
-        n = max(int(act.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-actions // BUCKET_ROWS))
+        n = bucket_count(act.sparkSession, actions)
         return HandTables(*(bucketed(t, "chunk_id", n) for t in (self.hand, self.play, act)), n)
 
 

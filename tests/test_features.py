@@ -61,3 +61,20 @@ def test_set_is_the_plain_version(tables, chunks, name):
             if (x is None or y is None) and x != y or x is not None and y is not None and not math.isclose(x, y, rel_tol=1e-7, abs_tol=1e-7):
                 wrong.append((k, c, x, y))
     assert not wrong, (len(wrong), wrong[:12])
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_no_plan_of_a_set_is_wide(spark, sf, name):
+    """Sorts, windows and groupings of a plan without exchanges hold their buffers in one task, a page each at least."""
+    from quillon.functions.sql import PLAN_OPERATORS
+    from quillon.plans import catalog
+
+    plan = catalog.QUERIES[f"features_{name}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(op) for op in (" Sort [", " Window [", "HashAggregate(", "ObjectHashAggregate(", "SortAggregate(")) <= 2 * PLAN_OPERATORS
+
+
+def test_buckets_follow_the_actions(spark):
+    from quillon.operators.longform import bucket_count
+
+    assert bucket_count(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 300_000_000 / bucket_count(spark, 300_000_000) <= 500_000
