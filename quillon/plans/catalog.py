@@ -17,9 +17,9 @@ from quillon.functions.sql import DUCK, SPARK, Flow
 from quillon.operators import calibrate, drift, metrics, registry, sanitize, tokens, weights
 from quillon.operators.features import REGISTRY
 from quillon.operators.features import run as run_set
-from quillon.operators.longform import HandTables
+from quillon.operators.longform import HandTables, bucket_count
 from quillon.plans import bindings
-from quillon.session import materialised, new_folder, table
+from quillon.session import bucketed, materialised, new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,14 +91,14 @@ def hands(spark: SparkSession, sf_dir: str) -> HandTables:
 
 
 def _bind(spark: SparkSession, sf_dir: str) -> HandTables:
-    ev = table(spark, sf_dir, "events")
-    one = lambda name, steps, **t: materialised(Flow(last=f"SELECT * FROM {name}").frame(spark, steps, **t))
+    """Events are dealt into buckets of their chunk first, the only time that rows move: all that is made of them is within a chunk."""
+    events = table(spark, sf_dir, "events")
+    n = bucket_count(spark, events.count())  # each event is an action, but for those without a user or a time
     steps = bindings.events_as_hands()
-    cut = [n for n, _ in steps].index("act") + 1
-    act = one("act", steps[:cut], events=ev)
-    play = one("play", steps[cut:], act=act)
-    hand = one("hand", steps[cut:], act=act)
-    return HandTables(hand, play, act).bound(act.count())
+    one = lambda name, steps, **t: bucketed(Flow(last=f"SELECT * FROM {name}").frame(spark, steps, **t), "chunk_id", n)
+    ev, act = (1 + [n for n, _ in steps].index(name) for name in ("ev", "act"))
+    acts = one("act", steps[ev:act], ev=one("ev", steps[:ev], events=events))
+    return HandTables(one("hand", steps[act:], act=acts), one("play", steps[act:], act=acts), acts, n)
 
 
 def _feature(name: str, only: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
