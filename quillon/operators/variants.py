@@ -66,27 +66,19 @@ def leaves(df: DataFrame, keys: Sequence[str], value: str, depth: int = DEPTH) -
 
     Arrays aren't gone into: `size` is how many they hold. Nulls have rows,
     empty objects none. Objects nested deeper than `depth` are an error, not lost.
-    A generator for each level and no shuffle.
+    One pass and no shuffle: a level is a generator over what the one before gave,
+    which what is no object goes through as it is.
     """
-    at = df.select(*keys, F.lit("").alias("__at"), F.col(value).alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
-    out = None
+    inside = lambda v: F.try_variant_get(v, "$", "map<string,variant>")  # noqa: E731 - null for what is no object
+    at = df.select(*keys, F.lit("").alias("__at"), F.col(value).alias("__v")).where(inside(F.col("__v")).isNotNull())
     for level in range(depth + 1):
-        found = at.lateralJoin(_exploded(df)).select(*keys, F.concat("__at", F.col("key")).alias("path"), F.col("value").alias("of"))
-        kind = F.schema_of_variant("of")
-        scalars = found.where(~kind.startswith("OBJECT"))
-        size = F.when(F.schema_of_variant("of").startswith("ARRAY"), F.size(F.try_variant_get("of", "$", "array<variant>")))
-        scalars = scalars.withColumn("size", size)
-        out = scalars if out is None else out.unionByName(scalars)
-        inner = found.where(kind.startswith("OBJECT"))
-        at = inner.select(*keys, F.concat("path", F.lit("/")).alias("__at"), F.col("of").alias("__v"))
-        if level == depth:
-            deeper = inner.where(F.raise_error(F.concat(F.lit(f"nested deeper than {depth}: "), "path")).isNotNull())
-            out = out.unionByName(deeper.select(*keys, "path", "of", F.lit(None).cast("int").alias("size")))
-    return out
-
-
-def _exploded(df: DataFrame) -> DataFrame:
-    return df.sparkSession.tvf.variant_explode(F.col("__v").outer())
+        found = at.withColumn("__m", inside(F.col("__v")))
+        found = found.select(*keys, "__at", "__v", F.col("__m").isNotNull().alias("__o"), F.explode_outer("__m").alias("__k", "__e")).where("not __o or __k is not null")
+        path = F.concat("__at", F.lit("/" if level else ""), F.col("__k"))
+        at = found.select(*keys, F.when(F.col("__o"), path).otherwise(F.col("__at")).alias("__at"), F.when(F.col("__o"), F.col("__e")).otherwise(F.col("__v")).alias("__v"))
+    deeper = F.raise_error(F.concat(F.lit(f"nested deeper than {depth}: "), "__at")).cast("variant")
+    every = at.select(*keys, F.col("__at").alias("path"), F.when(inside(F.col("__v")).isNotNull(), deeper).otherwise(F.col("__v")).alias("of"))
+    return every.withColumn("size", F.size(F.try_variant_get("of", "$", "array<variant>"))).withColumn("size", F.when(F.col("size") >= 0, F.col("size")))
 
 
 def flat_metrics(df: DataFrame, keys: Sequence[str], value: str, depth: int = DEPTH) -> DataFrame:

@@ -62,3 +62,9 @@ def test_the_view_tells_null_from_missing(spark):
     want = [round(2.0 + noise(f"{hero}|6|flop|1|{ident}|amount") * 0.22, 2) for hero, ident in (("2", "7"), ("2", "None"), ("2", ""), ("", "7"), ("None", "7"))]
     assert [got[i] for i in range(5)] == pytest.approx(want) and len(set(want)) > 3
     assert plain[1] == plain[2] == got[2] and plain[0] == got[0]
+
+
+def test_levels_read_their_input_once(spark):
+    df = parsed(spark, ['{"a":{"b":1}}']).withColumn("v", F.parse_json(variants.drop_keys(F.col("t"), ["label"])))
+    plan = variants.flat_metrics(df, ["id"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
