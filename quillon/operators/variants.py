@@ -70,10 +70,11 @@ def leaves(df: DataFrame, keys: Sequence[str], value: str, depth: int = DEPTH) -
     which what is no object goes through as it is.
     """
     inside = lambda v: F.try_variant_get(v, "$", "map<string,variant>")  # noqa: E731 - null for what is no object
-    at = df.select(*keys, F.lit("").alias("__at"), F.col(value).alias("__v")).where(inside(F.col("__v")).isNotNull())
+    at = df.select(*keys, F.lit("").alias("__at"), F.col(value).alias("__v"))
     for level in range(depth + 1):
         found = at.withColumn("__m", inside(F.col("__v")))
-        found = found.select(*keys, "__at", "__v", F.col("__m").isNotNull().alias("__o"), F.explode_outer("__m").alias("__k", "__e")).where("not __o or __k is not null")
+        found = found.select(*keys, "__at", "__v", F.col("__m").isNotNull().alias("__o"), F.explode_outer("__m").alias("__k", "__e"))
+        found = found.where("not __o or __k is not null" if level else "__k is not null")  # the first level is of objects only
         path = F.concat("__at", F.lit("/" if level else ""), F.col("__k"))
         at = found.select(*keys, F.when(F.col("__o"), path).otherwise(F.col("__at")).alias("__at"), F.when(F.col("__o"), F.col("__e")).otherwise(F.col("__v")).alias("__v"))
     deeper = F.raise_error(F.concat(F.lit(f"nested deeper than {depth}: "), "__at")).cast("variant")
