@@ -5,64 +5,58 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Events of a key that are kept.
 RECENT = 64
+STATE = "counts map<string,long>, events array<struct<event_id:long,at:timestamp,reasons:array<string>>>, n_events long, last_ms long"
 ENTRY = "uid long, counts map<string,long>, events array<struct<event_id:long,at:timestamp,reasons:array<string>>>, n_events long, gone boolean"
 
 
 class Suspicion(StatefulProcessor):
-    """State of a uid: a counter for each reason, its last events by id, how many there were, and when it was last seen."""
+    """State of a uid, one value that is read and written once a micro-batch: a counter for each reason, its last events by id, how many there were, and when it was last seen."""
 
     def __init__(self, keep: int, quiet_ms: int | None) -> None:
         self.keep, self.quiet_ms = keep, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "reason string", "n long")
-        self.events = handle.getListState("events", "event_id long, at timestamp, reasons array<string>")
-        self.seen = handle.getValueState("seen", "n long, last_ms long")
+        self.entry = handle.getValueState("entry", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [r for part in rows for r in part[["event_id", "at", "reasons"]].itertuples(index=False) if r.reasons is not None and len(r.reasons)]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        fresh = [r for r in rows if r.reasons]
         if not fresh:
             return
-        more: dict[str, int] = {}
+        counts, events, n, last = self._known()
         for r in fresh:
             for reason in r.reasons:
-                more[reason] = more.get(reason, 0) + 1
-        for reason, n in more.items():
-            old = self.counts.getValue((reason,))
-            self.counts.updateValue((reason,), ((old[0] if old else 0) + n,))
-        kept = [*self.events.get(), *[(int(r.event_id), None if pd.isna(r.at) else pd.Timestamp(r.at).to_pydatetime(), [str(x) for x in r.reasons]) for r in fresh]]
-        kept = sorted(kept, key=lambda e: e[0])[-self.keep :]
-        self.events.put(kept)
-        n, last = self.seen.get() if self.seen.exists() else (0, 0)
-        times = [int(pd.Timestamp(r.at).timestamp() * 1000) for r in fresh if not pd.isna(r.at)]
-        n, last = n + len(fresh), max([last, *times])
-        self.seen.update((n, last))
+                counts[reason] = counts.get(reason, 0) + 1
+        kept = sorted([*events, *[(r.event_id, r.at, list(r.reasons)) for r in fresh]], key=lambda e: e[0])[-self.keep :]
+        n, last = n + len(fresh), max([last, *(int(r.at.timestamp() * 1000) for r in fresh if r.at is not None)])
+        self.entry.update((counts, kept, n, last))
         if self.quiet_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(last + self.quiet_ms)
-        yield self._row(key, n, False)
+        yield self._row(key, counts, kept, n, False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        yield self._row(key, n, True)
-        self.counts.clear()
-        self.events.clear()
-        self.seen.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        counts, events, n, _ = self._known()
+        yield self._row(key, counts, events, n, True)
+        self.entry.clear()
 
-    def _row(self, key: tuple, n: int, gone: bool) -> pd.DataFrame:
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        events = [{"event_id": e[0], "at": e[1], "reasons": list(e[2])} for e in self.events.get()]
-        return pd.DataFrame({"uid": [key[0]], "counts": [counts], "events": [events], "n_events": [n], "gone": [gone]})
+    def _known(self) -> tuple[dict, list, int, int]:
+        found = self.entry.get()
+        if found is None:
+            return {}, [], 0, 0
+        return dict(found[0]), [tuple(e) for e in found[1]], found[2], found[3]
+
+    @staticmethod
+    def _row(key: tuple, counts: dict, events: list, n: int, gone: bool) -> Row:
+        return Row(uid=key[0], counts=counts, events=[Row(event_id=e[0], at=e[1], reasons=list(e[2])) for e in events], n_events=n, gone=gone)
 
     def close(self) -> None:
         pass
@@ -84,7 +78,7 @@ def suspicion_stream(events: DataFrame, keep: int = RECENT, quiet: str | None =
     if quiet is not None:
         quiet_ms = _ms(quiet)
         known = known.withWatermark("at", late)
-    return known.groupBy("uid").transformWithStateInPandas(Suspicion(keep, quiet_ms), ENTRY, "Update", "None" if quiet_ms is None else "EventTime")
+    return known.groupBy("uid").transformWithState(Suspicion(keep, quiet_ms), ENTRY, "Update", "None" if quiet_ms is None else "EventTime")
 
 
 _UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}

@@ -120,3 +120,28 @@ def test_played_tables_come_one_after_the_other(spark, tmp_path):
     stream, more = runs.played([df.where("id < 50"), df.where("id >= 50"), *runs.closing(df, "ts", 2, id=F.explode(F.array(F.lit(-1), F.lit(-2))))])
     got = runs.drain(stream, str(tmp_path / "c"), str(tmp_path / "o"), "append", more)
     assert got.count() == 100 + 2 * runs.CLOSINGS and got.where("id < 0").agg(F.min("ts")).head()[0] == dt.datetime(1970, 1, 1, 2, 1, 39)
+
+
+def test_suspicion_reads_and_writes_its_state_once_a_batch():
+    """Each access is a round trip to the state store, whatever the number of reasons."""
+    from pyspark.sql import Row
+
+    class Handle:
+        value, calls = None, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    handle, own = Handle(), suspicion.Suspicion(3, None)
+    own.init(handle)
+    rows = [Row(event_id=i, at=None, reasons=[f"r{i}", "all"]) for i in (4, 2, 9, 7)]
+    (got,) = own.handleInputRows((1,), iter(rows), None)
+    assert handle.calls == 2 and [e.event_id for e in got.events] == [4, 7, 9] and got.counts == {"all": 4, "r2": 1, "r4": 1, "r7": 1, "r9": 1} and got.n_events == 4
