@@ -816,21 +816,21 @@ _PAGE = 100
   SELECT date, CAST(i // {_PAGE} AS INTEGER) AS page, CAST(i % {_PAGE} AS INTEGER) AS pos, event_id, user_id FROM e"""
 )
 def paged_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a dump of pages by day, each under a cursor that tells nothing of its place, followed and landed in two runs."""
+    """Events as a dump of pages by day, each under a cursor that tells nothing of its place, many to a file; followed and landed in two runs."""
     from quillon.sources import paged
 
     e = table(spark, sf_dir, "events").where("ts is not null").select(F.to_date("ts").cast("string").alias("date"), "event_id", "user_id")
-    numbered = running(e.withColumn("one", F.lit(1)), ["date"], ["event_id"], {"i": "one"}).withColumn("i", F.col("i") - 1).withColumn("page", F.expr(f"i div {_PAGE}"))
+    numbered = running(e.withColumn("one", F.lit(1)), ["date"], ["event_id"], {"i": "one"}).withColumn("i", F.col("i") - 1)
+    numbered = numbered.withColumn("page", F.expr(f"i div {_PAGE}")).withColumn("last", F.expr(f"(all_i - 1) div {_PAGE}"))
     cursor = lambda page: F.when(page == 0, F.lit("start")).otherwise(F.md5(F.concat_ws(":", "date", page.cast("string"))))
-    pages = numbered.groupBy("date", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id", "user_id"))), lambda x: F.struct(x["event_id"].alias("event_id"), x["user_id"].alias("user_id"))).alias("chunks"))
-    last = F.max("page").over(Window.partitionBy("date"))
-    pages = pages.withColumn("next", F.when(F.col("page") < last, cursor(F.col("page") + 1)))
+    pages = numbered.groupBy("date", "page", "last").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id", "user_id"))), lambda x: F.struct(x["event_id"].alias("event_id"), x["user_id"].alias("user_id"))).alias("chunks"))
+    pages = pages.withColumn("next", F.when(F.col("page") < F.col("last"), cursor(F.col("page") + 1)))
     body = F.to_json(F.struct(F.struct("chunks", F.col("next").alias("nextCursor")).alias("data")))
     dump, out = new_folder(spark, "dump"), new_folder(spark, "landed")
-    written = pages.select("date", cursor(F.col("page")).alias("cursor"), body.alias("value"), "page")
-    written.where("page < 2").drop("page").write.partitionBy("date", "cursor").text(dump)
+    written = materialised(pages.select("date", "page", F.concat(cursor(F.col("page")), F.lit("\t"), body).alias("value")))
+    written.where("page < 2").select("date", "value").write.partitionBy("date").text(dump)
     paged.land_pages(spark, dump, out)  # days with more pages stop at one that isn't there yet
-    written.where("page >= 2").drop("page").write.mode("append").partitionBy("date", "cursor").text(dump)
+    written.where("page >= 2").select("date", "value").write.mode("append").partitionBy("date").text(dump)
     got = paged.land_pages(spark, dump, out).withColumn("r", F.from_json("record", "event_id long, user_id long"))
     return got.select("date", "page", "pos", "r.event_id", "r.user_id")
 

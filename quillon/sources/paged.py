@@ -7,11 +7,13 @@ writes each under its cursor, in any order.
 
 from __future__ import annotations
 
+import io
 import json
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from pyspark.sql.types import StructType
 PAGED = "date string, page int, pos int, cursor string, record string"
 #: Names under which a page tells where the next one is.
 NEXT = ("nextCursor", "cursor", "next_cursor")
+#: Records of a batch that goes to Spark, about: a page isn't cut.
+BATCH_RECORDS = 10_000
 
 
 def _store(path: str):
@@ -59,9 +63,55 @@ def _text(path: str) -> str | None:
     return "".join(parts)
 
 
+class _Pages:
+    """The pages of a date by cursor: its folder is listed once, and of files with many pages it is known where each page is."""
+
+    def __init__(self, folder: str) -> None:
+        from pyarrow import fs
+
+        self.folder = folder
+        self.store, base = _store(folder)
+        found = sorted(self.store.get_file_info(fs.FileSelector(base, allow_not_found=True)), key=lambda f: f.path)
+        self.own = {unquote(f.base_name.removeprefix("cursor=")) for f in found if f.base_name.startswith("cursor=")}
+        self.at: dict[str, tuple[str, int, int]] = {}
+        self.files: dict[str, pa.NativeFile] = {}
+        for f in found:
+            if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".", "cursor=")):
+                self._look(f.path)
+
+    def _look(self, path: str) -> None:
+        place = 0
+        with io.BufferedReader(self.store.open_input_file(path), 1 << 20) as lines:
+            for line in lines:
+                cursor, tab, _ = line.partition(b"\t")
+                if tab:  # else the writer is at work
+                    self.at[unquote(cursor.decode(errors="replace"))] = path, place, len(line)
+                place += len(line)
+
+    def text(self, cursor: str) -> str | None:
+        """A page's JSON; None where there is none."""
+        if cursor in self.own:
+            return _text(f"{self.folder}/cursor={quote(cursor, safe='')}")
+        if cursor not in self.at:
+            return None
+        path, place, size = self.at[cursor]
+        if path not in self.files:
+            self.files[path] = self.store.open_input_file(path)
+        return self.files[path].read_at(size, place).partition(b"\t")[2].decode()
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
 class PagedDump(DataSource):
     """Records of a paged dump: `path`/date=<date>/cursor=<cursor> holds a page, JSON with its records and the cursor of the next.
 
+    Many pages may also be in one file, so that a dump's files don't grow with
+    its pages: other files of `path`/date=<date> have a page a line, the cursor
+    (percent-encoded), a tab and the page. Of lines with the same cursor the
+    last counts, by file name and place; a page in a folder of its own goes first.
+
     A date is a partition: its pages are followed from `first` (option, "start")
     through the cursors, wherever they lie in the folder. A filter on date is
     pushed down: other dates' pages aren't opened. Each date ends with a row
@@ -101,29 +151,40 @@ class _PagedReader(DataSourceReader):
         dates = [d for d in _names(self.path, "date") if (self.dates is None or d in self.dates) and self.resume.get(d, "") is not None]
         return [InputPartition(d) for d in dates]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None or partition.value is None:
             return
         date = partition.value
         cursor, page = self.resume.get(date) or (self.first, 0)
-        seen = set()
-        while cursor:
-            if cursor in seen:
-                raise ValueError(f"{date}: cursor {cursor!r} comes back")
-            seen.add(cursor)
-            try:
-                data = json.loads(_text(f"{self.path}/date={quote(date, safe='')}/cursor={quote(cursor, safe='')}") or "")
-                data = data.get("data", data)
-                records = data if isinstance(data, list) else data.get("chunks", [])
-            except (ValueError, AttributeError) as e:
-                if self.mode != "keep":
-                    raise ValueError(f"{date}: page {cursor!r} is missing or broken") from e
-                break
-            for pos, r in enumerate(records):
-                yield date, page, pos, cursor, json.dumps(r)
-            cursor = None if isinstance(data, list) else next((data[k] for k in NEXT if data.get(k)), None)
-            page += 1
-        yield date, page, -1, cursor, None
+        pages, seen = _Pages(f"{self.path}/date={quote(date, safe='')}"), set()
+        held: list[tuple] = []
+        try:
+            while cursor:
+                if cursor in seen:
+                    raise ValueError(f"{date}: cursor {cursor!r} comes back")
+                seen.add(cursor)
+                try:
+                    data = json.loads(pages.text(cursor) or "")
+                    data = data.get("data", data)
+                    records = data if isinstance(data, list) else data.get("chunks", [])
+                except (ValueError, AttributeError) as e:
+                    if self.mode != "keep":
+                        raise ValueError(f"{date}: page {cursor!r} is missing or broken") from e
+                    break
+                held += [(date, page, pos, cursor, json.dumps(r)) for pos, r in enumerate(records)]
+                cursor = None if isinstance(data, list) else next((data[k] for k in NEXT if data.get(k)), None)
+                page += 1
+                if len(held) >= BATCH_RECORDS:
+                    yield _batch(held)
+                    held = []
+        finally:
+            pages.close()
+        yield _batch([*held, (date, page, -1, cursor, None)])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"date": pa.string(), "page": pa.int32(), "pos": pa.int32(), "cursor": pa.string(), "record": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def paged(spark: SparkSession, path: str, mode: str = "failfast", resume: dict | None = None, first: str = "start") -> DataFrame:

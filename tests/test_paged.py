@@ -62,6 +62,36 @@ def test_landing_resumes_at_the_broken_page(spark, dump, tmp_path):
     assert got[4:] == [("2026-01-02", 0, 0, 10), ("2026-01-02", 1, 0, 11), ("2026-01-02", 2, 0, 12), ("2026-01-04", 0, 0, 20)] and len(got) == 8
 
 
+def test_many_pages_may_be_in_one_file(spark, dump):
+    """A file per page makes the time of a dump that of its files."""
+    line = lambda cursor, records, following=None: f"{cursor}\t" + json.dumps({"data": {"chunks": records} | ({"nextCursor": following} if following else {})})
+    folder = dump / "date=2026-01-05"
+    folder.mkdir()
+    (folder / "part-0").write_text("\n".join([line("x%09y", [{"i": 33}]), line("c", [{"i": 32}], "x\ty"), line("b", [{"i": 0}]), "d"]))  # the last line is half written
+    (folder / "part-1").write_text("\n".join([line("start", [{"i": 30}, {"i": 30, "t": "é"}], "b"), line("b", [{"i": 31}], "c"), ""]))
+    (folder / "_SUCCESS").write_text(line("b", [{"i": -1}]))
+    own = paged.paged(spark, str(dump)).where("date = '2026-01-05'")
+    assert [r[1:] for r in records(own)] == [(0, 0, 30), (0, 1, 30), (1, 0, 31), (2, 0, 32), (3, 0, 33)]
+    page(dump, "2026-01-05", "x%09y", [{"i": 34}], "gone")  # a page of its own goes first
+    kept = paged.paged(spark, str(dump), "keep").where("date = '2026-01-05'")
+    assert [r[3] for r in records(kept)] == [30, 30, 31, 32, 34]
+    assert [(r["cursor"], r["page"]) for r in kept.where("pos = -1").collect()] == [("gone", 4)]
+
+
+def test_the_dump_query_has_no_file_for_each_page(spark, sf, monkeypatch):
+    import os
+
+    from quillon.plans.catalog import QUERIES
+
+    seen = []
+    land = paged.land_pages
+    monkeypatch.setattr(paged, "land_pages", lambda s, path, out: seen.append(path) or land(s, path, out))
+    wanted = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("ts is not null").count()
+    assert QUERIES["paged_dump"](spark, "/root/testdata/sf0.01").count() == wanted
+    folders = [d for d, _, names in os.walk(seen[0].removeprefix("file:")) if any(f.startswith("part-") for f in names)]
+    assert len(folders) == 30 and all(os.path.basename(d).startswith("date=") for d in folders)
+
+
 def test_batches_come_once_they_are_ready(spark, tmp_path):
     root, status = tmp_path / "b", tmp_path / "status"
     status.mkdir()
