@@ -875,9 +875,9 @@ def stack_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chars": F.log1p(F.length(text).cast("double")),
         "words": F.log1p(F.size(words).cast("double")),
         "distinct": rate(F.size(F.array_distinct(words)), F.size(words)),
-        "letters": rate(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.length(text)),
-        "capitals": rate(F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")), F.length(text)),
-        "figures": rate(F.length(F.regexp_replace(text, r"[^0-9]", "")), F.length(text)),
+        "letters": rate(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(text)),
+        "capitals": rate(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), F.length(text)),
+        "figures": rate(F.length(F.regexp_replace(text, r"[^0-9]+", "")), F.length(text)),
     }
     docs = materialised(table(spark, sf_dir, "documents").select("doc_id", *[c.cast("double").alias(n) for n, c in shape.items()]))
     known = docs.join(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")

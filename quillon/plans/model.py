@@ -20,6 +20,7 @@ from quillon.operators import calibrate as calibration
 from quillon.operators import drift, metrics
 from quillon.plans.stages import ClassProbability, Finish, LogitShift, MeanScore, ScoreMapModel
 from quillon.plans.trees import ExtraTreesClassifier, ExtraTreesModel
+from quillon.session import materialised
 
 EPS = 1e-6
 CONFIG = "columns array<string>, names array<string>, meta string, k int, seed int, calibrate boolean, threshold double, weight string, levels array<double>, quantiles array<double>, params string"
@@ -97,7 +98,9 @@ class Stack:
                 part = x.where(F.col("fold") == fold)
                 for name in self.names:
                     part = _probability(made()[name].fit(x.where(F.col("fold") != fold)), part, name)
+                part = part.select("label", *self.names)
                 parts = part if parts is None else parts.unionByName(part)
+            parts = materialised(parts)  # else each task of each step of the meta learner gets all models of all folds
             if self.kind == "logistic":
                 self.meta = LogisticRegression(featuresCol="meta", maxIter=100).fit(VectorAssembler(inputCols=list(self.names), outputCol="meta").transform(parts))
             if self.calibrate:

@@ -87,6 +87,21 @@ def test_extra_trees_keep_up_with_the_forest_on_documents(spark, sf):
     x.unpersist()
 
 
+def test_the_meta_learner_reads_scores_that_are_written(spark, monkeypatch):
+    """Else each of its steps runs over the plans of all folds, whose tasks bring all models along."""
+    plans, fit = [], model.LogisticRegression.fit
+
+    def spy(self, df, *rest):
+        if self.getFeaturesCol() == "meta":
+            plans.append(df._jdf.queryExecution().analyzed().toString())
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(model.LogisticRegression, "fit", spy)
+    df = labelled(spark, 120).drop("features")
+    model.Stack(["a", "b"], names=("forest", "linear"), k=3, params={"forest": {"numTrees": 3}}).fit(df, "id")
+    assert len(plans) == 1 and "Union" not in plans[0] and "probability" not in plans[0]
+
+
 @pytest.mark.parametrize("meta", ["logistic", "mean"])
 def test_a_stack_is_one_pipeline_model(spark, tmp_path, meta):
     df = labelled(spark, 200).drop("features")
