@@ -15,6 +15,8 @@ from quillon.plans.stages import ClassProbability, Finish
 
 #: Terms that are kept at most, the most frequent; of these the first for the trees, whose cost grows with columns, not with what is in them.
 TERMS, TREE_TERMS = 1 << 17, 512
+#: Hands of a partition that learners go over, at most about: the trees hold a whole number for each of their terms of each hand.
+PART_HANDS = 25_000
 
 
 def fit(hands: DataFrame, doc: str = "doc", label: str = "label", chunk: str = "chunk_id", least: int = 3, strength: float = 1.0, terms: int = TERMS, tree_terms: int = TREE_TERMS, rounds: int = 40, depth: int = 5, seed: int = 0) -> PipelineModel:
@@ -32,7 +34,11 @@ def fit(hands: DataFrame, doc: str = "doc", label: str = "label", chunk: str = "
     idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
     size = len(idf)
     scaled = PipelineModel(stages=[ElementwiseProduct(scalingVec=DenseVector(idf), inputCol="__tf", outputCol="__w"), Normalizer(p=2.0, inputCol="__w", outputCol="features"), VectorSlicer(inputCol="features", outputCol="__top", indices=list(range(min(tree_terms, size))))])
-    x = scaled.transform(counted).persist()
+    # text is small in files and wide as vectors: partitions are made by rows, not by the bytes that were read
+    n = -(-rows.count() // PART_HANDS)
+    if n > 1:
+        counted = counts.transform(rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism)))
+    x = scaled.transform(counted).select("features", "__top", "weight", "label").persist()
     total = x.agg(F.sum("weight")).head()[0]
     named = lambda learner, n: learner.setWeightCol("weight").setProbabilityCol(f"__p_{n}").setRawPredictionCol(f"__r_{n}").setPredictionCol(f"__y_{n}")
     linear = named(LogisticRegression(maxIter=200, tol=1e-9, regParam=1.0 / (strength * total), standardization=False), "linear").fit(x)

@@ -163,6 +163,21 @@ def hands_with_documents(spark):
     return rows, spark.createDataFrame(rows, "chunk_id long, hand_ix int, doc string, label int")
 
 
+def test_learners_of_hand_texts_go_over_partitions_of_bounded_rows(spark, monkeypatch):
+    """Documents are small in files, so that reading them makes few partitions, which are wide once they are vectors."""
+    most, columns, fit = [], [], handtext.GBTClassifier.fit
+
+    def spy(self, df, *rest):
+        most.append(max(df.rdd.glom().map(len).collect()))
+        columns.append(set(df.columns))
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(handtext.GBTClassifier, "fit", spy)
+    monkeypatch.setattr(handtext, "PART_HANDS", 40)
+    handtext.fit(hands_with_documents(spark)[1].coalesce(1), rounds=1, depth=2)
+    assert most[0] <= 60 and columns[0] == {"features", "__top", "weight", "label"}
+
+
 def test_hand_text_model_against_a_plain_logistic_fit(spark, tmp_path):
     rows, df = hands_with_documents(spark)
     fitted = handtext.fit(df, rounds=5, depth=3)
