@@ -99,5 +99,7 @@ def long_tables(chunks: DataFrame) -> HandTables:
 def in_chunks(hands: DataFrame, size: int, group: str = "file", order: str = "pos") -> DataFrame:
     """(chunk_id, hand_ix, hand): tumbling chunks of `size` hands of each group in order; the last, short one is dropped."""
     numbered = hands.withColumn("hand_ix", F.expr(f"{order} % {size}")).withColumn("n", F.expr(f"{order} div {size}"))
+    if size == 1:  # no chunk is short, so hands needn't be moved
+        return numbered.select(F.concat_ws("#", F.col(group), F.col("n").cast("string")).alias("chunk_id"), "hand_ix", "hand")
     full = numbered.groupBy(group, "n").agg(F.count("*").alias("c")).where(F.col("c") == size).drop("c")
     return numbered.join(full, [group, "n"]).select(F.concat_ws("#", F.col(group), F.col("n").cast("string")).alias("chunk_id"), "hand_ix", "hand")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +106,15 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, bytes
     """(key values, text) of neighbouring lines of a range; each line gets the brace back at which it was cut."""
     if not batch.num_rows:
         return
-    columns = [batch.column(k).to_pylist() for k in keys]
-    texts = batch.column("value").cast(pa.binary()).to_pylist()
-    same = list(zip(*columns, strict=True))
-    edges = [0, *(i for i in range(1, len(same)) if same[i] != same[i - 1]), len(same)]
+    columns, n = [batch.column(k) for k in keys], batch.num_rows
+    texts = batch.column("value").cast(pa.binary())
+    other = np.zeros(n - 1, bool)
+    for c in columns:
+        other |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
     for a, b in zip(edges, edges[1:], strict=False):
-        yield same[a], b"}".join(texts[a:b]) + b"}"
+        run = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), texts.slice(a, b - a))
+        yield tuple(c[a].as_py() for c in columns), pc.binary_join(run, pa.scalar(b"}"))[0].as_py() + b"}"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -237,7 +241,8 @@ def elements(spark: SparkSession, path: str | list[str], inside: str, opens: str
     across = checkpointed(stitched(found.where(F.col("kind") != WHOLE)))
     counts = own.select("path", "range").unionByName(across.select("path", "range")).groupBy("path", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n")
+    base = checkpointed(counts.select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n"))
+    base = F.broadcast(base) if base.count() <= FEW_RANGES else base  # elements stay where they are
     last = F.coalesce("ix", F.col("n") - 1)  # what begins in a range and ends in another is its last
     every = own.unionByName(across.withColumn("ix", F.lit(None).cast("long"))).join(base, ["path", "range"])
     return every.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("base") + last).alias("pos"), "value")

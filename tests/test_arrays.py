@@ -137,3 +137,18 @@ def test_new_files_land_once(spark, tmp_path):
     assert run() == first == run()
     put("d", 2)
     assert run() == [*first, "d0", "d1"]
+
+
+def test_elements_of_an_array_are_not_moved(spark, tmp_path):
+    """Their numbers come from a row for each range, which goes to all tasks."""
+    from quillon.sources.hands import flat
+
+    (tmp_path / "a.json").write_text(json.dumps([{"hand_id": str(i)} for i in range(50)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for elements of any size
+    try:
+        read = flat(spark, str(tmp_path / "a.json"), 1)
+        assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+        assert {(r["chunk_id"], r["hand_ix"], r["hand"]["hand_id"]) for r in read.collect()} == {(f"a.json#{i}", 0, str(i)) for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
