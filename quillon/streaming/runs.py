@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 
 from quillon.session import new_folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; a commit writes what has changed instead of all files; a join of streams has one store a partition, not four.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Streams started within keep their state in RocksDB, which keyed maps, lists and timers need."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drain(stream: DataFrame, checkpoint: str, out: str, mode: str = "update", then: Sequence[Callable[[], None]] = ()) -> DataFrame:

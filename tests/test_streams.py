@@ -53,6 +53,16 @@ def test_requests_are_answered_or_time_out(spark, tmp_path):
     assert (8, "end") not in settled and (9, "t") not in settled
 
 
+def test_a_join_of_streams_has_one_store_a_partition(spark, tmp_path):
+    """Each store is loaded and committed in each batch, so four of them cost four times as much."""
+    asked, replies = Feed(spark, tmp_path / "r", REQ), Feed(spark, tmp_path / "a", ANS)
+    asked.add([(1, "a", at(0), 3)])
+    replies.add([(1, "a", at(20), 3)])
+    runs.drain(responses.answered(asked.read(), replies.read(), late="1 minute"), str(tmp_path / "c"), str(tmp_path / "o"), "append")
+    stores = [{x.name for x in p.iterdir() if x.is_dir() and not x.name.startswith("_")} for p in (tmp_path / "c" / "state").glob("*/0")]
+    assert stores and not any("left-keyToNumValues" in s for s in stores)
+
+
 def test_outcomes_of_retries(spark):
     rows = [("x", at(0), 0.0, None), ("x", at(200), 1.0, 5.0), ("x", at(400), 1.0, 1.0), ("y", at(0), 0.0, None), ("y", at(200), 0.0, None), ("z", at(0), 0.0, 7.0), ("w", at(0), 0.0, None), ("w", at(1), 0.0, None), ("w", at(2), 0.0, None), ("w", at(3), 1.0, 1.0)]
     df = spark.createDataFrame([(1, *r) for r in rows], "uid long, request_id string, sent_at timestamp, coverage double, latency_seconds double")
