@@ -38,7 +38,7 @@ def answered(requests: DataFrame, answers: DataFrame, within: str = "180 seconds
         got.alias("got_at"),
         F.col("answer.n_scores").alias("n_scores"),
         F.when(F.col("answer.n_scores") == F.col("n_sent"), 1.0).otherwise(0.0).alias("coverage"),
-        (got.cast("double") - F.col("sent_at").cast("double")).alias("latency_seconds"),
+        ((F.unix_micros(got) - F.unix_micros("sent_at")) / F.lit(1e6)).alias("latency_seconds"),
     )
 
 

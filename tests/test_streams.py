@@ -53,6 +53,14 @@ def test_requests_are_answered_or_time_out(spark, tmp_path):
     assert (8, "end") not in settled and (9, "t") not in settled
 
 
+def test_latencies_are_whole_microseconds(spark, tmp_path):
+    asked, replies = Feed(spark, tmp_path / "r", REQ), Feed(spark, tmp_path / "a", ANS)
+    asked.add([(1, "a", at(0.1), 3)])
+    replies.add([(1, "a", at(17.2355), 3)])
+    got = runs.drain(responses.answered(asked.read(), replies.read(), late="1 minute"), str(tmp_path / "c"), str(tmp_path / "o"), "append", [lambda: (asked.add([(2, "z", at(9000), 1)]), replies.add([(2, "z", at(9000), 1)]))])
+    assert got.where("uid = 1").head()["latency_seconds"] == 17.1355
+
+
 def test_a_join_of_streams_has_one_store_a_partition(spark, tmp_path):
     """Each store is loaded and committed in each batch, so four of them cost four times as much."""
     asked, replies = Feed(spark, tmp_path / "r", REQ), Feed(spark, tmp_path / "a", ANS)
